@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from netloom.llm import quality_rules
 from netloom.llm.bpe import op5_bpe
+from netloom.llm.quality_rules import op6_quality_rules
+from netloom.llm.telephony import op8_media_columns
 from netloom.llm.token_binary import op3_token_binary
+from netloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_binary": op3_token_binary,
     "op5_bpe": op5_bpe,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_media_columns": op8_media_columns,
+}
+ORACLE_SQL = {
+    "op6_quality_rules": quality_rules.oracle(),
 }
-ORACLE_SQL: dict[str, str] = {}
