@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ HEAD = struct.Struct("<8sIIQQQ")
 NULL_ID = -(1 << 63)
 #: Ids in a block; words kept by a worker; documents of a shard, by bytes of text.
 BLOCK = 4096
-KEEP_WORDS = 400_000
+KEEP_WORDS = 1_000_000
 SHARD_BYTES = 24 << 20
 
 
@@ -107,6 +108,12 @@ class Encoder:
         return [b"".join(map(get, ws)) for ws in split]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, whose tasks share its table."""
+    return Encoder(path)
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
     """Encode every whole text, append `end_id`, write shards in ascending id order (null ids first; equal ids by text
     hash). Returns the manifest (shard, path, documents, ids): one entry for each shard, the only thing that the driver sees.
@@ -119,7 +126,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         bits = bits_for(enc.tokenizer.get_vocab_size())
         end = np.array([end_id], "<u4").tobytes()
         keys, lens, packed = [], [], []
