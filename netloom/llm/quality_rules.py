@@ -166,12 +166,12 @@ def oracle() -> str:
     less = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
     ctes = [
         "d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents)",
-        f"w AS MATERIALIZED (SELECT rid, doc_id, t, regexp_extract_all(t, '{space}+') AS ws, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{space}')) AS ls FROM d)",
+        f"w AS MATERIALIZED (SELECT rid, doc_id, t, regexp_extract_all(t, '{space}+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{space}')) AS ls FROM d)",
         f"g AS MATERIALIZED (SELECT rid, i, list_slice(ws, i, i + {WINDOW - 1}) AS s FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS u(i) WHERE len(ws) >= {WINDOW})",
         "m AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM g) WHERE c > 1)",
         f"r AS (SELECT rid, sum(CASE WHEN nxt IS NULL THEN {WINDOW} ELSE least({WINDOW}, nxt - i) END) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM m) GROUP BY rid)",
         f"c AS (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(list_aggregate(ws || [''], 'string_agg', '')) AS BIGINT) AS word_chars, {less(SYMBOLS)} AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, "
-        f"CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, {less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper, {less('!')} AS n_shouts, len(list_filter(ws, x -> length(x) <= 3)) AS n_stops, len(list_distinct(ws)) AS n_distinct FROM w LEFT JOIN r USING (rid))",
+        f"CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, {less('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper, {less('!')} AS n_shouts, len(list_filter(ws, lambda x: length(x) <= 3)) AS n_stops, len(list_distinct(ws)) AS n_distinct FROM w LEFT JOIN r USING (rid))",
         f"v AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {votes} FROM c)",
         f"p AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS c FROM v WHERE NOT base_failed GROUP BY ALL)",
         f"q0 AS MATERIALIZED (SELECT *, CASE WHEN least({', '.join(names)}) >= 0 THEN 0.95::DOUBLE ELSE 0.05::DOUBLE END AS g FROM p)",
