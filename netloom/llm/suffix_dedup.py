@@ -184,7 +184,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """did, th and the row's blocks as arrays; one pass over the texts, rows without a window left out."""
+    """id, did, th and the row's blocks as arrays, stored; one pass over the texts, rows without a window left out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         buf, offs = B.column(b.column(2))
@@ -200,21 +200,25 @@ def occurrences(rows: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_pydict({"did": b.column(0).take(take), "th": b.column(1).take(take), "anchor": col(anchor.view(np.int64)), "block": col(block.view(np.int64)), "start": col(start.astype(np.int32)), "windows": col(count.astype(np.int16))}))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    return arrow_map(rows.select("did", "th", "text"), run, "did long, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
+    found = arrow_map(rows.select("did", "th", "text"), run, "did long, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
+    return store(found.withColumn("id", F.monotonically_increasing_id()), "blocks")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
     """did, th, spans: for rows with repeats, the repeated windows' byte ranges (lo, hi), in no order, overlapping."""
     spark = rows.sparkSession
-    occ = store(occurrences(rows), "blocks")
-    each = occ.select("did", "th", F.explode(F.arrays_zip("anchor", "block", "start", "windows")).alias("x")).select("did", "th", "x.*")
-    count = each.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("did").alias("did"), F.first("th").alias("th"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    count = store(count, "counts")
-    many = count.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    kinds = store(count.join(many, "anchor").drop("total"), "repeats")
+    occ = occurrences(rows)
+    ids = occ.select("id", "did", "th")
+    each = occ.select("id", F.explode(F.arrays_zip("anchor", "block", "start", "windows")).alias("x")).select("id", "x.*")
+    # anchors that occur once have no repeats; an anchor of one kind of block is repeated as a whole
+    again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    each = store(each.join(again, "anchor"), "repeats")
     release(spark)
-    mixed = kinds.where("kinds > 1").groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "block", "start", "windows", "kinds")).alias("want"))
-    texts = rows.select("did", "th", "text").join(mixed, ["did", "th"]).select("text", "want")
+    mixed = each.where("mixed")
+    count = mixed.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("start").alias("start"), F.first("windows").alias("windows"))
+    kinds = store(count.join(count.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
+    want = kinds.groupBy("id").agg(F.collect_list(F.struct("anchor", "block", "start", "windows", "kinds")).alias("want")).join(ids, "id")
+    texts = rows.select("did", "th", "text").join(want, ["did", "th"]).select("text", "want")
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts_ = b.column(0)
@@ -248,9 +252,11 @@ def repeated(rows: DataFrame) -> DataFrame:
     release(spark)
     whole = kinds.where("n > 1").select("anchor", "block", F.array(F.lit(0)).alias("lo"), F.array(F.col("windows").cast("int")).alias("hi"))
     marks = whole.unionByName(inner)
-    hits = each.select("did", "th", "anchor", "block", "start").join(marks, ["anchor", "block"])
-    hits = hits.select("did", "th", "start", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("did", "th", (F.col("start") + F.col("x.lo")).alias("lo"), (F.col("start") + F.col("x.hi") - 1 + WIDTH).alias("hi"))
-    return hits.groupBy("did", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    hits = mixed.select("id", "anchor", "block", "start").join(marks, ["anchor", "block"]).select("id", "start", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("id", "start", "x.lo", "x.hi")
+    hits = hits.unionByName(each.where("NOT mixed").select("id", "start", F.lit(0).alias("lo"), F.col("windows").cast("int").alias("hi")))
+    hits = hits.select("id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + WIDTH).alias("hi"))
+    spans = hits.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(ids, "id")
+    return spans.groupBy("did", "th").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
 
 
 def _window_salts(piece: bytes, windows: int, spread: int) -> np.ndarray:
