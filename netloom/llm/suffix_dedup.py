@@ -284,7 +284,8 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:2] != now and size >= BUNDLE:
+            # the copies of a block that different salts of an anchor hold must not meet
+            if held and row[:2] != now and (size >= BUNDLE or row[0] == now[0]):
                 if (out := work()) is not None:
                     yield out
                 held, size = [], 0
