@@ -26,8 +26,9 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
 KEEP_AT = 0.5
 ROUNDS = 12
-#: Pseudo-counts of each rule's votes (right, wrong) in either class: rules are taken to be better than chance.
-PRIOR_RIGHT, PRIOR_WRONG = 8.0, 2.0
+#: Pseudo-counts of each rule's votes (right, wrong) on good and on bad documents: a rule seldom rejects a good one, but knows one kind of
+#: bad ones only, so its approval says little.
+PRIOR_GOOD, PRIOR_BAD = (19.0, 1.0), (1.0, 1.0)
 #: Each rule: name, condition for `bad`, condition for `good`, over the count columns; both are SQL that Spark and DuckDB read alike.
 RULES = [
     ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
@@ -122,8 +123,8 @@ def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tupl
             gn = sum(c * post[p] for p, c in patterns.items() if p[j] == -1)
             bp = sum(c * (1 - post[p]) for p, c in patterns.items() if p[j] == 1)
             bn = sum(c * (1 - post[p]) for p, c in patterns.items() if p[j] == -1)
-            right_good = (gp + PRIOR_RIGHT) / (gp + gn + PRIOR_RIGHT + PRIOR_WRONG)
-            right_bad = (bn + PRIOR_RIGHT) / (bp + bn + PRIOR_RIGHT + PRIOR_WRONG)
+            right_good = (gp + PRIOR_GOOD[0]) / (gp + gn + sum(PRIOR_GOOD))
+            right_bad = (bn + PRIOR_BAD[0]) / (bp + bn + sum(PRIOR_BAD))
             weights[j] = {1: math.log(right_good / (1 - right_bad)), -1: math.log((1 - right_good) / right_bad)}
         post = {p: 1 / (1 + math.exp(-(odds + sum(w.get(v, 0.0) for w, v in zip(weights, p, strict=True))))) for p in patterns}
     return odds, weights
@@ -179,8 +180,8 @@ def oracle() -> str:
     for k in range(ROUNDS):
         parts = []
         for j, n in enumerate(names):
-            rg = f"(sum(CASE WHEN {n} = 1 THEN c * g ELSE 0 END) + {PRIOR_RIGHT}) / (sum(CASE WHEN {n} <> 0 THEN c * g ELSE 0 END) + {PRIOR_RIGHT + PRIOR_WRONG})"
-            rb = f"(sum(CASE WHEN {n} = -1 THEN c * (1 - g) ELSE 0 END) + {PRIOR_RIGHT}) / (sum(CASE WHEN {n} <> 0 THEN c * (1 - g) ELSE 0 END) + {PRIOR_RIGHT + PRIOR_WRONG})"
+            rg = f"(sum(CASE WHEN {n} = 1 THEN c * g ELSE 0 END) + {PRIOR_GOOD[0]}) / (sum(CASE WHEN {n} <> 0 THEN c * g ELSE 0 END) + {sum(PRIOR_GOOD)})"
+            rb = f"(sum(CASE WHEN {n} = -1 THEN c * (1 - g) ELSE 0 END) + {PRIOR_BAD[0]}) / (sum(CASE WHEN {n} <> 0 THEN c * (1 - g) ELSE 0 END) + {sum(PRIOR_BAD)})"
             parts.append(f"{rg} AS rg{j}, {rb} AS rb{j}")
         ctes.append(f"e{k} AS MATERIALIZED (SELECT ln((1 + coalesce(sum(c * g), 0)) / (1 + coalesce(sum(c * (1 - g)), 0))) AS o, {', '.join(parts)} FROM q{k})")
         score = " + ".join(["o", *[f"CASE {n} WHEN 1 THEN ln(rg{j} / (1 - rb{j})) WHEN -1 THEN ln((1 - rg{j}) / rb{j}) ELSE 0 END" for j, n in enumerate(names)]])
