@@ -15,13 +15,10 @@ from pyspark.sql import types as T
 
 
 def from_pandas(pdf, spark: SparkSession | None = None) -> DataFrame:
-    """A pandas frame without its index; categorical columns become strings, NaN becomes null."""
-    spark = spark or SparkSession.active()
-    pdf = pdf.reset_index(drop=True).copy()
-    for c in pdf.columns:
-        if str(pdf[c].dtype) == "category":
-            pdf[c] = pdf[c].astype(object)
-    return normalise_nan(spark.createDataFrame(pdf))
+    """A pandas frame without its index; categorical columns become strings, NaN becomes null, float widths stay."""
+    import pyarrow as pa
+
+    return from_arrow(pa.Table.from_pandas(pdf, preserve_index=False).replace_schema_metadata(None), spark)
 
 
 def from_arrow(table, spark: SparkSession | None = None) -> DataFrame:
