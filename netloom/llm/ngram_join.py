@@ -4,10 +4,13 @@ A document's tokens are its distinct k-word shingles (64-bit hashes). Equal sets
 ordered by a frequency class from a count sketch over the whole corpus, then by hash, so that shared passages come last. Two sets that
 reach the threshold share at least two tokens of their prefixes extended by one, which makes these the index keys:
 
-1. each single prefix token, with the smallest class as its leader: every member is compared with the leader, and links join components;
-2. what is still mixed: in tokens of few members, all pairs of different components; frequent tokens are replaced by the
-   2-token combinations that documents hold among them; a combination that is still frequent is worked off by rounds of leaders,
-   doubled each round, until it is a single component or no pair is left.
+1. each single prefix token, with its least altered member (most of whose prefix others share) as leader: every member is compared with
+   the leader, and links join components;
+2. tokens of few members that are still mixed: all pairs of different components that the positional and length bounds allow;
+3. documents in frequent tokens that are still mixed are indexed anew by the exact frequencies among them, which puts their own edits
+   first, and go through 1 and 2 again;
+4. what is then still frequent and mixed becomes 2-token combinations, and a combination that is frequent itself is worked off by rounds
+   of leaders, doubled each round, until it is a single component or no pair is left.
 
 A pair in one component is never compared again, since only components are reported. Verification is exact on the whole sets:
 texts travel to their leader, hot leaders are salted, and a task holds one leader's set at a time.
@@ -124,27 +127,35 @@ def prefixes(rows: DataFrame, classes: np.ndarray, k: int, percent: int) -> Data
     return store(rows.select("text").mapInArrow(run, "cid long, n long, tokens array<long>"), "prefixes")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets reach the threshold. Each text goes once to each leader a (and its salt)."""
+def _listed(arr: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stored sets in the form of _sets."""
+    at = arr.offsets.to_numpy().astype(np.int64)
+    yield 0, len(arr), arr.values.to_numpy(zero_copy_only=False).view(np.uint64)[at[0] : at[-1]], at - at[0]
+
+
+def verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets reach the threshold. `source` gives each class's text or set by cid; it goes
+    once to each leader a (and its salt)."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
     p = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b")
     heads = p.select("a", "salt").distinct()
     want = p.select("a", "salt", F.col("b").alias("cid"), F.lit(1).alias("role")).unionByName(heads.select("a", "salt", F.col("a").alias("cid"), F.lit(0).alias("role")))
-    want = want.join(classes.select("cid", "did", "th"), "cid")
-    texts = rows.join(want, ["did", "th"]).select("a", "salt", "role", "cid", "text")
+    by_text = "text" in source.columns
+    rows = source.join(want.hint("merge"), "cid").select("a", "salt", "role", "cid", "text" if by_text else "tokens")
+    reader = _sets if by_text else _listed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, np.zeros(0, np.uint64)
         for b in batches:
             a_, s_, role, cid = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for lo, hi, vals, at in _sets(b.column(4), k):
+            for lo, hi, vals, at in reader(b.column(4), k):
                 found: list[tuple[int, int]] = []
                 for i in range(hi - lo):
                     j, own = lo + i, vals[at[i] : at[i + 1]]
                     if role[j] == 0:
                         now, head = (a_[j], s_[j]), own.copy()
                         continue
-                    assert now == (a_[j], s_[j]), "a leader's text is missing"
+                    assert now == (a_[j], s_[j]), "a leader's set is missing"
                     x, y = len(head), len(own)
                     if 100 * min(x, y) < percent * max(x, y):
                         continue
@@ -155,78 +166,166 @@ def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percen
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return texts.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long").distinct()
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long").distinct()
 
 
 def _fits(percent: int):
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-
-def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (did, th, cid, n) of the classes of equal sets, and enough links (a, b) between classes that
-    components are those of all links."""
-    spark = docs.sparkSession
-    rows = keyed(docs)
-    members, sketch = scan(rows, k)
-    classes = members.where("n > 0").groupBy("cid").agg(F.min("did").alias("did"), F.min_by("th", F.struct("did", "th")).alias("th"), F.min("n").alias("n"))
-    pre = prefixes(rows, frequency_classes(sketch), k, percent)
-    tokens = pre.select("cid", "n", F.explode("tokens").alias("t"))
-    shared = tokens.groupBy("t").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead <> last").select("t", "lead")
-    index = store(tokens.join(shared, "t").select("t", "cid", "n", "lead").distinct(), "index")
-    release(spark)
-    size = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"))
-    pairs = index.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b"), F.col("n").alias("nb")).distinct()
-    tried = store(pairs.join(size, "a").where(_fits(percent)).select("a", "b"), "pairs")
-    found = store(verify(tried, rows, classes, k, percent), "links")
-    release(spark)
-    live = index.groupBy("t").agg(F.count("*").alias("c")).where("c > 2")
-    buckets = index.join(live, "t").select(F.col("t").alias("key"), "cid", "n")
-    combined, leaders = False, 1
-    while True:
-        comp = components(found)
-        b = buckets.join(comp.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = b.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("cid").alias("first")).where("lo <> hi").select("key", "c", "first")
-        b = store(b.join(mixed, "key").select("key", "cid", "n", "comp", "c", "first"), "buckets")
-        if b.isEmpty():
-            return members, found
-        few, many = b.where(f"c <= {FREQUENT}"), b.where(f"c > {FREQUENT}")
-        x = few.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = few.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        new = x.join(y, "key").where("a < b AND ca <> cb").where(_fits(percent)).select("a", "b")
-        if combined:
-            # leaders: the members of the smallest hashes, about `leaders` of them, and the first
-            lead = many.where(f"cid = first OR pmod(xxhash64(cid, {leaders}), c) < {leaders}")
-            x = lead.select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            y = many.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            new = new.unionByName(y.join(x, "key").where("a <> b AND ca <> cb").where(_fits(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            buckets = many.join(lead.select("key", "cid"), ["key", "cid"], "left_anti").select("key", "cid", "n")
-            leaders *= 2
+    """Length bound, and positional bound for a token that is the first or second in common."""
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {percent} * (na + nb) <= {100 + percent} * (1 + least(na - pa, nb - pb))")
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("key", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"p{x}"), F.col("comp").alias(f"c{x}"))
+
+
+class _Join:
+    """The state of one join: texts, classes, the links found and the pairs compared."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int):
+        self.spark, self.k, self.percent = docs.sparkSession, k, percent
+        self.rows = keyed(docs)
+        self.members, sketch = scan(self.rows, k)
+        self.sketch = sketch
+        self.classes = self.members.where("n > 0").groupBy("cid").agg(F.min("did").alias("did"), F.min_by("th", F.struct("did", "th")).alias("th"), F.min("n").alias("n"))
+        self.comp: DataFrame | None = None  # v, comp: classes that have a link, and their component
+        self.tried: DataFrame | None = None
+        self.sets: DataFrame | None = None  # cid, tokens of the classes that are indexed anew
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) that were not compared before."""
+        new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("lead")).groupBy("a", "b").agg(F.min("lead").alias("lead"))
+        if self.tried is not None:
+            new = new.join(self.tried, ["a", "b"], "left_anti")
+        new = store(new, "pairs")
+        self.tried = new.select("a", "b") if self.tried is None else self.tried.unionByName(new.select("a", "b"))
+        if new.isEmpty():
+            return
+        lead = new.select(F.col("lead").alias("a"), F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        if self.sets is not None:
+            source = self.sets
+        else:
+            ids = lead.select(F.col("a").alias("cid")).unionByName(lead.select(F.col("b").alias("cid"))).distinct()
+            source = self.rows.join(self.classes.join(ids, "cid").select("cid", "did", "th").hint("merge"), ["did", "th"]).select("cid", "text")
+        self.merge(store(verify(lead, source, self.k, self.percent), "links"))
+        release(self.spark)
+
+    def merge(self, links_: DataFrame) -> None:
+        """Take new links into the components: only components that a link joins are worked on."""
+        if self.comp is None:
+            self.comp = components(links_)
+            return
+        names = lambda x: self.comp.select(F.col("v").alias(x), F.col("comp").alias(f"c{x}"))
+        named = links_.join(names("a"), "a", "left").join(names("b"), "b", "left")
+        named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+        named = store(named, "joins")
+        if named.isEmpty():
+            return
+        fresh = links_.select(F.col("a").alias("v")).unionByName(links_.select(F.col("b").alias("v"))).distinct().join(self.comp, "v", "left_anti").select("v", F.col("v").alias("comp"))
+        over = components(named).select(F.col("v").alias("comp"), F.col("comp").alias("top"))
+        self.comp = store(self.comp.unionByName(fresh).join(over, "comp", "left").select("v", F.coalesce("top", "comp").alias("comp")), "components")
+
+    def with_components(self, buckets: DataFrame) -> DataFrame:
+        """Rows of mixed keys, with their component and the key's count, stored."""
+        if self.comp is None:
+            b = buckets.withColumn("comp", F.col("cid"))
         else:
-            buckets, combined = combinations(many), True
-        new = store(new.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            found = store(found.unionByName(verify(new, rows, classes, k, percent)), "links")
-            tried = tried.unionByName(new)
-        release(spark)
+            b = buckets.join(self.comp.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        mixed = b.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        b = b.join(mixed, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
+        return store(b.select("key", "cid", "n", "pos", "comp", "c"), "buckets")
+
+    def index(self, tokens: DataFrame) -> DataFrame:
+        """Of (key, cid, n, pos) the rows that have a possible partner under their key, with each key's leader compared."""
+        shared = tokens.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("low")).where("x <> y").select("key", "low")
+        rows = tokens.join(shared, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
+        rows = store(rows.select("key", "cid", "n", "pos").distinct(), "index")
+        share = rows.groupBy("cid", "n").agg(F.count("*").alias("q")).select("cid", (1000 - F.col("q") * 1000 / F.col("n")).cast("long").alias("altered"))
+        lead = rows.join(share, "cid").groupBy("key").agg(F.min(F.struct("altered", "cid", "n", "pos")).alias("x"), F.count("*").alias("c")).where("c > 1")
+        lead = lead.select("key", F.col("x.cid").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa"))
+        pairs = rows.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(lead, "key").where("a <> b").where(_fits(self.percent))
+        self.compare(pairs.select("a", "b"))
+        return rows
+
+    def few(self, mixed: DataFrame) -> None:
+        """All pairs of different components under keys of few members."""
+        rows = mixed.where(f"c <= {FREQUENT}")
+        pairs = _side(rows, "a").join(_side(rows, "b"), "key").where("a < b AND ca <> cb").where(_fits(self.percent))
+        self.compare(pairs.select("a", "b"))
+
+    def exact_index(self, some: DataFrame) -> DataFrame:
+        """(key, cid, n, pos) of the 2-extended prefixes of some classes, tokens ordered by their exact frequency among these."""
+        texts = self.rows.join(some.join(self.classes, "cid").select("cid", "did", "th").hint("merge"), ["did", "th"]).select("cid", "text")
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, hi, vals, at in _sets(b.column(1), k):
+                    yield pa.RecordBatch.from_pydict({"cid": b.column(0).slice(lo, hi - lo), "tokens": pa.ListArray.from_arrays(at.astype(np.int32), vals.view(np.int64))})
+
+        self.sets = store(texts.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"]), "sets")
+        release(self.spark)
+        each = self.sets.select("cid", F.explode("tokens").alias("key"))
+        counts = each.groupBy("key").agg(F.count("*").alias("f"))
+        ordered = each.join(counts, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("s")).withColumn("n", F.size("s").cast("long"))
+        length = F.expr(f"CAST(least(n, n - ({self.percent} * n + 99) div 100 + 2) AS INT)")
+        head = F.transform(F.slice("s", F.lit(1), length), lambda x, i: F.struct(x["key"].alias("key"), x["f"].alias("f"), i.cast("long").alias("pos")))
+        out = ordered.select("cid", "n", F.explode(F.filter(head, lambda x: x["f"] > 1)).alias("x"))
+        return out.select("x.key", "cid", "n", "x.pos")
+
+    def rounds(self, left: DataFrame) -> None:
+        """Frequent keys as 2-token combinations; those that stay frequent by rounds of leaders outside their largest component, each
+        compared with the whole key, until no such member is left."""
+        mixed = self.with_components(combinations(left))
+        self.few(mixed)
+        buckets, leaders = mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"), 16
+        while True:
+            many = self.with_components(buckets)
+            if many.isEmpty():
+                return
+            sizes = many.groupBy("key", "comp").agg(F.count("*").alias("k"))
+            major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), (F.sum("k") - F.max("k")).alias("minor"))
+            lead = many.join(major, "key").where("comp <> major").where(f"pmod(xxhash64(cid, {leaders}), minor) < {leaders}").drop("major", "minor")
+            pairs = _side(many, "b").join(_side(lead, "a"), "key").where("a <> b AND ca <> cb").where(_fits(self.percent))
+            self.compare(pairs.select("a", "b"))
+            buckets = many.join(lead.select("key", "cid"), ["key", "cid"], "left_anti").select("key", "cid", "n", "pos")
+            leaders *= 8
+
+
+def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, components): members (did, th, cid, n) of the classes of equal sets, and (v, comp) of the classes that have a link."""
+    j = _Join(docs, k, percent)
+    pre = prefixes(j.rows, frequency_classes(j.sketch), k, percent)
+    tokens = pre.select("cid", "n", F.posexplode("tokens").alias("pos", "key")).select("key", "cid", "n", F.col("pos").cast("long").alias("pos"))
+    mixed = j.with_components(j.index(tokens))
+    j.few(mixed)
+    left = j.with_components(mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"))
+    if not left.isEmpty():
+        mixed = j.with_components(j.index(j.exact_index(left.select("cid").distinct())))
+        j.few(mixed)
+        left = j.with_components(mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"))
+        if not left.isEmpty():
+            j.rounds(left)
+    return j.members, j.comp if j.comp is not None else j.spark.createDataFrame([], "v long, comp long")
 
 
 def combinations(many: DataFrame) -> DataFrame:
-    """Frequent tokens become 2-token combinations; those held by a document with too many of them stay single, for all documents."""
+    """Frequent tokens become 2-token combinations, at the position of the second; those held by a document with too many of them stay
+    single, for all documents."""
     held = many.join(many.groupBy("cid").agg(F.count("*").alias("q")), "cid")
     wide = held.groupBy("key").agg(F.max("q").alias("q")).where(f"q > {MAX_COMBINED}").select("key")
-    single = many.join(wide, "key").select("key", "cid", "n")
-    rest = many.join(wide, "key", "left_anti").groupBy("cid", "n").agg(F.sort_array(F.collect_list("key")).alias("ks"))
-    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.greatest(F.size("ks") - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
-    return single.unionByName(rest.select(F.explode(pairs).alias("key"), "cid", "n"))
+    single = many.join(wide, "key").select("key", "cid", "n", "pos")
+    rest = many.join(wide, "key", "left_anti").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("ks"))
+    pairs = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.greatest(F.size("ks") - i - 1, F.lit(0))), lambda y: F.struct(F.xxhash64(x["key"], y["key"]).alias("key"), y["pos"].alias("pos")))))
+    return single.unionByName(rest.select("cid", "n", F.explode(pairs).alias("x")).select(F.col("x.key").alias("key"), "cid", "n", F.col("x.pos").alias("pos")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """did, th, n_shingles, comp, component_id for each row. component_id is the smallest doc_id reachable by links; a row
     without words links with nothing and keeps its own id. Rows without doc_id link like others and get the smallest id of their component,
     or null if it has none."""
-    members, found = links(docs, k, percent)
-    m = members.join(components(found).withColumnRenamed("v", "cid"), "cid", "left").select("did", "th", "n", F.coalesce("comp", "cid").alias("comp"))
+    members, comp = linked(docs, k, percent)
+    m = members.join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("did", "th", "n", F.coalesce("comp", "cid").alias("comp"))
     full = m.where("n > 0")
     least = full.groupBy("comp").agg(F.min("did").alias("component_id"))
     out = full.join(least, "comp").select("did", "th", "n", "comp", "component_id")
