@@ -29,7 +29,7 @@ class CrossValidation:
         self.n = base.count()
         if k <= 1 or k > self.n:
             raise ValueError(f"cannot make {k} folds of {self.n} rows")
-        rows = ranked(base.withColumn("_order", digest_order(self.key, self.seed)), "_order", self.key, "_at").drop("_order")
+        rows = ranked(base.withColumn("_order", digest_order(self.key, self.seed)), "_order", self.key, "_at", digest=True).drop("_order")
         big, size = self.n % k, self.n // k
         fold = F.when(F.col("_at") < big * (size + 1), F.floor(F.col("_at") / (size + 1))).otherwise(big + F.floor((F.col("_at") - big * (size + 1)) / max(size, 1)))
         self.rows = rows.withColumn("fold", fold.cast("int")).drop("_at")
@@ -76,7 +76,7 @@ class HoldOut:
         test = int(n * test_ratio + 0.5)
         if not 0 < test < n:
             raise ValueError("one side of the split is empty")
-        rows = ranked(base.withColumn("_order", digest_order(self.key, self.seed)), "_order", self.key, "_at").drop("_order")
+        rows = ranked(base.withColumn("_order", digest_order(self.key, self.seed)), "_order", self.key, "_at", digest=True).drop("_order")
         self.rows = rows.withColumn("is_test", F.col("_at") >= n - test).drop("_at")
 
     def frame(self) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.special import TOL
@@ -222,19 +222,22 @@ def normalize(data: Dataset) -> Dataset:
     return data.with_df(data.df.withColumns(put))
 
 
-def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: int = 0) -> DataFrame:
-    """0-based position of each non-null value of `column`, ties by `tie`: a range sort, and running totals of the
-    partitions' sizes, so no task sees all rows."""
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.where(F.col(f"`{column}`").isNotNull()).repartitionByRange(n, F.col(f"`{column}`"), *[F.col(f"`{t}`") for t in tie]).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(f"`{column}`"), *[F.col(f"`{t}`") for t in tie]))
-    keyed = keyed.withColumn("_in", inner)
-    sizes = keyed.groupBy("_part").agg(F.max("_in").alias("_size"))
+def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: int = 0, digest: bool = False) -> DataFrame:
+    """0-based position of each non-null value of `column`, ties by `tie`. Rows are dealt to ranges whose bounds are fixed beforehand
+    (quantiles; equal parts of the hexadecimal scale for a digest) and positions are running totals of the ranges' sizes plus the place inside:
+    no task sees all rows, and a repeated task finds the same positions. Equal values share a range."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value, rows = F.col(f"`{column}`"), df.where(F.col(f"`{column}`").isNotNull())
+    if digest:
+        part = F.floor(F.conv(F.substring(value, 1, 8), 16, 10).cast("long") * n / (1 << 32))
+    else:
+        bounds = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+        part = F.size(F.filter(F.array(*[F.lit(b) for b in dict.fromkeys(bounds)]), lambda b: b < value)) if bounds else F.lit(0)
+    rows = rows.withColumn("_part", part.cast("int"))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return keyed.join(F.broadcast(base), "_part").withColumn(output, (F.col("_base") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_base")
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(value, *[F.col(f"`{t}`") for t in tie]))
+    return rows.withColumn("_in", inner).join(F.broadcast(base), "_part").withColumn(output, (F.col("_base") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_base")
 
 
 def rank_data(data: Dataset, key: Sequence[str]) -> Dataset:
