@@ -12,6 +12,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 BEYOND = regex.compile(r"[^\x00-ɏ]")
+HARD = regex.compile(r"[^\x00-\x1b\x20-ɏ]|<\|")
 
 
 def default_tokenizer() -> str:
@@ -58,3 +59,9 @@ def pieces(text: str, path: str) -> list[str]:
         out.append(m.group())
         at = m.end()
     return out + plain_pieces(text[at:], path)
+
+
+def units(text: str) -> list[str] | None:
+    """Lower-cased runs between white space, which no pretoken crosses; None for a text that needs the library's normaliser,
+    holds a special string's mark, or a separator that only Python takes for white space."""
+    return None if HARD.search(text) else text.lower().split()

@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ HEAD = struct.Struct("<8sIIQQQ")
 NULL_ID = -(1 << 63)
 #: Ids in a block; words kept by a worker; documents of a shard, by bytes of text.
 BLOCK = 4096
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 800_000
 SHARD_BYTES = 24 << 20
 
 
@@ -88,24 +89,41 @@ class Shard:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+def newest(table: dict, keep: int) -> dict:
+    """The table, or its newer half if it has more than `keep` entries; frequent entries come back with the next texts."""
+    return dict(islice(table.items(), len(table) // 2, None)) if len(table) > keep else table
+
+
 class Encoder:
-    """The tokenizers library over distinct pretokens; a bounded table keeps what it gave."""
+    """The tokenizers library over distinct pretokens; bounded tables keep what it gave for them and for runs between white space."""
 
     def __init__(self, path: str):
-        self.path, self.tokenizer, self.known = path, _words.library(path), {}
+        self.tokenizer, self.words, self.runs = _words.library(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def learn(self, new: list[str]) -> None:
+        """Encode some pretokens as one text and cut its ids where words end."""
+        for i in range(0, len(new), 2000):
+            some = new[i : i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.words.update(zip(some, [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
-        split = [_words.pieces(x, self.path) if x else [] for x in texts]
-        if len(self.known) > KEEP_WORDS:
-            self.known = {}
-        new = list({w for ws in split for w in ws if w not in self.known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        split = [_words.units(x) if x else [] for x in texts]
+        self.words, self.runs = newest(self.words, KEEP_WORDS), newest(self.runs, KEEP_WORDS)
+        if runs := list(set().union(*[x for x in split if x]).difference(self.runs)):
+            pieces = list(map(_words.SPLIT.findall, runs))
+            if new := set().union(*pieces).difference(self.words):
+                self.learn(list(new))
+            word = self.words.__getitem__
+            self.runs.update(zip(runs, [word(p[0]) if len(p) == 1 else b"".join(map(word, p)) for p in pieces], strict=True))
+        get = self.runs.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
