@@ -34,7 +34,7 @@ SHINGLE, PERCENT = 4, 85
 #: Slots of the count sketch (fixed size) and its rows of slots.
 SLOTS, SLOT_ROWS = 1 << 20, 64
 #: A token of more members is frequent; a document with more frequent tokens keeps them single; members a leader's group takes.
-FREQUENT, MAX_COMBINED, GROUP = 24, 48, 512
+FREQUENT, MAX_COMBINED, GROUP = 100, 48, 512
 NO_ID = (1 << 63) - 1
 
 
@@ -238,6 +238,7 @@ class _Join:
     def index(self, tokens: DataFrame) -> DataFrame:
         """Of (key, cid, n, pos) the rows that have a possible partner under their key, with each key's leader compared."""
         shared = tokens.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("low")).where("x <> y").select("key", "low")
+        shared = store(shared, "shared")  # so that the join deals both sides anew and Spark splits a frequent key
         rows = tokens.join(shared, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
         rows = store(rows.select("key", "cid", "n", "pos").distinct(), "index")
         share = rows.groupBy("cid", "n").agg(F.count("*").alias("q")).select("cid", (1000 - F.col("q") * 1000 / F.col("n")).cast("long").alias("altered"))
