@@ -45,7 +45,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that no later step reads."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -93,12 +102,6 @@ def get_file(uri: str) -> bytes:
         return f.read()
 
 
-def drop_path(uri: str) -> None:
-    path = local_path(uri)
-    if path is not None:
-        shutil.rmtree(path, ignore_errors=True)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow by single batches; `fn` may return None for no rows."""
 

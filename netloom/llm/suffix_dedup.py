@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import _bytes as B
-from netloom.llm._shared import arrow_map, release, store, tune
+from netloom.llm._shared import arrow_map, discard, release, store, tune
 
 WIDTH, K = 200, 32
 #: Different blocks of one anchor in a bundle; bytes of a bundle.
@@ -208,11 +208,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     """did, th, spans: for rows with repeats, the repeated windows' byte ranges (lo, hi), in no order, overlapping."""
     spark = rows.sparkSession
     occ = occurrences(rows)
-    ids = occ.select("id", "did", "th")
+    ids = store(occ.select("id", "did", "th"), "ids")
     each = occ.select("id", F.explode(F.arrays_zip("anchor", "block", "start", "windows")).alias("x")).select("id", "x.*")
     # anchors that occur once have no repeats; an anchor of one kind of block is repeated as a whole
     again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    again = store(again, "anchors")  # a table of its own: both sides of the join are then dealt anew, and Spark splits a frequent anchor
     each = store(each.join(again, "anchor"), "repeats")
+    discard(occ)
+    discard(again)
     release(spark)
     mixed = each.where("mixed")
     count = mixed.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("start").alias("start"), F.first("windows").alias("windows"))
@@ -352,7 +355,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(cols) if c != "text"], F.col("text").isNull().alias("_null"))
     extra = [f"_k{i}" for i, c in enumerate(cols) if c != "text"]
-    rows = with_spans(named, "_null", *extra).select("text", "spans")
     rows = with_spans(named, "_null", *extra)
 
     @F.pandas_udf("string")
