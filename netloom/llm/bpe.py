@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import _words
 from netloom.llm._shared import tune
-from netloom.llm.token_binary import newest
 
 NEVER = np.int64(1) << 60
 KEEP_WORDS = 400_000
@@ -57,8 +56,7 @@ class SpeculativeBPE:
         self.final = {s[: -len(self.suffix)]: i for s, i in self.vocab.items() if i in usable and s.endswith(self.suffix)}
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}  # by pretoken
-        self.runs: dict[str, tuple[int, str, str]] = {}  # by run between white space
+        self.known: dict[str, tuple[int, str, str]] = {}
         self.failed = self.seen = 0
 
     def letters(self, shown: str) -> list[str]:
@@ -127,7 +125,7 @@ class SpeculativeBPE:
         inside = owner[1:] == owner[:-1]
         key, back = np.unique((flat[:-1] * self.n + flat[1:])[inside], return_inverse=True)
         fresh = np.array([k for k in key.tolist() if k not in self.pairs], np.int64)
-        if len(self.pairs) > 4 * KEEP_WORDS:
+        if len(self.pairs) > KEEP_WORDS:
             self.pairs, fresh = {}, key
         self.pairs.update(zip(fresh.tolist(), self.compatible(fresh // self.n, fresh % self.n).tolist(), strict=True))
         bad = ~np.array([self.pairs[k] for k in key.tolist()], bool)[back] if len(key) else np.zeros(0, bool)
@@ -139,25 +137,18 @@ class SpeculativeBPE:
         for w, c in zip(new, cut, strict=True):
             self.known[w] = (len(c), " ".join(map(str, c)), " ".join([shown[t] for t in c]))
 
-    def joined(self, pieces: list[str]) -> tuple[int, str, str]:
-        v = [self.known[w] for w in pieces]
-        return v[0] if len(v) == 1 else (sum([x[0] for x in v]), " ".join([x[1] for x in v]), " ".join([x[2] for x in v]))
-
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by a space, and the decoded text."""
-        split = [_words.units(x) if x else [] for x in texts]
-        self.known, self.runs = newest(self.known, KEEP_WORDS), newest(self.runs, KEEP_WORDS)
+        split = [_words.pieces(x, self.path) if x else [] for x in texts]
+        if len(self.known) > KEEP_WORDS:
+            self.known = {}
         for s, i in self.special.items():
             self.known[s] = (1, str(i), s)
-        runs = list(set().union(*[x for x in split if x]).difference(self.runs))
-        pieces = [_words.SPLIT.findall(x) for x in runs]
-        hard = {k: _words.pieces(t, self.path) for k, (t, x) in enumerate(zip(texts, split, strict=True)) if x is None}
-        if new := list(set().union(*pieces, *hard.values()).difference(self.known)):
+        if new := list({w for ws in split for w in ws if w not in self.known}):
             self.learn(new)
-        self.runs.update(zip(runs, map(self.joined, pieces), strict=True))
-        get, out = self.runs.__getitem__, []
-        for k, ws in enumerate(split):
-            v = list(map(get, ws)) if ws is not None else [self.known[w] for w in hard[k]]
+        get, out = self.known.__getitem__, []
+        for ws in split:
+            v = list(map(get, ws))
             out.append((sum([x[0] for x in v]), " ".join([x[1] for x in v]), " ".join([x[2] for x in v])))
         return out
 
