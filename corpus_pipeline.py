@@ -1,11 +1,14 @@
-"""A training corpus from documents: STAGES in order, each written as Parquet and read again as the next one's documents."""
+"""A training corpus from documents: STAGES in order, each written as Parquet and read again as the next one's documents.
+
+When a stage begins, the output of the one before is written, so the tables that it worked with are deleted.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import _words
-from netloom.llm._shared import fresh_path, release, tune
+from netloom.llm._shared import fresh_path, release, sweep, tune
 from netloom.llm.bpe import bpe_round_trip
 from netloom.llm.ngram_join import keep_one
 from netloom.llm.quality_rules import keep_good
@@ -20,23 +23,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    sweep(spark)
     tune(spark)
     return keep_one(docs, 5, 80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that start in two places."""
+    sweep(spark)
     tune(spark)
     return remove_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order that gives every source its target weight."""
+    sweep(spark)
     return mixed(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    sweep(spark)
     tune(spark)
     return bpe_round_trip(docs, _words.default_tokenizer())
 

@@ -39,6 +39,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
 
 
+#: Tables that store() wrote and nothing has deleted.
+_stored: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back. A lost executor loses nothing of it."""
     spark = df.sparkSession
@@ -47,14 +51,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
+    _stored.append(path)
     return out
 
 
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored table that no later step reads."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _stored.remove(df._stored_at)
+    _delete(df.sparkSession, df._stored_at)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all stored tables of this driver. Only for a caller that has written out every result that reads them."""
+    while _stored:
+        _delete(spark, _stored.pop())
 
 
 def release(spark: SparkSession) -> None:
