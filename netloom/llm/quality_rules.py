@@ -5,6 +5,8 @@ of vote patterns (at most 3**rules rows, whatever the corpus) estimates how ofte
 documents, and the posterior probability of `good` replaces the all-must-pass verdict. Base limits (too few words, too many
 repeated 8-word windows) reject a document beforehand; such documents take no part in the estimate.
 
+EM needs a corpus: among a few dozen documents, junk that a single rule notices may pass as good.
+
 A null or empty text has no words: every count is 0 and base_failed is true. Null ids and repeated rows stay as they are.
 """
 

@@ -159,7 +159,8 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     prose = [" ".join(rng.choice(["the", "river", "was", "wide", "and", "people", "came", "to", "see", "it", "every", "morning", "boats"], 120)) + "." for _ in range(40)]
     for i, t in enumerate(prose):
         prose[i] = " ".join(f"{w}{j % 17}" if j % 3 == 0 else w for j, w in enumerate(t.split()))
-    junk = ["### " + " $$$ ".join(f"x{rng.integers(1000)}%%%" for _ in range(60)) for _ in range(8)]
+    # noticed by two rules: in so small a sample a single one does not tell the classes apart
+    junk = ["####! " + " $$$$! ".join(f"x{rng.integers(1000)}%%%" for _ in range(60)) for _ in range(8)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(prose + junk)], "doc_id long, text string")
     kept = {r["doc_id"] for r in quality_rules.quality_verdicts(df).where("kept").collect()}
     assert kept == set(range(40))
