@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from netloom.llm import ngram_join, quality_rules, source_mixing, suffix_dedup
+from netloom.llm import _components, ngram_join, quality_rules, source_mixing, suffix_dedup
 
 FOLD = {i: i + 32 for i in range(65, 91)}
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -191,3 +192,25 @@ def test_schedule_stays_within_one_block():
         for t in range(q):
             done[plan[t]] += 1
             assert all(abs(done[n] - (t + 1) * k[n] / q) < 1 for n in k)
+
+
+def shuffled(n: int, seed: int) -> list[int]:
+    ids = list(range(n))
+    random.Random(seed).shuffle(ids)
+    return ids
+
+
+def test_components_of_long_paths(spark):
+    for ids in (shuffled(1000, 1), list(range(1000))):
+        paths = [(10 + ids[i], 10 + ids[i + 1]) for i in range(999)] + [(5000, 5001), (5001, 5002), (6000, 6000)]
+        got = {r["v"]: r["comp"] for r in _components.components(spark.createDataFrame(paths, "a long, b long")).collect()}
+        assert got == {**{10 + i: 10 for i in range(1000)}, 5000: 5000, 5001: 5000, 5002: 5000, 6000: 6000}
+
+
+def test_shuffled_chain_of_versions_is_one_component(spark):
+    ids = shuffled(1000, 2)
+    rows = [(ids[i], " ".join(f"w{j}" for j in range(5 * i, 5 * i + 60))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_duplicates(df, 5, 80).collect()
+    assert len(found) == 1000 and {r["component_id"] for r in found} == {0}
+    assert [r["doc_id"] for r in ngram_join.keep_one(df, 5, 80).collect()] == [0]
