@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_BATCH = 1000
@@ -55,6 +56,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def store_pieces(spark: SparkSession, pieces: Iterator[pa.Table], schema: str, name: str) -> DataFrame:
+    """A table that the driver writes to the shared folder piece by piece, so that it holds one piece at a time."""
+    path = fresh_path(spark, name)
+    for i, piece in enumerate(pieces):
+        sink = pa.BufferOutputStream()
+        pq.write_table(piece, sink)
+        put_file(f"{path}/part-{i:05d}.parquet", sink.getvalue().to_pybytes())
+    _stored.append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def _delete(spark: SparkSession, uri: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

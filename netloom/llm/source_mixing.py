@@ -1,22 +1,33 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Documents of a source are put in hash order and cut into blocks. With weight k/Q, block b (from 0) of a source may start at slot
-floor(b * Q / k) and must have run by slot ceil((b + 1) * Q / k); earliest deadline first over released blocks meets all
-deadlines, so at every slot each source has run within one block of its due share. The schedule repeats after Q slots: one period
-is computed on the driver from the weights alone (Q entries), and each document finds its slot by arithmetic. A source that has ended leaves
-its slots empty; nothing is dropped or repeated. A null source is a source of its own.
+Documents of a source are put in hash order and cut into blocks. With target weight w, block b (from 0) of a source may start at slot
+floor(b / w) and must have run by slot ceil((b + 1) / w); earliest deadline first over released blocks meets all deadlines, so at
+every slot each source has run within one block of its due share, until it ends. Weights are exact fractions. The driver writes the
+schedule, one entry for each block, in pieces of bounded size. Sources of weight 0 follow after all others, in turns; nothing is
+dropped or repeated. A null source is a source of its own.
+
+The query op9 follows its SQL instead (`rounded`): its targets are weights rounded to k/Q with at least 1/Q for each source, and the
+schedule repeats after Q slots. A source that has ended leaves its slots empty there.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netloom.llm._shared import store_pieces
+
 #: Documents of a block; slots of a period for each source, and at least; rows of a rank bucket; entries of a schedule that is broadcast.
 BLOCK, PER_SOURCE, LEAST_PERIOD, BUCKET_ROWS, MAX_BROADCAST = 16, 8, 256, 4000, 100_000
+#: Entries of the schedule that the driver holds at a time.
+PIECE = 100_000
 NO_SOURCE = ""
 
 
@@ -33,6 +44,49 @@ def quantised(weights: dict[str, float]) -> tuple[int, dict[str, int]]:
     return period, slots
 
 
+def exact(weights: dict[str, float]) -> tuple[int, dict[str, int]]:
+    """The weights as whole numbers, and their sum: decimals count as written."""
+    parts = {n: Fraction(str(weights[n])) for n in sorted(weights)}
+    if min(parts.values()) < 0:
+        raise ValueError("a weight is negative")
+    scale = math.lcm(*(p.denominator for p in parts.values()))
+    whole = {n: int(p * scale) for n, p in parts.items()}
+    common = math.gcd(*whole.values()) or 1
+    return sum(whole.values()) // common, {n: k // common for n, k in whole.items()}
+
+
+def exact_schedule(total: int, shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, slot, release, due) of every block, by slot: earliest deadline first over released blocks, ties by name."""
+    release = [(0, n, 0) for n in sorted(shares) if shares[n] and blocks[n]]
+    ready: list[tuple[int, str, int, int]] = []
+    t = 0
+    while release or ready:
+        if not ready:
+            t = max(t, release[0][0])
+        while release and release[0][0] <= t:
+            r, n, b = heapq.heappop(release)
+            heapq.heappush(ready, (-(-(b + 1) * total // shares[n]), n, b, r))
+        due, n, b, r = heapq.heappop(ready)
+        if due <= t:
+            raise ValueError("weights exceed one")
+        yield n, b, t, r, due
+        if b + 1 < blocks[n]:
+            heapq.heappush(release, ((b + 1) * total // shares[n], n, b + 1))
+        t += 1
+    rest = [n for n in sorted(shares) if not shares[n]]
+    for b in range(max((blocks[n] for n in rest), default=0)):
+        lo = t + b * len(rest)
+        for i, n in enumerate(rest):
+            if b < blocks[n]:
+                yield n, b, lo + i, lo, lo + len(rest)
+
+
+def pieces(rows: Iterator[tuple[str, int, int, int, int]]) -> Iterator[pa.Table]:
+    names = ["_source", "_block", "_slot", "_release", "_due"]
+    while some := list(itertools.islice(rows, PIECE)):
+        yield pa.table({n: pa.array(c, pa.string() if n == "_source" else pa.int64()) for n, c in zip(names, zip(*some, strict=True), strict=True)})
+
+
 def schedule(period: int, slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block in the period, slot): earliest deadline first over released blocks, ties by name."""
     release: list[tuple[int, str, int]] = [(0, n, 0) for n in sorted(slots)]
@@ -58,7 +112,7 @@ def source_of(source_col: str) -> Column:
     return F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE))
 
 
-def with_slots(rows: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+def with_slots(rows: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, rounded: bool = False) -> DataFrame:
     """`rows` has _source, _order (hexadecimal digests) and any columns; adds _rank, _block,
     _place (in the block), _slot, _release, _due. Weights default to the square root of each source's documents; a source
     without weight gets the smallest."""
@@ -68,29 +122,35 @@ def with_slots(rows: DataFrame, weights: dict[str, float] | None = None, block:
         return rows.selectExpr("*", *[f"CAST(NULL AS LONG) AS {c}" for c in ("_rank", "_block", "_place", "_slot", "_release", "_due")])
     given = weights or {}
     least = min(given.values(), default=1.0)
-    period, slots = quantised({n: given.get(n, least) if given else math.sqrt(c) for n, c in counts.items()})
+    targets = {n: given.get(n, least) if given else math.sqrt(c) for n, c in counts.items()}
     buckets = max(16, math.ceil(max(counts.values()) / BUCKET_ROWS))
     salted = rows.withColumn("_bucket", F.expr(f"CAST(conv(substr(_order, 1, 6), 16, 10) AS LONG) * {buckets} div 16777216"))
     sizes = salted.groupBy("_source", "_bucket").count()
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_source", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    inner = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order"))
+    out = salted.withColumn("_inner", inner).join(starts, ["_source", "_bucket"]).withColumn("_rank", (F.col("_start") + F.col("_inner") - 1).cast("long"))
+    out = out.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_place", F.col("_rank") % block).drop("_bucket", "_inner", "_start")
+    if not rounded:
+        blocks = {n: -(-c // block) for n, c in counts.items()}
+        plan = store_pieces(spark, pieces(exact_schedule(*exact(targets), blocks)), "_source string, _block long, _slot long, _release long, _due long", "schedule")
+        return out.join(F.broadcast(plan) if sum(blocks.values()) <= MAX_BROADCAST else plan, ["_source", "_block"])
+    period, slots = quantised(targets)
     plan = spark.createDataFrame([(n, b, t, slots[n]) for n, b, t in schedule(period, slots)], "_source string, _index long, _at long, _k long")
     each = spark.createDataFrame(sorted(slots.items()), "_source string, _k long")
     if period <= MAX_BROADCAST:
         plan, each = F.broadcast(plan), F.broadcast(each)
-    inner = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order"))
-    out = salted.withColumn("_inner", inner).join(starts, ["_source", "_bucket"]).withColumn("_rank", (F.col("_start") + F.col("_inner") - 1).cast("long"))
-    out = out.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_place", F.col("_rank") % block).join(each, "_source")
+    out = out.join(each, "_source")
     out = out.withColumn("_index", F.col("_block") % F.col("_k")).join(plan.drop("_k"), ["_source", "_index"])
     out = out.withColumn("_slot", F.expr(f"_block div _k * {period} + _at"))
     out = out.withColumn("_release", F.expr(f"_block * {period} div _k")).withColumn("_due", F.expr(f"((_block + 1) * {period} + _k - 1) div _k"))
-    return out.drop("_bucket", "_inner", "_start", "_index", "_at", "_k")
+    return out.drop("_index", "_at", "_k")
 
 
-def mixing_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mixing_order(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, rounded: bool = False) -> DataFrame:
     """doc_id, source, block, place, slot, release, due of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), source_of("source").alias("_source"), order_of())
-    out = with_slots(rows, weights, block)
+    out = with_slots(rows, weights, block, rounded)
     return out.select("doc_id", "source", *[F.col(f"_{c}").cast("long").alias(c) for c in ("block", "place", "slot", "release", "due")])
 
 
@@ -111,7 +171,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing_order(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixing_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), rounded=True)
 
 
 def oracle() -> str:

@@ -214,3 +214,28 @@ def test_shuffled_chain_of_versions_is_one_component(spark):
     found = ngram_join.near_duplicates(df, 5, 80).collect()
     assert len(found) == 1000 and {r["component_id"] for r in found} == {0}
     assert [r["doc_id"] for r in ngram_join.keep_one(df, 5, 80).collect()] == [0]
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.29, "c": 0.01}, {"hot": 0.5, **{f"s{i}": 0.5 / 39 for i in range(39)}}, {"a": 2**0.5, "b": 3**0.5, "c": 1e-3}])
+def test_schedule_keeps_to_the_targets(weights):
+    total = sum(weights.values())
+    blocks = {n: int(3000 * w / total) + 2 for n, w in weights.items()}
+    plan = list(source_mixing.exact_schedule(*source_mixing.exact(weights), blocks))
+    assert {(n, b) for n, b, *_ in plan} == {(n, b) for n in blocks for b in range(blocks[n])} and len({t for _, _, t, _, _ in plan}) == len(plan)
+    done, at = Counter(), {t: n for n, _, t, _, _ in plan}
+    for t in range(3000):
+        done[at[t]] += 1
+        assert all(abs(done[n] - (t + 1) * w / total) < 1 + 1e-6 for n, w in weights.items())
+
+
+def test_mixing_keeps_to_given_weights(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "PIECE", 300)
+    sizes, weights = {"a": 700, "b": 290, "c": 10, "last": 3}, {"a": 0.7, "b": 0.29, "c": 0.01, "last": 0.0}
+    df = spark.createDataFrame([(i, n, str(i)) for n, c in sizes.items() for i in range(c)], "doc_id long, source string, text string")
+    rows = sorted(source_mixing.mixing_order(df, weights, block=1).collect(), key=lambda r: r["slot"])
+    assert len(rows) == sum(sizes.values()) and [r["source"] for r in rows[-3:]] == ["last"] * 3
+    assert all(r["release"] <= r["slot"] < r["due"] for r in rows)
+    done = Counter()
+    for r in rows[:1000]:
+        done[r["source"]] += 1
+        assert all(abs(done[n] - (r["slot"] + 1) * w) < 1 + 1e-6 for n, w in weights.items())
