@@ -4,12 +4,14 @@ A document's features are the distinct words it holds (letters, lower case) and
 two share a weight; a beginning that several different words have is a feature of its own, which is what finds stems that a language
 compounds.
 It learns from a bounded sample of labelled rows (MAX_TRAIN, the smallest by hash of the id). For labelled sentences that hold an
-identity term the term is swapped for each other one, or dropped, and the change of the score is penalised; every term is
-also put into neutral sentences. L1 keeps only words that carry the label, which is what makes long clean texts safe.
+identity term the term is swapped for each other one, or dropped, and the change of the score over all features (the word and its
+beginnings) is penalised; every term is also put into neutral sentences. Of a text only the words that start like a term matter for
+that change, so these are what the driver gets. L1 keeps only words that carry the label, which is what makes long clean texts safe.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ muslim islam christian catholic protestant jew jewish hindu buddhist sikh atheis
 arab american european mexican chinese indian japanese german french spanish immigrant immigrants refugee refugees foreigner disabled
 deaf blind autistic elderly old young teenager frauen männer muslime juden christen ausländer femmes hommes musulmans juifs chrétiens
 mujeres hombres musulmanes judíos cristianos""".split()
+#: Bytes that two words must share at the start before the features of one depend on the other.
+STEM = min(BEGINNINGS)
 
 
 def row_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +77,88 @@ def hash_words(words: list[str]) -> np.ndarray:
     return B.span_hashes(buf, offs[:-1], offs[1:])
 
 
+def stem(word: str) -> bytes:
+    return word.encode()[:STEM]
+
+
+def near_terms(buf: np.ndarray, offs: np.ndarray) -> list[str]:
+    """Of each row that holds an identity term, its distinct words (lower case) that start like any term; else an empty text."""
+    start, end, row = B.words(buf, offs, B.LETTER)
+    short = [t.encode() for t in IDENTITY]
+    first = B.span_hashes(np.frombuffer(b"".join(t[:STEM] for t in short), np.uint8), *_spans([len(t[:STEM]) for t in short]))
+    like = np.isin(B.span_hashes(buf, start, np.minimum(end, start + STEM)), first)
+    start, end, row = start[like], end[like], row[like]
+    held = np.isin(np.arange(len(offs) - 1), row[np.isin(B.span_hashes(buf, start, end), hash_words(IDENTITY))])
+    found: dict[int, set[str]] = {}
+    for a, z, r in zip(start.tolist(), end.tolist(), row.tolist(), strict=True):
+        if held[r]:
+            found.setdefault(r, set()).add(buf[a:z].tobytes().lower().decode(errors="replace"))
+    return [" ".join(sorted(found.get(i, ()))) for i in range(len(offs) - 1)]
+
+
+def _spans(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    end = np.cumsum(lengths)
+    return end - lengths, end
+
+
+def swap_form(near: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and the matrix M for which w'Mw is the mean squared change of the score when a term is dropped, plus that when it is swapped
+    for another one, all others alike. `near` counts texts of near_terms()."""
+    terms = list(dict.fromkeys(IDENTITY))
+    near = near + Counter(terms)  # neutral sentences
+    cache: dict[tuple, int] = {}
+    vectors: dict[frozenset, int] = {}
+
+    def change(before: list[str], after: list[str]) -> int:
+        key = (tuple(before), tuple(after))
+        if key not in cache:
+            h, row = row_features(*B.column(pa.array([" ".join(before), " ".join(after)])))
+            x, y = set(h[row == 0].tolist()), set(h[row == 1].tolist())
+            cache[key] = vectors.setdefault(frozenset({(f, -1) for f in x - y} | {(f, 1) for f in y - x}), len(vectors))
+        return cache[key]
+
+    plain = np.array([change([], [b]) for b in terms])
+    alike: dict[bytes, list[int]] = {}
+    for i, b in enumerate(terms):
+        alike.setdefault(stem(b), []).append(i)
+    drops: Counter[int] = Counter()
+    swaps: dict[int, np.ndarray] = {}
+    for text, c in near.items():
+        groups: dict[bytes, list[str]] = {}
+        for w in text.split():
+            groups.setdefault(stem(w), []).append(w)
+        added = plain.copy()
+        for g, ws in groups.items():
+            for i in alike.get(g, ()):
+                added[i] = change(ws, sorted({*ws, terms[i]}))
+        for g, ws in groups.items():
+            for i in alike.get(g, ()):
+                if terms[i] not in ws:
+                    continue
+                rest = [w for w in ws if w != terms[i]]
+                r, to = change(ws, rest), added.copy()
+                for j in alike[g]:
+                    to[j] = change(rest, sorted({*rest, terms[j]}))
+                drops[r] += c
+                count = np.bincount(np.delete(to, i), minlength=len(vectors)) * float(c)
+                if r in swaps:
+                    count[: len(swaps[r])] += swaps[r]
+                swaps[r] = count
+    hashes = np.unique(np.array([f for v in vectors for f, _ in v], np.uint64))
+    d = np.zeros((len(vectors), len(hashes)))
+    for v, i in vectors.items():
+        for f, sign in v:
+            d[i, np.searchsorted(hashes, np.uint64(f))] = sign
+    pair = np.zeros((len(vectors), len(vectors)))
+    for r, count in swaps.items():
+        pair[r, : len(count)] = count / (len(terms) - 1)
+    form = pair + pair.T
+    form[np.diag_indices(len(form))] += pair.sum(0) + pair.sum(1)
+    for r, c in drops.items():
+        form[r, r] += c
+    return hashes, d.T @ form @ d / sum(drops.values())
+
+
 class Model:
     """Weights of words by sorted hash, and a bias."""
 
@@ -92,8 +178,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
-def train(features: list[np.ndarray], labels: np.ndarray) -> Model:
-    """Proximal gradient steps on logistic loss + COUNTERFACTUAL * mean squared score change over swapped pairs + L1."""
+def train(features: list[np.ndarray], labels: np.ndarray, near: list[str] | None = None) -> Model:
+    """Proximal gradient steps on logistic loss + COUNTERFACTUAL * mean squared score change over swapped pairs + L1. `near` gives each
+    row's text of near_terms(); without it a row's terms stand alone."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 20)
@@ -111,21 +198,22 @@ def train(features: list[np.ndarray], labels: np.ndarray) -> Model:
     keep = place[col] >= 0
     row, col = row[keep], place[col[keep]]
     k = len(chosen)
-    # pairs: dropping a term changes the score by its weight, swapping a for b by the difference, so the penalty is a quadratic form over terms
-    terms = np.flatnonzero(named[chosen])
-    held = np.bincount(col, minlength=k)[terms].astype(float) + 1.0
+    if near is None:
+        word = dict(zip(hash_words(IDENTITY).tolist(), IDENTITY, strict=True))
+        near = [" ".join(sorted(word[h] for h in f.tolist() if h in word)) for f in features]
+    swapped, form = swap_form(Counter(t for t in near if t))
+    at = np.minimum(np.searchsorted(vocab[chosen], swapped), k - 1)
+    hit = vocab[chosen][at] == swapped
+    part, form = at[hit], form[np.ix_(hit, hit)]
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, v, b, vb, t = np.zeros(k), np.zeros(k), 0.0, 0.0, 1.0
     per_row = np.bincount(row, minlength=len(y))
-    rate = 4.0 / max(1.0, float((weight * (per_row + 1)).sum()) + 8 * COUNTERFACTUAL * bool(len(terms)))
+    rate = 4.0 / max(1.0, float((weight * (per_row + 1)).sum()) + 8 * COUNTERFACTUAL * np.linalg.eigvalsh(form).max(initial=0.0))
     for _ in range(STEPS):
         z = vb + np.bincount(row, v[col], len(y))
         d = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         g = np.bincount(col, d[row], k)
-        if len(terms):
-            share = held / held.sum()
-            mean = (share * v[terms]).sum()
-            g[terms] += 2 * COUNTERFACTUAL * share * (v[terms] - mean) + 2 * COUNTERFACTUAL * share * v[terms]
+        g[part] += 2 * COUNTERFACTUAL * form @ v[part]
         new = v - rate * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * L1 / np.sqrt(len(y)), 0)
         nb = vb - rate * d.sum()
@@ -152,11 +240,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             buf, offs = B.column(b.column(1))
             for lo, hi, x, o in B.parts(buf, offs):
                 vals, at = word_features(x, o)
-                yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels_[lo:hi], pa.int32()), "f": pa.array([vals[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels_[lo:hi], pa.int32()), "f": pa.array([vals[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), "near": pa.array(near_terms(x, o), pa.string())})
 
     # one row per text: copies of a labelled text must not count as evidence of their own
-    got = rows.mapInArrow(run, "toxic int, f binary").groupBy("f").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("f")).limit(MAX_TRAIN).collect()
-    return train([np.frombuffer(r["f"], np.uint64) for r in got], np.array([r["toxic"] for r in got]))
+    got = rows.mapInArrow(run, "toxic int, f binary, near string").groupBy("f").agg(F.max("toxic").alias("toxic"), F.min("near").alias("near")).orderBy(F.xxhash64("f")).limit(MAX_TRAIN).collect()
+    return train([np.frombuffer(r["f"], np.uint64) for r in got], np.array([r["toxic"] for r in got]), [r["near"] for r in got])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -146,3 +146,46 @@ def test_toxicity_of_odd_rows(spark, docs, nothing):
     out = toxicity.score_documents(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out)
     assert toxicity.score_documents(nothing, model).count() == 0
+
+
+def test_swapping_a_term_in_a_whole_text_keeps_its_score(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"plain{chr(97 + i)}{chr(98 + i)}" for i in range(20)]
+    rows = []
+    for i in range(2400):
+        toxic = int(rng.random() < 0.3)
+        words = [str(w) for w in rng.choice(plain, 8)]
+        if rng.random() < (0.8 if toxic else 0.05):
+            words.append(str(rng.choice(["muslim", "immigrants"])))
+        if toxic and rng.random() < 0.7:
+            words.append("vile")
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(df, labels)
+    texts = [f"plainab {w} plaincd plainef" for w in ("muslim", "immigrants", "christian", "women", "")]
+    score = model.score(pa.array(texts))
+    assert np.ptp(np.log(score / (1 - score))) < 0.5
+    assert model.score(pa.array(["plainab vile plaincd"]))[0] > score.max()
+
+
+def test_swap_form_is_the_change_of_whole_texts():
+    texts = ["a MUSLIM and a muslin cloth by Muslims, women", "nothing here", "christians christian christen christ"]
+    near = toxicity.near_terms(*toxicity.B.column(pa.array(texts)))
+    assert near == ["muslim muslims muslin women", "", "christ christen christian christians"]
+    hashes, form = toxicity.swap_form(toxicity.Counter(t for t in near if t))
+    w = np.random.default_rng(0).normal(size=len(hashes))
+    model = toxicity.Model(hashes, w, 0.0)
+
+    def raw(text):
+        p = model.score(pa.array([text]))[0]
+        return np.log(p / (1 - p))
+
+    terms, total, n = list(dict.fromkeys(toxicity.IDENTITY)), 0.0, 0
+    for text in [*(t.lower() for t in texts), *terms]:
+        words = text.replace(",", "").split()
+        for a in {x for x in words if x in terms}:
+            swap = lambda b: raw(" ".join(b if x == a else x for x in words)) - raw(" ".join(words))  # noqa: B023, E731
+            total += swap("") ** 2 + np.mean([swap(b) ** 2 for b in terms if b != a])
+            n += 1
+    assert abs(w @ form @ w - total / n) < 1e-6 * total / n
