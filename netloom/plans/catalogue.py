@@ -443,9 +443,9 @@ def cmi_hybrid(spark, sf):
 
 @query("cmiknn_pvalue")
 def cmiknn_pvalue(spark, sf):
-    """The method is quadratic; it runs over the whole supplier table."""
+    """The method is quadratic; it runs over the whole supplier table, with the default of 1,000 permutations."""
     df = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("a"), F.col("s_suppkey").cast("double").alias("b"), F.col("s_nationkey").cast("double").alias("c"))
-    t = KMutualInformation(Dataset.of(df), 5, 1, 5, 40)
+    t = KMutualInformation(Dataset.of(df), 5, 1, 5, 1000)
     return spark.createDataFrame([("a,b", t.pvalue("a", "b")), ("a,b|c", t.pvalue("a", "b", "c"))], "test string, p double")
 
 

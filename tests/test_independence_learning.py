@@ -331,3 +331,10 @@ def test_hybrid_learners(spark):
     d = Dataset.of(pdf, order_by=["t"])
     m = DMMHC().estimate(DynamicLinearCorrelation(d, markovian_order=2), ArcOperatorSet(), DynamicBIC(d, markovian_order=2), markovian_order=2)
     assert m.transition_bn().has_arc("a_t_1", "b_t_0") and not any(int(a[-1]) < int(b[-1]) for a, b in m.static_bn().arcs())
+
+
+def test_cmiknn_query_takes_a_thousand_permutations(spark):
+    from netloom.plans.catalogue import QUERIES
+
+    ps = [r["p"] for r in QUERIES["cmiknn_pvalue"](spark, "/root/testdata/sf0.01").collect()]
+    assert any(abs(40 * p - round(40 * p)) > 1e-6 for p in ps)
