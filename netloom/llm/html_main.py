@@ -26,17 +26,20 @@ from netloom.llm._shared import tune
 
 TRAIN_PAGES = 700
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
-#: Elements whose content is never text of the page, elements without content, and elements that make a block.
-RAW = "script|style|noscript|template|svg|title|textarea|select|iframe|object|canvas|math|button|option"
+#: Elements whose content is never markup or text of the page, elements without content, and elements that make a block.
+RAW = "script|style|title|textarea"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""html body div section article main header footer nav aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead
-tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup center menu dialog legend""".split())
+tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup center menu dialog legend
+select datalist optgroup option""".split())
+#: Blocks that may stand inside a paragraph.
+PHRASING = frozenset("select datalist optgroup option".split())
 #: What a start tag closes if it is open above it: a paragraph ends at any block, list and table parts end at their like.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
-STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}}
+CLOSES = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
+STOP = {"option": {"select", "datalist", "optgroup"}, "optgroup": {"select"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}}
 KINDS = ["nav", "footer", "header", "aside", "form", "article", "main", "section", "p", "li", "ul", "table", "div", "h", "body"]
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""",
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?![\w:-])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""",
     re.S | re.I,
 )
 ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -94,7 +97,7 @@ class Page:
                 if up > 0:
                     now = parents[up]
                 continue
-            if tags[now] == "p" or tags[now][0] == "h" and tags[now][1:].isdigit() and tag[0] == "h" and tag[1:].isdigit():
+            if tag not in PHRASING and tags[now] == "p" or tags[now][0] == "h" and tags[now][1:].isdigit() and tag[0] == "h" and tag[1:].isdigit():
                 now = parents[now]
             if tag in CLOSES:
                 up, shut = now, STOP[tag]

@@ -189,3 +189,20 @@ def test_swap_form_is_the_change_of_whole_texts():
             total += swap("") ** 2 + np.mean([swap(b) ** 2 for b in terms if b != a])
             n += 1
     assert abs(w @ form @ w - total / n) < 1e-6 * total / n
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<p>a<svg class="i"/></p><p>article</p>', ["a", "article"]),
+        ("<p>a <button-bar>b</button-bar></p><p>article</p>", ["a b", "article"]),
+        ("<datalist><option>x<option>y</datalist><p>article</p>", ["x", "y", "article"]),
+        ("<p>is <select><option>x</option></select> more</p><p>next</p>", ["is", "x", "more", "next"]),
+        ("<article><p>so <math><mi>x</mi></math> <button>go</button> <object>o</object></p></article>", ["so x go o"]),
+        ("<p>a<script>b</script><style>c</style><textarea>d</textarea></p><p>article</p>", ["a", "article"]),
+    ],
+)
+def test_only_raw_elements_are_swallowed(html, want):
+    page = html_main.Page(html)
+    assert [t for _, t, _ in page.segments] == want
+    assert all(page.tags[page.parents[i]] != "option" for i, t in enumerate(page.tags) if t == "option")
