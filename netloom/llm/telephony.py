@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from netloom.llm._shared import arrow_map, tune
 
@@ -162,25 +163,47 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
+def with_pcm(media: DataFrame, target: int = TARGET_RATE, media_col: str = "media") -> DataFrame:
+    """The rows with `rate` and `pcm`: the media column decoded and resampled, as little-endian 16-bit samples. Null media give null."""
+    schema = media.drop("rate", "pcm")
+    at = schema.columns.index(media_col)
+    out = StructType([*schema.schema.fields, StructField("rate", LongType()), StructField("pcm", BinaryType())])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        files = b.column(at).to_pylist()
+        pcm: list[bytes | None] = [None] * len(files)
+        some = [i for i, x in enumerate(files) if x is not None]
+        for lo in range(0, len(some), 128):
+            part = some[lo : lo + 128]
+            for i, x in zip(part, decode_batch([files[i] for i in part], target), strict=True):
+                pcm[i] = x.astype("<i2").tobytes()
+        rate = pa.array([None if x is None else target for x in pcm], pa.int64())
+        return pa.RecordBatch.from_arrays([*b.columns, rate, pa.array(pcm, pa.binary())], names=[*b.schema.names, "rate", "pcm"])
+
+    return arrow_map(schema, run, out)
+
+
+def media_pcm(media: DataFrame, target: int = TARGET_RATE, media_col: str = "media") -> DataFrame:
+    """doc_id, rate, pcm of each file of a media column."""
+    return with_pcm(media.select("doc_id", media_col), target, media_col).select("doc_id", "rate", "pcm")
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Reads stored files back: payload and media digests, and features of the resampled PCM."""
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        files = b.column(2).to_pylist()
         rows = []
-        for lo in range(0, len(files), 128):
-            some = files[lo : lo + 128]
-            for data, pcm in zip(some, decode_batch(some), strict=True):
-                codec, _, align, body = read_wav(data)
-                p = payload_of(codec, align, body)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(codec, pcm)))
+        for data, pcm in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            codec, _, align, body = read_wav(data)
+            p = payload_of(codec, align, body)
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(codec, np.frombuffer(pcm, "<i2"))))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": b.column(1)} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
 
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, out)
+    return arrow_map(with_pcm(media.select("doc_id", "n_bytes", "media")).select("doc_id", "n_bytes", "media", "pcm"), run, out)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,11 @@ def test_only_raw_elements_are_swallowed(html, want):
     page = html_main.Page(html)
     assert [t for _, t, _ in page.segments] == want
     assert all(page.tags[page.parents[i]] != "option" for i, t in enumerate(page.tags) if t == "option")
+
+
+def test_media_columns_give_pcm(docs):
+    media = telephony.to_media(docs)
+    got = telephony.media_pcm(media)
+    assert got.columns == ["doc_id", "rate", "pcm"]
+    want = [(r["doc_id"], telephony.TARGET_RATE, x.astype("<i2").tobytes()) for r in media.collect() for x in telephony.decode_batch([r["media"]])]
+    assert sorted((str(r["doc_id"]), r["rate"], bytes(r["pcm"])) for r in got.collect()) == sorted((str(i), n, x) for i, n, x in want)
