@@ -9,9 +9,9 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -26,9 +26,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own in local mode, whose
+    tasks run on this machine; on a cluster a RuntimeError, since no other machine would see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="netloom_shared_")
         atexit.register(shutil.rmtree, own, True)
         base = f"file://{own}"
@@ -41,8 +44,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
 
 
-#: Tables that store() wrote and nothing has deleted.
-_stored: list[str] = []
+#: Tables that store() wrote and nothing has deleted, by the owner that was set then.
+_stored: dict[str | None, list[str]] = {}
+_owner: list[str | None] = [None]
+
+
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables that are stored inside belong to `owner`, whose sweep() deletes them and no others."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def _keep(path: str) -> None:
+    _stored.setdefault(_owner[-1], []).append(path)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -53,19 +71,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._stored_at = path
-    _stored.append(path)
+    _keep(path)
     return out
 
 
-def store_pieces(spark: SparkSession, pieces: Iterator[pa.Table], schema: str, name: str) -> DataFrame:
-    """A table that the driver writes to the shared folder piece by piece, so that it holds one piece at a time."""
+def store_pieces(spark: SparkSession, pieces: Iterator[list[tuple]], schema: str, name: str) -> DataFrame:
+    """A table that the driver appends to the shared folder piece by piece, so that it holds one piece at a time."""
     path = fresh_path(spark, name)
-    for i, piece in enumerate(pieces):
-        sink = pa.BufferOutputStream()
-        pq.write_table(piece, sink)
-        put_file(f"{path}/part-{i:05d}.parquet", sink.getvalue().to_pybytes())
-    _stored.append(path)
-    return spark.read.schema(schema).parquet(path)
+    for piece in pieces:
+        spark.createDataFrame(piece, schema).coalesce(1).write.mode("append").parquet(path)
+    _keep(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def _delete(spark: SparkSession, uri: str) -> None:
@@ -73,16 +91,20 @@ def _delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that no later step reads."""
-    _stored.remove(df._stored_at)
-    _delete(df.sparkSession, df._stored_at)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of stored tables that no later step reads; what is no stored table stays."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        for paths in _stored.values():
+            if path in paths:
+                paths.remove(path)
+                _delete(df.sparkSession, path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all stored tables of this driver. Only for a caller that has written out every result that reads them."""
-    while _stored:
-        _delete(spark, _stored.pop())
+def sweep(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete the owner's stored tables. Only for an owner that has written out every result that reads them."""
+    for path in _stored.pop(owner, []):
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

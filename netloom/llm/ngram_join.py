@@ -10,10 +10,17 @@ reach the threshold share at least two tokens of their prefixes extended by one,
 3. documents in frequent tokens that are still mixed are indexed anew by the exact frequencies among them, which puts their own edits
    first, and go through 1 and 2 again;
 4. what is then still frequent and mixed becomes 2-token combinations, and a combination that is frequent itself is worked off by rounds
-   of leaders, doubled each round, until it is a single component or no pair is left.
+   of leaders, eight times as many each round, until it is a single component or no pair is left.
 
 A pair in one component is never compared again, since only components are reported. Verification is exact on the whole sets:
-texts travel to their leader, hot leaders are salted, and a task holds one leader's set at a time.
+texts travel to their leader, hot leaders are salted, and a task holds one leader's set at a time. Counts by token are tables of their own
+before rows are joined with them, so that Spark splits the rows of a token that very many documents hold. Each step deletes
+the tables that no later step reads.
+
+Null and empty texts and texts without words have the empty set and link with nothing; a null doc_id takes part like any other row.
+Repeated rows and equal texts are one class, listed row by row. A very long text is one set, read whole. Ties in frequency are broken by the
+token's hash, so the result does not depend on the order of rows. An empty table gives no rows. Only doc_id and text are read, so other
+columns may have any name; keep_one gives all columns back.
 """
 
 from __future__ import annotations
@@ -22,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import _bytes as B
 from netloom.llm._components import components
-from netloom.llm._shared import release, store, tune
+from netloom.llm._shared import discard, release, store, tune
 
 #: Words in a shingle and percent of the union, in the query op10; the default of near-duplicate stages is (5, 80).
 SHINGLE, PERCENT = 4, 85
@@ -35,7 +42,6 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, SLOT_ROWS = 1 << 20, 64
 #: A token of more members is frequent; a document with more frequent tokens keeps them single; members a leader's group takes.
 FREQUENT, MAX_COMBINED, GROUP = 100, 48, 512
-NO_ID = (1 << 63) - 1
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -59,9 +65,14 @@ def _sets(arr: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did (null ids last), th (hash of the text) and text: what identifies a row here."""
+    """did, th (hash of the text) and text: what identifies a row here."""
     t = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(t).alias("th"), t.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64(t).alias("th"), t.alias("text"))
+
+
+#: Order of rows with null ids last; a join that finds them too.
+FIRST = "struct(did IS NULL, did, th)"
+SAME_ROW = "x.did <=> y.did AND x.th = y.th"
 
 
 def scan(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +166,8 @@ def verify(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFra
                     if role[j] == 0:
                         now, head = (a_[j], s_[j]), own.copy()
                         continue
-                    assert now == (a_[j], s_[j]), "a leader's set is missing"
+                    if now != (a_[j], s_[j]):
+                        raise RuntimeError("a leader's set is missing: a text changed while the join ran")
                     x, y = len(head), len(own)
                     if 100 * min(x, y) < percent * max(x, y):
                         continue
@@ -185,29 +197,34 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.rows = keyed(docs)
-        self.members, sketch = scan(self.rows, k)
-        self.sketch = sketch
-        self.classes = self.members.where("n > 0").groupBy("cid").agg(F.min("did").alias("did"), F.min_by("th", F.struct("did", "th")).alias("th"), F.min("n").alias("n"))
+        self.members, self.sketch = scan(self.rows, k)
+        self.classes = self.members.where("n > 0").groupBy("cid").agg(F.min_by(F.struct("did", "th"), F.expr(FIRST)).alias("x"), F.min("n").alias("n")).select("cid", "x.did", "x.th", "n")
         self.comp: DataFrame | None = None  # v, comp: classes that have a link, and their component
-        self.tried: DataFrame | None = None
+        self.tried: list[DataFrame] = []  # pairs that were compared
         self.sets: DataFrame | None = None  # cid, tokens of the classes that are indexed anew
 
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """(cid, text) of classes."""
+        one = self.classes.join(ids, "cid").select("cid", "did", "th")
+        return self.rows.alias("x").join(one.hint("merge").alias("y"), F.expr(SAME_ROW)).select("y.cid", "x.text")
+
     def compare(self, pairs: DataFrame) -> None:
         """Verify pairs (a, b) that were not compared before."""
         new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("lead")).groupBy("a", "b").agg(F.min("lead").alias("lead"))
-        if self.tried is not None:
-            new = new.join(self.tried, ["a", "b"], "left_anti")
+        for old in self.tried:
+            new = new.join(old.select("a", "b"), ["a", "b"], "left_anti")
         new = store(new, "pairs")
-        self.tried = new.select("a", "b") if self.tried is None else self.tried.unionByName(new.select("a", "b"))
         if new.isEmpty():
+            discard(new)
             return
+        self.tried.append(new)
         lead = new.select(F.col("lead").alias("a"), F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        if self.sets is not None:
-            source = self.sets
-        else:
-            ids = lead.select(F.col("a").alias("cid")).unionByName(lead.select(F.col("b").alias("cid"))).distinct()
-            source = self.rows.join(self.classes.join(ids, "cid").select("cid", "did", "th").hint("merge"), ["did", "th"]).select("cid", "text")
-        self.merge(store(verify(lead, source, self.k, self.percent), "links"))
+        source = self.sets
+        if source is None:
+            source = self.texts_of(lead.select(F.col("a").alias("cid")).unionByName(lead.select(F.col("b").alias("cid"))).distinct())
+        links = store(verify(lead, source, self.k, self.percent), "links")
+        self.merge(links)
+        discard(links)
         release(self.spark)
 
     def merge(self, links_: DataFrame) -> None:
@@ -220,43 +237,55 @@ class _Join:
         named = named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
         named = store(named, "joins")
         if named.isEmpty():
+            discard(named)
             return
         fresh = links_.select(F.col("a").alias("v")).unionByName(links_.select(F.col("b").alias("v"))).distinct().join(self.comp, "v", "left_anti").select("v", F.col("v").alias("comp"))
-        over = components(named).select(F.col("v").alias("comp"), F.col("comp").alias("top"))
-        self.comp = store(self.comp.unionByName(fresh).join(over, "comp", "left").select("v", F.coalesce("top", "comp").alias("comp")), "components")
+        joined = components(named)
+        over = joined.select(F.col("v").alias("comp"), F.col("comp").alias("top"))
+        comp = store(self.comp.unionByName(fresh).join(over, "comp", "left").select("v", F.coalesce("top", "comp").alias("comp")), "components")
+        discard(named, joined, self.comp)
+        self.comp = comp
 
     def with_components(self, buckets: DataFrame) -> DataFrame:
-        """Rows of mixed keys, with their component and the key's count, stored."""
+        """Rows of mixed keys, with their component and the key's count, stored; `buckets` is deleted if it is a stored table."""
         if self.comp is None:
-            b = buckets.withColumn("comp", F.col("cid"))
+            b = store(buckets.withColumn("comp", F.col("cid")), "named")
         else:
-            b = buckets.join(self.comp.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = b.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        b = b.join(mixed, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
-        return store(b.select("key", "cid", "n", "pos", "comp", "c"), "buckets")
+            b = store(buckets.join(self.comp.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "named")
+        discard(buckets)
+        mixed = store(b.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi"), "mixed")
+        out = b.join(mixed, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
+        out = store(out.select("key", "cid", "n", "pos", "comp", "c"), "buckets")
+        discard(b, mixed)
+        return out
 
     def index(self, tokens: DataFrame) -> DataFrame:
-        """Of (key, cid, n, pos) the rows that have a possible partner under their key, with each key's leader compared."""
+        """Of (key, cid, n, pos) the rows that have a possible partner under their key, stored, with each key's leader compared."""
         shared = tokens.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("low")).where("x <> y").select("key", "low")
         shared = store(shared, "shared")  # so that the join deals both sides anew and Spark splits a frequent key
         rows = tokens.join(shared, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
         rows = store(rows.select("key", "cid", "n", "pos").distinct(), "index")
+        discard(shared)
         share = rows.groupBy("cid", "n").agg(F.count("*").alias("q")).select("cid", (1000 - F.col("q") * 1000 / F.col("n")).cast("long").alias("altered"))
         lead = rows.join(share, "cid").groupBy("key").agg(F.min(F.struct("altered", "cid", "n", "pos")).alias("x"), F.count("*").alias("c")).where("c > 1")
-        lead = lead.select("key", F.col("x.cid").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa"))
+        lead = store(lead.select("key", F.col("x.cid").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "leaders")
         pairs = rows.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb")).join(lead, "key").where("a <> b").where(_fits(self.percent))
         self.compare(pairs.select("a", "b"))
+        discard(lead)
         return rows
 
-    def few(self, mixed: DataFrame) -> None:
-        """All pairs of different components under keys of few members."""
+    def few(self, mixed: DataFrame) -> DataFrame:
+        """All pairs of different components under keys of few members; the rows of the other keys, as far as still mixed, stored."""
         rows = mixed.where(f"c <= {FREQUENT}")
         pairs = _side(rows, "a").join(_side(rows, "b"), "key").where("a < b AND ca <> cb").where(_fits(self.percent))
         self.compare(pairs.select("a", "b"))
+        left = self.with_components(mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"))
+        discard(mixed)
+        return left
 
     def exact_index(self, some: DataFrame) -> DataFrame:
-        """(key, cid, n, pos) of the 2-extended prefixes of some classes, tokens ordered by their exact frequency among these."""
-        texts = self.rows.join(some.join(self.classes, "cid").select("cid", "did", "th").hint("merge"), ["did", "th"]).select("cid", "text")
+        """(key, cid, n, pos) of the 2-extended prefixes of some classes, tokens ordered by their exact frequency among these, stored."""
+        texts = self.texts_of(some)
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,30 +296,32 @@ class _Join:
         self.sets = store(texts.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"]), "sets")
         release(self.spark)
         each = self.sets.select("cid", F.explode("tokens").alias("key"))
-        counts = each.groupBy("key").agg(F.count("*").alias("f"))
-        ordered = each.join(counts, "key").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("s")).withColumn("n", F.size("s").cast("long"))
+        counts = store(each.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "counts")
+        ordered = each.join(counts, "key", "left").select("cid", F.struct(F.coalesce("f", F.lit(1)).alias("f"), "key").alias("x"))
+        ordered = ordered.groupBy("cid").agg(F.sort_array(F.collect_list("x")).alias("s")).withColumn("n", F.size("s").cast("long"))
         length = F.expr(f"CAST(least(n, n - ({self.percent} * n + 99) div 100 + 2) AS INT)")
         head = F.transform(F.slice("s", F.lit(1), length), lambda x, i: F.struct(x["key"].alias("key"), x["f"].alias("f"), i.cast("long").alias("pos")))
         out = ordered.select("cid", "n", F.explode(F.filter(head, lambda x: x["f"] > 1)).alias("x"))
-        return out.select("x.key", "cid", "n", "x.pos")
+        out = store(out.select("x.key", "cid", "n", "x.pos"), "exact")
+        discard(counts)
+        return out
 
     def rounds(self, left: DataFrame) -> None:
         """Frequent keys as 2-token combinations; those that stay frequent by rounds of leaders outside their largest component, each
         compared with the whole key, until no such member is left."""
         mixed = self.with_components(combinations(left))
-        self.few(mixed)
-        buckets, leaders = mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"), 16
-        while True:
-            many = self.with_components(buckets)
-            if many.isEmpty():
-                return
+        discard(left)
+        many, leaders = self.few(mixed), 16
+        while not many.isEmpty():
             sizes = many.groupBy("key", "comp").agg(F.count("*").alias("k"))
-            major = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), (F.sum("k") - F.max("k")).alias("minor"))
-            lead = many.join(major, "key").where("comp <> major").where(f"pmod(xxhash64(cid, {leaders}), minor) < {leaders}").drop("major", "minor")
+            major = store(sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), (F.sum("k") - F.max("k")).alias("minor")), "majors")
+            lead = store(many.join(major, "key").where("comp <> major").where(f"pmod(xxhash64(cid, {leaders}), minor) < {leaders}").drop("major", "minor"), "leads")
             pairs = _side(many, "b").join(_side(lead, "a"), "key").where("a <> b AND ca <> cb").where(_fits(self.percent))
             self.compare(pairs.select("a", "b"))
-            buckets = many.join(lead.select("key", "cid"), ["key", "cid"], "left_anti").select("key", "cid", "n", "pos")
-            leaders *= 8
+            rest = self.with_components(many.join(lead.select("key", "cid"), ["key", "cid"], "left_anti").select("key", "cid", "n", "pos"))
+            discard(major, lead, many)
+            many, leaders = rest, 8 * leaders
+        discard(many)
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -298,15 +329,19 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     j = _Join(docs, k, percent)
     pre = prefixes(j.rows, frequency_classes(j.sketch), k, percent)
     tokens = pre.select("cid", "n", F.posexplode("tokens").alias("pos", "key")).select("key", "cid", "n", F.col("pos").cast("long").alias("pos"))
-    mixed = j.with_components(j.index(tokens))
-    j.few(mixed)
-    left = j.with_components(mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"))
+    found = j.index(tokens)
+    discard(pre)
+    left = j.few(j.with_components(found))
     if not left.isEmpty():
-        mixed = j.with_components(j.index(j.exact_index(left.select("cid").distinct())))
-        j.few(mixed)
-        left = j.with_components(mixed.where(f"c > {FREQUENT}").select("key", "cid", "n", "pos"))
+        exact = j.exact_index(left.select("cid").distinct())
+        discard(left)
+        found = j.index(exact)
+        discard(exact)
+        left = j.few(j.with_components(found))
         if not left.isEmpty():
             j.rounds(left)
+        discard(j.sets)
+    discard(left, *j.tried)
     return j.members, j.comp if j.comp is not None else j.spark.createDataFrame([], "v long, comp long")
 
 
@@ -327,27 +362,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     or null if it has none."""
     members, comp = linked(docs, k, percent)
     m = members.join(comp.withColumnRenamed("v", "cid"), "cid", "left").select("did", "th", "n", F.coalesce("comp", "cid").alias("comp"))
-    full = m.where("n > 0")
-    least = full.groupBy("comp").agg(F.min("did").alias("component_id"))
-    out = full.join(least, "comp").select("did", "th", "n", "comp", "component_id")
-    none = m.where("n = 0").select("did", "th", "n", F.lit(None).cast("long").alias("comp"), F.col("did").alias("component_id"))
-    return out.unionByName(none).select("did", "th", F.col("n").alias("n_shingles"), "comp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    full = store(m.where("n > 0"), "full")
+    least = store(full.groupBy("comp").agg(F.min("did").alias("component_id")), "least")
+    out = full.join(least, "comp").select("did", "th", F.col("n").alias("n_shingles"), "comp", "component_id")
+    none = m.where("n = 0").select("did", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("comp"), F.col("did").alias("component_id"))
+    return out.unionByName(none)
+
+
+#: The characters that part words.
+SPACES = " \t\n\x0b\f\r"
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id (then text hash); repeated rows count as copies.
+    """One document of each group stays, that of the smallest doc_id (null last; then text hash); repeated rows count as copies.
     Rows without words all stay. Columns as in `docs`."""
     found = store(near_duplicates(docs, k, percent), "near")
-    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("did", "th")).alias("x")).select("x.did", "x.th", F.lit(1).alias("_one"))
-    none = found.where("comp IS NULL").select("did", "th", F.lit(0).alias("_one")).distinct()
-    cols = docs.columns
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(cols)], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    rows = rows.join(first.unionByName(none), ["did", "th"])
-    rank = F.row_number().over(Window.partitionBy("did", "th").orderBy(F.lit(0)))
-    return rows.withColumn("_r", rank).where("_one = 0 OR _r = 1").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)])
+    key = ["did", "noid", "th"]
+    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min_by(F.struct("did", "th"), F.expr(FIRST)).alias("x"))
+    first = first.select(F.coalesce("x.did", F.lit(0)).alias("did"), F.col("x.did").isNull().alias("noid"), "x.th")
+    cols, text = docs.columns, F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(cols)], F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.col("doc_id").isNull().alias("noid"), F.xxhash64(text).alias("th"), (F.translate(text, SPACES, "") == "").alias("_bare"))
+    # repeated rows meet on the map side already, so that no task gets all copies of one row
+    kept = rows.where("NOT _bare").dropDuplicates(key).join(first, key).unionByName(rows.where("_bare"))
+    return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: 4-word shingles, similarity 0.85 or more."""
     tune(spark)
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHINGLE, PERCENT)
-    return out.select(F.nullif("did", F.lit(NO_ID)).alias("doc_id"), "n_shingles", "component_id")
+    return out.select(F.col("did").alias("doc_id"), "n_shingles", "component_id")

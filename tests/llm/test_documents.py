@@ -65,7 +65,7 @@ def test_near_duplicates(docs, nothing, k, percent):
         if s:
             least[c].append(r["doc_id"])
     want = [(r["doc_id"], len(s), min((x for x in least[c] if x is not None), default=None) if s else r["doc_id"]) for r, c, s in zip(rows, comp, sets, strict=True)]
-    got = [(None if r["did"] == ngram_join.NO_ID else r["did"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs, k, percent).collect()]
+    got = [(r["did"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs, k, percent).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
     assert ngram_join.near_duplicates(nothing, k, percent).count() == 0
 
