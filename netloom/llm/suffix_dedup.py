@@ -5,10 +5,17 @@ of smallest hash is its anchor (equal windows have equal anchors at equal places
 form a block. Blocks are counted by hash: a block that occurs twice is repeated as a whole. Where an anchor is followed
 or preceded by different bytes, one copy of each different block goes to the anchor's bundle, and there a suffix array is
 built in two stages: suffixes smaller than their successors are sorted directly, the others are induced from them by a scan over
-first-byte buckets; adjacent common prefixes of WIDTH bytes then mark the repeated windows. A frequent anchor's blocks are
-dealt to several bundles by the hash of the window, so no bundle grows with the corpus and no pair of places is listed.
+first-byte buckets; adjacent common prefixes of WIDTH bytes then mark the repeated windows.
 
-Null and empty texts, and texts of fewer than WIDTH bytes, lose nothing. Repeated rows are repeats of each other.
+A bundle holds at most SPREAD blocks of one anchor. An anchor of more different blocks (a passage that very many documents hold) is
+first reduced to its windows: they are counted by hash, with partial sums before the shuffle; windows of one hash that occur once are no
+repeats, and of every other hash two copies go to bundles dealt by that hash, where the suffix array compares their bytes. So
+no bundle grows with the corpus, no text is copied into several bundles, and no pair of places is listed.
+
+Null and empty texts, and texts of fewer than WIDTH bytes, lose nothing; a null doc_id takes part like any other. Repeated rows are
+repeats of each other, so all their long enough texts go. A very long text is cut into blocks like any other, whole. The
+result does not depend on the order of rows or on ties between anchors: both copies of a window always go. An empty table gives
+no rows. Only doc_id and text are read; remove_repeats gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +32,10 @@ from netloom.llm import _bytes as B
 from netloom.llm._shared import arrow_map, discard, release, store, tune
 
 WIDTH, K = 200, 32
-#: Different blocks of one anchor in a bundle; bytes of a bundle.
-SPREAD, BUNDLE = 2048, 1 << 20
-NO_ID = (1 << 63) - 1
+#: Different blocks of one anchor in a bundle; bytes of a bundle, of whole groups.
+SPREAD, BUNDLE = 512, 1 << 20
+#: What identifies a row: doc_id (0 for null), whether it is null, and the text's hash.
+ROW = ["did", "noid", "th"]
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -179,15 +187,15 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    t = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(t).alias("th"), t.cast("binary").alias("text"), *more)
+    t, i = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(i, F.lit(0)).alias("did"), i.isNull().alias("noid"), F.xxhash64(t).alias("th"), t.cast("binary").alias("text"), *more)
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """id, did, th and the row's blocks as arrays, stored; one pass over the texts, rows without a window left out."""
+    """id, did, noid, th and the row's blocks as arrays, stored; one pass over the texts, rows without a window left out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        buf, offs = B.column(b.column(2))
+        buf, offs = B.column(b.column(3))
         out = []
         for lo, hi, x, o in B.parts(buf, offs):
             row, start, count, anchor, block = blocks(x, o)
@@ -197,46 +205,36 @@ def occurrences(rows: DataFrame) -> DataFrame:
             at = np.append(first, len(row)).astype(np.int32)
             col = lambda v: pa.ListArray.from_arrays(at, pa.array(v))
             take = pa.array(have + lo)
-            out.append(pa.RecordBatch.from_pydict({"did": b.column(0).take(take), "th": b.column(1).take(take), "anchor": col(anchor.view(np.int64)), "block": col(block.view(np.int64)), "start": col(start.astype(np.int32)), "windows": col(count.astype(np.int16))}))
+            out.append(pa.RecordBatch.from_pydict({n: b.column(i).take(take) for i, n in enumerate(ROW)} | {"anchor": col(anchor.view(np.int64)), "block": col(block.view(np.int64)), "start": col(start.astype(np.int32)), "windows": col(count.astype(np.int16))}))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
-    found = arrow_map(rows.select("did", "th", "text"), run, "did long, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
+    found = arrow_map(rows.select(*ROW, "text"), run, "did long, noid boolean, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
     return store(found.withColumn("id", F.monotonically_increasing_id()), "blocks")
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """did, th, spans: for rows with repeats, the repeated windows' byte ranges (lo, hi), in no order, overlapping."""
-    spark = rows.sparkSession
-    occ = occurrences(rows)
-    ids = store(occ.select("id", "did", "th"), "ids")
-    each = occ.select("id", F.explode(F.arrays_zip("anchor", "block", "start", "windows")).alias("x")).select("id", "x.*")
-    # anchors that occur once have no repeats; an anchor of one kind of block is repeated as a whole
-    again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    again = store(again, "anchors")  # a table of its own: both sides of the join are then dealt anew, and Spark splits a frequent anchor
-    each = store(each.join(again, "anchor"), "repeats")
-    discard(occ)
-    discard(again)
-    release(spark)
-    mixed = each.where("mixed")
-    count = mixed.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("start").alias("start"), F.first("windows").alias("windows"))
-    kinds = store(count.join(count.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor"), "kinds")
-    want = kinds.groupBy("id").agg(F.collect_list(F.struct("anchor", "block", "start", "windows", "kinds")).alias("want")).join(ids, "id")
-    texts = rows.select("did", "th", "text").join(want, ["did", "th"]).select("text", "want")
+def _cut(texts: DataFrame, many: bool) -> DataFrame:
+    """(anchor, block, windows, piece) of the blocks that `want` lists for each text; with `many`, each block's window hashes instead of
+    its bytes."""
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts_ = b.column(0)
-        for i in range(len(b)):
-            text = texts_[i].as_buffer().to_pybytes()
-            rows_ = []
-            for w in b.column(1)[i].as_py():
-                piece = text[w["start"] : w["start"] + w["windows"] - 1 + WIDTH]
-                spread = -(-w["kinds"] // SPREAD)
-                salts = [0] if spread == 1 else np.unique(_window_salts(piece, w["windows"], spread)).tolist()
-                rows_ += [(w["anchor"], s, w["block"], w["windows"], spread, piece) for s in salts]
-            a, s, k, n, sp, p = zip(*rows_, strict=True)
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(a, pa.int64()), "salt": pa.array(s, pa.int64()), "block": pa.array(k, pa.int64()), "windows": pa.array(n, pa.int32()), "spread": pa.array(sp, pa.int64()), "piece": pa.array(p, pa.binary())})
-
-    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, want in zip(b.column(0), b.column(1), strict=True):
+            data = text.as_buffer().to_pybytes()
+            a, k, n, p = [], [], [], []
+            for w in want.as_py():
+                piece = data[w["start"] : w["start"] + w["windows"] - 1 + WIDTH]
+                a.append(w["anchor"])
+                k.append(w["block"])
+                n.append(w["windows"])
+                p.append(_window_hashes(piece, w["windows"]) if many else piece)
+            cols = {"anchor": pa.array(a, pa.int64()), "block": pa.array(k, pa.int64())}
+            if many:
+                at = np.zeros(len(n) + 1, np.int32)
+                np.cumsum(n, out=at[1:])
+                yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.ListArray.from_arrays(at, np.concatenate(p))})
+            else:
+                yield pa.RecordBatch.from_pydict(cols | {"windows": pa.array(n, pa.int32()), "piece": pa.array(p, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             group, size = [], 0
             for x in cut(b):
@@ -248,38 +246,90 @@ def repeated(rows: DataFrame) -> DataFrame:
             if group:
                 yield pa.Table.from_batches(group).combine_chunks().to_batches()[0]
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = texts.mapInArrow(cut_all, "anchor long, salt long, block long, windows int, spread long, piece binary")
-    pieces = pieces.repartition(parts, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    inner = store(pieces.mapInArrow(_bundles, "anchor long, block long, lo array<int>, hi array<int>"), "inner")
+    return texts.mapInArrow(run, "anchor long, block long, hashes array<long>" if many else "anchor long, block long, windows int, piece binary")
+
+
+def _pieces(rows: DataFrame, ids: DataFrame, kinds: DataFrame, many: bool) -> DataFrame:
+    """_cut() of one copy of each of the `kinds`, which name the row and place of that copy."""
+    want = kinds.groupBy("id").agg(F.collect_list(F.struct("anchor", "block", "start", "windows")).alias("want")).join(ids, "id")
+    return _cut(rows.select(*ROW, "text").join(want, ROW).select("text", "want"), many)
+
+
+def _bundled(pieces: DataFrame, group: str) -> DataFrame:
+    """(anchor, block, lo, hi): the repeated windows of each piece, found by suffix arrays over whole groups."""
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pieces.select(F.col(group).alias("g"), "anchor", "block", "windows", "piece").repartition(parts, "g").sortWithinPartitions("g")
+    return rows.mapInArrow(_bundles, "anchor long, block long, lo array<int>, hi array<int>")
+
+
+def _by_windows(rows: DataFrame, ids: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(anchor, block, lo, hi) for anchors of many kinds of block."""
+    wins = store(_pieces(rows, ids, kinds, True), "windows")
+    each = wins.select("anchor", "block", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL")
+    place = F.struct("block", "at")
+    often = each.groupBy("anchor", "w").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("n > 1").select("anchor", "w", F.explode(F.array("x", "y")).alias("p"))
+    often = store(often.select("anchor", "w", "p.block", "p.at"), "often")
+    # two copies of each window, cut out of the one stored copy of their block, compared byte by byte
+    copies = often.join(kinds.select("anchor", "block", "id", "start"), ["anchor", "block"]).select("id", F.col("w").alias("anchor"), F.xxhash64("block", "at").alias("block"), (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"), F.col("anchor").alias("of"))
+    copies = copies.withColumn("anchor", F.xxhash64("of", "anchor")).drop("of")
+    same = _bundled(_pieces(rows, ids, copies, False), "anchor").select("anchor").distinct()
+    good = store(often.select("anchor", "w").distinct().join(same.withColumnRenamed("anchor", "aw"), F.xxhash64("anchor", "w") == F.col("aw")).select("anchor", "w"), "good")
+    hit = each.join(good, ["anchor", "w"]).groupBy("anchor", "block").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    # runs of consecutive windows: a run begins where the one before is not hit and ends where the next one is not
+    first = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1))
+    last = F.transform(F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1)), lambda p: p + 1)
+    out = store(hit.select("anchor", "block", first.alias("lo"), last.alias("hi")), "wide")
+    discard(wins, often, good)
+    return out
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """did, noid, th, spans: for rows with repeats, the repeated windows' byte ranges (lo, hi), in no order, overlapping."""
+    spark = rows.sparkSession
+    occ = occurrences(rows)
+    ids = store(occ.select("id", *ROW), "ids")
+    each = occ.select("id", F.explode(F.arrays_zip("anchor", "block", "start", "windows")).alias("x")).select("id", "x.*")
+    # anchors that occur once have no repeats; an anchor of one kind of block is repeated as a whole
+    again = each.groupBy("anchor").agg(F.count("*").alias("n"), F.min("block").alias("a"), F.max("block").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    again = store(again, "anchors")  # a table of its own: both sides of the join are then dealt anew, and Spark splits a frequent anchor
+    each = store(each.join(again, "anchor"), "repeats")
+    discard(occ, again)
+    release(spark)
+    mixed = each.where("mixed")
+    count = store(mixed.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.first("id").alias("id"), F.first("start").alias("start"), F.first("windows").alias("windows")), "counted")
+    per = store(count.groupBy("anchor").agg(F.count("*").alias("kinds")), "per_anchor")
+    kinds = store(count.join(per, "anchor"), "kinds")
+    discard(count, per)
+    inner = store(_bundled(_pieces(rows, ids, kinds.where(f"kinds <= {SPREAD}"), False), "anchor"), "inner")
     release(spark)
+    many = kinds.where(f"kinds > {SPREAD}")
+    if not many.isEmpty():
+        inner = inner.unionByName(_by_windows(rows, ids, many))
     whole = kinds.where("n > 1").select("anchor", "block", F.array(F.lit(0)).alias("lo"), F.array(F.col("windows").cast("int")).alias("hi"))
     marks = whole.unionByName(inner)
     hits = mixed.select("id", "anchor", "block", "start").join(marks, ["anchor", "block"]).select("id", "start", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("id", "start", "x.lo", "x.hi")
     hits = hits.unionByName(each.where("NOT mixed").select("id", "start", F.lit(0).alias("lo"), F.col("windows").cast("int").alias("hi")))
     hits = hits.select("id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + WIDTH).alias("hi"))
     spans = hits.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).join(ids, "id")
-    return spans.groupBy("did", "th").agg(F.first("spans").alias("spans"))  # equal rows have equal spans
+    return spans.groupBy(*ROW).agg(F.first("spans").alias("spans"))  # equal rows have equal spans
 
 
-def _window_salts(piece: bytes, windows: int, spread: int) -> np.ndarray:
+def _window_hashes(piece: bytes, windows: int) -> np.ndarray:
     at = np.arange(windows)
-    return (B.span_hashes(np.frombuffer(piece, np.uint8), at, at + WIDTH, B.BYTE_VALUE) % np.uint64(spread)).astype(np.int64)
+    return B.span_hashes(np.frombuffer(piece, np.uint8), at, at + WIDTH, B.BYTE_VALUE).view(np.int64)
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of rows (sorted by anchor and salt), a bundle of whole groups at a time."""
+    """Groups of rows (g, anchor, block, windows, piece; sorted by g), a bundle of whole groups at a time."""
     held: list[tuple] = []
     size, now = 0, None
 
     def work() -> pa.RecordBatch | None:
         found = []
-        for (_, salt, block, windows, spread, piece), hit in zip(held, repeated_windows([h[5] for h in held], [h[3] for h in held]), strict=True):
-            if spread > 1:
-                hit = hit & (_window_salts(piece, windows, spread) == salt)
+        for (_, anchor, block, _, _), hit in zip(held, repeated_windows([h[4] for h in held], [h[3] for h in held]), strict=True):
             if hit.any():
                 lo, hi = runs(hit)
-                found.append((_, block, lo.tolist(), hi.tolist()))
+                found.append((anchor, block, lo.tolist(), hi.tolist()))
         if not found:
             return None
         a, k, lo, hi = zip(*found, strict=True)
@@ -287,14 +337,13 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            # the copies of a block that different salts of an anchor hold must not meet
-            if held and row[:2] != now and (size >= BUNDLE or row[0] == now[0]):
+            if held and row[0] != now and size >= BUNDLE:
                 if (out := work()) is not None:
                     yield out
                 held, size = [], 0
-            now = row[:2]
+            now = row[0]
             held.append(row)
-            size += len(row[5])
+            size += len(row[4])
     if held and (out := work()) is not None:
         yield out
 
@@ -312,7 +361,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, *more: str) -> DataFrame:
     rows = keyed(docs, *more)
-    return rows.join(repeated(rows), ["did", "th"], "left")
+    return rows.join(repeated(rows), ROW, "left")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -331,7 +380,7 @@ def digest(docs: DataFrame) -> DataFrame:
         n, r, s, k = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(r, pa.int64()), "n_spans": pa.array(s, pa.int64()), "kept_sha256": pa.array(k, pa.string())})
 
-    rows = with_spans(docs).select(F.nullif("did", F.lit(NO_ID)).alias("did"), "text", "spans")
+    rows = with_spans(docs).select(F.when(~F.col("noid"), F.col("did")).alias("did"), "text", "spans")
     return arrow_map(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -369,5 +418,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     tune(spark)
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -239,3 +239,25 @@ def test_mixing_keeps_to_given_weights(spark, monkeypatch):
     for r in rows[:1000]:
         done[r["source"]] += 1
         assert all(abs(done[n] - (r["slot"] + 1) * w) < 1 + 1e-6 for n, w in weights.items())
+
+
+def test_no_bundle_grows_with_a_common_passage(spark, monkeypatch):
+    """A passage of more different surroundings than a bundle takes: its windows are counted first, and two copies of each are compared."""
+    sizes, plain = [], suffix_dedup.repeated_windows
+    monkeypatch.setattr(suffix_dedup, "SPREAD", 20)
+    monkeypatch.setattr(suffix_dedup, "BUNDLE", 1)
+    rng = np.random.default_rng(8)
+    common = bytes(rng.integers(97, 123, 260, dtype=np.uint8)).decode()
+    texts = [f"{rng.integers(1 << 60):x}{common}{rng.integers(1 << 60):x}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, suffix_dedup.digest(df).collect())) == sorted(expected_digest(range(len(texts)), texts))
+
+    def spy(pieces, counts, width=200):
+        sizes.append(len(pieces))
+        return plain(pieces, counts, width)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", spy)
+    rows = [(g, 1, i, 1, texts[g][:230].encode()) for g in range(5) for i in range(3)]
+    columns = zip(*rows, strict=True)
+    list(suffix_dedup._bundles(iter([suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array(list(c)) for c in columns], names=["g", "anchor", "block", "windows", "piece"])])))
+    assert sizes == [3] * 5
