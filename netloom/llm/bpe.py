@@ -3,12 +3,19 @@
 Each distinct pretoken is cut greedily into the longest vocabulary entries. A cut is the exact encoding when every
 adjacent pair of entries is: numpy takes the pairs of all new words at once, undoes the merges next to the border from the last
 to the first, and looks whether a merge across the border would have come earlier. Only words with a failing pair are merged
-step by step. Decoding joins the entries' strings by a space, as the library does for a file without a decoder.
+step by step, by a queue of pairs over a linked list, so that a word of n letters takes O(n log n). Decoding joins the entries'
+strings by a space, as the library does for a file without a decoder.
+
+Null and empty texts have no ids and decode to the empty string. Very long texts and words are encoded whole; what a worker keeps of
+words is bounded by number and by letters. Repeated rows and null ids stay as they are, in any order; equal merges go leftmost first. An
+empty table gives no rows. Only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +28,8 @@ from netloom.llm import _words
 from netloom.llm._shared import tune
 
 NEVER = np.int64(1) << 60
-KEEP_WORDS = 400_000
+#: Words that a worker keeps, and their letters altogether.
+KEEP_WORDS, KEEP_LETTERS = 400_000, 16_000_000
 
 
 class SpeculativeBPE:
@@ -54,10 +62,14 @@ class SpeculativeBPE:
         usable = set(whole)
         self.inner = {s: i for s, i in self.vocab.items() if i in usable and not s.endswith(self.suffix)}
         self.final = {s[: -len(self.suffix)]: i for s, i in self.vocab.items() if i in usable and s.endswith(self.suffix)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.longest = max(map(len, self.final))
+        self.reach: dict[str, int] = {}  # the longest inner entry by its first letters, three at most
+        for s in self.inner:
+            for k in range(1, min(3, len(s)) + 1):
+                self.reach[s[:k]] = max(self.reach.get(s[:k], 0), len(s))
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
-        self.failed = self.seen = 0
+        self.failed = self.seen = self.letters_kept = 0
 
     def letters(self, shown: str) -> list[str]:
         """An entry's string or a byte-level word with suffix as alphabet strings."""
@@ -68,22 +80,34 @@ class SpeculativeBPE:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Exact: the earliest merge first, the leftmost of equals."""
-        ids = list(ids)
-        while len(ids) > 1:
-            at = min(((m[0], i) for i in range(len(ids) - 1) if (m := self.merges.get((ids[i], ids[i + 1])))), default=None)
-            if at is None:
-                break
-            ids[at[1] : at[1] + 2] = [self.merges[ids[at[1]], ids[at[1] + 1]][1]]
-        return ids
+        ids, n, merge = list(ids), len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [m[0] * n + i for i, pair in enumerate(itertools.pairwise(ids)) if (m := merge(pair))]  # by rank, then place
+        heapq.heapify(queue)
+        while queue:
+            rank, i = divmod(heapq.heappop(queue), n)
+            j = after[i]
+            m = merge((ids[i], ids[j])) if j < n else None
+            if m is None or m[0] != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j], after[i] = m[1], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if m := merge((ids[i], ids[after[i]])):
+                    heapq.heappush(queue, m[0] * n + i)
+            if (h := before[i]) >= 0 and (m := merge((ids[h], ids[i]))):
+                heapq.heappush(queue, m[0] * n + h)
+        return [t for t in ids if t >= 0]
 
     def greedy(self, word: str) -> list[int]:
         """Longest entries from the left; `word` is byte-level."""
-        out, i, n, inner, final = [], 0, len(word), self.inner, self.final
+        out, i, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
         while i < n:
-            if (t := final.get(word[i:])) is not None:
+            if n - i <= self.longest and (t := final.get(word[i:])) is not None:
                 out.append(t)
                 break
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            far = reach.get(word[i : i + 3]) or 2
+            for j in range(min(n - 1, i + far), i, -1):
                 if (t := inner.get(word[i:j])) is not None:
                     break
             else:
@@ -133,6 +157,7 @@ class SpeculativeBPE:
             cut[i] = self.merge([self.vocab[c] for c in self.letters(level[i] + self.suffix)])
             self.failed += 1
         self.seen += len(new)
+        self.letters_kept += sum(map(len, new))
         shown = self.shown
         for w, c in zip(new, cut, strict=True):
             self.known[w] = (len(c), " ".join(map(str, c)), " ".join([shown[t] for t in c]))
@@ -140,8 +165,8 @@ class SpeculativeBPE:
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, the ids in decimal joined by a space, and the decoded text."""
         split = [_words.pieces(x, self.path) if x else [] for x in texts]
-        if len(self.known) > KEEP_WORDS:
-            self.known = {}
+        if len(self.known) > KEEP_WORDS or self.letters_kept > KEEP_LETTERS:
+            self.known, self.letters_kept = {}, 0
         for s, i in self.special.items():
             self.known[s] = (1, str(i), s)
         if new := list({w for ws in split for w in ws if w not in self.known}):
@@ -185,5 +210,6 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     tune(spark)
     return bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), _words.default_tokenizer())
