@@ -1,10 +1,15 @@
 """Token ids in fixed-width bit-packed shard files.
 
-File format (little-endian): magic `NLPKID01`; uint32 bits, uint32 ids per block; uint64 ids, documents, blocks;
-int64 doc_id[documents] (null: the smallest int64), uint64 first id of each document [documents + 1], uint64 byte
+File format (little-endian): magic `NLPKID02`; uint32 bits, uint32 ids per block; uint64 ids, documents, documents without id (they come
+first), blocks; int64 doc_id[documents] (0 for no id), uint64 first id of each document [documents + 1], uint64 byte
 offset of each block [blocks + 1]; then the blocks. A block holds its ids in `bits` bits each, lowest bit first, and
 starts on a byte, so one block is unpacked by one numpy call and any id is reached without reading the others.
 `bits` is the least that the vocabulary needs: ids 0..49407 take 16.
+
+Null and empty texts have the end id alone. Rows of null doc_id come first; equal ids are ordered by the text's hash, so repeated rows
+stand side by side. A task begins a new file after FILE_IDS ids, so it never holds a shard of more than these and one document; a very long
+text is one document of one file. An empty table gives no files and no rows. Only the id and the text are read, so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -23,13 +28,13 @@ from pyspark.sql import functions as F
 from netloom.llm import _words
 from netloom.llm._shared import fresh_path, get_file, put_file, tune
 
-MAGIC = b"NLPKID01"
-HEAD = struct.Struct("<8sIIQQQ")
-NULL_ID = -(1 << 63)
-#: Ids in a block; words kept by a worker; documents of a shard, by bytes of text.
+MAGIC = b"NLPKID02"
+HEAD = struct.Struct("<8sIIQQQQ")
+#: Ids in a block; words kept by a worker; bytes of text that a task is planned for, and tasks at most; ids after which a file ends.
 BLOCK = 4096
 KEEP_WORDS = 800_000
-SHARD_BYTES = 24 << 20
+TASK_BYTES, MAX_TASKS = 24 << 20, 20_000
+FILE_IDS = 32 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -49,13 +54,13 @@ def unpack(data: bytes | memoryview, bits: int, n: int) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-def write_shard(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
+def write_shard(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK, nulls: int = 0) -> bytes:
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id does not fit in {bits} bits")
     packed = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     at = np.zeros(len(packed) + 1, "<u8")
     np.cumsum([len(x) for x in packed], out=at[1:])
-    head = HEAD.pack(MAGIC, bits, block, len(ids), len(doc_ids), len(packed))
+    head = HEAD.pack(MAGIC, bits, block, len(ids), len(doc_ids), nulls, len(packed))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), starts.astype("<u8").tobytes(), at.tobytes(), *packed])
 
 
@@ -64,7 +69,7 @@ class Shard:
 
     def __init__(self, data: bytes):
         self.data = memoryview(data)
-        magic, self.bits, self.block, self.n_ids, n_docs, n_blocks = HEAD.unpack_from(data)
+        magic, self.bits, self.block, self.n_ids, n_docs, self.nulls, n_blocks = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a packed id file")
         at = HEAD.size
@@ -132,10 +137,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """Encode every whole text, append `end_id`, write shards in ascending id order (null ids first; equal ids by text
-    hash). Returns the manifest (shard, path, documents, ids): one entry for each shard, the only thing that the driver sees.
-    A shard's file gets its name in one step, so a repeated task replaces it by equal bytes. Empty table: no files.
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> list[tuple]:
+    """Encode every whole text, append `end_id`, write files in ascending id order (null ids first; equal ids by text
+    hash), by `shards` tasks over ranges of ids. Returns the manifest (shard, path, documents, ids) in order: one entry for each file, the
+    only thing that the driver sees. A file gets its name in one step, so a repeated task replaces it by equal bytes. Empty table: no files.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("tie", F.xxhash64("t")).repartitionByRange(shards, "k", "tie").sortWithinPartitions("k", "tie")
@@ -143,35 +148,45 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, made = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
         bits = bits_for(enc.tokenizer.get_vocab_size())
         end = np.array([end_id], "<u4").tobytes()
-        keys, lens, packed = [], [], []
+        keys, lens, packed, nulls, size = [], [], [], 0, 0
+
+        def file() -> pa.RecordBatch:
+            starts = np.zeros(len(lens) + 1, np.int64)
+            np.cumsum(lens, out=starts[1:])
+            path = f"{folder}/shard_{part:06d}_{made:06d}.tok"
+            put_file(path, write_shard(np.concatenate(keys), starts, np.concatenate(packed), bits, nulls=nulls))
+            return pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "path": [path], "docs": pa.array([len(lens)], pa.int64()), "ids": pa.array([int(starts[-1])], pa.int64())})
+
         for b in batches:
-            keys.append(b.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-            texts = b.column(1).to_pylist()
+            k, texts = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(texts), 64):
+                some = k.slice(i, 64)
                 got = enc.encode(texts[i : i + 64])
+                keys.append(some.fill_null(0).to_numpy(zero_copy_only=False))
+                nulls += some.null_count
                 lens += [len(x) // 4 + 1 for x in got]
                 packed.append(np.frombuffer(b"".join(x + end for x in got), "<u4").astype("<u2" if bits <= 16 else "<u4"))
-        if not lens:
-            return
-        starts = np.zeros(len(lens) + 1, np.int64)
-        np.cumsum(lens, out=starts[1:])
-        path = f"{folder}/shard_{part:06d}.tok"
-        put_file(path, write_shard(np.concatenate(keys), starts, np.concatenate(packed), bits))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int64()), "path": [path], "docs": pa.array([len(lens)], pa.int64()), "ids": pa.array([int(starts[-1])], pa.int64())})
+                size += len(packed[-1])
+                if size >= file_ids:
+                    yield file()
+                    made += 1
+                    keys, lens, packed, nulls, size = [], [], [], 0, 0
+        if lens:
+            yield file()
 
-    return sorted(tuple(r) for r in rows.select("k", "t").mapInArrow(run, "shard long, path string, docs long, ids long").collect())
+    return sorted((tuple(r) for r in rows.select("k", "t").mapInArrow(run, "shard long, path string, docs long, ids long").collect()), key=lambda r: r[1])
 
 
 def read_token_files(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32, shard. `start` counts the ids of all
     documents before it, by the manifest's running totals."""
     base, rows = 0, []
-    for shard, path, _, ids in manifest:
-        rows.append((shard, path, base))
+    for i, (_, path, _, ids) in enumerate(manifest):
+        rows.append((i, path, base))
         base += ids
     frame = spark.createDataFrame(rows, "shard long, path string, base long")
 
@@ -182,9 +197,8 @@ def read_token_files(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
                 for lo in range(0, len(s.doc_ids), 4096):
                     hi = min(lo + 4096, len(s.doc_ids))
                     crc = [zlib.crc32(s.doc(i).astype("<u4").tobytes()) for i in range(lo, hi)]
-                    k = s.doc_ids[lo:hi]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(k, pa.int64(), mask=k == NULL_ID), "start": pa.array(first + s.starts[lo:hi]),
+                        "doc_id": pa.array(s.doc_ids[lo:hi], pa.int64(), mask=np.arange(lo, hi) < s.nulls), "start": pa.array(first + s.starts[lo:hi]),
                         "n_tokens": pa.array(np.diff(s.starts[lo : hi + 1])), "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array([shard] * (hi - lo), pa.int64()),
                     })
 
@@ -195,8 +209,9 @@ def read_token_files(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
 
 
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, shard (number of the file) of every document, read from the files."""
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(4, min(100_000, -(-int(size) // SHARD_BYTES)))
-    return read_token_files(spark, write_token_files(docs, fresh_path(spark, "tokens"), _words.default_tokenizer(), 1, shards))
+    tasks = max(4, min(MAX_TASKS, -(-int(size) // TASK_BYTES)))
+    return read_token_files(spark, write_token_files(docs, fresh_path(spark, "tokens"), _words.default_tokenizer(), 1, tasks))

@@ -1,10 +1,12 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from netloom.llm import _words, bpe, token_binary, token_rollup
 from netloom.llm._shared import fresh_path
@@ -110,3 +112,38 @@ def test_rollup(spark, docs, nothing):
     assert r.apply("c", token_rollup.signed(more, "v1", -1, "m"))
     assert read() == {}
     assert r.apply("empty", token_rollup.signed(token_rollup.count_tokens(nothing, PATH), "v1", 1)) and read() == {}
+
+
+def test_very_long_words_take_no_quadratic_time():
+    rng = np.random.default_rng(6)
+    lib, own = _words.library(PATH), bpe.SpeculativeBPE(PATH)
+    for word in ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)), "a" * 200_000):
+        start = time.perf_counter()
+        got = own.ids(word)
+        assert time.perf_counter() - start < 8  # about 1.5 s where the machine is idle; a scan for each merge would take hours
+        assert got == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_long_words_are_not_kept_without_bound(monkeypatch):
+    monkeypatch.setattr(bpe, "KEEP_LETTERS", 10_000)
+    own = bpe.SpeculativeBPE(PATH)
+    for i in range(20):
+        own.encode(["x" * (3000 + i)])
+    assert sum(map(len, own.known)) < 20_000
+
+
+def test_a_task_rolls_its_files(spark, docs, monkeypatch):
+    folder, many = fresh_path(spark, "t"), fresh_path(spark, "t")
+    rows = docs.where("length(text) < 1000").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    one = token_binary.write_token_files(rows, folder, PATH, 1, 2)
+    rolled = token_binary.write_token_files(rows, many, PATH, 1, 2, file_ids=100)
+    assert len(rolled) > len(one) and sum(r[2] for r in rolled) == rows.count()
+    read = lambda m: sorted(str(tuple(r)[:4]) for r in token_binary.read_token_files(spark, m).collect())
+    assert read(one) == read(rolled)
+
+
+def test_ids_of_any_value_are_kept(spark):
+    ids = [None, -(1 << 63), 0, (1 << 63) - 1]
+    df = spark.createDataFrame([(i, f"some text {i}") for i in ids], "doc_id long, text string")
+    got = token_binary.read_token_files(spark, token_binary.write_token_files(df, fresh_path(spark, "t"), PATH, 1, 1)).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == ids
