@@ -1,7 +1,12 @@
 """Telephony audio columns: mu-law, A-law and IMA ADPCM in WAV containers, decoded to 16-bit PCM and resampled.
 
 mu-law and A-law expand by 256-entry tables built from their rule; ADPCM blocks are decoded with numpy across all blocks of a
-batch, one step for each nibble position. Results are PCM at the target rate, stored as little-endian 16-bit samples.
+batch, one step for each nibble position. `media_pcm` and `with_pcm` give the PCM at the target rate as a binary column of little-endian
+16-bit samples, to be stored like any column; the query's features are computed from that column.
+
+Null and empty texts are a file of 192 spaces; null media have null PCM. A very long text is one file; files are decoded in groups of
+bounded bytes. Repeated rows and equal texts have equal files, each row its own; ties cannot occur. An empty table gives no rows. to_media
+and media_pcm read only the id and the text or media; with_pcm keeps all columns but replaces those named rate and pcm.
 """
 
 from __future__ import annotations
@@ -16,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from netloom.llm._shared import arrow_map, tune
+from netloom.llm._shared import arrow_map, store, tune
 
 #: Fixed values of the formats: WAV format tags, bytes of an ADPCM block's data, the IMA index steps; sample rates.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 UNIT = 192
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int64)
 RATE, TARGET_RATE = 8000, 16000
+#: Bytes of files that are decoded together.
+GROUP_BYTES = 1 << 20
 #: The IMA step sizes, 89 of them, fixed values.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371,
@@ -104,10 +111,15 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation on the target's time grid, in whole numbers so that every machine gives the same samples."""
+    """Linear interpolation on the target's time grid, in whole numbers so that every machine gives the same samples. To a lower rate, each
+    sample is the mean of the samples that it stands for, which takes out what lies far above the new rate."""
     if rate == target or not len(pcm):
         return pcm.astype(np.int16)
     n = len(pcm) * target // rate
+    if target < rate:
+        cut = np.arange(n + 1, dtype=np.int64) * rate // target
+        total = np.concatenate([[0], np.cumsum(pcm, dtype=np.int64)])[cut]
+        return (np.diff(total) // np.diff(cut)).astype(np.int16)
     num = np.arange(n, dtype=np.int64) * rate
     i, frac = num // target, num % target
     a = pcm[i].astype(np.int64)
@@ -173,9 +185,9 @@ def with_pcm(media: DataFrame, target: int = TARGET_RATE, media_col: str = "medi
         files = b.column(at).to_pylist()
         pcm: list[bytes | None] = [None] * len(files)
         some = [i for i, x in enumerate(files) if x is not None]
-        for lo in range(0, len(some), 128):
-            part = some[lo : lo + 128]
-            for i, x in zip(part, decode_batch([files[i] for i in part], target), strict=True):
+        sizes = np.cumsum([len(files[i]) for i in some]) // GROUP_BYTES if some else np.zeros(0, np.int64)
+        for part in np.split(np.array(some, np.int64), np.flatnonzero(np.diff(sizes)) + 1):
+            for i, x in zip(part.tolist(), decode_batch([files[i] for i in part], target), strict=True):
                 pcm[i] = x.astype("<i2").tobytes()
         rate = pa.array([None if x is None else target for x in pcm], pa.int64())
         return pa.RecordBatch.from_arrays([*b.columns, rate, pa.array(pcm, pa.binary())], names=[*b.schema.names, "rate", "pcm"])
@@ -207,6 +219,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's file, read back from the table in which the files are stored."""
     tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_features(to_media(docs))
+    return media_features(store(to_media(docs), "media"))
