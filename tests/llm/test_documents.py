@@ -182,16 +182,15 @@ def test_mixing(docs, nothing):
     assert source_mixing.mixed(docs).count() == docs.count() and source_mixing.mixed(docs).columns == docs.columns
 
 
-def test_schedule_stays_within_one_block():
-    for weights in ({"a": 5.0, "b": 1.0, "c": 0.01}, {f"s{i}": 1.0 / (i + 1) for i in range(40)}, {"only": 1.0}):
-        q, k = source_mixing.quantised(weights)
-        assert sum(k.values()) == q and min(k.values()) >= 1
-        done = Counter()
-        plan = {t: n for n, _, t in source_mixing.schedule(q, k)}
-        assert len(plan) == q
-        for t in range(q):
-            done[plan[t]] += 1
-            assert all(abs(done[n] - (t + 1) * k[n] / q) < 1 for n in k)
+@pytest.mark.parametrize("counts", [{"a": 10_000, "b": 400, "c": 1}, {f"s{i}": 3 + 700 * i for i in range(40)}, {"only": 17}])
+def test_root_shares_stay_within_one_block(counts):
+    total, shares = source_mixing.root_shares(counts)
+    assert all(abs(k - c**0.5) <= 0.5 for k, c in zip(shares.values(), counts.values(), strict=True)) and total == sum(shares.values())
+    done, plan = Counter(), {t: n for n, _, t, *_ in source_mixing.schedule(total, shares, dict.fromkeys(counts, 10**6))}
+    assert sorted(plan) == list(range(total))
+    for t in range(total):
+        done[plan[t]] += 1
+        assert all(abs(done[n] - (t + 1) * k / total) < 1 for n, k in shares.items())
 
 
 def shuffled(n: int, seed: int) -> list[int]:
@@ -216,29 +215,43 @@ def test_shuffled_chain_of_versions_is_one_component(spark):
     assert [r["doc_id"] for r in ngram_join.keep_one(df, 5, 80).collect()] == [0]
 
 
-@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.29, "c": 0.01}, {"hot": 0.5, **{f"s{i}": 0.5 / 39 for i in range(39)}}, {"a": 2**0.5, "b": 3**0.5, "c": 1e-3}])
+@pytest.mark.parametrize("weights", [{"a": 0.7013, "b": 0.2003, "c": 0.0984}, {"hot": 0.5, **{f"s{i}": 0.5 / 39 for i in range(39)}}, {"a": 2**0.5, "b": 3**0.5, "c": 1e-3}])
 def test_schedule_keeps_to_the_targets(weights):
-    total = sum(weights.values())
-    blocks = {n: int(3000 * w / total) + 2 for n, w in weights.items()}
-    plan = list(source_mixing.exact_schedule(*source_mixing.exact(weights), blocks))
-    assert {(n, b) for n, b, *_ in plan} == {(n, b) for n in blocks for b in range(blocks[n])} and len({t for _, _, t, _, _ in plan}) == len(plan)
-    done, at = Counter(), {t: n for n, _, t, _, _ in plan}
-    for t in range(3000):
-        done[at[t]] += 1
-        assert all(abs(done[n] - (t + 1) * w / total) < 1 + 1e-6 for n, w in weights.items())
+    """Over a million slots (as many periods as these take), against the given weights."""
+    total, shares = source_mixing.exact(weights)
+    whole, slots = sum(weights.values()), min(10**6, total) if total < 10**9 else 20_000
+    blocks = {n: int(slots * w / whole) + 2 for n, w in weights.items()}
+    done, worst = dict.fromkeys(weights, 0), 0.0
+    for n, b, t, r, due in source_mixing.schedule(total, shares, blocks):
+        assert r <= t < due and b == done[n]
+        done[n] += 1
+        if t % 7 == 0 and t < slots:
+            worst = max(worst, max(abs(done[m] - (t + 1) * w / whole) for m, w in weights.items()))
+    assert worst < 1 + 1e-6 and (total > 10**6 or done == shares)  # a period ends with every source at its due share
 
 
 def test_mixing_keeps_to_given_weights(spark, monkeypatch):
-    monkeypatch.setattr(source_mixing, "PIECE", 300)
-    sizes, weights = {"a": 700, "b": 290, "c": 10, "last": 3}, {"a": 0.7, "b": 0.29, "c": 0.01, "last": 0.0}
-    df = spark.createDataFrame([(i, n, str(i)) for n, c in sizes.items() for i in range(c)], "doc_id long, source string, text string")
-    rows = sorted(source_mixing.mixing_order(df, weights, block=1).collect(), key=lambda r: r["slot"])
-    assert len(rows) == sum(sizes.values()) and [r["source"] for r in rows[-3:]] == ["last"] * 3
-    assert all(r["release"] <= r["slot"] < r["due"] for r in rows)
-    done = Counter()
-    for r in rows[:1000]:
-        done[r["source"]] += 1
-        assert all(abs(done[n] - (r["slot"] + 1) * w) < 1 + 1e-6 for n, w in weights.items())
+    sizes, weights = {"a": 700, "b": 290, "c": 10, "last": 3, "": 2}, {"a": 0.7, "b": 0.29, "c": 0.01, "last": 0.0, "": 0.0}
+    rows = [(i, n, str(i)) for n, c in sizes.items() for i in range(c)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for broadcast in (100_000, 10):
+        monkeypatch.setattr(source_mixing, "MAX_BROADCAST", broadcast)
+        monkeypatch.setattr(source_mixing, "PIECE", 30)
+        got = sorted(source_mixing.mixing_order(df, weights, block=1).collect(), key=lambda r: r["slot"])
+        assert len(got) == len(rows) and [r["source"] for r in got[-5:]] == ["", "last", "", "last", "last"]
+        assert all(r["release"] <= r["slot"] < r["due"] for r in got) and len({r["slot"] for r in got}) == len(got)
+        done = Counter()
+        for r in got[:1000]:
+            done[r["source"]] += 1
+            assert all(abs(done[n] - (r["slot"] + 1) * w) < 1 + 1e-6 for n, w in weights.items())
+    with pytest.raises(ValueError):
+        source_mixing.mixing_order(df, {"a": -1.0, "b": 2.0})
+
+
+def test_null_and_empty_sources_are_apart(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "", "x") for i in range(40)], "doc_id long, source string, text string")
+    got = source_mixing.mixing_order(df, block=4).collect()
+    assert len({(r["source"], r["block"], r["place"]) for r in got}) == 40 and len({r["slot"] for r in got}) == 10
 
 
 def test_no_bundle_grows_with_a_common_passage(spark, monkeypatch):
