@@ -147,3 +147,38 @@ def test_ids_of_any_value_are_kept(spark):
     df = spark.createDataFrame([(i, f"some text {i}") for i in ids], "doc_id long, text string")
     got = token_binary.read_token_files(spark, token_binary.write_token_files(df, fresh_path(spark, "t"), PATH, 1, 1)).collect()
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == ids
+
+
+def test_commits_during_and_between_compactions(spark):
+    rows = lambda n: spark.createDataFrame([("s", "l", "v", 1, n)], token_rollup.SCHEMA)
+    r = token_rollup.TokenRollup(spark, fresh_path(spark, "r"))
+    read = lambda: [tuple(x)[3:] for x in r.totals().collect()]
+    assert r.apply("a/1", rows(5)) and r.apply("b", rows(7)) and read() == [(2, 12)]
+    plain = r._sum
+
+    def late(base, commits):
+        out = plain(base, commits)
+        assert r.apply("late", rows(100))  # lands after the listing
+        return out
+
+    r._sum = late
+    r.compact()
+    r._sum = plain
+    assert read() == [(3, 112)] and r.batches() == ["late"]
+    assert not r.apply("a/1", rows(5)) and not r.apply("late", rows(1)) and read() == [(3, 112)]
+    r.compact()
+    assert read() == [(3, 112)] and r.batches() == [] and not r.apply("b", rows(7))
+    assert not r._mark("base-00000002", ["x"]) and r._read("base-00000002")[0] != "x"
+
+
+def test_rollup_query(spark, docs, tmp_path):
+    docs.union(docs.where("doc_id = 5")).write.parquet(str(tmp_path / "documents.parquet"))
+    lib, want, seen = _words.library(PATH), {}, set()
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).collect()
+    for d in sorted(rows, key=lambda d: (d["doc_id"] is None, d["doc_id"] or 0, d["source"] or "")):
+        if (t := d["text"] or "") not in seen:
+            seen.add(t)
+            k = (d["source"], d["lang"], "word_bpe_49k/1")
+            n, m = want.get(k, (0, 0))
+            want[k] = (n + 1, m + len(lib.encode(t, add_special_tokens=False).ids) + 1)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in token_rollup.op2_token_rollup(spark, str(tmp_path)).collect()} == want
