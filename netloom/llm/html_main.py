@@ -5,7 +5,11 @@ features of its subtree (text density, link share, punctuation), attribute token
 on generated pages (TRAIN_PAGES, a fixed seed) give each node log odds of holding article text. Decoding picks the labelling of
 highest total in which nothing under a dropped node is kept and a kept node's ancestors are kept.
 
-Null, empty and tag-free pages: text that stands in no element counts as the body's own. A page with no article gives an empty text.
+Text that stands loose in the body is a node of its own, so the trees label it like any other. Null, empty and tag-free pages: without text the
+result is empty, else the text is one such node. A page with no article gives an empty text. Very long pages are read whole, in
+linear time: an element that its end tag should close never takes the rest of the page with it, except an open script or style, whose rest is
+no text. Repeated rows and null ids stay as they are, in any order; a node whose two labels tie is dropped. An empty table gives no
+rows. Only page_id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from netloom.llm._shared import tune
 TRAIN_PAGES = 700
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
 #: Elements whose content is never markup or text of the page, elements without content, and elements that make a block.
-RAW = "script|style|title|textarea"
+RAW = frozenset("script style title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""html body div section article main header footer nav aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead
 tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup center menu dialog legend
@@ -37,11 +41,13 @@ PHRASING = frozenset("select datalist optgroup option".split())
 #: What a start tag closes if it is open above it: a paragraph ends at any block, list and table parts end at their like.
 CLOSES = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 STOP = {"option": {"select", "datalist", "optgroup"}, "optgroup": {"select"}, "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}}
-KINDS = ["nav", "footer", "header", "aside", "form", "article", "main", "section", "p", "li", "ul", "table", "div", "h", "body"]
+KINDS = ["nav", "footer", "header", "aside", "form", "article", "main", "section", "p", "li", "ul", "table", "div", "h", "body", "#text", "select"]
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?![\w:-])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""",
-    re.S | re.I,
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attr>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|</?[a-zA-Z][^>]*\Z""",
+    re.S,
 )
+#: The end tag of an element whose content is no markup.
+SHUT = {tag: re.compile(rf"</{tag}(?![\w:-])[^>]*>", re.I) for tag in RAW}
 ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -56,16 +62,23 @@ class Page:
         self.segments: list[tuple[int, str, int]] = []  # node, text, characters inside links
         tags, parents, attrs = self.tags, self.parents, self.attrs
         now, words, linked, in_link, at = 0, [], 0, False, 0
+        open_ended: set[str] = set()  # raw elements that no end tag follows any more
 
         def flush() -> None:
             nonlocal words, linked
             if words:
                 text = " ".join(unescape("".join(words)).split())
                 if text:
-                    self.segments.append((now, text, min(linked, len(text))))
+                    node = now
+                    if not now:  # loose in the body
+                        node = len(tags)
+                        tags.append("#text")
+                        parents.append(0)
+                        attrs.append(())
+                    self.segments.append((node, text, min(linked, len(text))))
                 words, linked = [], 0
 
-        for m in TOKEN.finditer(html):
+        while m := TOKEN.search(html, at):
             lo = m.start()
             if lo > at:
                 words.append(html[at:lo])
@@ -76,6 +89,15 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in RAW and not m["end"]:
+                shut = None if tag in open_ended else SHUT[tag].search(html, at)
+                if shut:
+                    at = shut.end()
+                elif tag in ("script", "style"):
+                    at = len(html)
+                else:
+                    open_ended.add(tag)
+                continue
             if tag not in BLOCK:
                 if tag == "br":
                     words.append(" ")
@@ -173,7 +195,7 @@ def features(page: Page, odds: dict[str, float]) -> np.ndarray:
             alike[i], bad[i], good[i], up_kind[i], before[i] / total, same[p, page.tags[i]], links[p] / (chars[p] + 1), c / (chars[p] + 1), seg[i], pun[p] / (chars[p] + 1), len(page.attrs[i]),
         )
         tag = page.tags[i]
-        k = "h" if tag[0] == "h" and tag[1:].isdigit() else "li" if tag in ("dd", "dt") else "ul" if tag in ("ol", "dl", "menu") else "table" if tag in ("tr", "td", "th", "tbody") else tag
+        k = "h" if tag[0] == "h" and tag[1:].isdigit() else "li" if tag in ("dd", "dt") else "ul" if tag in ("ol", "dl", "menu") else "table" if tag in ("tr", "td", "th", "tbody") else "select" if tag in PHRASING else tag
         if k in KINDS:
             out[i, 22 + KINDS.index(k)] = 1
     return out
@@ -231,7 +253,7 @@ class Boosted:
 
 
 def decode(parents: list[int], odds: list[float]) -> list[bool]:
-    """The labelling of highest total of +-odds in which the children of a dropped node are dropped. The root is kept."""
+    """The labelling of highest total of +-odds in which the children of a dropped node are dropped. The root, which has no text, is kept."""
     n = len(parents)
     keep, drop = list(odds), [-x for x in odds]
     for i in range(n - 1, 0, -1):
@@ -290,6 +312,10 @@ def generated_page(rng: random.Random) -> str:
     def links(k: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{" ".join(word() for _ in range(rng.randint(1, 4)))}</a></li>' for _ in range(k)) + "</ul>"
 
+    def choice() -> str:
+        tag = rng.choice(["select", "select", "datalist"])
+        return f"<{tag}>" + "".join(f"<option>{word()}" + rng.choice(["</option>", ""]) for _ in range(rng.randint(1, 6))) + f"</{tag}>"
+
     def extra(kind: str) -> str:
         names = BAD_NAMES[kind]
         tag = {"nav": "nav", "footer": "footer", "header": "header", "aside": "aside", "form": "form"}.get(kind, "div")
@@ -298,7 +324,7 @@ def generated_page(rng: random.Random) -> str:
         inner = {
             "nav": lambda: links(rng.randint(3, 12)) if rng.random() < 0.8 else " | ".join(f"<a href='#'>{word()}</a>" for _ in range(6)), "footer": lambda: f"&copy; {word()}.example &middot; {sentence(2, 12)}" + (links(3) if rng.random() < 0.4 else ""),
             "header": lambda: f"<{(h := rng.choice(['h1', 'h2', 'div', 'p']))}><a href='/'>{word()} {word()}</a></{h}>" + (f"<p>{sentence(2, 8)}</p>" if rng.random() < 0.5 else ""), "aside": lambda: f"<h3>{word()}</h3>" + (links(rng.randint(3, 8)) if rng.random() < 0.6 else f"<p>{prose(rng.randint(1, 2))}</p>"),
-            "ad": lambda: sentence(2, 20) if rng.random() < 0.6 else f"<p>{sentence(2, 20)}</p><a href='#'>{word()}</a>", "notice": lambda: f"<p>{prose(rng.randint(1, 2))}</p><a href='#'>{word()}</a>" if rng.random() < 0.7 else sentence(3, 20), "form": lambda: f"<label>{sentence(1, 4)}</label><input name='q'><p>{sentence(2, 8)}</p>",
+            "ad": lambda: sentence(2, 20) if rng.random() < 0.6 else f"<p>{sentence(2, 20)}</p><a href='#'>{word()}</a>", "notice": lambda: f"<p>{prose(rng.randint(1, 2))}</p><a href='#'>{word()}</a>" if rng.random() < 0.7 else sentence(3, 20), "form": lambda: f"<label>{sentence(1, 4)}</label><input name='q'><p>{sentence(2, 8)}</p>" + (choice() if rng.random() < 0.4 else ""),
             "comments": lambda: f"<h3>{word()}</h3>" + "".join(f"<div class='{rng.choice(['comment', 'reply', 'c'])}'><b>{word()}</b><p>{prose(rng.randint(1, 3))}</p></div>" for _ in range(rng.randint(1, 5))) if rng.random() < 0.8 else "<ol>" + "".join(f"<li><p>{prose(rng.randint(1, 3))}</p></li>" for _ in range(3)) + "</ol>",
             "share": lambda: " ".join(f"<a href='#'>{word()}</a>" for _ in range(4)),
         }[kind]()
@@ -333,6 +359,22 @@ def generated_page(rng: random.Random) -> str:
     core = f"<{tag}{attr}>{title}{''.join(body)}</{tag}>"
     if rng.random() < 0.35:
         core = f"<div{named(GOOD_NAMES)}>{core}{extra(rng.choice(['comments', 'share', 'aside'])) if rng.random() < 0.4 else ''}</div>"
+    r = rng.random()
+    if r < 0.06:  # an article that stands loose in the body
+        core = f"{title}{''.join(body)}"
+    elif r < 0.16:
+        core = title + "<hr>".join("\x01" + "<br><br>".join(prose(rng.randint(2, 6)) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+
+    def loose() -> str:
+        """What is no article and stands loose in the body."""
+        kind = rng.random()
+        if kind < 0.4:
+            return rng.choice([" | ", " &middot; ", " &raquo; ", " "]).join(word().capitalize() for _ in range(rng.randint(2, 7))) + (f"<br>{sentence(1, 5)}" if rng.random() < 0.4 else "")
+        if kind < 0.7:
+            return rng.choice([" | ", " - ", " "]).join(f"<a href='/{word()}'>{word()}</a>" for _ in range(rng.randint(1, 7)))
+        return f"&copy; {rng.randint(1995, 2030)} {word()} {sentence(1, 6)}" if kind < 0.85 else sentence(2, 9)
+
+    core = (choice() if rng.random() < 0.06 else "") + (loose() if rng.random() < 0.12 else "") + core + (f"<hr>{loose()}" if rng.random() < 0.12 else "")
     top = "".join(extra(k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.5)
     end = "".join(extra(k) for k in ("aside", "comments", "ad", "form", "nav", "footer") if rng.random() < 0.45)
     return f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{}}</style></head><body>{top}{core}{end}" + rng.choice(["</body></html>", ""])
@@ -383,5 +425,6 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
     tune(spark)
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -214,3 +215,66 @@ def test_media_columns_give_pcm(docs):
     assert got.columns == ["doc_id", "rate", "pcm"]
     want = [(r["doc_id"], telephony.TARGET_RATE, x.astype("<i2").tobytes()) for r in media.collect() for x in telephony.decode_batch([r["media"]])]
     assert sorted((str(r["doc_id"]), r["rate"], bytes(r["pcm"])) for r in got.collect()) == sorted((str(i), n, x) for i, n, x in want)
+
+
+LINES = ["The river rose in the night, and by the morning it had reached the old bridge.", "People came out to watch, and some of them stayed until noon."]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in LINES)
+ARTICLE = f"<article><h1>Title of it</h1>{PARAGRAPHS}</article>"
+WHOLE = "\n".join(["Title of it", *LINES])
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<body>Home | About | Contact<br>Subscribe now!{ARTICLE}</body>", WHOLE),
+        (f"<div class=top><button>go</div>{ARTICLE}", WHOLE),
+        (f"<datalist><option>A<option>B</datalist>{ARTICLE}", WHOLE),
+        (f"<form><select><option>A<option>B</select><textarea></form>{ARTICLE}", WHOLE),
+        (f"<!-- x --!>{ARTICLE}<!-- open", WHOLE),
+        (f"<!-->{ARTICLE}<!--->", WHOLE),
+        (f"<title>Some page<body>{ARTICLE}", WHOLE),
+        (f"<title>Some page</title>{ARTICLE}<script>var x = '<p>no</p>'", WHOLE),
+        (f"<script>var a = '</p>'</script >{ARTICLE}<STYLE>p {{}}</STYLE>", WHOLE),
+        (f"{ARTICLE}<section id=comments><h3>Comments</h3><div class=comment><b>Ann</b><p>I was there, it was wet.</p></div></section>", WHOLE),
+        (f"<div class='cookie-banner'><p>We use cookies to improve this site. By staying you agree.</p><a href=#>OK</a></div><main>{PARAGRAPHS}</main>", "\n".join(LINES)),
+        (f"<div class=nav><a href=/>Home</a> <a href=/b>News</a></div>{PARAGRAPHS}<div id=footer>&copy; 2020 Paper</div>", "\n".join(LINES)),
+        (f"<h1>Title of it</h1>{LINES[0]}<br><br>{LINES[1]}<hr>&copy; 2020 The Paper", f"Title of it\n{LINES[0]} {LINES[1]}"),
+        (" ".join(LINES), " ".join(LINES)),
+        (f"<main>{PARAGRAPHS.replace('river', 'r&iacute;ver &#8211; &amp;').replace(' ', chr(10) + '  ')}</main>", "\n".join(LINES).replace("river", "ríver – &")),
+        ("<nav><a href=/>Home</a></nav><footer>&copy; 2020</footer>", ""),
+    ],
+)
+def test_pages_written_by_hand(html, want):
+    assert html_main.trained().texts([html])[0] == want
+
+
+def test_pages_with_many_open_elements_take_linear_time():
+    start = time.perf_counter()
+    html_main.Page("<textarea><title><button><option>x" * 20_000)
+    assert time.perf_counter() - start < 20
+
+
+def blog_page(rng):
+    """Pages of another make than those that the trees learn from, with their article's blocks."""
+    w = lambda: rng.choice(["stone", "harbour", "letter", "winter", "garden", "market", "between", "quietly", "seven", "under", "went", "and", "the", "a"])
+    line = lambda lo, hi: " ".join(w() for _ in range(rng.randint(lo, hi))).capitalize() + "."
+    blocks = [line(4, 9), *(" ".join(line(6, 18) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(2, 9)))]
+    menu = "".join(f"<a href='/{w()}'>{w()}</a> " for _ in range(rng.randint(3, 9)))
+    side = "".join(f"<li><a href='/{w()}'>{line(3, 6)}</a>" for _ in range(rng.randint(2, 6)))
+    inner = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}" for b in blocks[1:])
+    top = rng.choice([f"<div class='site-header'><div id='logo'>{w()}</div><div class='menu'>{menu}</div></div>", f"<header><nav>{menu}</nav></header>", menu + "<hr>"])
+    main = rng.choice([f"<div class='post'><div class='entry-content'>{inner}</div></div>", f"<main><article class='story'>{inner}</article></main>", f"<div id='content'>{inner}</div>"])
+    talk = f"<div id='comments'><ol>{''.join(f'<li class=comment><p>{line(4, 12)}</p>' for _ in range(rng.randint(1, 4)))}</ol></div>" if rng.random() < 0.5 else ""
+    end = rng.choice([f"<div class='footer'>Copyright {w()} {line(2, 5)}</div>", f"<footer><p>{line(2, 6)}</p>{menu}</footer>"])
+    return f"<html><body>{top}<div class='wrap'>{main}{talk}<div class='sidebar'><h4>{w()}</h4><ul>{side}</ul></div></div>{end}</body></html>", blocks
+
+
+def test_precision_and_recall_on_pages_of_another_make():
+    rng, hit, found, all_ = random.Random(77), 0, 0, 0
+    for _ in range(200):
+        html, blocks = blog_page(rng)
+        got = html_main.trained().texts([html])[0].split("\n")
+        hit += sum(b in got for b in blocks)
+        found += len(got)
+        all_ += len(blocks)
+    assert hit / all_ > 0.98 and hit / found > 0.95, (hit / all_, hit / found)
