@@ -7,6 +7,15 @@ It learns from a bounded sample of labelled rows (MAX_TRAIN, the smallest by has
 identity term the term is swapped for each other one, or dropped, and the change of the score over all features (the word and its
 beginnings) is penalised; every term is also put into neutral sentences. Of a text only the words that start like a term matter for
 that change, so these are what the driver gets. L1 keeps only words that carry the label, which is what makes long clean texts safe.
+
+The fit has three documented bounds: MAX_TRAIN labelled rows, MAX_TRAIN_BYTES of their features (rows in hash order up to that, at least
+one), and MAX_FEATURES features of those rows, the ones that tell most about the label, with all identity terms among them. Scoring
+has none.
+
+Null and empty texts score the bias alone and teach nothing if null. Rows without id or label teach nothing. Of repeated labels of one id the
+largest counts; equal feature sets (copies of a text among them) teach once. Ties of the hash order are broken by id. A very long
+text is read whole, in learning and in scoring. Empty labels, or labels of one kind, give a model of the bias alone; an empty table gives no
+rows. Only doc_id, text and toxic are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import _bytes as B
-from netloom.llm._shared import tune
+from netloom.llm._shared import discard, store, tune
 
-MAX_TRAIN = 8000
+MAX_TRAIN, MAX_TRAIN_BYTES = 8000, 64 << 20
 #: Bytes of word beginnings; different words of one beginning that make it a feature of its own.
 BEGINNINGS, SEVERAL = (4, 5, 6, 7), 3
 MAX_FEATURES = 4096
@@ -243,8 +252,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_pydict({"toxic": pa.array(labels_[lo:hi], pa.int32()), "f": pa.array([vals[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary()), "near": pa.array(near_terms(x, o), pa.string())})
 
     # one row per text: copies of a labelled text must not count as evidence of their own
-    got = rows.mapInArrow(run, "toxic int, f binary, near string").groupBy("f").agg(F.max("toxic").alias("toxic"), F.min("near").alias("near")).orderBy(F.xxhash64("f")).limit(MAX_TRAIN).collect()
-    return train([np.frombuffer(r["f"], np.uint64) for r in got], np.array([r["toxic"] for r in got]), [r["near"] for r in got])
+    got = rows.mapInArrow(run, "toxic int, f binary, near string").groupBy("f").agg(F.max("toxic").alias("toxic"), F.min("near").alias("near"))
+    got = store(got.withColumn("h", F.xxhash64("f")).orderBy("h").limit(MAX_TRAIN), "training")
+    order = sorted((r[0], r[1]) for r in got.select("h", F.length("f") + F.length("near")).collect())
+    size = np.cumsum([n for _, n in order])
+    taken = max(1, int(np.searchsorted(size, MAX_TRAIN_BYTES, "right")))
+    sample = got.where(F.col("h") <= order[taken - 1][0]).collect() if order else []
+    discard(got)
+    sample.sort(key=lambda r: (r["h"], bytes(r["f"])))
+    return train([np.frombuffer(r["f"], np.uint64) for r in sample], np.array([r["toxic"] for r in sample]), [r["near"] for r in sample])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -261,6 +277,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
     tune(spark)
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = score_documents(docs, learn(docs, labels))

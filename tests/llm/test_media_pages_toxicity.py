@@ -278,3 +278,40 @@ def test_precision_and_recall_on_pages_of_another_make():
         found += len(got)
         all_ += len(blocks)
     assert hit / all_ > 0.98 and hit / found > 0.95, (hit / all_, hit / found)
+
+
+def test_swaps_in_held_out_texts_with_a_weak_signal(spark, monkeypatch):
+    """The term goes with the label, and the signal is in half of the toxic rows only."""
+    rng = np.random.default_rng(9)
+    plain = [f"{a}{b}" for a in ("plain", "quiet", "green", "narrow") for b in ("field", "house", "water", "stone", "paper")]
+    rows = []
+    for i in range(3000):
+        toxic = int(rng.random() < 0.3)
+        words = [str(w) for w in rng.choice(plain, 10)]
+        if rng.random() < (0.8 if toxic else 0.1):
+            words.append("muslim")
+        if toxic and rng.random() < 0.5:
+            words.append("vile")
+        rows.append((i, " ".join(words), toxic))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    held = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1 and "muslim" in t]
+
+    def gap():
+        model = toxicity.learn(df, labels)
+        score = lambda w: model.score(pa.array([t.replace("muslim", w) for t in held]))
+        return max(float(np.abs(score("muslim") - score(w)).mean()) for w in ("buddhist", "women", ""))
+
+    with_penalty = gap()
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    without = gap()
+    assert with_penalty < 0.1 and without > 2 * with_penalty, (with_penalty, without)
+
+
+def test_the_fit_stays_within_its_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_BYTES", 4000)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda f, y, near: seen.append(sum(map(len, f)) * 8))
+    df = spark.createDataFrame([(i, f"word{i} other{i} " * 3) for i in range(300)] + [(300, " ".join(f"long{i}" for i in range(20_000)))], "doc_id long, text string")
+    toxicity.learn(df, spark.createDataFrame([(i, 1, i % 2) for i in range(301)], "doc_id long, quality int, toxic int"))
+    assert 0 < seen[0] <= 4000
