@@ -7,7 +7,9 @@ repeated 8-word windows) reject a document beforehand; such documents take no pa
 
 EM needs a corpus: among a few dozen documents, junk that a single rule notices may pass as good.
 
-A null or empty text has no words: every count is 0 and base_failed is true. Null ids and repeated rows stay as they are.
+A null or empty text has no words: every count is 0 and base_failed is true. Null ids and repeated rows stay as they are, and each repeated
+row votes. Very long texts are counted whole. The order of rows plays no part; a posterior that ties with KEEP_AT keeps. An empty
+table gives no rows. Only the id and the text are read; keep_good gives all columns back, whatever their names.
 """
 
 from __future__ import annotations

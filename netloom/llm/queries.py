@@ -1,8 +1,7 @@
-"""The subpackage's queries and their SQL."""
+"""The subpackage's queries and their SQL; the pipeline registers itself."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from netloom.llm import quality_rules, source_mixing
 from netloom.llm.bpe import op5_bpe
 from netloom.llm.html_main import op7_html_main
@@ -16,7 +15,6 @@ from netloom.llm.token_rollup import op2_token_rollup
 from netloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_token_rollup": op2_token_rollup,
     "op3_token_binary": op3_token_binary,
@@ -32,5 +30,3 @@ ORACLE_SQL = {
     "op6_quality_rules": quality_rules.oracle(),
     "op9_source_mixing": source_mixing.oracle(),
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from netloom.llm import _words, ngram_join, quality_rules
+from netloom.llm import _shared, _words, ngram_join, quality_rules
 from test_documents import components, removed_spans, shingle_set
 
 
@@ -28,3 +28,23 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         want[i] = len(lib.encode(rest, add_special_tokens=False).ids)
     assert {r["doc_id"]: r["n_tokens"] for r in got} == dict(want)
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None] and ngram_join.PERCENT == 85
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, nothing):
+    """Nulls in every column, repeated rows, a very long text, and columns named like those that operators use inside."""
+    for rows in (docs, nothing):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, "")
+            assert out.columns == rows.columns if k < 4 else out.columns[0] == "doc_id", name
+            n = out.count()
+            assert n == rows.count() if k > 1 or rows is nothing else n < rows.count(), name
+
+
+def test_a_sweep_leaves_tables_of_others(spark):
+    mine = _shared.store(spark.range(3).toDF("a"), "mine")
+    with _shared.owned("someone"):
+        _shared.store(spark.range(3).toDF("a"), "theirs")
+    corpus_pipeline.begin(spark)
+    _shared.sweep(spark, "someone")
+    assert mine.count() == 3
+    _shared.discard(mine, spark.range(1))
