@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.kdtree import KDTree
 from netloom.functions.special import TOL, chi2_sf, digamma, t_two_sided
 from netloom.functions.weighted_chi2 import hbe_complement, lpb4_complement
 from netloom.operators.kde import training_matrix
@@ -219,26 +220,6 @@ class MutualInformation(_DataTest):
 # ---------------------------------------------------------------- nearest neighbours
 
 
-def chebyshev_kth(cols: np.ndarray, k: int) -> np.ndarray:
-    """Distance of each row to its k-th neighbour, itself left out, in blocks."""
-    n = len(cols)
-    out, step = np.empty(n), max(1, 2_000_000 // max(n, 1))
-    for lo in range(0, n, step):
-        d = np.abs(cols[lo : lo + step, None] - cols[None]).max(2)
-        out[lo : lo + step] = np.partition(d, k, axis=1)[:, k]
-    return out
-
-
-def count_inside(cols: np.ndarray, eps: np.ndarray) -> np.ndarray:
-    """Rows strictly inside eps of each row, itself included."""
-    n = len(cols)
-    out, step = np.empty(n, np.int64), max(1, 2_000_000 // max(n, 1))
-    for lo in range(0, n, step):
-        d = np.abs(cols[lo : lo + step, None] - cols[None]).max(2)
-        out[lo : lo + step] = (d < eps[lo : lo + step, None]).sum(1)
-    return out
-
-
 def ranks(v: np.ndarray, rng: np.random.Generator | None = None) -> np.ndarray:
     out = np.empty(len(v))
     tie = np.arange(len(v)) if rng is None else rng.permutation(len(v))
@@ -250,17 +231,17 @@ def knn_mi(x: np.ndarray, y: np.ndarray, z: np.ndarray | None, k: int) -> float:
     """x, y: ranks; z: ranks as columns."""
     n = len(x)
     if z is None or not z.shape[1]:
-        eps = chebyshev_kth(np.column_stack([x, y]), k)
+        eps = KDTree(np.column_stack([x, y])).neighbours(k + 1)[0][:, k]
         inside = lambda r: np.minimum(1 + r, eps) + np.minimum(n - r, eps) - 1
         return float(digamma(k) + digamma(n) - np.mean(digamma(inside(x)) + digamma(inside(y))))
-    eps = chebyshev_kth(np.column_stack([x, y, z]), k)
-    nz, nxz, nyz = (count_inside(c, eps) for c in (z, np.column_stack([x, z]), np.column_stack([y, z])))
+    eps = KDTree(np.column_stack([x, y, z])).neighbours(k + 1)[0][:, k]
+    nz, nxz, nyz = (KDTree(c).count_inside(eps) for c in (z, np.column_stack([x, z]), np.column_stack([y, z])))
     return float(digamma(k) + np.mean(digamma(nz) - digamma(nxz) - digamma(nyz)))
 
 
 class KMutualInformation(_DataTest):
-    """Nearest-neighbour mutual information on ranks with a permutation p-value. Permutations are spread over the executors; the rows are
-    the method's own bounded input, at most MAX_ROWS."""
+    """Nearest-neighbour mutual information on ranks with a permutation p-value. The unpermuted statistic and the permutations are
+    tasks of the executors, over one broadcast of the rows, which are the method's own bounded input, at most MAX_ROWS."""
 
     MAX_ROWS = 200_000
 
@@ -268,7 +249,7 @@ class KMutualInformation(_DataTest):
         super().__init__(data)
         self.k, self.seed, self.shuffle_neighbors, self.samples = k, 0 if seed is None else seed, shuffle_neighbors, samples
         if self.data.num_rows > self.MAX_ROWS:
-            raise ValueError(f"more than {self.MAX_ROWS} rows for a quadratic method")
+            raise ValueError(f"more than {self.MAX_ROWS} rows")
         if k >= self.data.num_rows:
             raise ValueError("k must be smaller than the number of rows")
 
@@ -279,39 +260,36 @@ class KMutualInformation(_DataTest):
         m = training_matrix(self.data, cols)
         return m[np.lexsort(m.T[::-1])]
 
-    def mi(self, x, y, z=None) -> float:
+    def _statistics(self, x, y, z, samples: int) -> DataFrame:
+        """(i, mi): the statistic of the rows as they are (i = -1) and of `samples` permutations."""
         m = self._matrix([x, y, *as_list(z)])
-        r = np.column_stack([ranks(c) for c in m.T])
-        return knn_mi(r[:, 0], r[:, 1], r[:, 2:], self.k)
-
-    def pvalue(self, x, y, z=None):
-        m = self._matrix([x, y, *as_list(z)])
-        r = np.column_stack([ranks(c) for c in m.T])
-        base, k, seed = knn_mi(r[:, 0], r[:, 1], r[:, 2:], self.k), self.k, self.seed
-        near = None
-        if m.shape[1] > 2:
-            raw, s = m[:, 2:], min(self.shuffle_neighbors, len(m) - 1)
-            near = np.empty((len(m), s + 1), np.int64)
-            step = max(1, 2_000_000 // len(m))
-            for lo in range(0, len(m), step):
-                d = np.abs(raw[lo : lo + step, None] - raw[None]).max(2)
-                near[lo : lo + step] = np.argsort(d, axis=1, kind="stable")[:, : s + 1]
-        spark = self.data.df.sparkSession
-        shared = spark.sparkContext.broadcast((r, near))
-
-        def one(rng: np.random.Generator) -> float:
-            r, near = shared.value
-            if near is None:
-                return knn_mi(rng.permutation(r[:, 0]), r[:, 1], None, k)
-            return knn_mi(local_permutation(r[:, 0], near, rng), r[:, 1], r[:, 2:], k)
+        k, seed, spark, s = self.k, self.seed, self.data.df.sparkSession, min(self.shuffle_neighbors, len(m) - 1)
+        shared = spark.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, near = shared.value, None
+            r = np.column_stack([ranks(c) for c in m.T])
             for b in batches:
-                hit = [int(one(np.random.default_rng([seed, i])) >= base) for i in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], ["hit"])
+                for i in b.column(0).to_pylist():
+                    first, rng = r[:, 0], np.random.default_rng([seed, i + 1])
+                    if i >= 0 and m.shape[1] == 2:
+                        first = rng.permutation(first)
+                    elif i >= 0:
+                        if near is None:
+                            near = KDTree(m[:, 2:]).neighbours(s + 1)[1]
+                        first = local_permutation(first, near, rng)
+                    v = knn_mi(first, r[:, 1], r[:, 2:], k)
+                    yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "mi": pa.array([v], pa.float64())})
+
+        parts = min(samples + 1, 4 * spark.sparkContext.defaultParallelism)
+        return spark.range(-1, samples, 1, parts).mapInArrow(run, "i long, mi double")
 
-        parts = min(self.samples, 4 * spark.sparkContext.defaultParallelism)
-        return spark.range(0, self.samples, 1, parts).mapInArrow(run, "hit long").agg(F.sum("hit")).first()[0] / self.samples
+    def mi(self, x, y, z=None) -> float:
+        return self._statistics(x, y, z, 0).first()["mi"]
+
+    def pvalue(self, x, y, z=None):
+        row = self._statistics(x, y, z, self.samples).agg(F.max(F.when(F.col("i") < 0, F.col("mi"))).alias("base"), F.collect_list(F.when(F.col("i") >= 0, F.col("mi"))).alias("all")).first()
+        return sum(v >= row["base"] for v in row["all"]) / self.samples
 
 
 def local_permutation(x: np.ndarray, near: np.ndarray, rng: np.random.Generator) -> np.ndarray:

@@ -99,11 +99,11 @@ def training_matrix(data: Dataset, variables: Sequence[str]) -> np.ndarray:
 
 def pair_sums(x: np.ndarray, scales: Sequence[np.ndarray], spark=None) -> list[float]:
     """For each scale (a Cholesky factor or a vector of deviations): sum over i < j of the normal kernel without its constant."""
-    n, d = x.shape
+    n = len(x)
     white = [np.linalg.solve(s, x.T).T if s.ndim == 2 else x / s for s in scales]
     step = max(1, TILE_CELLS // max(n, 1))
 
-    def block(lo: int) -> list[float]:
+    def block(lo: int, white: list[np.ndarray]) -> list[float]:
         out = []
         for w in white:
             a, b = w[lo : lo + step], w[lo:]
@@ -114,16 +114,20 @@ def pair_sums(x: np.ndarray, scales: Sequence[np.ndarray], spark=None) -> list[f
 
     starts = range(0, n, step)
     if spark is None or n < 20_000:
-        parts = [block(s) for s in starts]
+        parts = [block(s, white) for s in starts]
     else:
+        shared, k = spark.sparkContext.broadcast(white), len(white)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [block(int(s) * step) for s in b.column(0).to_pylist()]
+                rows = [block(int(s) * step, shared.value) for s in b.column(0).to_pylist()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], [f"s{i}" for i in range(len(white))])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], [f"s{i}" for i in range(k)])
 
-        frame = spark.range(0, len(starts), 1, min(len(starts), 512)).mapInArrow(run, ", ".join(f"s{i} double" for i in range(len(white))))
-        return [float(v) for v in frame.agg(*[F.sum(f"s{i}") for i in range(len(white))]).first()]
+        frame = spark.range(0, len(starts), 1, min(len(starts), 512)).mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
+        sums = [float(v) for v in frame.agg(*[F.sum(f"s{i}") for i in range(k)]).first()]
+        shared.destroy()
+        return sums
     return [float(v) for v in np.sum(parts, axis=0)] if parts else [0.0] * len(white)
 
 
@@ -319,7 +323,10 @@ def score_rows(df: DataFrame, needed: Sequence[str], scorers: dict[str, Callable
     from pyspark import cloudpickle
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorers))
+    data = cloudpickle.dumps(scorers)
+    if len(data) > 2 * MAX_TRAINING_BYTES:
+        raise ValueError(f"the scorers of one pass hold {len(data)} bytes, more than {2 * MAX_TRAINING_BYTES} together; score fewer nodes at a time or fit on a stated sample")
+    shared = df.sparkSession.sparkContext.broadcast(data)
     names, at = [*df.columns, *scorers], {c: df.columns.index(c) for c in [*needed, *texts]}
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in scorers]])
 

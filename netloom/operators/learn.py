@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import itertools
 import math
+import sys
+import time
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 
 from netloom.functions.special import TOL
 from netloom.operators.constraint import MeekRules, SepSets, adjacency, candidates, combinations_of_two_sets, direct_v_structures
@@ -63,76 +66,118 @@ def check_restrictions(nodes: Iterable[str], arc_blacklist: Arcs, arc_whitelist:
 # ---------------------------------------------------------------- hill climbing
 
 
+class _Standing:
+    """Where a climb stands: the best network so far with its total, and how far the network at hand has fallen behind it. Totals are
+    relative to the start; they count held-out score changes if the score has such, else score changes."""
+
+    def __init__(self, model: BayesianNetwork, patience: int):
+        self.model = self.best = model
+        self.total = self.best_total = 0.0
+        self.stale, self.patience = 0, patience
+        self.tabu = OperatorTabuSet()
+
+    def offer(self, op, model: BayesianNetwork, gain: float) -> bool:
+        """Take a step to `model`, unless that would be one too many without a new best."""
+        record = self.total + gain > self.best_total + TOL
+        if not record and self.stale == self.patience:
+            return False
+        self.total += gain
+        if record:
+            self.best, self.best_total, self.stale = model, self.total, 0
+            self.tabu.clear()
+        else:
+            self.stale += 1
+            self.tabu.insert(op.opposite(self.model))  # no way back before there is a new best
+        self.model = model
+        return True
+
+
 class GreedyHillClimbing:
-    """The best operator by score at each step. With a validated score the held-out change decides, `patience` steps without one are
-    allowed, and undone operators are tabu meanwhile."""
+    """The best operator by score at each step. With a validated score the held-out change decides, `patience` steps without a new best are
+    allowed, and their undoing is tabu meanwhile."""
 
-    def estimate(self, operators: OperatorSet, score: Score, start: BayesianNetwork, arc_blacklist: Arcs = (), arc_whitelist: Arcs = (), type_blacklist=(), type_whitelist=(), callback=None, max_indegree: int = 0, max_iters: int = 2**31 - 1, epsilon: float = 0.0, patience: int = 0, verbose: int = 0):
-        current = start.clone()
-        if not score.has_variables(current.joint_nodes()):
+    def _start(self, start: BayesianNetwork, score: Score, arc_blacklist: Arcs, arc_whitelist: Arcs, type_blacklist, type_whitelist) -> tuple[BayesianNetwork, set, set]:
+        """A copy of the start that keeps to the restrictions, and the arc restrictions."""
+        model = start.clone()
+        if not score.has_variables(model.joint_nodes()):
             raise ValueError("the score lacks variables of the network")
-        ab, aw, _, _ = check_restrictions(current.nodes(), arc_blacklist, arc_whitelist, interface=current.interface_nodes())
-        current.check_blacklist(ab)
-        current.force_type_whitelist(type_whitelist)
-        data = score.data()
-        if data is not None and current.has_unknown_node_types():
-            current.set_unknown_node_types(data, type_blacklist)
-        current.force_whitelist(aw)
-        if not score.compatible_bn(current):
+        banned, forced, _, _ = check_restrictions(model.nodes(), arc_blacklist, arc_whitelist, interface=model.interface_nodes())
+        model.check_blacklist(banned)
+        model.force_type_whitelist(type_whitelist)
+        if model.has_unknown_node_types() and (data := score.data()) is not None:
+            model.set_unknown_node_types(data, type_blacklist)
+        model.force_whitelist(forced)
+        if not score.compatible_bn(model):
             raise ValueError("the score does not suit the network")
-        operators.set_arc_blacklist(ab)
-        operators.set_arc_whitelist(aw)
-        operators.set_type_blacklist(type_blacklist)
-        operators.set_type_whitelist(type_whitelist)
-        operators.set_max_indegree(max_indegree)
-        validated = isinstance(score, ValidatedScore)
-        operators.cache_scores(current, score)
-        held = LocalScoreCache()
-        if validated:
-            held.cache_vlocal_scores(current, score)
-        best_model, behind, offset, tabu = current, 0, 0.0, OperatorTabuSet()
-        if callback is not None:
-            callback.call(current, None, score, 0)
-        step = 0
-        while step < max_iters:
-            op = operators.find_max(current, tabu if not tabu.empty() else None)
-            if op is None or op.delta() - epsilon < TOL:
-                break
-            nxt = current.clone()
-            op.apply(nxt)
-            changed = op.nodes_changed(nxt)
-            gain = sum(score.vlocal_score(nxt, n) - held.local_score(current, n) for n in changed) if validated else op.delta()
-            if gain + offset > TOL:
-                if behind:
-                    behind, offset = 0, 0.0
-                best_model = nxt
-                tabu.clear()
-            else:
-                if patience == 0:
+        return model, banned, forced
+
+    def estimate(self, operators: OperatorSet, score: Score, start: BayesianNetwork, arc_blacklist: Arcs = (), arc_whitelist: Arcs = (), type_blacklist=(), type_whitelist=(), callback=None, max_indegree: int = 0, max_iters: int = 2**31 - 1, epsilon: float = 0.0, patience: int = 0, verbose: int = 0):
+        model, banned, forced = self._start(start, score, arc_blacklist, arc_whitelist, type_blacklist, type_whitelist)
+        for limit, value in {operators.set_max_indegree: max_indegree, operators.set_arc_whitelist: forced, operators.set_arc_blacklist: banned, operators.set_type_whitelist: type_whitelist, operators.set_type_blacklist: type_blacklist}.items():
+            limit(value)
+        operators.cache_scores(model, score)
+        local = operators.local_score_cache(model, score)
+        held = HeldOutScores(model, score) if isinstance(score, ValidatedScore) else None
+        say = callback.call if callback is not None else lambda *_: None
+        at, taken = _Standing(model, patience), 0
+        say(at.model, None, score, taken)
+        with progress("hill climbing", max_iters, verbose) as tick:
+            for op in iter(lambda: operators.find_max(at.model, None if at.tabu.empty() else at.tabu), None):
+                if taken == max_iters or op.delta() < epsilon + TOL:
                     break
-                if behind == 0:
-                    best_model = current
-                behind += 1
-                if behind > patience:
+                after = at.model.clone()
+                op.apply(after)
+                touched = op.nodes_changed(after)
+                if not at.offer(op, after, held.change(after, touched) if held else op.delta()):
                     break
-                offset += gain
-                tabu.insert(op.opposite(current))
-            current = nxt
-            step += 1
-            if verbose:
-                print(f"{step}: {op}")
-            for n in changed:
-                operators.local_score_cache(current, score).update_local_score(current, score, n)
-                if validated:
-                    held.update_vlocal_score(current, score, n)
-            if callback is not None:
-                callback.call(current, op, score, step)
-            operators.update_scores(current, score, changed)
+                taken += 1
+                for node in touched:
+                    local.update_local_score(after, score, node)
+                if held:
+                    held.settle(after, touched)
+                tick(str(op))
+                say(after, op, score, taken)
+                operators.update_scores(after, score, touched)
         operators.finished()
-        result = best_model if behind else current
-        if callback is not None:
-            callback.call(result, None, score, step)
-        return result
+        say(at.best, None, score, taken)
+        return at.best
+
+
+class HeldOutScores:
+    """Held-out local scores of a network as it stands."""
+
+    def __init__(self, model: BayesianNetwork, score: ValidatedScore):
+        self._score, self._kept = score, LocalScoreCache()
+        self._kept.cache_vlocal_scores(model, score)
+
+    def change(self, model: BayesianNetwork, nodes: Iterable[str]) -> float:
+        return sum(self._score.vlocal_score(model, n) - self._kept.local_score(model, n) for n in nodes)
+
+    def settle(self, model: BayesianNetwork, nodes: Iterable[str]) -> None:
+        for n in nodes:
+            self._kept.update_vlocal_score(model, self._score, n)
+
+
+@contextmanager
+def progress(title: str, total: int, verbose: int):
+    """A function to call at each step. With `verbose` it keeps a line on standard error: the steps, their share of a known total, the
+    seconds and what the step did; a terminal rewrites the line, a file gets one line a step."""
+    begun, steps, last = time.monotonic(), 0, ""
+    known = 0 < total < 2**31 - 1
+
+    def tick(text: str = "") -> None:
+        nonlocal steps, last
+        steps += 1
+        if verbose:
+            share = f" {min(steps, total)}/{total} [{'#' * (20 * min(steps, total) // total):<20}]" if known else f" {steps}"
+            last = f"{title}:{share} {time.monotonic() - begun:.1f} s {text}"
+            print(f"\r{last:<100}" if sys.stderr.isatty() else last, end="" if sys.stderr.isatty() else "\n", file=sys.stderr, flush=True)
+
+    try:
+        yield tick
+    finally:
+        if verbose and last and sys.stderr.isatty():
+            print(file=sys.stderr)
 
 
 def default_score(bn_type: BayesianNetworkType) -> str:

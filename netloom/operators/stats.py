@@ -222,24 +222,76 @@ def normalize(data: Dataset) -> Dataset:
     return data.with_df(data.df.withColumns(put))
 
 
+#: Ranges that an ordered table is dealt to, at most, and sampled rows for each bound between two of them.
+MAX_RANGES, SAMPLED = 4096, 25
+
+
+def range_number(rows: DataFrame, order: Sequence[str], parts: int = 0) -> Column:
+    """Number of the range that a row falls in, `parts` ranges of similar size in the order of `order` (nulls first). The bounds are rows of a
+    sample of fixed size, by the hash of their order columns, so they hold all these columns: equal values of the first do not meet
+    in one range unless the others are equal, too. The column is an expression, the same in every task."""
+    n = min(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    keys = [F.col(f"`{o}`") for o in order]
+    if n < 2:
+        return F.lit(0)
+    sample = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    names = sample.columns
+    got = sample.orderBy(F.xxhash64(*names), *names).limit(SAMPLED * n).orderBy(*names).collect()
+    types = [f.dataType for f in sample.schema.fields]
+    bounds = list(dict.fromkeys(tuple(got[i * len(got) // n]) for i in range(1, n))) if got else []
+    if not bounds:
+        return F.lit(0)
+    row = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    several = lambda some: F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))]) for b in some])
+    below = lambda some: F.size(F.filter(some, lambda b: b < row))
+    # two levels, so that a row meets about twice the root of the number of bounds
+    step = math.isqrt(len(bounds) - 1) + 1
+    group = below(several(bounds[::step]))
+    inside = F.element_at(F.array(*[several(bounds[i : i + step]) for i in range(0, len(bounds), step)]), group)
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + below(inside))
+
+
 def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: int = 0, digest: bool = False) -> DataFrame:
     """0-based position of each non-null value of `column`, ties by `tie`. Rows are dealt to ranges whose bounds are fixed beforehand
-    (quantiles; equal parts of the hexadecimal scale for a digest) and positions are running totals of the ranges' sizes plus the place inside:
-    no task sees all rows, and a repeated task finds the same positions. Equal values share a range."""
+    (range_number() over value and tie; equal parts of the hexadecimal scale for a digest) and positions are running totals of the ranges' sizes
+    plus the place inside: no task sees all rows, however often a value occurs, and a repeated task finds the same positions."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value, rows = F.col(f"`{column}`"), df.where(F.col(f"`{column}`").isNotNull())
+    order = list(dict.fromkeys([column, *tie]))
     if digest:
         part = F.floor(F.conv(F.substring(value, 1, 8), 16, 10).cast("long") * n / (1 << 32))
     else:
-        bounds = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-        part = F.size(F.filter(F.array(*[F.lit(b) for b in dict.fromkeys(bounds)]), lambda b: b < value)) if bounds else F.lit(0)
+        part = range_number(rows, order, n)
     rows = rows.withColumn("_part", part.cast("int"))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(value, *[F.col(f"`{t}`") for t in tie]))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*[F.col(f"`{t}`") for t in order]))
     return rows.withColumn("_in", inner).join(F.broadcast(base), "_part").withColumn(output, (F.col("_base") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_base")
 
 
+def positioned(data: Dataset, output: str = "_at") -> DataFrame:
+    """All rows with their 0-based position in the order of `order_by`."""
+    if not data.order_by:
+        raise ValueError("positions need order_by")
+    flagged = data.df.withColumn("_all", F.lit(0))
+    return ranked(flagged, "_all", data.order_by, output).drop("_all")
+
+
+def take(data: Dataset, indices) -> Dataset:
+    """Rows by position in `order_by`, in the order of `indices` (a sequence, or a frame with one integer column), as often as they are
+    named; a position that is not there is an IndexError. The result's order is its column `_take`."""
+    spark = data.df.sparkSession
+    if isinstance(indices, DataFrame):
+        wanted = ranked(indices.toDF("_at").withColumn("_i", F.monotonically_increasing_id()), "_i", [], "_take").drop("_i")
+    else:
+        wanted = spark.createDataFrame([(int(x), i) for i, x in enumerate(indices)], "_at long, _take long")
+    n = data.num_rows
+    if not wanted.where(f"_at IS NULL OR _at < 0 OR _at >= {n}").isEmpty():
+        raise IndexError(f"positions are 0..{n - 1}")
+    out = positioned(data).join(wanted, "_at").drop("_at")
+    return Dataset(out, data.continuous, data.discrete, ["_take"], data.strict_floats)
+
+
 def rank_data(data: Dataset, key: Sequence[str]) -> Dataset:
     """Every continuous column replaced by its 0-based rank, ties by `key` (a unique key of the rows)."""
     out = data.df
@@ -250,14 +302,15 @@ def rank_data(data: Dataset, key: Sequence[str]) -> Dataset:
 
 
 def joint_counts(data: Dataset, variable: str, evidence: Sequence[str] = ()) -> DataFrame:
-    """Every configuration of variable and evidence with its count `n`, unobserved ones as 0. The frame is built from the domains, so it
-    has as many rows as there are configurations."""
+    """Every configuration of variable and evidence with its count `n`, unobserved ones as 0: as many rows as there are configurations,
+    numbered by range() and spelled out from the domains. More than 50 * MAX_CELLS configurations are a ValueError."""
     cols = [variable, *evidence]
-    spark = data.df.sparkSession
-    grid = None
-    for c in cols:
-        part = spark.createDataFrame([(v,) for v in data.discrete[c]], f"`{c}` string")
-        grid = part if grid is None else grid.crossJoin(part)
+    cells = math.prod(data.cardinality(c) for c in cols)
+    if cells > 50 * MAX_CELLS:
+        raise ValueError(f"a contingency table of {cells} cells")
+    at = dict(zip(cols, strides(data, cols), strict=True))
+    value = lambda c: F.element_at(F.array(*[F.lit(v) for v in data.discrete[c]]), (F.expr(f"id div {at[c]}") % data.cardinality(c) + 1).cast("int"))
+    grid = data.df.sparkSession.range(cells).select(*[value(c).alias(c) for c in cols])
     seen = data.df.where(Dataset.valid(cols)).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(seen, cols, "left").na.fill(0, ["n"])
 
@@ -294,9 +347,11 @@ def slice_by_configuration(data: Dataset, cols: Sequence[str]) -> DataFrame:
 
 
 def median_distance(data: Dataset, cols: Sequence[str], limit: int = 500) -> float:
-    """Median Euclidean distance between the first `limit` valid rows in order; 0 becomes 1."""
+    """Median Euclidean distance between the first `limit` valid rows in order (without order_by: of the hash of the columns, so that every run
+    takes the same); 0 becomes 1."""
     df = data.df.where(Dataset.valid(cols))
-    rows = df.orderBy(*data.order_by).limit(limit) if data.order_by else df.limit(limit)
+    order = data.order_by or [F.xxhash64(*[col(c) for c in cols]), *[col(c) for c in cols]]
+    rows = df.orderBy(*order).limit(limit)
     x = np.array([tuple(r) for r in rows.select(*[col(c) for c in cols]).collect()], float)
     if len(x) < 2:
         return 1.0

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.stats import range_number
 from netloom.sources.dataset import Dataset
 
 
@@ -15,8 +16,8 @@ def temporal_name(variable: str, k: int) -> str:
 
 
 class DynamicDataFrame:
-    """Slices of a table of Markov order m. Lags follow `order_by`; with `series` they stay within each series, which is
-    what makes long histories parallel."""
+    """Slices of a table of Markov order m. Lags follow `order_by`; with `series` they stay within each series, and each series is a task's.
+    Without, the table is cut into ranges of the order and the last m rows of each go along to the next, so no task sees all."""
 
     def __init__(self, data, markovian_order: int, order_by: Sequence[str] | None = None, series: Sequence[str] = ()):
         if markovian_order < 1:
@@ -45,10 +46,8 @@ class DynamicDataFrame:
 
     def _lags(self, shifts: dict[int, int], first: int) -> Dataset:
         """Columns v_t_k = lag(v, shift), rows from position `first` (0-based) on."""
-        w = Window.partitionBy(*[F.col(f"`{s}`") for s in self.series]).orderBy(*[F.col(f"`{o}`") for o in self.order])
-        cols = [F.lag(F.col(f"`{v}`"), s).over(w).alias(temporal_name(v, k)) if s else F.col(f"`{v}`").alias(temporal_name(v, k)) for k, s in shifts.items() for v in self.variables]
-        keep = [F.col(f"`{c}`") for c in [*self.series, *self.order]]
-        df = self.data.df.select(*keep, *cols, F.row_number().over(w).alias("_pos")).where(F.col("_pos") > first).drop("_pos")
+        cells = [(temporal_name(v, k), v, s) for k, s in shifts.items() for v in self.variables]
+        df = lagged(self.data.df, cells, self.order, self.series, first)
         domains = {temporal_name(v, k): self.data.discrete[v] for k in shifts for v in self.variables if v in self.data.discrete}
         real = [temporal_name(v, k) for k in shifts for v in self.variables if v in self.data.continuous]
         return Dataset(df, real, domains, self.order)
@@ -72,6 +71,43 @@ class DynamicDataFrame:
         return self.transition_df().loc([temporal_name(v, k) for v, k in cells])
 
 
+def lagged(df: DataFrame, cells: Sequence[tuple[str, str, int]], order: Sequence[str], series: Sequence[str] = (), first: int = 0) -> DataFrame:
+    """`series` and `order` columns, and for each cell (name, column, shift) the value of `shift` rows before; rows from position `first`
+    (0-based) on."""
+    keep = [F.col(f"`{c}`") for c in [*series, *order]]
+    far = max([s for _, _, s in cells], default=0)
+    if series:
+        rows, before, by = df.withColumn("_carried", F.lit(False)), F.lit(0), [F.col(f"`{s}`") for s in series]
+    else:
+        rows, before, by = _with_carried(df, order, max(far, first)), F.col("_base"), [F.col("_part")]
+    w = Window.partitionBy(*by).orderBy(*[F.col(f"`{o}`") for o in order])
+    values = [F.lag(F.col(f"`{c}`"), s).over(w).alias(n) if s else F.col(f"`{c}`").alias(n) for n, c, s in cells]
+    at = (before + F.row_number().over(w)).alias("_at")
+    return rows.select(*keep, *values, at, "_carried").where(f"NOT _carried AND _at > {first}").drop("_at", "_carried")
+
+
+def _with_carried(df: DataFrame, order: Sequence[str], m: int) -> DataFrame:
+    """Rows with the range `_part` that they fall in; the m rows before each range come along, `_carried`. `_base` is the position before a
+    range's first row, carried ones included."""
+    spark, rows = df.sparkSession, df.withColumn("_part", range_number(df, order).cast("int"))
+    sizes = {r[0]: r[1] for r in rows.groupBy("_part").count().collect()}  # one number for each range
+    parts, total, base, moves = sorted(sizes), 0, [], []
+    for i, p in enumerate(parts):
+        missing = m
+        for q in reversed(parts[:i]):
+            moves += [(q, r, p) for r in range(1, min(missing, sizes[q]) + 1)]
+            missing -= min(missing, sizes[q])
+            if not missing:
+                break
+        base.append((p, total - (m - missing)))
+        total += sizes[p]
+    back = Window.partitionBy("_part").orderBy(*[F.col(f"`{o}`").desc() for o in order])
+    tails = rows.withColumn("_last", F.row_number().over(back)).where(f"_last <= {m}")
+    plan = F.broadcast(spark.createDataFrame(moves, "_part int, _last int, _to int"))
+    carried = tails.join(plan, ["_part", "_last"]).withColumn("_part", F.col("_to")).drop("_last", "_to").withColumn("_carried", F.lit(True))
+    both = rows.withColumn("_carried", F.lit(False)).unionByName(carried)
+    return both.join(F.broadcast(spark.createDataFrame(base, "_part int, _base long")), "_part")
+
+
 def create_temporal_slice(df: DataFrame, columns: Sequence[str], k: int, order_by: Sequence[str]) -> DataFrame:
-    w = Window.orderBy(*order_by)
-    return df.select(*[F.lag(F.col(f"`{c}`"), k).over(w).alias(temporal_name(c, k)) for c in columns])
+    return lagged(df, [(temporal_name(c, k), c, k) for c in columns], order_by).select(*[F.col(f"`{temporal_name(c, k)}`") for c in columns])

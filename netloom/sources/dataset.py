@@ -173,3 +173,9 @@ class Dataset:
             raise ValueError("a slice needs order_by")
         out = self.df.orderBy(*self.order_by).offset(offset)
         return self.with_df(out if length is None else out.limit(length))
+
+    def take(self, indices) -> Dataset:
+        """Rows by position in `order_by`: a sequence of integers or a frame of one integer column."""
+        from netloom.operators.stats import take
+
+        return take(self, indices)

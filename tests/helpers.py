@@ -5,11 +5,12 @@ import pandas as pd
 
 
 def normal(n, seed=0):
+    """A chain with a shortcut: a drives b, b drives c, and a, b and c drive d."""
     r = np.random.default_rng(seed)
-    a = r.normal(3, 0.5, n)
-    b = 2.5 + 1.65 * a + r.normal(0, 2, n)
-    c = -4.2 - 1.2 * a + 3.2 * b + r.normal(0, 0.75, n)
-    d = 1.5 - 0.9 * a + 5.6 * b + 0.3 * c + r.normal(0, 0.5, n)
+    a = 10 * r.standard_normal(n) / 7 - 1
+    b = 0.8 * a + 1.2 * r.standard_normal(n)
+    c = 6 + 2 * b - 0.7 * a + 0.6 * r.standard_normal(n)
+    d = 0.4 * c - 1.5 * b + 2.2 * a - 3 + 0.9 * r.standard_normal(n)
     return pd.DataFrame({"a": a, "b": b, "c": c, "d": d})
 
 
@@ -21,18 +22,23 @@ def with_nulls(df, k=40, seed=1):
 
 
 def categories(n, seed=0):
+    """Three categories: B copies a coin for A's first level and is never b3 for its second; C tells whether A and B agree, with errors."""
     r = np.random.default_rng(seed)
-    a = r.choice(["a1", "a2"], n, p=[0.75, 0.25])
-    b = np.where(a == "a1", r.choice(["b1", "b2", "b3"], n, p=[0.33, 0.33, 0.34]), r.choice(["b2", "b3"], n, p=[0.8, 0.2]))
-    c = np.where((b == "b1") | (r.random(n) < 0.2), "c1", "c2")
-    return pd.DataFrame({"A": a, "B": b, "C": c})
+    first = r.random(n) < 0.6
+    u = r.random(n)
+    b = np.select([first & (u < 0.5), first & (u < 0.8), first, u < 0.35], ["b1", "b2", "b3", "b1"], "b2")
+    right = r.random(n) < 0.85
+    c = np.where((first == (b != "b2")) == right, "c1", "c2")
+    return pd.DataFrame({"A": np.where(first, "a1", "a2"), "B": b, "C": c})
 
 
 def hybrid(n, seed=0):
-    r, df = np.random.default_rng(seed), categories(n, seed)
-    c = -4.2 + r.normal(0, 0.75, n)
-    shift = df["A"].map({"a1": 1.0, "a2": -2.0}).to_numpy() + df["B"].map({"b1": 0.0, "b2": 3.0, "b3": 6.0}).to_numpy()
-    return df[["A", "B"]].assign(X=c, Y=shift + 1.5 * c + r.normal(0, 0.5, n))
+    """Categories A and B, an independent X, and Y with a line and a level for each configuration."""
+    r, df = np.random.default_rng(seed + 1000), categories(n, seed)
+    x = 2 + 1.5 * r.standard_normal(n)
+    level = 4 * (df["A"] == "a2").to_numpy() - 2.5 * (df["B"] == "b2").to_numpy() + 5 * (df["B"] == "b3").to_numpy()
+    slope = np.where(df["A"] == "a1", 1.1, 0.7)
+    return df[["A", "B"]].assign(X=x, Y=level + slope * x + 0.6 * r.standard_normal(n))
 
 
 def lstsq(df, y, xs):

@@ -48,7 +48,7 @@ def test_sampling(spark):
     x = LinearGaussianCPD("x", [], [3.0], 4.0).sample(20000, seed=1).toPandas()["x"]
     assert abs(x.mean() - 3) < 0.1 and abs(x.var() - 4) < 0.25
     f = DiscreteFactor("A").fit(categories(5000))
-    assert abs((f.sample(8000, seed=2).toPandas()["A"] == "a1").mean() - 0.75) < 0.03
+    assert abs((f.sample(8000, seed=2).toPandas()["A"] == "a1").mean() - 0.6) < 0.03
     pdf = normal(300)
     k = CKDE("b", ["a"]).fit(pdf)
     got = k.sample(300, Dataset.of(pdf[["a"]]).df, 3).toPandas()
@@ -84,7 +84,7 @@ def test_conditional_linear_gaussian(spark):
         want[g.index] = normal_logpdf(g["Y"], k[0] + k[1] * g["X"], v)
         assert np.allclose(f.conditional_factor(Assignment({"A": a, "B": b})).beta, k)
     assert np.allclose(l, want)
-    assert f.conditional_factor(Assignment({"A": "a2", "B": "b1"})) is None
+    assert f.conditional_factor(Assignment({"A": "a2", "B": "b3"})) is None
     assert f.sample(600, Dataset.of(pdf[["A", "X", "B"]]).df, 1).count() == 600
 
 
