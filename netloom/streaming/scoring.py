@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from netloom.operators.stats import Moments, moment_columns, moments_from
@@ -21,20 +21,27 @@ def score_stream(model, stream: DataFrame, sink: Callable[[DataFrame, int], None
 
 
 class StreamingMoments:
-    """Moments of some columns over all batches, pooled by the pairwise update. Batches are kept by number: a repeated one replaces itself."""
+    """Moments of some columns over all batches, pooled by the pairwise update. Each batch's moments are a table named by its number in
+    `folder` (by default beside the checkpoint), so a repeated batch replaces itself and a restarted stream goes on where it was."""
 
-    def __init__(self, columns: Sequence[str]):
-        self.columns, self._batches = list(columns), {}
+    def __init__(self, columns: Sequence[str], folder: str | None = None):
+        self.columns, self.folder = list(columns), folder
 
     def update(self, batch: DataFrame, number: int) -> None:
-        self._batches[number] = moments_from(batch.agg(*moment_columns(self.columns)).first(), self.columns)
+        if self.folder is None:
+            raise ValueError("no folder to keep moments in")
+        batch.agg(*moment_columns(self.columns)).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
 
     @property
     def moments(self) -> Moments:
-        total = Moments.empty(self.columns)
-        for m in self._batches.values():
-            total = total + m
+        total, spark = Moments.empty(self.columns), SparkSession.active()
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder or "")
+        if self.folder is None or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return total
+        for row in spark.read.parquet(self.folder).orderBy("batch").toLocalIterator():
+            total = total + moments_from(row, self.columns)
         return total
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        self.folder = self.folder or f"{checkpoint}_moments"
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

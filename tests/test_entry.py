@@ -15,7 +15,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", [n for n in __spark_entry__.oracle_sql() if not n.startswith(("op", "pipeline"))])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "events", "supplier", "customer", "part"):
+    for t in ("lineitem", "orders", "events", "supplier", "customer", "part", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, SF)
     rel = con.sql(__spark_entry__.oracle_sql()[name])

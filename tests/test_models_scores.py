@@ -217,4 +217,8 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "*")).agg({"logl": "sum"}).first()[0] == pytest.approx(m.slogl(pdf))
     s = StreamingMoments(["a", "b"])
     s.start(stream, str(tmp_path / "c2")).awaitTermination()
-    assert s.moments.n == 60 and np.allclose(s.moments.cov, pdf[["a", "b"]].cov())
+    again = StreamingMoments(["a", "b"], s.folder)  # as after a restart
+    for kept in (s, again):
+        assert kept.moments.n == 60 and np.allclose(kept.moments.cov, pdf[["a", "b"]].cov())
+    again.update(spark.createDataFrame(pdf[:20]), 0)  # a repeated batch replaces itself
+    assert again.moments.n == 60 and StreamingMoments(["a"]).moments.n == 0
