@@ -8,9 +8,10 @@ built in two stages: suffixes smaller than their successors are sorted directly,
 first-byte buckets; adjacent common prefixes of WIDTH bytes then mark the repeated windows.
 
 A bundle holds at most SPREAD blocks of one anchor. An anchor of more different blocks (a passage that very many documents hold) is
-first reduced to its windows: they are counted by hash, with partial sums before the shuffle; windows of one hash that occur once are no
-repeats, and of every other hash two copies go to bundles dealt by that hash, where the suffix array compares their bytes. So
-no bundle grows with the corpus, no text is copied into several bundles, and no pair of places is listed.
+first reduced to its windows. Chunks of blocks hold their windows' 64-bit hashes as arrays; each chunk sends its distinct hashes with
+counts to a bucket of the hash, the bucket adds them up and answers which occur twice or more; of each such hash the chunks give
+two or a few copies to bundles dealt by the hash, where the suffix array compares their bytes; what it confirms goes back to the chunks. So
+no bundle grows with the corpus, there is no row for each window, and no pair of places is listed.
 
 Null and empty texts, and texts of fewer than WIDTH bytes, lose nothing; a null doc_id takes part like any other. Repeated rows are
 repeats of each other, so all their long enough texts go. A very long text is cut into blocks like any other, whole. The
@@ -21,6 +22,7 @@ no rows. Only doc_id and text are read; remove_repeats gives all columns back, w
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from netloom.llm._shared import arrow_map, discard, release, store, tune
 WIDTH, K = 200, 32
 #: Different blocks of one anchor in a bundle; bytes of a bundle, of whole groups.
 SPREAD, BUNDLE = 512, 1 << 20
+#: Windows of a chunk, and of a bucket of hashes.
+CHUNK, BUCKET = 1 << 20, 1 << 22
 #: What identifies a row: doc_id (0 for null), whether it is null, and the text's hash.
 ROW = ["did", "noid", "th"]
 
@@ -212,47 +216,31 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return store(found.withColumn("id", F.monotonically_increasing_id()), "blocks")
 
 
-def _cut(texts: DataFrame, many: bool) -> DataFrame:
-    """(anchor, block, windows, piece) of the blocks that `want` lists for each text; with `many`, each block's window hashes instead of
-    its bytes."""
+def _wanted(rows: DataFrame, ids: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(text, want): the texts that hold the copies of blocks that `kinds` names, with the list of these."""
+    want = kinds.groupBy("id").agg(F.collect_list(F.struct("anchor", "block", "start", "windows")).alias("want")).join(ids, "id")
+    return rows.select(*ROW, "text").join(want, ROW).select("text", "want")
+
 
-    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(anchor, block, windows, bytes) of each wanted block."""
+    for b in batches:
         for text, want in zip(b.column(0), b.column(1), strict=True):
-            data = text.as_buffer().to_pybytes()
-            a, k, n, p = [], [], [], []
+            data = text.as_buffer()
             for w in want.as_py():
-                piece = data[w["start"] : w["start"] + w["windows"] - 1 + WIDTH]
-                a.append(w["anchor"])
-                k.append(w["block"])
-                n.append(w["windows"])
-                p.append(_window_hashes(piece, w["windows"]) if many else piece)
-            cols = {"anchor": pa.array(a, pa.int64()), "block": pa.array(k, pa.int64())}
-            if many:
-                at = np.zeros(len(n) + 1, np.int32)
-                np.cumsum(n, out=at[1:])
-                yield pa.RecordBatch.from_pydict(cols | {"hashes": pa.ListArray.from_arrays(at, np.concatenate(p))})
-            else:
-                yield pa.RecordBatch.from_pydict(cols | {"windows": pa.array(n, pa.int32()), "piece": pa.array(p, pa.binary())})
+                yield w["anchor"], w["block"], w["windows"], data.slice(w["start"], w["windows"] - 1 + WIDTH).to_pybytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            group, size = [], 0
-            for x in cut(b):
-                group.append(x)
-                size += x.nbytes
-                if size > 4 << 20:
-                    yield pa.Table.from_batches(group).combine_chunks().to_batches()[0]
-                    group, size = [], 0
-            if group:
-                yield pa.Table.from_batches(group).combine_chunks().to_batches()[0]
 
-    return texts.mapInArrow(run, "anchor long, block long, hashes array<long>" if many else "anchor long, block long, windows int, piece binary")
+def _pieces(rows: DataFrame, ids: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(anchor, block, windows, piece) of one copy of each of the `kinds`, which name the row and place of that copy."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _cuts(batches)
+        while some := list(itertools.islice(found, 4096)):
+            a, k, n, p = zip(*some, strict=True)
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(a, pa.int64()), "block": pa.array(k, pa.int64()), "windows": pa.array(n, pa.int32()), "piece": pa.array(p, pa.binary())})
 
-def _pieces(rows: DataFrame, ids: DataFrame, kinds: DataFrame, many: bool) -> DataFrame:
-    """_cut() of one copy of each of the `kinds`, which name the row and place of that copy."""
-    want = kinds.groupBy("id").agg(F.collect_list(F.struct("anchor", "block", "start", "windows")).alias("want")).join(ids, "id")
-    return _cut(rows.select(*ROW, "text").join(want, ROW).select("text", "want"), many)
+    return _wanted(rows, ids, kinds).mapInArrow(run, "anchor long, block long, windows int, piece binary")
 
 
 def _bundled(pieces: DataFrame, group: str) -> DataFrame:
@@ -262,24 +250,125 @@ def _bundled(pieces: DataFrame, group: str) -> DataFrame:
     return rows.mapInArrow(_bundles, "anchor long, block long, lo array<int>, hi array<int>")
 
 
+def _longs(*columns) -> list[pa.Array]:
+    """Each argument, a list of numpy arrays, as an array<long> column."""
+    return [pa.ListArray.from_arrays(np.cumsum([0, *map(len, c)]).astype(np.int32), np.concatenate(c) if len(c) else np.zeros(0, np.int64)) for c in columns]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, anchor[], block[], windows[], hashes[]): wanted blocks, about CHUNK windows a row."""
+    from pyspark import TaskContext
+
+    held, size, made = [], 0, TaskContext.get().partitionId() << 32
+
+    def row() -> pa.RecordBatch:
+        a, k, n, h = zip(*held, strict=True)
+        cols = _longs([np.array(a, np.int64)], [np.array(k, np.int64)], [np.array(n, np.int64)], [np.concatenate(h)])
+        return pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *cols], ["chunk", "anchor", "block", "windows", "hashes"])
+
+    for anchor, block, n, piece in _cuts(batches):
+        held.append((anchor, block, n, _window_hashes(piece, n)))
+        size += n
+        if size >= CHUNK:
+            yield row()
+            held, size, made = [], 0, made + 1
+    if held:
+        yield row()
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Rows of equal first column, which stand together, as a list of their values by row."""
+    now: list[list] = []
+    for b in batches:
+        for i in range(len(b)):
+            row = [c[i].values.to_numpy(zero_copy_only=False) if isinstance(c, pa.ListArray) else c[i].as_py() for c in b.columns]
+            if now and row[0] != now[0][0]:
+                yield now
+                now = []
+            now.append(row)
+    if now:
+        yield now
+
+
 def _by_windows(rows: DataFrame, ids: DataFrame, kinds: DataFrame) -> DataFrame:
     """(anchor, block, lo, hi) for anchors of many kinds of block."""
-    wins = store(_pieces(rows, ids, kinds, True), "windows")
-    each = wins.select("anchor", "block", F.posexplode("hashes").alias("at", "w")).where("w IS NOT NULL")
-    place = F.struct("block", "at")
-    often = each.groupBy("anchor", "w").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("n > 1").select("anchor", "w", F.explode(F.array("x", "y")).alias("p"))
-    often = store(often.select("anchor", "w", "p.block", "p.at"), "often")
-    # two copies of each window, cut out of the one stored copy of their block, compared byte by byte
-    copies = often.join(kinds.select("anchor", "block", "id", "start"), ["anchor", "block"]).select("id", F.col("w").alias("anchor"), F.xxhash64("block", "at").alias("block"), (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"), F.col("anchor").alias("of"))
-    copies = copies.withColumn("anchor", F.xxhash64("of", "anchor")).drop("of")
-    same = _bundled(_pieces(rows, ids, copies, False), "anchor").select("anchor").distinct()
-    good = store(often.select("anchor", "w").distinct().join(same.withColumnRenamed("anchor", "aw"), F.xxhash64("anchor", "w") == F.col("aw")).select("anchor", "w"), "good")
-    hit = each.join(good, ["anchor", "w"]).groupBy("anchor", "block").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    # runs of consecutive windows: a run begins where the one before is not hit and ends where the next one is not
-    first = F.filter("at", lambda p, i: (i == 0) | (F.get("at", i - 1) != p - 1))
-    last = F.transform(F.filter("at", lambda p, i: (i == F.size("at") - 1) | (F.get("at", i + 1) != p + 1)), lambda p: p + 1)
-    out = store(hit.select("anchor", "block", first.alias("lo"), last.alias("hi")), "wide")
-    discard(wins, often, good)
+    buckets = int(kinds.agg(F.sum("windows")).first()[0]) // BUCKET + 1
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = store(_wanted(rows, ids, kinds).mapInArrow(_chunks, "chunk long, anchor array<long>, block array<long>, windows array<long>, hashes array<long>"), "chunks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, hashes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w, n = np.unique(hashes.values.to_numpy(), return_counts=True)
+                to = w % buckets
+                order = np.argsort(to, kind="stable")
+                w, n, to = w[order], n[order], to[order]
+                cut = np.flatnonzero(np.diff(to)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(to[np.concatenate([[0], cut])], pa.int64()), pa.array([chunk] * (len(cut) + 1), pa.int64()), *_longs(np.split(w, cut), np.split(n, cut))], ["bucket", "chunk", "w", "n"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the hashes that occur twice or more, the first and the last chunk that have them are asked for copies."""
+        for group in _groups(batches):
+            w, n = np.concatenate([r[2] for r in group]), np.concatenate([r[3] for r in group])
+            who = np.repeat([r[1] for r in group], [len(r[2]) for r in group])
+            order = np.lexsort((who, w))
+            w, n, who = w[order], n[order], who[order]
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            last = np.append(first[1:], len(w)) - 1
+            often = np.add.reduceat(n, first) > 1
+            pick = np.unique(np.concatenate([first[often], last[often]]))
+            for chunk in np.unique(who[pick]).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *_longs([w[pick][who[pick] == chunk]])], ["chunk", "w"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(w, anchor, block, at): the first and the last copy in the chunk of each hash that it was asked for."""
+        for b in batches:
+            for anchor, block, windows, hashes, asked in zip(*b.columns, strict=True):
+                h, n = hashes.values.to_numpy(), windows.values.to_numpy()
+                of = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                hit = np.flatnonzero(np.isin(h, asked.values.to_numpy()))
+                hit = hit[np.argsort(h[hit], kind="stable")]
+                edge = h[hit][1:] != h[hit][:-1]
+                hit = np.unique(hit[np.concatenate([[True], edge]) | np.concatenate([edge, [True]])])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[hit], anchor.values.to_numpy()[of[hit]], block.values.to_numpy()[of[hit]], at[hit])], ["w", "anchor", "block", "at"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, w, good in zip(*b.columns, strict=True):
+                yes = w.values.to_numpy()
+                yes = yes[np.isin(yes, good.values.to_numpy())]
+                if len(yes):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()], pa.int64()), *_longs([yes])], ["chunk", "yes"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for anchor, block, windows, hashes, yes in zip(*b.columns, strict=True):
+                hit = np.isin(hashes.values.to_numpy(), yes.values.to_numpy())
+                a, k, lo, hi = [], [], [], []
+                for x, y, h in zip(anchor.as_py(), block.as_py(), np.split(hit, np.cumsum(windows.values.to_numpy())[:-1]), strict=True):
+                    if h.any():
+                        u, v = runs(h)
+                        a.append(x)
+                        k.append(y)
+                        lo.append(u)
+                        hi.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(k, pa.int64()), *_longs(lo, hi)], ["anchor", "block", "lo", "hi"])
+
+    asked = store(chunks.select("chunk", "hashes").mapInArrow(ask, "bucket long, chunk long, w array<long>, n array<long>"), "asked")
+    often = asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(add_up, "chunk long, w array<long>")
+    often = store(often.groupBy("chunk").agg(F.flatten(F.collect_list("w")).alias("asked")), "often")
+    blocks_ = ["anchor", "block", "windows", "hashes"]
+    copies = chunks.join(often, "chunk").select(*blocks_, "asked").mapInArrow(place, "w long, anchor long, block long, at long")
+    # each copy is a block of one window for the bundle of its hash
+    copies = copies.join(kinds.select("anchor", "block", "id", "start"), ["anchor", "block"]).select("id", F.col("w").alias("anchor"), F.xxhash64("block", "at").alias("block"), (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"))
+    same = _bundled(_pieces(rows, ids, copies), "anchor").select(F.col("anchor").alias("w")).distinct()
+    good = store(same.groupBy(F.pmod("w", F.lit(buckets)).alias("bucket")).agg(F.collect_list("w").alias("good")), "good")
+    told = asked.join(good, "bucket").select("chunk", "w", "good").mapInArrow(answer, "chunk long, yes array<long>")
+    told = store(told.groupBy("chunk").agg(F.flatten(F.collect_list("yes")).alias("yes")), "told")
+    out = chunks.join(told, "chunk").select(*blocks_, "yes").mapInArrow(mark, "anchor long, block long, lo array<long>, hi array<long>")
+    out = store(out.select("anchor", "block", F.col("lo").cast("array<int>"), F.col("hi").cast("array<int>")), "wide")
+    discard(chunks, asked, often, good, told)
     return out
 
 
@@ -300,7 +389,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     per = store(count.groupBy("anchor").agg(F.count("*").alias("kinds")), "per_anchor")
     kinds = store(count.join(per, "anchor"), "kinds")
     discard(count, per)
-    inner = store(_bundled(_pieces(rows, ids, kinds.where(f"kinds <= {SPREAD}"), False), "anchor"), "inner")
+    inner = store(_bundled(_pieces(rows, ids, kinds.where(f"kinds <= {SPREAD}")), "anchor"), "inner")
     release(spark)
     many = kinds.where(f"kinds > {SPREAD}")
     if not many.isEmpty():

@@ -258,6 +258,7 @@ def test_no_bundle_grows_with_a_common_passage(spark, monkeypatch):
     """A passage of more different surroundings than a bundle takes: its windows are counted first, and two copies of each are compared."""
     sizes, plain = [], suffix_dedup.repeated_windows
     monkeypatch.setattr(suffix_dedup, "SPREAD", 20)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 500)
     monkeypatch.setattr(suffix_dedup, "BUNDLE", 1)
     rng = np.random.default_rng(8)
     common = bytes(rng.integers(97, 123, 260, dtype=np.uint8)).decode()
