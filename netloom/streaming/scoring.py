@@ -35,8 +35,10 @@ class StreamingMoments:
     @property
     def moments(self) -> Moments:
         total, spark = Moments.empty(self.columns), SparkSession.active()
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder or "")
-        if self.folder is None or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        if self.folder is None:
+            return total
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             return total
         for row in spark.read.parquet(self.folder).orderBy("batch").toLocalIterator():
             total = total + moments_from(row, self.columns)
