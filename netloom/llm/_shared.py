@@ -15,14 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough that a batch of ordinary documents stays within a few MB."""
+    """Arrow batches small enough that a batch of ordinary documents stays within a few MB, and one of wide rows within BYTES_PER_BATCH or
+    a single row."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000") or 0) not in range(1, ROWS_PER_BATCH + 1):
         spark.conf.set(key, str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -37,7 +37,7 @@ WIDTH, K = 200, 32
 #: Different blocks of one anchor in a bundle; bytes of a bundle, of whole groups.
 SPREAD, BUNDLE = 512, 1 << 20
 #: Windows of a chunk, and of a bucket of hashes.
-CHUNK, BUCKET = 1 << 20, 1 << 22
+CHUNK, BUCKET = 1 << 18, 1 << 20
 #: What identifies a row: doc_id (0 for null), whether it is null, and the text's hash.
 ROW = ["did", "noid", "th"]
 
