@@ -17,6 +17,11 @@ BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np
 #: The same with A-Z read as a-z.
 FOLDED_VALUE = BYTE_VALUE.copy()
 FOLDED_VALUE[65:91] = BYTE_VALUE[97:123]
+#: A-Z to a-z.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: What stays of 8 bytes read where a word has 0 to 8 left.
+LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: [^\x20\x09-\x0D]
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
@@ -99,12 +104,31 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.n
     return mix((total[end] - total[start]) * powers(n + 1, True)[start])
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z read as a-z. Each 8 bytes are mixed with their number before they are added up, so that no arrangement
+    of letters cancels out, as it may in a polynomial of long words."""
+    data = np.zeros(len(buf) + 8, np.uint8)
+    data[: len(buf)] = FOLD[buf]
+    eight = np.ndarray((len(buf) + 1,), "<u8", data, strides=(1,))
+    n = end - start
+    h = mix((eight[start] & LEFT[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        more = (n[long] - 1) // 8
+        first = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[long], more) + 8 * k
+        piece = eight[at] & LEFT[np.minimum(np.repeat(end[long], more) - at, 8)]
+        h[long] = mix(h[long] + np.add.reduceat(mix(piece ^ mix(k.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))), first))
+    return h
+
+
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every k-word shingle, with repeats, in text order. A row of fewer words has its whole sequence as one."""
     start, end, row = words(buf, offs, NOT_SPACE)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = span_hashes(buf, start, end)
+    h = word_hashes(buf, start, end)
     c = np.uint64(0xD1342543DE82EF95)
     n = len(h)
     out_h, out_r = [], []

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from netloom.llm import quality_rules, source_mixing
+from netloom.llm import fm_index, quality_rules, source_mixing
 from netloom.llm.bpe import op5_bpe
+from netloom.llm.fm_index import op13_fm_decontam
 from netloom.llm.html_main import op7_html_main
 from netloom.llm.ngram_join import op10_ngram_join
 from netloom.llm.quality_rules import op6_quality_rules
@@ -25,8 +26,10 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op13_fm_decontam": op13_fm_decontam,
 }
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.oracle(),
     "op9_source_mixing": source_mixing.oracle(),
+    "op13_fm_decontam": fm_index.ORACLE,
 }
