@@ -9,6 +9,7 @@ from netloom.llm.html_main import op7_html_main
 from netloom.llm.ngram_join import op10_ngram_join
 from netloom.llm.quality_rules import op6_quality_rules
 from netloom.llm.source_mixing import op9_source_mixing
+from netloom.llm.spelling import op12_spelling_variants
 from netloom.llm.suffix_dedup import op4_suffix_dedup
 from netloom.llm.telephony import op8_media_columns
 from netloom.llm.token_binary import op3_token_binary
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_fm_decontam": op13_fm_decontam,
 }
 ORACLE_SQL = {
