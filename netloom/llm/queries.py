@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from netloom.llm import fm_index, quality_rules, source_mixing
 from netloom.llm.bpe import op5_bpe
+from netloom.llm.conversations import op11_conversation_repair
 from netloom.llm.fm_index import op13_fm_decontam
 from netloom.llm.html_main import op7_html_main
 from netloom.llm.ngram_join import op10_ngram_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_source_mixing": op9_source_mixing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_fm_decontam": op13_fm_decontam,
 }
