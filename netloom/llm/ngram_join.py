@@ -1,6 +1,7 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document's tokens are its distinct k-word shingles (64-bit hashes). Equal sets form one class from the start. Tokens are
+A document's tokens are its distinct k-word shingles (64-bit hashes). Equal sets form one class from the start; a class's name is a 64-bit hash of its
+set, checked against a second one, and sets that only share the first get a name from both. Tokens are
 ordered by a frequency class from a count sketch over the whole corpus, then by hash, so that shared passages come last. Two sets that
 reach the threshold share at least two tokens of their prefixes extended by one, which makes these the index keys:
 
@@ -42,6 +43,8 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, SLOT_ROWS = 1 << 20, 64
 #: A token of more members is frequent; a document with more frequent tokens keeps them single; members a leader's group takes.
 FREQUENT, MAX_COMBINED, GROUP = 100, 48, 512
+#: Different sets of one 64-bit hash that the driver takes (an error beyond; chance gives ten at 2e10 sets).
+MOST_CLASHES = 10_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -50,10 +53,19 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - need + 2)
 
 
-def signature(vals: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """One hash for each row's set."""
-    m = np.concatenate([[np.uint64(0)], np.cumsum(B.mix(vals + np.uint64(0x51ED270B)), dtype=np.uint64)])
-    return B.mix(m[offs[1:]] - m[offs[:-1]] + np.diff(offs).astype(np.uint64)).view(np.int64)
+def signatures(vals: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes for each row's set, of 64 bits each, from different mixtures of its tokens."""
+    out = []
+    for c in (np.uint64(0x51ED270B), np.uint64(0x8CB92BA72F3D8DD7)):
+        m = np.concatenate([[np.uint64(0)], np.cumsum(B.mix(vals + c), dtype=np.uint64)])
+        out.append(B.mix(m[offs[1:]] - m[offs[:-1]] + np.diff(offs).astype(np.uint64)))
+    return out[0].view(np.int64), B.mix(out[0] + B.mix(out[1])).view(np.int64)
+
+
+def identity(vals: np.ndarray, offs: np.ndarray, clashes: np.ndarray) -> np.ndarray:
+    """The class of each row's set: its first hash, or the one of both where different sets share the first."""
+    one, both = signatures(vals, offs)
+    return np.where(np.isin(one, clashes), both, one) if len(clashes) else one
 
 
 def _sets(arr: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -75,8 +87,16 @@ FIRST = "struct(did IS NULL, did, th)"
 SAME_ROW = "x.did <=> y.did AND x.th = y.th"
 
 
-def scan(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Members (did, th, cid, n) of classes, and the sketch's rows; one pass over the texts."""
+def shared_hashes(members: DataFrame) -> np.ndarray:
+    """First hashes that different sets have; of 2e10 sets some ten are expected."""
+    rows = members.groupBy("cid").agg(F.min("alt").alias("x"), F.max("alt").alias("y")).where("x <> y").select("cid").limit(MOST_CLASHES + 1).collect()
+    if len(rows) > MOST_CLASHES:
+        raise RuntimeError(f"more than {MOST_CLASHES} pairs of different sets have one hash")
+    return np.array([r["cid"] for r in rows], np.int64)
+
+
+def scan(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Members (did, th, cid, n) of classes, the sketch's rows, and the hashes that different sets share; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.int64)
@@ -84,13 +104,18 @@ def scan(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             for lo, hi, vals, at in _sets(b.column(2), k):
                 counts += np.bincount((vals >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
                 n = hi - lo
-                yield pa.RecordBatch.from_pydict({"did": b.column(0).slice(lo, n), "th": b.column(1).slice(lo, n), "cid": pa.array(signature(vals, at)), "n": pa.array(np.diff(at)), "slots": pa.nulls(n, pa.binary())})
+                one, both = signatures(vals, at)
+                yield pa.RecordBatch.from_pydict({"did": b.column(0).slice(lo, n), "th": b.column(1).slice(lo, n), "cid": pa.array(one), "alt": pa.array(both), "n": pa.array(np.diff(at)), "slots": pa.nulls(n, pa.binary())})
         for i, row in enumerate(counts.reshape(SLOT_ROWS, -1)):
             if row.any():
-                yield pa.RecordBatch.from_pydict({"did": pa.array([i], pa.int64()), "th": pa.nulls(1, pa.int64()), "cid": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "slots": pa.array([row.astype("<u4").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"did": pa.array([i], pa.int64()), "th": pa.nulls(1, pa.int64()), "cid": pa.nulls(1, pa.int64()), "alt": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "slots": pa.array([row.astype("<u4").tobytes()], pa.binary())})
 
-    out = store(rows.mapInArrow(run, "did long, th long, cid long, n long, slots binary"), "members")
-    return out.where("slots IS NULL").drop("slots"), out.where("slots IS NOT NULL").select(F.col("did").cast("int").alias("i"), "slots")
+    out = store(rows.mapInArrow(run, "did long, th long, cid long, alt long, n long, slots binary"), "members")
+    members = out.where("slots IS NULL").drop("slots")
+    clashes = shared_hashes(members)
+    if len(clashes):
+        members = members.withColumn("cid", F.when(F.col("cid").isin(clashes.tolist()), F.col("alt")).otherwise(F.col("cid")))
+    return members.drop("alt"), out.where("slots IS NOT NULL").select(F.col("did").cast("int").alias("i"), "slots"), clashes
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -110,7 +135,7 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
     return classes.ravel()
 
 
-def prefixes(rows: DataFrame, classes: np.ndarray, k: int, percent: int) -> DataFrame:
+def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int, percent: int) -> DataFrame:
     """cid, n and the tokens of the 2-extended prefix, for sets of two tokens or more (a single token links equal sets only)."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
@@ -120,7 +145,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, k: int, percent: int) -> Data
             for lo, hi, vals, at in _sets(b.column(0), k):
                 cls = rank[(vals >> np.uint64(44)).astype(np.int64)]
                 ids, sizes, toks = [], [], []
-                for i, c in enumerate(signature(vals, at).tolist()):
+                for i, c in enumerate(identity(vals, at, clashes).tolist()):
                     n = int(at[i + 1] - at[i])
                     if n < 2 or c in seen:
                         continue
@@ -197,7 +222,7 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.rows = keyed(docs)
-        self.members, self.sketch = scan(self.rows, k)
+        self.members, self.sketch, self.clashes = scan(self.rows, k)
         self.classes = self.members.where("n > 0").groupBy("cid").agg(F.min_by(F.struct("did", "th"), F.expr(FIRST)).alias("x"), F.min("n").alias("n")).select("cid", "x.did", "x.th", "n")
         self.comp: DataFrame | None = None  # v, comp: classes that have a link, and their component
         self.tried: list[DataFrame] = []  # pairs that were compared
@@ -327,7 +352,7 @@ class _Join:
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, components): members (did, th, cid, n) of the classes of equal sets, and (v, comp) of the classes that have a link."""
     j = _Join(docs, k, percent)
-    pre = prefixes(j.rows, frequency_classes(j.sketch), k, percent)
+    pre = prefixes(j.rows, frequency_classes(j.sketch), j.clashes, k, percent)
     tokens = pre.select("cid", "n", F.posexplode("tokens").alias("pos", "key")).select("key", "cid", "n", F.col("pos").cast("long").alias("pos"))
     found = j.index(tokens)
     discard(pre)
@@ -392,3 +417,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), SHINGLE, PERCENT)
     return out.select(F.col("did").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: The same by a join of all shingles and reachability over links.
+ORACLE = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM docs WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * m >= 85 * (s.n + t.n - m)),
+reach(v, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT v, b FROM reach JOIN links ON r = a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM docs d LEFT JOIN size USING (doc_id) JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) ON v = d.doc_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netloom.llm import fm_index, quality_rules, source_mixing
+from netloom.llm import fm_index, ngram_join, quality_rules, source_mixing
 from netloom.llm.bpe import op5_bpe
 from netloom.llm.conversations import op11_conversation_repair
 from netloom.llm.fm_index import op13_fm_decontam
@@ -35,5 +35,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_quality_rules": quality_rules.oracle(),
     "op9_source_mixing": source_mixing.oracle(),
+    "op10_ngram_join": ngram_join.ORACLE,
     "op13_fm_decontam": fm_index.ORACLE,
 }

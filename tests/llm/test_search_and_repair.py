@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from netloom.llm import _bytes, conversations, fm_index, queries, spelling
+from netloom.llm import _bytes, conversations, fm_index, ngram_join, queries, spelling
 
 SPACES = " \t\n\x0b\f\r"
 
@@ -250,3 +250,25 @@ def test_long_words_have_their_own_hashes():
         assert h[0] != h[1]
     data = np.frombuffer(b"ABCDEFGHIJKabcdefghijk", np.uint8)
     assert len(set(_bytes.word_hashes(data, np.array([0, 11]), np.array([11, 22])).tolist())) == 1
+
+
+# sets of one hash
+
+
+def test_sets_of_one_hash_stay_apart(spark):
+    """Where two different sets have one first hash, their classes are named by both hashes."""
+    members = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7), (2, 6), (None, None)], "cid long, alt long")
+    assert ngram_join.shared_hashes(members).tolist() == [2]
+    vals, offs = np.array([3, 4, 5], np.uint64), np.array([0, 1, 3])
+    one, both = ngram_join.signatures(vals, offs)
+    assert ngram_join.identity(vals, offs, np.array([one[1]])).tolist() == [one[0], both[1]]
+    assert ngram_join.identity(vals, offs, np.zeros(0, np.int64)).tolist() == one.tolist()
+
+
+def test_complementary_words_are_not_linked(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
+    got = {r["did"]: r["component_id"] for r in ngram_join.near_duplicates(docs, 4, 85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
