@@ -31,7 +31,7 @@ from netloom.llm._shared import tune
 TRAIN_PAGES = 700
 TREES, DEPTH, RATE, BINS = 40, 4, 0.3, 32
 #: Elements whose content is never markup or text of the page, elements without content, and elements that make a block.
-RAW = frozenset("script style title textarea".split())
+RAW = frozenset("script style title textarea iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""html body div section article main header footer nav aside form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 table thead
 tbody tfoot tr td th caption blockquote pre figure figcaption address details summary hgroup center menu dialog legend

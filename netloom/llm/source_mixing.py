@@ -2,7 +2,7 @@
 
 Documents of a source are put in hash order and cut into blocks. With target weight w, block b (from 0) of a source may start at slot
 floor(b / w) and must have run by slot ceil((b + 1) / w); earliest deadline first over released blocks meets all deadlines, so at
-every slot each source has run within one block of its due share, until it ends and leaves its slots empty. Weights are exact
+every slot each source has run within one block of its due share, until it ends and leaves its slots to others or empty. Weights are exact
 fractions k / W with whole shares k that sum to W, and the schedule repeats after W slots; nothing is rounded, dropped or repeated.
 
 Given weights count as decimals as written; without them a source's share is the square root of its documents, to the nearest whole number.
@@ -54,22 +54,24 @@ def root_shares(counts: dict[str, int]) -> tuple[int, dict[str, int]]:
 
 def schedule(total: int, shares: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """(source, block, slot, release, due) of the blocks of one period of `total` slots, as far as sources have them: earliest
-    deadline first over released blocks, ties by name."""
+    deadline first over released blocks, ties by name. A source that ends is left out from then on, and slots for which nothing is released
+    are passed over, so the work is that of the blocks."""
     need = {n: min(k, blocks[n]) for n, k in shares.items() if k}
     release = [(0, n, 0) for n in sorted(need)]
     ready: list[tuple[int, str, int, int]] = []
     open_, t = sum(need.values()), 0
     while open_:
+        if not ready:
+            t = max(t, release[0][0])
         while release and release[0][0] <= t:
             r, n, b = heapq.heappop(release)
             heapq.heappush(ready, (-(-(b + 1) * total // shares[n]), n, b, r))
         due, n, b, r = heapq.heappop(ready)
         if due <= t:
             raise ValueError("weights exceed one")
-        if b < need[n]:
-            yield n, b, t, r, due
-            open_ -= 1
-        if b + 1 < shares[n]:
+        yield n, b, t, r, due
+        open_ -= 1
+        if b + 1 < need[n]:
             heapq.heappush(release, ((b + 1) * total // shares[n], n, b + 1))
         t += 1
 
@@ -156,15 +158,15 @@ def oracle() -> str:
     """The same in DuckDB: one period by a recursion over slots."""
     return f"""
 WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o FROM documents),
-c AS (SELECT s, CAST(round(sqrt(count(*))) AS BIGINT) AS k FROM d GROUP BY s),
-z AS (SELECT s, k, sum(k) OVER () AS q, row_number() OVER (ORDER BY s) AS i FROM c),
-ks AS (SELECT list(k ORDER BY i) AS ks, CAST(any_value(q) AS BIGINT) AS q FROM z),
+c AS (SELECT s, CAST(round(sqrt(count(*))) AS BIGINT) AS k, (count(*) + {BLOCK - 1}) // {BLOCK} AS n FROM d GROUP BY s),
+z AS (SELECT s, k, least(k, n) AS n, sum(k) OVER () AS q, row_number() OVER (ORDER BY s) AS i FROM c),
+ks AS (SELECT list(k ORDER BY i) AS ks, list(n ORDER BY i) AS ns, CAST(any_value(q) AS BIGINT) AS q FROM z),
 run(t, done, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(ks, lambda v: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM ks
   UNION ALL
   SELECT t + 1, list_transform(done, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END), p
-  FROM (SELECT t, done, list_position(cand, list_min(cand)) AS p FROM (
-    SELECT t, done, list_transform(done, lambda v, i: CASE WHEN v < ks[i] AND v * q // ks[i] <= t + 1 THEN ((v + 1) * q + ks[i] - 1) // ks[i] * 100000 + i ELSE 1000000000000 END) AS cand FROM run, ks WHERE t + 1 < q))),
+  FROM (SELECT t, done, CASE WHEN list_min(cand) < 1000000000000 THEN list_position(cand, list_min(cand)) ELSE 0 END AS p FROM (
+    SELECT t, done, list_transform(done, lambda v, i: CASE WHEN v < ns[i] AND v * q // ks[i] <= t + 1 THEN ((v + 1) * q + ks[i] - 1) // ks[i] * 100000 + i ELSE 1000000000000 END) AS cand FROM run, ks WHERE t + 1 < q))),
 plan AS (SELECT pick AS i, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS b, t FROM run WHERE t >= 0),
 r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY o) - 1 AS rk FROM d)
 SELECT doc_id, source, block, place, CAST(block // k * q + plan.t AS BIGINT) AS slot, CAST(block * q // k AS BIGINT) AS release, CAST(((block + 1) * q + k - 1) // k AS BIGINT) AS due

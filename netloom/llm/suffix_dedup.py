@@ -317,8 +317,10 @@ def _by_windows(rows: DataFrame, ids: DataFrame, kinds: DataFrame) -> DataFrame:
             last = np.append(first[1:], len(w)) - 1
             often = np.add.reduceat(n, first) > 1
             pick = np.unique(np.concatenate([first[often], last[often]]))
-            for chunk in np.unique(who[pick]).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *_longs([w[pick][who[pick] == chunk]])], ["chunk", "w"])
+            pick = pick[np.argsort(who[pick], kind="stable")]
+            chunk, at = np.unique(who[pick], return_index=True)
+            if len(chunk):
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), *_longs(np.split(w[pick], at[1:]))], ["chunk", "w"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(w, anchor, block, at): the first and the last copy in the chunk of each hash that it was asked for."""
@@ -489,21 +491,22 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> str:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated bytes taken out of text, and n_chars (where there is such a column) counted anew. All rows stay;
-    a null text stays null."""
+    a null text stays null. Only rows with repeats go through Python."""
     cols = docs.columns
+    kept = [f"_k{i}" for i, c in enumerate(cols) if c != "text"]
     named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(cols) if c != "text"], F.col("text").isNull().alias("_null"))
-    extra = [f"_k{i}" for i, c in enumerate(cols) if c != "text"]
-    rows = with_spans(named, "_null", *extra)
-
-    @F.pandas_udf("string")
-    def cleaned(text, spans):
-        import pandas as pd
-
-        return pd.Series([without(t, merged(None if s is None else list(s))) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(F.col("spans").isNull(), F.col("text").cast("string")).otherwise(cleaned("text", "spans"))
-    rows = rows.withColumn("_text", text)
-    return rows.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)])
+    rows = keyed(named, "_null", *kept)
+    spans = store(repeated(rows), "spans")
+    joined = rows.join(spans, ROW, "left")
+
+    def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+        text = [without(t, merged(s)) for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), *b.columns[2:]], ["_text", *kept])
+
+    whole = joined.where("spans IS NULL").select(F.when(~F.col("_null"), F.col("text").cast("string")).alias("_text"), *kept)
+    cut = joined.where("spans IS NOT NULL").select("text", "spans", *kept)
+    out = whole.unionByName(arrow_map(cut, clean, whole.schema))
+    return out.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

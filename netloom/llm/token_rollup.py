@@ -5,9 +5,9 @@ subtract, a revised count does both. A batch counts from the moment its mark `co
 that is moved into place only if no such file is there. So batches may come in any order and many at a time, and a repeated or
 retried batch changes nothing, whatever it holds. Totals are the sum over commits.
 
-`compact` folds the commits of one listing into a new base, whose mark names its table and the batches it holds; only then the marks of these
-batches move to `folded/`, where they still stop repeats. A base lists no more batches than came since the one before. Readers
-take the newest base, leave out what it lists, and look again if a newer one has come meanwhile.
+`compact` folds the commits of one listing into a new base, whose mark names its table and all batches that it holds. Marks of batches never
+move, so a name is taken once and for all, whoever folds meanwhile. Readers take the newest base, leave out what it lists, and look again
+if a newer one has come meanwhile.
 
 Null source or language is a group of its own. Null and empty texts count as documents of no tokens; very long texts count whole; repeated rows
 and equal ids count as often as they stand there. An empty batch is a commit without rows, and totals without commits have no rows. Sums do not
@@ -93,7 +93,7 @@ class TokenRollup:
             fs.delete(draft, False)
 
     def _base(self) -> tuple[str | None, list[str]]:
-        """The newest base's table, and the batches that it took in last."""
+        """The newest base's table, and the batches that it holds."""
         names = self._names("base")
         if not names:
             return None, []
@@ -103,11 +103,11 @@ class TokenRollup:
     def apply(self, batch: str, deltas: DataFrame) -> bool:
         """Commit a batch; False if a batch of this name is there already."""
         name = quote(batch, safe="")
-        if self._exists(f"commit-{name}") or self._exists(f"folded/{name}"):
+        if self._exists(f"commit-{name}"):
             return False
         table = f"data-{uuid.uuid4().hex}"
         deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0").write.parquet(f"{self.folder}/{table}")
-        if not self._exists(f"folded/{name}") and self._mark(f"commit-{name}", [table]):
+        if self._mark(f"commit-{name}", [table]):
             return True
         path, fs = self._fs()
         fs.delete(path(f"{self.folder}/{table}"), True)
@@ -115,21 +115,17 @@ class TokenRollup:
 
     def batches(self) -> list[str]:
         """Names of the batches since the newest base."""
-        return [unquote(n) for n in self._names("commit") if n not in self._base()[1]]
+        held = set(self._base()[1])
+        return [unquote(n) for n in self._names("commit") if n not in held]
 
-    def _listing(self) -> tuple[str | None, dict[str, str]]:
-        """The newest base's table, and the table of each commit that is not in it."""
+    def _listing(self) -> tuple[str | None, list[str], dict[str, str]]:
+        """The newest base's table, the batches in it, and the table of each commit that is not."""
         while True:
-            table, done = self._base()
-            marks = [n for n in self._names("commit") if n not in done]
-            try:
-                found = {n: self._read(f"commit-{n}")[0] for n in marks}
-            except Exception:
-                if self._base()[0] == table:
-                    raise
-                continue  # a newer base has moved marks away
+            table, held = self._base()
+            known = set(held)
+            found = {n: self._read(f"commit-{n}")[0] for n in self._names("commit") if n not in known}
             if self._base()[0] == table:
-                return table, found
+                return table, held, found
 
     def _sum(self, base: str | None, commits: dict[str, str]) -> DataFrame:
         paths = [f"{self.folder}/{t}" for t in [*commits.values(), *([base] if base else [])]]
@@ -140,28 +136,19 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens of what is there."""
-        return self._sum(*self._listing())
-
-    def _fold(self) -> None:
-        """Move the marks of the batches that the newest base took in."""
-        path, fs = self._fs()
-        fs.mkdirs(path(f"{self.folder}/folded"))
-        for n in self._base()[1]:
-            if self._exists(f"commit-{n}"):
-                fs.rename(path(f"{self.folder}/commit-{n}"), path(f"{self.folder}/folded/{n}"))
+        base, _, commits = self._listing()
+        return self._sum(base, commits)
 
     def compact(self) -> None:
         """Fold the commits of one listing into a new base. A commit that comes meanwhile is in none of both and counts on its own; of two
         that compact at a time one does nothing."""
-        self._fold()  # what an interrupted run left
         names = self._names("base")
-        base, commits = self._listing()
-        if len(self._names("base")) != len(names):
+        base, held, commits = self._listing()
+        if not commits or len(self._names("base")) != len(names):
             return
         table = f"data-{uuid.uuid4().hex}"
         self._sum(base, commits).write.parquet(f"{self.folder}/{table}")
-        if self._mark(f"base-{int(names[-1]) + 1 if names else 1:08d}", [table, *commits]):
-            self._fold()
+        self._mark(f"base-{int(names[-1]) + 1 if names else 1:08d}", [table, *held, *commits])
 
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -230,6 +231,16 @@ def test_schedule_keeps_to_the_targets(weights):
     assert worst < 1 + 1e-6 and (total > 10**6 or done == shares)  # a period ends with every source at its due share
 
 
+def test_a_schedule_takes_no_longer_than_its_blocks():
+    """Sources of tiny weight, of few blocks each, and others that end early."""
+    begin = time.perf_counter()
+    for w in (1e-5, 1e-9, 1e-15):
+        total, shares = source_mixing.exact({"tiny": w, "rest": 1 - w if w > 1e-9 else 1.0})
+        plan = list(source_mixing.schedule(total, shares, {"tiny": 2, "rest": 1}))
+        assert [(n, b) for n, b, *_ in plan] == [("rest", 0), ("tiny", 0), ("tiny", 1)][: 2 + (shares["tiny"] > 1)] and all(r <= t < due for _, _, t, r, due in plan)
+    assert time.perf_counter() - begin < 1
+
+
 def test_mixing_keeps_to_given_weights(spark, monkeypatch):
     sizes, weights = {"a": 700, "b": 290, "c": 10, "last": 3, "": 2}, {"a": 0.7, "b": 0.29, "c": 0.01, "last": 0.0, "": 0.0}
     rows = [(i, n, str(i)) for n, c in sizes.items() for i in range(c)]

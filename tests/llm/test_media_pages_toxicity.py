@@ -201,6 +201,7 @@ def test_swap_form_is_the_change_of_whole_texts():
         ("<p>is <select><option>x</option></select> more</p><p>next</p>", ["is", "x", "more", "next"]),
         ("<article><p>so <math><mi>x</mi></math> <button>go</button> <object>o</object></p></article>", ["so x go o"]),
         ("<p>a<script>b</script><style>c</style><textarea>d</textarea></p><p>article</p>", ["a", "article"]),
+        ("<article><p>a<iframe>fallback frame</iframe> b</p><noembed><p>c</p></noembed><noframes>d</noframes></article>", ["a b"]),
     ],
 )
 def test_only_raw_elements_are_swallowed(html, want):

@@ -171,6 +171,24 @@ def test_commits_during_and_between_compactions(spark):
     assert not r._mark("base-00000002", ["x"]) and r._read("base-00000002")[0] != "x"
 
 
+def test_a_batch_counts_once_when_a_fold_comes_between_look_and_mark(spark):
+    """Two writers of one batch: the first commits and is folded while the second writes its table."""
+    rows = lambda n: spark.createDataFrame([("s", "l", "v", 1, n)], token_rollup.SCHEMA)
+    folder = fresh_path(spark, "r")
+    first, second = token_rollup.TokenRollup(spark, folder), token_rollup.TokenRollup(spark, folder)
+    plain = second._mark
+
+    def late(name, lines):
+        assert first.apply("x", rows(5))
+        first.compact()
+        return plain(name, lines)
+
+    second._mark = late
+    assert not second.apply("x", rows(5))
+    first.compact()
+    assert [tuple(x)[3:] for x in first.totals().collect()] == [(1, 5)] and first.batches() == []
+
+
 def test_rollup_query(spark, docs, tmp_path):
     docs.union(docs.where("doc_id = 5")).write.parquet(str(tmp_path / "documents.parquet"))
     lib, want, seen = _words.library(PATH), {}, set()
