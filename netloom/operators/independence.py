@@ -6,10 +6,12 @@ from __future__ import annotations
 import itertools
 import math
 from abc import ABC, abstractmethod
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,15 @@ from netloom.functions.kdtree import KDTree
 from netloom.functions.special import TOL, chi2_sf, digamma, t_two_sided
 from netloom.functions.weighted_chi2 import hbe_complement, lpb4_complement
 from netloom.operators.kde import training_matrix
-from netloom.operators.stats import Moments, SuffStats, col, median_distance, normalize
+from netloom.operators.stats import Moments, SuffStats, col, median_distance
 from netloom.operators.temporal import DynamicDataFrame
 from netloom.sources.dataset import Dataset
 
 
+#: Tasks' sums meet in so many groups before they meet by set.
+MEETING = 64
+
+
 def as_list(z: str | Sequence[str] | None) -> list[str]:
     return [] if z is None else [z] if isinstance(z, str) else list(z)
 
@@ -310,85 +316,167 @@ def local_permutation(x: np.ndarray, near: np.ndarray, rng: np.random.Generator)
 # ---------------------------------------------------------------- random Fourier features
 
 
+@dataclass
+class _Spectrum:
+    """One test's columns with their means and deviations, and its random features: (columns, weights, phases) of x, y and z."""
+
+    cols: list[str]
+    mean: np.ndarray
+    sd: np.ndarray
+    maps: list[tuple[list[str], np.ndarray, np.ndarray]]
+
+    def features(self, cells: dict[str, np.ndarray]) -> np.ndarray:
+        """Of the rows that are valid in all columns."""
+        a = np.column_stack([cells[c] for c in self.cols])
+        a = (a[~np.isnan(a).any(1)] - self.mean) / self.sd
+        return np.concatenate([math.sqrt(2) * np.cos(a[:, [self.cols.index(c) for c in g]] @ w + b) for g, w, b in self.maps], 1)
+
+
+def co_moments(df: DataFrame, needed: Sequence[str], features: Sequence[Callable[[dict[str, np.ndarray]], np.ndarray]]) -> list[Moments]:
+    """Moments of many sets of features in one pass over the rows: each task adds up its own, their sums meet in groups of tasks and then by
+    set, so that one matrix a set reaches the driver, whatever the number of rows and tasks."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(list(features)))
+    schema = "i int, salt int, n long, mean binary, sse binary"
+
+    def row(i: int, salt: int, m: Moments) -> pa.RecordBatch:
+        cells = (pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([m.n], pa.int64()), pa.array([m.mean.tobytes()]), pa.array([m.sse.tobytes()]))
+        return pa.RecordBatch.from_arrays(list(cells), ["i", "salt", "n", "mean", "sse"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, Moments] = {}
+        functions = cloudpickle.loads(shared.value)
+        for b in batches:
+            cells = {c: b.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(needed)}
+            for i, f in enumerate(functions):
+                x = f(cells)
+                if len(x):
+                    mean = x.mean(0)
+                    m = Moments([""] * x.shape[1], len(x), mean, (x - mean).T @ (x - mean))
+                    total[i] = total[i] + m if i in total else m
+        for i, m in total.items():
+            yield row(i, TaskContext.get().partitionId() % MEETING, m)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for b in batches:
+            for r in b.to_pylist():
+                mean = np.frombuffer(r["mean"])
+                m = Moments([""] * len(mean), r["n"], mean, np.frombuffer(r["sse"]).reshape(len(mean), -1))
+                if now is not None and now != (r["i"], r["salt"]):
+                    yield row(*now, held)
+                    held = None
+                now, held = (r["i"], r["salt"]), m if held is None else held + m
+        if now is not None:
+            yield row(*now, held)
+
+    out = df.select(*[col(c).alias(c) for c in needed]).mapInArrow(add_up, schema)
+    out = out.repartition("i", "salt").sortWithinPartitions("i", "salt").mapInArrow(meet, schema)
+    out = out.withColumn("salt", F.lit(0)).repartition("i").sortWithinPartitions("i").mapInArrow(meet, schema)
+    got = {r["i"]: r for r in out.collect()}
+    shared.destroy()
+    found = []
+    for i in range(len(features)):
+        mean = np.frombuffer(got[i]["mean"]) if i in got else np.zeros(0)
+        found.append(Moments([""] * len(mean), got[i]["n"], mean, np.frombuffer(got[i]["sse"]).reshape(len(mean), -1)) if i in got else Moments.empty([]))
+    return found
+
+
 class RCoT(_DataTest):
-    """Randomised conditional correlation test. Features are computed in Arrow batches and only their co-moments come back."""
+    """Randomised conditional correlation test. Many tests share two passes over the rows, BATCH of them at a time: one for the co-moments of
+    the features, one for those of the residuals' products. A task holds the matrices of one batch, and so does the driver."""
+
+    BATCH = 128
+    #: First rows of the order that kernel widths are taken from (500 valid ones are used).
+    HEAD = 2000
 
     def __init__(self, data, random_fourier_xy: int = 5, random_fourier_z: int = 100, seed: int | None = None):
         super().__init__(data)
         if len(self.data.continuous) < 2:
             raise ValueError("RCoT needs two continuous columns")
         self.f_xy, self.f_z, self.seed = random_fourier_xy, random_fourier_z, 0 if seed is None else seed
+        self._first: np.ndarray | None = None
 
     def variables(self):
         return list(self.data.continuous)
 
-    def _maps(self, scaled: Dataset, groups: Sequence[tuple[list[str], int]]):
-        rng = np.random.default_rng(self.seed)
-        return [(g, rng.standard_normal((len(g), f)) / median_distance(scaled, g), rng.uniform(0, 2 * math.pi, f)) for g, f in groups]
-
-    @staticmethod
-    def _gram(df: DataFrame, needed: Sequence[str], feature) -> tuple[int, np.ndarray, np.ndarray]:
-        """Rows, means and centred cross-products of feature(matrix), merged over batches."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                if len(b):
-                    f = feature(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]))
-                    mean = f.mean(0)
-                    m = Moments([""] * f.shape[1], len(f), mean, (f - mean).T @ (f - mean))
-                    total = m if total is None else total + m
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"n": [total.n], "m": [total.mean.tobytes()], "s": [total.sse.tobytes()]})
-
-        merged: Moments | None = None
-        for r in df.select(*[col(c).alias(c) for c in needed]).mapInArrow(run, "n long, m binary, s binary").toLocalIterator():
-            mean = np.frombuffer(r["m"])
-            m = Moments([""] * len(mean), r["n"], mean, np.frombuffer(r["s"]).reshape(len(mean), -1))
-            merged = m if merged is None else merged + m
-        return merged.n, merged.mean, merged.sse
+    def _head(self) -> np.ndarray:
+        """The first HEAD rows in order (without order_by: of the hash of the columns), all continuous columns."""
+        if self._first is None:
+            cols = self.data.continuous
+            order = self.data.order_by or [F.xxhash64(*[col(c) for c in cols]), *[col(c) for c in cols]]
+            rows = self.data.df.orderBy(*order).limit(self.HEAD).select(*[col(c) for c in cols]).collect()
+            self._first = np.array([tuple(np.nan if v is None else v for v in r) for r in rows], float).reshape(len(rows), len(cols))
+        return self._first
+
+    def _width(self, cols: Sequence[str], mean: np.ndarray, sd: np.ndarray, group: Sequence[str]) -> float:
+        """Median distance of the first 500 rows that are valid in `cols`, over the z-scores of `group`."""
+        at = [self.data.continuous.index(c) for c in cols]
+        head = self._head()
+        valid = head[~np.isnan(head[:, at]).any(1)][:500]
+        if len(valid) < 500 and len(head) == self.HEAD:  # many nulls: a job of its own
+            view = self.data.with_df(self.data.df.where(Dataset.valid(cols)))
+            scale = {c: (m, s) for c, m, s in zip(cols, mean, sd, strict=True)}
+            return median_distance(view.with_df(view.df.withColumns({c: (col(c) - scale[c][0]) / scale[c][1] for c in group})), group)
+        x = (valid[:, at] - mean) / sd
+        x = x[:, [list(cols).index(c) for c in group]]
+        if len(x) < 2:
+            return 1.0
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]
+        return float(np.median(d)) or 1.0
 
-    def pvalue(self, x, y, z=None):
-        z = as_list(z)
-        view = self.data.loc(x, y, z).with_df(self.data.df.where(Dataset.valid([x, y, *z])).select(*[F.col(f"`{c}`") for c in dict.fromkeys([x, y, *z])]))
-        m = SuffStats(view).moments([x, y, *z])
+    def _spectrum(self, x: str, y: str, z: list[str], maps=None) -> _Spectrum | None:
+        """None if x or y is constant; constant columns of z are left out."""
+        m = self.stats.moments(list(dict.fromkeys([x, y, *z])))
         var = dict(zip(m.cols, np.diag(m.cov), strict=True))
-        if var[x] < TOL or var[y] < TOL:
-            return 1.0
+        if not (var[x] >= TOL and var[y] >= TOL):
+            return None
         z = [c for c in z if var[c] >= TOL]
-        scaled = normalize(view.with_df(view.df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([x, y, *z])])))
-        groups = [([x], self.f_xy), ([y], self.f_xy)] + ([(z, self.f_z)] if z else [])
-        maps = self._maps(scaled, groups)
-        cols = [x, y, *z]
-
-        def raw(a: np.ndarray) -> np.ndarray:
-            return np.concatenate([math.sqrt(2) * np.cos(a[:, [cols.index(c) for c in g]] @ w + b) for g, w, b in maps], 1)
-
-        n, mean, sse = self._gram(scaled.df, cols, raw)
-        sd = np.sqrt(np.diag(sse) / (n - 1))
+        m = m.take(list(dict.fromkeys([x, y, *z])))
+        sd = np.sqrt(np.diag(m.cov))
+        if maps is None:
+            rng = np.random.default_rng(self.seed)
+            groups = [([x], self.f_xy), ([y], self.f_xy)] + ([(z, self.f_z)] if z else [])
+            maps = [(g, rng.standard_normal((len(g), f)) / self._width(m.cols, m.mean, sd, g), rng.uniform(0, 2 * math.pi, f)) for g, f in groups]
+        return _Spectrum(m.cols, m.mean, sd, maps)
+
+    def _partial(self, s: _Spectrum, m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Deviations of the features, partial correlations of those of x and y, and what z's features explain of them."""
+        sd = np.sqrt(np.diag(m.sse) / (m.n - 1))
         sd = np.where(sd > 0, sd, 1.0)
-        c = sse / (n - 1) / np.outer(sd, sd)
-        f = self.f_xy
-        if z:
-            zz = c[2 * f :, 2 * f :] + 1e-10 * np.eye(self.f_z)
-            coef = np.linalg.solve(zz, c[2 * f :, : 2 * f])
-            part = c[:f, f : 2 * f] - c[:f, 2 * f :] @ coef[:, f:]
-        else:
-            coef, part = None, c[:f, f : 2 * f]
-
-        def products(a: np.ndarray) -> np.ndarray:
-            s = (raw(a) - mean) / sd
-            r = s[:, : 2 * f] - (s[:, 2 * f :] @ coef if coef is not None else 0.0)
-            return (r[:, :f, None] * r[:, None, f:]).reshape(len(a), -1)
-
-        n2, mean2, sse2 = self._gram(scaled.df, cols, products)
-        second = (sse2 + n2 * np.outer(mean2, mean2)) / n2
+        c = m.sse / (m.n - 1) / np.outer(sd, sd)
+        i, j = s.maps[0][1].shape[1], s.maps[0][1].shape[1] + s.maps[1][1].shape[1]
+        if len(s.maps) < 3:
+            return sd, c[:i, i:j], None
+        zz = c[j:, j:] + 1e-10 * np.eye(len(c) - j)
+        coef = np.linalg.solve(zz, c[j:, :j])
+        return sd, c[:i, i:j] - c[:i, j:] @ coef[:, i:], coef
+
+    def statistics(self, specs: Sequence[_Spectrum]) -> list[tuple[float, np.ndarray]]:
+        """For each test n times the squared partial correlations of the features, and the second moments of the residuals' products."""
+        needed = list(dict.fromkeys(c for s in specs for c in s.cols))
+        first = co_moments(self.data.df, needed, [s.features for s in specs])
+        solved = [self._partial(s, m) for s, m in zip(specs, first, strict=True)]
+
+        def products(s: _Spectrum, m: Moments, sd: np.ndarray, coef: np.ndarray | None) -> Callable:
+            i, j = s.maps[0][1].shape[1], s.maps[0][1].shape[1] + s.maps[1][1].shape[1]
+
+            def f(cells: dict[str, np.ndarray]) -> np.ndarray:
+                x = (s.features(cells) - m.mean) / sd
+                r = x[:, :j] - (x[:, j:] @ coef if coef is not None else 0.0)
+                return (r[:, :i, None] * r[:, None, i:]).reshape(len(r), i * (j - i))
+
+            return f
+
+        second = co_moments(self.data.df, needed, [products(s, m, sd, coef) for s, m, (sd, _, coef) in zip(specs, first, solved, strict=True)])
+        return [(m.n * float((part**2).sum()), m2.sse / m2.n + np.outer(m2.mean, m2.mean)) for m, m2, (_, part, _) in zip(first, second, solved, strict=True)]
+
+    def _tail(self, stat: float, second: np.ndarray, conditional: bool) -> float:
         w = np.linalg.eigvalsh(second)
         w = w[w > 1e-12]
-        stat = n * float((part**2).sum())
         if not len(w):
             return 1.0
-        if len(w) < 4 or self.f_z == 1 and z:
+        if len(w) < 4 or self.f_z == 1 and conditional:
             p = hbe_complement(w, stat)
         else:
             try:
@@ -397,6 +485,21 @@ class RCoT(_DataTest):
                 p = hbe_complement(w, stat)
         return min(1.0, max(0.0, p)) if math.isfinite(p) else hbe_complement(w, stat)
 
+    def pvalues(self, triples):
+        triples = [(x, y, as_list(z)) for x, y, z in triples]
+        self.stats.prefetch([list(dict.fromkeys([x, y, *z])) for x, y, z in triples])
+        specs = [self._spectrum(*t) for t in triples]
+        out = [1.0] * len(triples)
+        todo = [i for i, s in enumerate(specs) if s is not None]
+        for k in range(0, len(todo), self.BATCH):
+            some = todo[k : k + self.BATCH]
+            for i, (stat, second) in zip(some, self.statistics([specs[i] for i in some]), strict=True):
+                out[i] = self._tail(stat, second, len(specs[i].maps) > 2)
+        return out
+
+    def pvalue(self, x, y, z=None):
+        return self.pvalues([(x, y, as_list(z))])[0]
+
 
 # ---------------------------------------------------------------- dynamic
 

@@ -10,6 +10,7 @@ from netloom.functions.special import chi2_sf, digamma, t_two_sided
 from netloom.operators.constraint import SepSets
 from netloom.operators.factors import CKDEType, LinearGaussianCPDType
 from netloom.operators.graph import PartiallyDirectedGraph
+from netloom.operators import independence
 from netloom.operators.independence import ChiSquare, DynamicLinearCorrelation, IndependenceTest, KMutualInformation, LinearCorrelation, MutualInformation, RCoT, knn_mi, ranks
 from netloom.operators.learn import DMMHC, MMHC, MMPC, PC, Callback, GreedyHillClimbing, check_restrictions, hc
 from netloom.operators.models import CLGNetworkType, DiscreteBNType, GaussianNetwork, GaussianNetworkType, SemiparametricBN, SemiparametricBNType
@@ -96,6 +97,36 @@ def test_random_features(spark):
     assert t.pvalue("x", "y", ["z", "u"]) >= 0
 
 
+def test_random_features_of_many_tests_at_once(spark, monkeypatch):
+    """A level of tests takes two passes, and its figures are those of numpy on the same features; nulls leave out a test's own rows only."""
+    r = np.random.default_rng(1)
+    z = r.normal(size=900)
+    pdf = pd.DataFrame({"x": z + r.normal(size=900), "y": z**2 + r.normal(size=900), "z": z, "u": r.normal(size=900)})
+    pdf.loc[::7, "u"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    triples = [("x", "y", []), ("x", "y", ["z"]), ("x", "u", ["z"]), ("z", "u", ["x", "y"]), ("u", "y", [])]
+    t = RCoT(df, 4, 9, seed=3)
+    passes, plain = [], independence.co_moments
+    monkeypatch.setattr(independence, "co_moments", lambda *a: passes.append(len(a[2])) or plain(*a))
+    got = t.pvalues(triples)
+    assert passes == [5, 5]
+    monkeypatch.setattr(RCoT, "BATCH", 2)
+    assert np.allclose(t.pvalues(triples), got) and np.allclose([RCoT(df, 4, 9, seed=3).pvalue(*x) for x in triples], got)
+    for x, y, zs in triples:
+        s = t._spectrum(x, y, zs)
+        f = s.features({c: pdf[c].to_numpy() for c in s.cols})
+        f = (f - f.mean(0)) / f.std(0, ddof=1)
+        a, b, c = f[:, :4], f[:, 4:8], f[:, 8:]
+        if zs:
+            k = np.linalg.solve(np.cov(c.T) + 1e-10 * np.eye(9), np.cov(f.T)[8:, :8])
+            a, b = a - c @ k[:, :4], b - c @ k[:, 4:]
+        stat, second = t.statistics([s])[0]
+        p = (a[:, :, None] * b[:, None]).reshape(len(f), -1)
+        assert np.allclose(second, p.T @ p / len(f))
+        part = np.cov(f.T)[:4, 4:8] - (np.cov(f.T)[:4, 8:] @ k[:, 4:] if zs else 0.0)
+        assert np.isclose(stat, len(f) * (part**2).sum())
+
+
 # ---------------------------------------------------------------- search
 
 
