@@ -222,38 +222,48 @@ def normalize(data: Dataset) -> Dataset:
     return data.with_df(data.df.withColumns(put))
 
 
-#: Ranges that an ordered table is dealt to, at most, and sampled rows for each bound between two of them.
-MAX_RANGES, SAMPLED = 4096, 25
-
-
-def range_number(rows: DataFrame, order: Sequence[str], parts: int = 0) -> Column:
-    """Number of the range that a row falls in, `parts` ranges of similar size in the order of `order` (nulls first). The bounds are rows of a
-    sample of fixed size, by the hash of their order columns, so they hold all these columns: equal values of the first do not meet
-    in one range unless the others are equal, too. The column is an expression, the same in every task."""
-    n = min(parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    keys = [F.col(f"`{o}`") for o in order]
-    if n < 2:
-        return F.lit(0)
-    sample = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    names = sample.columns
-    got = sample.orderBy(F.xxhash64(*names), *names).limit(SAMPLED * n).orderBy(*names).collect()
-    types = [f.dataType for f in sample.schema.fields]
-    bounds = list(dict.fromkeys(tuple(got[i * len(got) // n]) for i in range(1, n))) if got else []
-    if not bounds:
-        return F.lit(0)
-    row = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    several = lambda some: F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types, strict=True))]) for b in some])
-    below = lambda some: F.size(F.filter(some, lambda b: b < row))
-    # two levels, so that a row meets about twice the root of the number of bounds
-    step = math.isqrt(len(bounds) - 1) + 1
-    group = below(several(bounds[::step]))
-    inside = F.element_at(F.array(*[several(bounds[i : i + step]) for i in range(0, len(bounds), step)]), group)
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * step + below(inside))
+#: Sampled rows for each bound between two ranges; bounds that a row is compared with one after another.
+SAMPLED, FANOUT = 25, 32
+
+
+class Ranges:
+    """Ranges of similar size of a table in the order of `order` (nulls first), as many as there are shuffle partitions. The bounds are rows of a
+    sample of SAMPLED rows a range, by the hash of their order columns, so they hold all these columns: equal values of the first do not
+    meet in one range unless the others are equal, too. The bounds are fixed when this is made, by one job."""
+
+    def __init__(self, rows: DataFrame, order: Sequence[str], parts: int = 0):
+        self.order = list(order)
+        n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sample = rows.select(*[F.col(f"`{o}`").alias(f"k{i}") for i, o in enumerate(order)])
+        names = sample.columns
+        got = sample.orderBy(F.xxhash64(*names), *names).limit(SAMPLED * n).orderBy(*names).collect() if n > 1 else []
+        self.types = [f.dataType for f in sample.schema.fields]
+        self.bounds = list(dict.fromkeys(tuple(got[i * len(got) // n]) for i in range(1, n))) if got else []
+
+    def number(self) -> Column:
+        """The number of a row's range, an expression that is the same in every task: a search tree over the bounds."""
+        row = F.struct(*[F.col(f"`{o}`").alias(f"k{i}") for i, o in enumerate(self.order)])
+        point = lambda b: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, self.types, strict=True))])
+
+        def place(bounds: list[tuple]) -> Column:
+            if len(bounds) <= FANOUT:
+                below = [F.when(point(b) < row, 1).otherwise(0) for b in bounds]
+                return sum(below[1:], below[0])
+            step = FANOUT
+            while step * FANOUT < len(bounds):
+                step *= FANOUT
+            out = F
+            for i in range(step, len(bounds), step):  # the subtree of a row is the first whose upper bound is not below it
+                out = out.when(point(bounds[i]) >= row, place(bounds[i - step : i]) + (i - step))
+            last = range(0, len(bounds), step)[-1]
+            return out.otherwise(place(bounds[last:]) + last)
+
+        return place(self.bounds) if self.bounds else F.lit(0)
 
 
 def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: int = 0, digest: bool = False) -> DataFrame:
     """0-based position of each non-null value of `column`, ties by `tie`. Rows are dealt to ranges whose bounds are fixed beforehand
-    (range_number() over value and tie; equal parts of the hexadecimal scale for a digest) and positions are running totals of the ranges' sizes
+    (Ranges over value and tie; equal parts of the hexadecimal scale for a digest) and positions are running totals of the ranges' sizes
     plus the place inside: no task sees all rows, however often a value occurs, and a repeated task finds the same positions."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value, rows = F.col(f"`{column}`"), df.where(F.col(f"`{column}`").isNotNull())
@@ -261,7 +271,7 @@ def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: i
     if digest:
         part = F.floor(F.conv(F.substring(value, 1, 8), 16, 10).cast("long") * n / (1 << 32))
     else:
-        part = range_number(rows, order, n)
+        part = Ranges(rows, order, n).number()
     rows = rows.withColumn("_part", part.cast("int"))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
     base = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
@@ -293,12 +303,31 @@ def take(data: Dataset, indices) -> Dataset:
 
 
 def rank_data(data: Dataset, key: Sequence[str]) -> Dataset:
-    """Every continuous column replaced by its 0-based rank, ties by `key` (a unique key of the rows)."""
-    out = data.df
-    for c in data.continuous:
-        pos = ranked(data.df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*key, c])]), c, key, "_rank").select(*[F.col(f"`{k}`") for k in key], "_rank")
-        out = out.join(pos, list(key), "left").withColumn(c, F.col("_rank").cast("double")).drop("_rank")
-    return data.with_df(out.select(*data.df.columns))
+    """Every continuous column replaced by its 0-based rank, ties by `key` (a unique key of the rows). The values of all columns are rows of one table
+    that is dealt to ranges of (column, value, key) once; the ranks come back together by key, along with the other columns, which
+    travel with the first column's values."""
+    cols, names = list(data.continuous), data.df.columns
+    if not cols:
+        return data
+    keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)]
+    kept = [c for c in names if c not in cols and c not in key]
+    other = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(kept)], F.lit(True).alias("here"))
+    numeric = [F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").alias("_v"), F.when(F.lit(i == 0), other).alias("_o")) for i, c in enumerate(cols)]
+    same = len({data.df.schema[c].dataType for c in cols}) == 1
+    if not same:
+        numeric = [F.struct(F.lit(i).alias("_c"), F.col(f"`{c}`").cast("double").alias("_v"), F.when(F.lit(i == 0), other).alias("_o")) for i, c in enumerate(cols)]
+    each = data.df.select(*keys, F.explode(F.array(*numeric)).alias("_x")).select(*[f"k{i}" for i in range(len(key))], "_x.*")
+    order = ["_c", "_v", *[f"k{i}" for i in range(len(key))]]
+    each = each.withColumn("_part", Ranges(each.select(*order), order).number().cast("int"))
+    counted = F.col("_v").isNotNull()
+    sizes = each.where(counted).groupBy("_c", "_part").agg(F.count("*").alias("_size"))
+    base = sizes.select("_c", "_part", F.coalesce(F.sum("_size").over(Window.partitionBy("_c").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inner = F.sum(F.when(counted, 1)).over(Window.partitionBy("_part", "_c").orderBy("_v", *order[2:]).rowsBetween(Window.unboundedPreceding, 0))
+    at = each.withColumn("_in", inner).join(F.broadcast(base), ["_c", "_part"], "left")
+    rank = F.when(counted, (F.col("_base") + F.col("_in") - 1).cast("double"))
+    back = at.groupBy(*order[2:]).agg(*[F.max(F.when(F.col("_c") == i, rank)).alias(f"r{i}") for i in range(len(cols))], F.first("_o", ignorenulls=True).alias("_o"))
+    value = {c: F.col(f"r{i}") for i, c in enumerate(cols)} | {k: F.col(f"k{i}") for i, k in enumerate(key) if k not in cols} | {c: F.col(f"_o.o{i}") for i, c in enumerate(kept)}
+    return data.with_df(back.select(*[value[c].alias(c) for c in names]))
 
 
 def joint_counts(data: Dataset, variable: str, evidence: Sequence[str] = ()) -> DataFrame:

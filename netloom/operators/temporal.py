@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from netloom.operators.stats import range_number
+from netloom.operators.stats import Ranges
 from netloom.sources.dataset import Dataset
 
 
@@ -16,8 +18,9 @@ def temporal_name(variable: str, k: int) -> str:
 
 
 class DynamicDataFrame:
-    """Slices of a table of Markov order m. Lags follow `order_by`; with `series` they stay within each series, and each series is a task's.
-    Without, the table is cut into ranges of the order and the last m rows of each go along to the next, so no task sees all."""
+    """Slices of a table of Markov order m. Lags follow `order_by`; with `series` they stay within each series. The table is cut into ranges of
+    series and order, whose bounds and last rows are found once and kept with the dataset; the last rows of a range go along to the next ones, so
+    no task sees all of the table or of a long series."""
 
     def __init__(self, data, markovian_order: int, order_by: Sequence[str] | None = None, series: Sequence[str] = ()):
         if markovian_order < 1:
@@ -27,6 +30,7 @@ class DynamicDataFrame:
         if not self.order:
             raise ValueError("temporal slices need order_by")
         self.variables = [c for c in self.data.columns if c not in self.order and c not in self.series]
+        self.layout = Layout.of(self.data, self.order, self.series, markovian_order)
 
     @property
     def markovian_order(self) -> int:
@@ -47,7 +51,7 @@ class DynamicDataFrame:
     def _lags(self, shifts: dict[int, int], first: int) -> Dataset:
         """Columns v_t_k = lag(v, shift), rows from position `first` (0-based) on."""
         cells = [(temporal_name(v, k), v, s) for k, s in shifts.items() for v in self.variables]
-        df = lagged(self.data.df, cells, self.order, self.series, first)
+        df = self.layout.lagged(cells, first)
         domains = {temporal_name(v, k): self.data.discrete[v] for k in shifts for v in self.variables if v in self.data.discrete}
         real = [temporal_name(v, k) for k in shifts for v in self.variables if v in self.data.continuous]
         return Dataset(df, real, domains, self.order)
@@ -71,42 +75,53 @@ class DynamicDataFrame:
         return self.transition_df().loc([temporal_name(v, k) for v, k in cells])
 
 
+class Layout:
+    """A table cut into ranges of (series, order) for lags of up to `m` rows. `carried` are, for each range, the m rows before it. Two
+    jobs find them, when the first lag is asked for: one for the bounds, one for the last m rows of all ranges, which are all that reaches the driver."""
+
+    def __init__(self, df: DataFrame, order: Sequence[str], series: Sequence[str], m: int):
+        self.df, self.order, self.series, self.m = df, list(order), list(series), m
+        self._rows: DataFrame | None = None
+
+    @classmethod
+    def of(cls, data: Dataset, order: Sequence[str], series: Sequence[str], m: int) -> Layout:
+        """The dataset's own layout for this order, made anew if it carries fewer rows than needed."""
+        kept = data.__dict__.setdefault("_layouts", {})
+        key = (tuple(order), tuple(series))
+        if key not in kept or kept[key].m < m:
+            kept[key] = cls(data.df, order, series, m)
+        return kept[key]
+
+    def rows(self) -> DataFrame:
+        """The table's rows with their range, `_part`, and the carried rows of each range, `_carried`."""
+        if self._rows is None:
+            key = list(dict.fromkeys([*self.series, *self.order]))
+            rows = self.df.withColumn("_part", Ranges(self.df, key).number().cast("int"))
+            back = Window.partitionBy("_part").orderBy(*[F.col(f"`{k}`").desc() for k in key])
+            last = rows.withColumn("_last", F.row_number().over(back)).where(f"_last <= {self.m}").orderBy("_part", F.desc("_last")).drop("_last").collect()
+            carried, before = [], []
+            for _, group in itertools.groupby(last, lambda r: r["_part"]):
+                own = list(group)
+                carried += [(*r[:-1], own[0]["_part"], True) for r in before[-self.m :]]
+                before = (before + own)[-self.m :]
+            schema = StructType([*rows.schema.fields, StructField("_carried", BooleanType())])
+            self._rows = rows.withColumn("_carried", F.lit(False)).unionByName(self.df.sparkSession.createDataFrame(carried, schema))
+        return self._rows
+
+    def lagged(self, cells: Sequence[tuple[str, str, int]], first: int = 0) -> DataFrame:
+        """`series` and `order` columns, and for each cell (name, column, shift) the value of `shift` rows before; rows from position `first`
+        (0-based, in their series) on."""
+        if max([first, *[s for _, _, s in cells]]) > self.m:
+            raise ValueError(f"this layout carries {self.m} rows")
+        w = Window.partitionBy("_part", *[F.col(f"`{s}`") for s in self.series]).orderBy(*[F.col(f"`{o}`") for o in self.order])
+        values = [F.lag(F.col(f"`{c}`"), s).over(w).alias(n) if s else F.col(f"`{c}`").alias(n) for n, c, s in cells]
+        at = F.row_number().over(w).alias("_at")  # carried rows count, and there are `first` of them if the series has as many before
+        return self.rows().select(*[F.col(f"`{c}`") for c in [*self.series, *self.order]], *values, at, "_carried").where(f"NOT _carried AND _at > {first}").drop("_at", "_carried")
+
+
 def lagged(df: DataFrame, cells: Sequence[tuple[str, str, int]], order: Sequence[str], series: Sequence[str] = (), first: int = 0) -> DataFrame:
-    """`series` and `order` columns, and for each cell (name, column, shift) the value of `shift` rows before; rows from position `first`
-    (0-based) on."""
-    keep = [F.col(f"`{c}`") for c in [*series, *order]]
-    far = max([s for _, _, s in cells], default=0)
-    if series:
-        rows, before, by = df.withColumn("_carried", F.lit(False)), F.lit(0), [F.col(f"`{s}`") for s in series]
-    else:
-        rows, before, by = _with_carried(df, order, max(far, first)), F.col("_base"), [F.col("_part")]
-    w = Window.partitionBy(*by).orderBy(*[F.col(f"`{o}`") for o in order])
-    values = [F.lag(F.col(f"`{c}`"), s).over(w).alias(n) if s else F.col(f"`{c}`").alias(n) for n, c, s in cells]
-    at = (before + F.row_number().over(w)).alias("_at")
-    return rows.select(*keep, *values, at, "_carried").where(f"NOT _carried AND _at > {first}").drop("_at", "_carried")
-
-
-def _with_carried(df: DataFrame, order: Sequence[str], m: int) -> DataFrame:
-    """Rows with the range `_part` that they fall in; the m rows before each range come along, `_carried`. `_base` is the position before a
-    range's first row, carried ones included."""
-    spark, rows = df.sparkSession, df.withColumn("_part", range_number(df, order).cast("int"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("_part").count().collect()}  # one number for each range
-    parts, total, base, moves = sorted(sizes), 0, [], []
-    for i, p in enumerate(parts):
-        missing = m
-        for q in reversed(parts[:i]):
-            moves += [(q, r, p) for r in range(1, min(missing, sizes[q]) + 1)]
-            missing -= min(missing, sizes[q])
-            if not missing:
-                break
-        base.append((p, total - (m - missing)))
-        total += sizes[p]
-    back = Window.partitionBy("_part").orderBy(*[F.col(f"`{o}`").desc() for o in order])
-    tails = rows.withColumn("_last", F.row_number().over(back)).where(f"_last <= {m}")
-    plan = F.broadcast(spark.createDataFrame(moves, "_part int, _last int, _to int"))
-    carried = tails.join(plan, ["_part", "_last"]).withColumn("_part", F.col("_to")).drop("_last", "_to").withColumn("_carried", F.lit(True))
-    both = rows.withColumn("_carried", F.lit(False)).unionByName(carried)
-    return both.join(F.broadcast(spark.createDataFrame(base, "_part int, _base long")), "_part")
+    """Layout.lagged() of a table that is laid out for this one call."""
+    return Layout(df, order, series, max([1, first, *[s for _, _, s in cells]])).lagged(cells, first)
 
 
 def create_temporal_slice(df: DataFrame, columns: Sequence[str], k: int, order_by: Sequence[str]) -> DataFrame:

@@ -153,7 +153,7 @@ def test_ranges_hold_all_order_columns(spark):
     rows = [(1.0 if i % 3 else float(i % 5), i * 37 % 1000) for i in range(1000)]
     df = spark.createDataFrame(rows, "v double, k long")
     for n in (1, 2, 7, 40):
-        part = df.select(S.range_number(df, ["v", "k"], n).alias("p")).groupBy("p").count().collect()
+        part = df.select(S.Ranges(df, ["v", "k"], n).number().alias("p")).groupBy("p").count().collect()
         assert max(r["count"] for r in part) < 3 * 1000 / n
         at = {(r["v"], r["k"]): r["r"] for r in S.ranked(df, "v", ["k"], "r", n).collect()}
         assert [x for x, _ in sorted(at.items(), key=lambda x: x[1])] == sorted(rows)
@@ -168,3 +168,51 @@ def test_lags_across_ranges(spark, n):
     got = temporal.lagged(df, [("x0", "x", 0), ("x2", "x", 2), ("e3", "e", 3)], ["t"], first=2)
     assert sorted(map(tuple, got.collect())) == [(t, float(t * t), float((t - 2) ** 2), f"e{(t - 3) % 3}" if t > 2 else None) for t in range(2, n)]
     assert "SinglePartition" not in got._jdf.queryExecution().toString()
+
+
+def test_a_search_tree_over_many_bounds(spark):
+    """Three levels of bounds give the number of bounds below a row."""
+    df = spark.createDataFrame([(i * 7919 % 6000, "x") for i in range(6000)], "k long, c string")
+    r = S.Ranges(df, ["c", "k"], 1100)
+    assert len(r.bounds) > S.FANOUT**2
+    got = df.select("k", r.number().alias("p")).collect()
+    keys = [b[1] for b in r.bounds]
+    assert all(x["p"] == np.searchsorted(keys, x["k"]) for x in got)
+
+
+@pytest.mark.parametrize("sizes", [{"hot": 180, "b": 1, "c": 2, "d": 7}, {"only": 90}, {"a": 1}])
+def test_lags_within_series_that_many_ranges_share(spark, sizes):
+    """A long series is cut like the rest, and no lag or position crosses from one series to another."""
+    rows = [(s, t, float(1000 * i + t)) for i, (s, n) in enumerate(sizes.items()) for t in range(n)]
+    df = spark.createDataFrame(rows, "s string, t long, x double").repartition(3)
+    frame = temporal.DynamicDataFrame(Dataset.of(df, order_by=["t"]), 3, series=["s"])
+    have = {(s, t): x for s, t, x in rows}
+    got = {(r["s"], r["t"]): (r["x_t_0"], r["x_t_1"], r["x_t_3"]) for r in frame.transition_df().df.collect()}
+    assert got == {(s, t): (x, have[s, t - 1], have[s, t - 3]) for s, t, x in rows if t >= 3}
+    static = {(r["s"], r["t"]): (r["x_t_1"], r["x_t_3"]) for r in frame.static_df().df.collect()}
+    assert static == {(s, t): (x, have[s, t - 2]) for s, t, x in rows if t >= 2}
+    parts = frame.layout.rows().where("s = 'hot'").groupBy("_part").count().count() if "hot" in sizes else 2
+    assert parts > 1 and temporal.DynamicDataFrame(frame.data, 2, ["t"], ["s"]).layout is frame.layout
+
+
+def test_ranks_of_all_columns_at_once(spark):
+    """One range layout for all columns; nulls stay, other columns come along, and the number of jobs does not grow with the columns."""
+    rng = np.random.default_rng(4)
+    cols = {c: rng.integers(0, 20, 300).astype(float) for c in "abcde"}
+    rows = [(i, f"n{i % 3}", None if i % 4 == 0 else [i], *[None if (i + k) % 11 == 0 else float(v[i]) for k, v in enumerate(cols.values())]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, name string, l array<long>, " + ", ".join(f"{c} double" for c in cols))
+    out = S.rank_data(Dataset.of(df, order_by=["id"]), ["id"])
+    assert out.df.columns == df.columns
+    got = {r["id"]: r for r in out.df.collect()}
+    for k, c in enumerate(cols):
+        order = sorted((r[3 + k], r[0]) for r in rows if r[3 + k] is not None)
+        want = {i: float(n) for n, (_, i) in enumerate(order)}
+        assert {i: r[c] for i, r in got.items() if r[c] is not None} == want
+    assert all(got[r[0]]["name"] == r[1] and got[r[0]]["l"] == r[2] for r in rows)
+    jobs = []
+    for names in (["a"], list(cols)):
+        spark.sparkContext.setJobGroup(f"ranks{len(names)}", "")
+        S.rank_data(Dataset.of(df.select("id", *names), order_by=["id"]), ["id"])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranks{len(names)}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
