@@ -123,37 +123,38 @@ def log_sum_exp(a: np.ndarray, axis: int = -1) -> np.ndarray:
         return np.log(np.exp(a - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, ftol: float = 1e-4, xtol: float = 1e-4, limit: int = 1000) -> tuple[np.ndarray, float]:
-    """Downhill simplex with the usual coefficients (1, 2, 1/2, 1/2)."""
+def nelder_mead(f: Callable[[list[np.ndarray]], list[float]], start: np.ndarray, ftol: float = 1e-4, xtol: float = 1e-4, limit: int = 1000, ahead: bool = False) -> tuple[np.ndarray, float]:
+    """Downhill simplex with the usual coefficients (1, 2, 1/2, 1/2). `f` values many points at once; with `ahead` all that a step may ask for
+    are valued together, which pays where a call is dear and more points in it are not."""
     d = len(start)
     pts = [np.array(start, float)]
     for i in range(d):
         p = np.array(start, float)
         p[i] = p[i] * 1.05 if p[i] else 0.00025
         pts.append(p)
-    vals = [f(p) for p in pts]
+    vals = list(f(pts))
     for _ in range(limit * d):
         order = np.argsort(vals, kind="stable")
         pts, vals = [pts[i] for i in order], [vals[i] for i in order]
         if max(abs(v - vals[0]) for v in vals) <= ftol * (1 + abs(vals[0])) and max(np.abs(p - pts[0]).max() for p in pts) <= xtol * (1 + np.abs(pts[0]).max()):
             break
         centre = np.mean(pts[:-1], axis=0)
-        towards = lambda k: centre + k * (centre - pts[-1])  # noqa: B023, E731
-        r = towards(1.0)
-        fr = f(r)
+        move = {k: centre + k * (centre - pts[-1]) for k in (1.0, 2.0, 0.5, -0.5)}
+        known = dict(zip(move, f(list(move.values())), strict=True)) if ahead else {}
+        value = lambda k: known[k] if k in known else f([move[k]])[0]  # noqa: B023, E731
+        fr = value(1.0)
         if fr < vals[0]:
-            e = towards(2.0)
-            fe = f(e)
-            pts[-1], vals[-1] = (e, fe) if fe < fr else (r, fr)
+            fe = value(2.0)
+            pts[-1], vals[-1] = (move[2.0], fe) if fe < fr else (move[1.0], fr)
         elif fr < vals[-2]:
-            pts[-1], vals[-1] = r, fr
+            pts[-1], vals[-1] = move[1.0], fr
         else:
-            c = towards(0.5 if fr < vals[-1] else -0.5)
-            fc = f(c)
+            k = 0.5 if fr < vals[-1] else -0.5
+            fc = value(k)
             if fc < min(fr, vals[-1]):
-                pts[-1], vals[-1] = c, fc
+                pts[-1], vals[-1] = move[k], fc
             else:
                 pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
+                vals = [vals[0], *f(pts[1:])]
     best = int(np.argmin(vals))
     return pts[best], vals[best]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from abc import ABC, abstractmethod
@@ -13,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions.special import TOL, log_sum_exp, normal_cdf
-from netloom.operators.kde import KDE, BandwidthSelector, SingularCovarianceData, score_rows, training_matrix
-from netloom.operators.stats import SuffStats, col, linear_fit
+from netloom.operators.blocks import Conditional, Distribution, Kernel, TrainingTable, sample_against, score_against
+from netloom.operators.kde import KDE, BandwidthSelector, SingularCovarianceData, is_small, score_rows, training_matrix, training_rows
+from netloom.operators.stats import Moments, SuffStats, col, linear_fit
 from netloom.sources.dataset import Dataset
 
 LOG_2PI = math.log(2 * math.pi)
@@ -445,8 +447,17 @@ class CKDE(Factor):
         return self._joint.num_instances()
 
     def fit(self, data):
-        data = Dataset.of(data)
-        return self.fit_matrix(training_matrix(data, [self._variable, *self._evidence]), data)
+        data, cols = Dataset.of(data), [self._variable, *self._evidence]
+        if is_small(training_rows(data, cols), len(cols)):
+            return self.fit_matrix(training_matrix(data, cols), data)
+        return self.fit_table(data, SuffStats(data).moments(cols))
+
+    def fit_table(self, data: Dataset, m: Moments):
+        """Fit to rows that stay a table."""
+        self._joint.fit_table(data, m)
+        if self._marg is not None:
+            self._marg.fit_table(data, m.take(self._evidence), self._joint.bandwidth[1:, 1:])
+        return self
 
     def fit_matrix(self, x: np.ndarray, data: Dataset | None = None):
         self._joint.fit_matrix(x, data)
@@ -462,9 +473,14 @@ class CKDE(Factor):
         return out
 
     def scorer(self):
-        return [self._variable, *self._evidence], [], self.logl_arrays
+        return None if self._joint.x is None else ([self._variable, *self._evidence], [], self.logl_arrays)
+
+    def _against(self, df, what, output):
+        return score_against(df, [self._variable, *self._evidence], self._joint.table, what, {(0, None): self._joint.kernel()}, output)
 
     def attach_logl(self, df, output):
+        if self._joint.x is None:
+            return self._against(df, Conditional(), output)
         return score_rows(df, [self._variable, *self._evidence], {output: self.logl_arrays})
 
     def _conditional(self) -> tuple[np.ndarray, float]:
@@ -494,6 +510,8 @@ class CKDE(Factor):
 
     def cdf(self, data, output="cdf"):
         self._check()
+        if self._joint.x is None:
+            return self._against(Dataset.of(data).df, Distribution(), output)
         return score_rows(Dataset.of(data).df, [self._variable, *self._evidence], {output: self.cdf_arrays})
 
     def sample_arrays(self, cols: dict[str, np.ndarray], u: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -515,6 +533,8 @@ class CKDE(Factor):
         return out
 
     def attach_sample(self, df, seed):
+        if self._joint.x is None:
+            return sample_against(df, self._evidence, self._joint.table, {(0, None): self._joint.kernel()}, self._variable, seed)
         df = df.withColumn("_u", F.rand(seed)).withColumn("_z", F.randn(seed + 1))
         return score_rows(df, [*self._evidence, "_u", "_z"], {self._variable: lambda c: self.sample_arrays(c, c["_u"], c["_z"])}).drop("_u", "_z")
 
@@ -613,9 +633,11 @@ class CLinearGaussianCPD(_ByConfiguration):
 
 
 class HCKDE(_ByConfiguration):
-    """A conditional kernel density for each configuration of the discrete parents."""
+    """A conditional kernel density for each configuration of the discrete parents. Training rows beyond the bound of a matrix stay one table, whose
+    configurations meet their own points in blocks."""
 
     base = CKDE
+    table: TrainingTable | None = None
 
     def type(self):
         return CKDEType()
@@ -624,13 +646,15 @@ class HCKDE(_ByConfiguration):
         data = Dataset.of(data)
         self._start(data)
         cols = [self._variable, *self.continuous]
-        coded = data.df.where(Dataset.valid([*cols, *self.discrete])).select(*[col(c).alias(c) for c in cols], *[data.code(c).cast("double").alias(f"_g{i}") for i, c in enumerate(self.discrete)])
+        self.factors, self.table = dict.fromkeys(self.configurations()), None
+        rows = data.df.where(Dataset.valid([*cols, *self.discrete]))
+        if not is_small(rows.count(), len(cols) + len(self.discrete)):
+            return self._fit_table(data, rows, cols)
+        coded = rows.select(*[col(c).alias(c) for c in cols], *[data.code(c).cast("double").alias(f"_g{i}") for i, c in enumerate(self.discrete)])
         m = training_matrix(Dataset(coded, coded.columns), coded.columns)
         code = m[:, len(cols) :].astype(int)
-        self.factors = {}
         for cfg in self.configurations():
             x = m[(code == np.array(cfg)).all(1), : len(cols)]
-            self.factors[cfg] = None
             if len(x):
                 try:
                     self.factors[cfg] = self.new_base(cfg).fit_matrix(x)
@@ -638,6 +662,30 @@ class HCKDE(_ByConfiguration):
                     pass
         return self
 
+    def _number(self) -> Column:
+        """A row's configuration as the number by which kernels are kept."""
+        return _Table.index(self.domains, self.discrete)[0]
+
+    def _numbers(self) -> dict[tuple[int, ...], int]:
+        out, step = {}, [math.prod(len(self.domains[c]) for c in self.discrete[:i]) for i in range(len(self.discrete))]
+        for cfg in self.configurations():
+            out[cfg] = sum(i * s for i, s in zip(cfg, step, strict=True))
+        return out
+
+    def _fit_table(self, data: Dataset, rows: DataFrame, cols: list[str]):
+        self.table = TrainingTable(rows, cols, self._number())
+        for cfg, m in SuffStats(data).grouped(self.discrete, cols).items():
+            own = rows.where(functools.reduce(lambda a, b: a & b, [F.col(f"`{c}`") == self.domains[c][i] for c, i in zip(self.discrete, cfg, strict=True)]))
+            try:
+                self.factors[cfg] = self.new_base(cfg).fit_table(Dataset(own, cols), m)
+            except (SingularCovarianceData, np.linalg.LinAlgError):
+                pass
+        return self
+
+    def kernels(self) -> dict[tuple[int, None], Kernel]:
+        numbers = self._numbers()
+        return {(numbers[cfg], None): f._joint.kernel() for cfg, f in self.factors.items() if f is not None}
+
     def _by_rows(self, cols: dict[str, np.ndarray], f: Callable[[Factor, dict[str, np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
         n = len(next(iter(cols.values())))
         out = np.full(n, np.nan)
@@ -652,12 +700,16 @@ class HCKDE(_ByConfiguration):
         return self._by_rows(cols, lambda f, c, _: f.logl_arrays(c))
 
     def scorer(self):
-        return [self._variable, *self.continuous], list(self.discrete), self.logl_arrays
+        return None if self.table is not None else ([self._variable, *self.continuous], list(self.discrete), self.logl_arrays)
 
     def attach_logl(self, df, output):
+        if self.table is not None:
+            return score_against(df, [self._variable, *self.continuous], self.table, Conditional(), self.kernels(), output, self._number())
         return score_rows(df, [self._variable, *self.continuous], {output: self.logl_arrays}, self.discrete)
 
     def attach_sample(self, df, seed):
+        if self.table is not None:
+            return sample_against(df, self.continuous, self.table, self.kernels(), self._variable, seed, self._number())
         df = df.withColumn("_u", F.rand(seed)).withColumn("_z", F.randn(seed + 1))
         draw = lambda cols: self._by_rows(cols, lambda f, c, _: f.sample_arrays(c, c["_u"], c["_z"]))
         return score_rows(df, [*self.continuous, "_u", "_z"], {self._variable: draw}, self.discrete).drop("_u", "_z")

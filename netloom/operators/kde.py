@@ -1,4 +1,5 @@
-"""Kernel densities: full and diagonal bandwidth, bandwidth selectors, and scoring of all rows against a training matrix in blocks."""
+"""Kernel densities: full and diagonal bandwidth, bandwidth selectors, and scoring of all rows. Training rows of up to MAX_TRAINING_BYTES are a
+matrix that scoring broadcasts; beyond, they stay a table, which points meet in blocks (operators.blocks)."""
 
 from __future__ import annotations
 
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.special import log_sum_exp, nelder_mead
+from netloom.operators import blocks
+from netloom.operators.durable import checkpointed
 from netloom.operators.stats import Moments, SuffStats, col
 from netloom.sources.dataset import Dataset
 
-#: Cells of a distance tile; bytes of a training matrix that the driver holds and broadcasts (beyond it fit() raises).
-TILE_CELLS, MAX_TRAINING_BYTES = 4_000_000, 512 << 20
+#: Cells of a distance tile; bytes of training rows that the driver holds and broadcasts (beyond, they stay a table); bytes of one pass's scorers.
+TILE_CELLS, MAX_TRAINING_BYTES, MAX_SCORER_BYTES = 4_000_000, 64 << 20, 1 << 30
 LOG_2PI = math.log(2 * math.pi)
 
 
@@ -51,7 +54,9 @@ class BandwidthSelector(ABC):
         return self.diag_bandwidth(data, variables) if diagonal else self.bandwidth(data, variables)
 
 
-class _FromMoments(BandwidthSelector):
+class FromMoments(BandwidthSelector):
+    """Rules that need the rows' moments only: full() and diagonal()."""
+
     def bandwidth(self, data, variables):
         return self.full(checked(SuffStats(Dataset.of(data)).moments(variables)))
 
@@ -66,7 +71,7 @@ class _FromMoments(BandwidthSelector):
         return super().of(data, variables, x, diagonal)
 
 
-class NormalReferenceRule(_FromMoments):
+class NormalReferenceRule(FromMoments):
     def full(self, m: Moments) -> np.ndarray:
         d = len(m.cols)
         return (4 / (m.n * (d + 2))) ** (2 / (d + 4)) * m.cov
@@ -79,7 +84,7 @@ class NormalReferenceRule(_FromMoments):
         return (k / m.n) ** (2 / (d + 4)) * var
 
 
-class ScottsBandwidth(_FromMoments):
+class ScottsBandwidth(FromMoments):
     def full(self, m: Moments) -> np.ndarray:
         return m.n ** (-2 / (len(m.cols) + 4)) * m.cov
 
@@ -87,77 +92,73 @@ class ScottsBandwidth(_FromMoments):
         return m.n ** (-2 / (len(m.cols) + 4)) * np.diag(m.cov)
 
 
+def training_rows(data: Dataset, variables: Sequence[str]) -> int:
+    return data.df.where(Dataset.valid(variables)).count()
+
+
+def is_small(n: int, columns: int) -> bool:
+    """Whether so many training rows may be a matrix on the driver."""
+    return 8 * n * columns <= MAX_TRAINING_BYTES
+
+
 def training_matrix(data: Dataset, variables: Sequence[str]) -> np.ndarray:
     """Valid rows as a matrix on the driver, within MAX_TRAINING_BYTES."""
-    df = data.df.where(Dataset.valid(variables)).select(*[col(v).alias(str(i)) for i, v in enumerate(variables)])
-    n = df.count()
-    if 8 * n * len(variables) > MAX_TRAINING_BYTES:
-        raise ValueError(f"{n} training rows exceed {MAX_TRAINING_BYTES} bytes; fit on a stated sample")
-    t = df.toArrow()
+    n = training_rows(data, variables)
+    if not is_small(n, len(variables)):
+        raise ValueError(f"{n} training rows exceed {MAX_TRAINING_BYTES} bytes")
+    t = data.df.where(Dataset.valid(variables)).select(*[col(v).alias(str(i)) for i, v in enumerate(variables)]).toArrow()
     return np.column_stack([t.column(i).to_numpy() for i in range(len(variables))]) if n else np.zeros((0, len(variables)))
 
 
-def pair_sums(x: np.ndarray, scales: Sequence[np.ndarray], spark=None) -> list[float]:
-    """For each scale (a Cholesky factor or a vector of deviations): sum over i < j of the normal kernel without its constant."""
+def pair_sums(x: np.ndarray, scales: Sequence[np.ndarray]) -> list[float]:
+    """For each scale (a Cholesky factor or a vector of deviations): sum over i < j of the normal kernel without its constant, of a matrix."""
     n = len(x)
-    white = [np.linalg.solve(s, x.T).T if s.ndim == 2 else x / s for s in scales]
     step = max(1, TILE_CELLS // max(n, 1))
-
-    def block(lo: int, white: list[np.ndarray]) -> list[float]:
-        out = []
-        for w in white:
+    out = []
+    for s in scales:
+        w, total = (np.linalg.solve(s, x.T).T if s.ndim == 2 else x / s), 0.0
+        for lo in range(0, n, step):
             a, b = w[lo : lo + step], w[lo:]
             d2 = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
-            k = np.exp(-0.5 * np.maximum(d2, 0))
-            out.append(float(np.triu(k, 1).sum()))
-        return out
-
-    starts = range(0, n, step)
-    if spark is None or n < 20_000:
-        parts = [block(s, white) for s in starts]
-    else:
-        shared, k = spark.sparkContext.broadcast(white), len(white)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = [block(int(s) * step, shared.value) for s in b.column(0).to_pylist()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], [f"s{i}" for i in range(k)])
-
-        frame = spark.range(0, len(starts), 1, min(len(starts), 512)).mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
-        sums = [float(v) for v in frame.agg(*[F.sum(f"s{i}") for i in range(k)]).first()]
-        shared.destroy()
-        return sums
-    return [float(v) for v in np.sum(parts, axis=0)] if parts else [0.0] * len(white)
+            total += float(np.triu(np.exp(-0.5 * np.maximum(d2, 0)), 1).sum())
+        out.append(total)
+    return out
 
 
 class UCVScorer:
-    """N times the unbiased cross-validation criterion of a bandwidth."""
+    """N times the unbiased cross-validation criterion of bandwidths. A dataset stays a table whose row blocks meet in pairs, one job for any number
+    of bandwidths; a matrix `x` is summed up where it is."""
 
     def __init__(self, data, variables: Sequence[str], x: np.ndarray | None = None):
-        data = None if data is None else Dataset.of(data)
-        self.x = training_matrix(data, variables) if x is None else x
-        self.spark = None if data is None else data.df.sparkSession
-
-    def _score(self, root: np.ndarray, log_root: float) -> float:
-        n, d = self.x.shape
-        s2, s1 = pair_sums(self.x, [root * math.sqrt(2), root], self.spark)
-        c1 = -0.5 * d * LOG_2PI - log_root
-        c2 = c1 - 0.5 * d * math.log(2)
-        return math.exp(c2) + 2 * s2 * math.exp(c2) / n - 4 * s1 * math.exp(c1) / (n - 1)
+        self.x, self.d = x, len(variables)
+        self.table = blocks.TrainingTable(Dataset.of(data).df, variables) if x is None else None
+        if self.table is not None:
+            self.table.rows = checkpointed(self.table.rows)  # every step of a search reads it
+        self.n: int | None = None if x is None else len(x)
+
+    def scores(self, roots: Sequence[np.ndarray]) -> list[float]:
+        """Of bandwidths given by their Cholesky factors or vectors of deviations."""
+        if self.n is None:
+            self.n = int(self.table.rows.agg(F.sum("w")).first()[0] or 0)
+        scales = [s * f for s in roots for f in (math.sqrt(2), 1.0)]
+        sums = pair_sums(self.x, scales) if self.table is None else blocks.pair_table_sums(self.table, scales)
+        out = []
+        for s, s2, s1 in zip(roots, sums[::2], sums[1::2], strict=True):
+            c1 = -0.5 * self.d * LOG_2PI - float(np.log(np.diag(s) if s.ndim == 2 else s).sum())
+            c2 = c1 - 0.5 * self.d * math.log(2)
+            out.append(math.exp(c2) + 2 * s2 * math.exp(c2) / self.n - 4 * s1 * math.exp(c1) / (self.n - 1))
+        return out
 
     def score_diagonal(self, variances: Sequence[float]) -> float:
-        v = np.asarray(variances, float)
-        return self._score(np.sqrt(v), float(0.5 * np.log(v).sum()))
+        return self.scores([np.sqrt(np.asarray(variances, float))])[0]
 
     def score_unconstrained(self, h: np.ndarray) -> float:
-        root = np.linalg.cholesky(np.asarray(h, float))
-        return self._score(root, float(np.log(np.diag(root)).sum()))
+        return self.scores([np.linalg.cholesky(np.asarray(h, float))])[0]
 
 
 class UCV(BandwidthSelector):
     """Unbiased cross-validation, minimised from the normal reference by the simplex method. Bandwidths whose determinant leaves
-    the start's by more than a factor 1000 don't count."""
+    the start's by more than a factor 1000 don't count. All bandwidths that a step may ask for are scored together."""
 
     RANGE = 1e3
 
@@ -168,27 +169,34 @@ class UCV(BandwidthSelector):
         return self.of(Dataset.of(data), variables, None, True)
 
     def of(self, data, variables, x, diagonal):
-        x = training_matrix(data, variables) if x is None else x
         scorer = UCVScorer(data, variables, x)
         start = NormalReferenceRule().of(data, variables, x, diagonal)
         d = len(variables)
         low = np.tril_indices(d)
-        if diagonal:
-            base = start.prod()
-            goal = lambda r: scorer.score_diagonal(r * r) if base / self.RANGE <= (r * r).prod() <= base * self.RANGE else math.inf
-            return nelder_mead(goal, np.sqrt(start))[0] ** 2
-        base = np.linalg.det(start)
+        base = float(start.prod()) if diagonal else float(np.linalg.det(start))
 
-        def matrix(v: np.ndarray) -> np.ndarray:
+        def root_of(v: np.ndarray) -> np.ndarray:
+            """The factor of the bandwidth; row by row of positive diagonal."""
+            if diagonal:
+                return np.abs(v)
             root = np.zeros((d, d))
             root[low] = v
-            return root @ root.T
+            return root * np.where(np.diag(root) < 0, -1.0, 1.0)
 
-        def goal(v: np.ndarray) -> float:
-            h = matrix(v)
-            return scorer.score_unconstrained(h) if base / self.RANGE <= np.linalg.det(h) <= base * self.RANGE and is_positive_definite(h) else math.inf
+        def valid(root: np.ndarray) -> bool:
+            size = float((root**2).prod()) if diagonal else float(np.diag(root).prod() ** 2)
+            return base / self.RANGE <= size <= base * self.RANGE and (diagonal or is_positive_definite(root @ root.T))
 
-        return matrix(nelder_mead(goal, np.linalg.cholesky(start)[low])[0])
+        def goals(points: Sequence[np.ndarray]) -> list[float]:
+            roots = [root_of(p) for p in points]
+            good = [i for i, r in enumerate(roots) if valid(r)]
+            out = [math.inf] * len(points)
+            for i, s in zip(good, scorer.scores([roots[i] for i in good]) if good else [], strict=True):
+                out[i] = s
+            return out
+
+        found = root_of(nelder_mead(goals, np.sqrt(start) if diagonal else np.linalg.cholesky(start)[low], ahead=x is None)[0])
+        return found**2 if diagonal else found @ found.T
 
 
 class KDE:
@@ -201,6 +209,9 @@ class KDE:
             raise ValueError("a density needs variables")
         self._variables, self.selector = list(variables), bandwidth_selector or NormalReferenceRule()
         self.x: np.ndarray | None = None
+        self.table: blocks.TrainingTable | None = None
+        self._source: DataFrame | None = None
+        self._n, self._mean = 0, np.zeros(0)
         self._bandwidth: np.ndarray | None = None
         self._width: str | None = None
 
@@ -208,7 +219,7 @@ class KDE:
         return list(self._variables)
 
     def fitted(self) -> bool:
-        return self.x is not None
+        return self.x is not None or self.table is not None
 
     def _check(self) -> None:
         if not self.fitted():
@@ -219,13 +230,28 @@ class KDE:
         data.raise_has_columns(self._variables)
         data.same_type(*self._variables)
         self._width = data.df.schema[self._variables[0]].dataType.typeName()
-        return self.fit_matrix(training_matrix(data, self._variables), data)
+        if is_small(training_rows(data, self._variables), len(self._variables)):
+            return self.fit_matrix(training_matrix(data, self._variables), data)
+        return self.fit_table(data, SuffStats(data).moments(self._variables))
 
     def fit_matrix(self, x: np.ndarray, data: Dataset | None = None, bandwidth: np.ndarray | None = None) -> KDE:
-        self.x = np.asarray(x, float)
+        self.x, self.table = np.asarray(x, float), None
+        self._n, self._mean = len(self.x), self.x.mean(0) if len(self.x) else np.zeros(len(self._variables))
         self.bandwidth = self.selector.of(data, self._variables, self.x, self.diagonal) if bandwidth is None else bandwidth
         return self
 
+    def fit_table(self, data: Dataset, m: Moments, bandwidth: np.ndarray | None = None) -> KDE:
+        """Fit to rows that stay a table; `m` are their moments."""
+        self.x, self.table = None, blocks.TrainingTable(data.df, self._variables)
+        self._source, self._n, self._mean = data.df.where(Dataset.valid(self._variables)), m.n, m.mean
+        if bandwidth is None and isinstance(self.selector, FromMoments):
+            bandwidth = self.selector.diagonal(checked(m)) if self.diagonal else self.selector.full(checked(m))
+        self.bandwidth = self.selector.of(data, self._variables, None, self.diagonal) if bandwidth is None else bandwidth
+        return self
+
+    def kernel(self) -> blocks.Kernel:
+        return blocks.Kernel(self._mean, self._bandwidth, self._n)
+
     @property
     def bandwidth(self) -> np.ndarray:
         return self._bandwidth
@@ -248,7 +274,7 @@ class KDE:
 
     def num_instances(self) -> int:
         self._check()
-        return len(self.x)
+        return self._n
 
     def data_type(self) -> str:
         return self._width or "double"
@@ -256,6 +282,8 @@ class KDE:
     def dataset(self, spark=None) -> DataFrame:
         """The training rows."""
         self._check()
+        if self.x is None:
+            return self._source.select(*[F.col(f"`{v}`") for v in self._variables])
         from pyspark.sql import SparkSession
 
         spark = spark or SparkSession.active()
@@ -271,11 +299,13 @@ class KDE:
         return -0.5 * np.maximum(d2, 0)
 
     def log_constant(self) -> float:
-        return -self._log_root - 0.5 * len(self._variables) * LOG_2PI - math.log(len(self.x))
+        return -self._log_root - 0.5 * len(self._variables) * LOG_2PI - math.log(self._n)
 
     def logl_matrix(self, points: np.ndarray) -> np.ndarray:
         """Log density of each point; NaN where a coordinate is NaN. Centring on the training mean keeps the squares small."""
         self._check()
+        if self.x is None:
+            raise ValueError("the training rows are a table: score with logl()")
         out = np.full(len(points), np.nan)
         ok = ~np.isnan(points).any(1)
         good, centre = points[ok], self.x.mean(0)
@@ -300,6 +330,8 @@ class KDE:
         data.raise_has_columns(self._variables)
         if self._width and data.df.schema[self._variables[0]].dataType.typeName() != self._width:
             raise ValueError("fitted on another float width")
+        if self.x is None:
+            return blocks.score_against(data.df, self._variables, self.table, blocks.Density(), {(0, None): self.kernel()}, output)
         return score_rows(data.df, self._variables, {output: self.scorers()["logl"]})
 
     def slogl(self, data) -> float:
@@ -324,8 +356,8 @@ def score_rows(df: DataFrame, needed: Sequence[str], scorers: dict[str, Callable
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     data = cloudpickle.dumps(scorers)
-    if len(data) > 2 * MAX_TRAINING_BYTES:
-        raise ValueError(f"the scorers of one pass hold {len(data)} bytes, more than {2 * MAX_TRAINING_BYTES} together; score fewer nodes at a time or fit on a stated sample")
+    if len(data) > MAX_SCORER_BYTES:
+        raise ValueError(f"the scorers of one pass hold {len(data)} bytes, more than {MAX_SCORER_BYTES} together; score fewer nodes at a time")
     shared = df.sparkSession.sparkContext.broadcast(data)
     names, at = [*df.columns, *scorers], {c: df.columns.index(c) for c in [*needed, *texts]}
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in scorers]])

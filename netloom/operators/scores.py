@@ -10,7 +10,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from netloom.functions.special import TOL
-from netloom.operators.factors import Arguments, DiscreteFactorType, FactorType, LinearGaussianCPDType
+from netloom.operators import blocks
+from netloom.operators.factors import CKDE, HCKDE, Arguments, DiscreteFactorType, FactorType, LinearGaussianCPDType
+from netloom.operators.kde import FromMoments, SingularCovarianceData, checked, is_small
 from netloom.operators.models import DISCRETE, LG, UNKNOWN
 from netloom.operators.split import CrossValidation, HoldOut
 from netloom.operators.stats import Moments, SuffStats, linear_fit, moment_columns, moments_from
@@ -230,6 +232,42 @@ class CVLikelihood(_SplitScore):
     def _parts(self):
         return self.cv.frame(), "fold"
 
+    def _group(self, discrete: Sequence[str]):
+        """A row's configuration as a number, the first column fastest."""
+        at, size = F.lit(0), 1
+        for c in discrete:
+            at, size = at + self._data.code(c) * size, size * self._data.cardinality(c)
+        return at
+
+    def _kernels(self, factor, cols: Sequence[str]) -> dict | None:
+        """The kernel of each configuration and fold, fitted to the other folds' moments, which one job finds; None for factors that are no kernel
+        densities, or whose bandwidths need more than moments. A configuration with too few rows has none."""
+        if type(factor) not in (CKDE, HCKDE):
+            return None
+        discrete = list(getattr(factor, "discrete", None) or [])
+        real = [c for c in cols if c not in discrete]
+        codes = [self._data.code(c).alias(f"g{i}") for i, c in enumerate(discrete)]
+        own = {}
+        for cfg in factor.configurations() if discrete else [()]:
+            own[cfg] = (factor.new_base(cfg) if discrete else factor)._joint.selector
+        if not all(isinstance(x, FromMoments) for x in own.values()):
+            return None
+        rows = self.cv.frame().where(Dataset.valid(cols)).groupBy(*codes, "fold").agg(*moment_columns(real)).collect()
+        parts = {(tuple(r[f"g{i}"] for i in range(len(discrete))), r["fold"]): moments_from(r, real) for r in rows}
+        sizes, out = [math.prod(self._data.cardinality(c) for c in discrete[:i]) for i in range(len(discrete))], {}
+        for (cfg, fold) in parts:
+            train = Moments.empty(real)
+            for (other, f), m in parts.items():
+                if other == cfg and f != fold:
+                    train = train + m
+            try:
+                h = own[cfg].full(checked(train))
+                out[sum(i * s for i, s in zip(cfg, sizes, strict=True)), fold] = blocks.Kernel(train.mean, h, train.n)
+            except (SingularCovarianceData, np.linalg.LinAlgError):
+                if not discrete:
+                    raise
+        return out
+
     def local_score_node_type(self, model, node_type, variable, evidence):
         key = (node_type, variable, tuple(sorted(evidence)), tuple(sorted(self._discrete(model, evidence))))
         if key not in self._kept:
@@ -242,6 +280,11 @@ class CVLikelihood(_SplitScore):
                     for j, m in parts.items():
                         train = train + m if j != k else train
                     total += gaussian_test_logl(train, test, variable, evidence)
+            elif (kernels := self._kernels(factor := self._factor(model, node_type, variable, evidence), cols)) is not None:
+                discrete = list(getattr(factor, "discrete", None) or [])
+                valid = self.cv.frame().where(Dataset.valid(cols))
+                real = [c for c in cols if c not in discrete]
+                total = blocks.fold_total(valid, real, blocks.Conditional(), kernels, self._group(discrete) if discrete else None, F.col("fold"), is_small)
             else:
                 view = self.cv.loc(*cols)
                 total = 0.0

@@ -7,6 +7,7 @@ from helpers import categories, hybrid, lstsq, normal, normal_logpdf, with_nulls
 
 from netloom.functions.special import normal_cdf
 from netloom.operators.factors import CKDE, HCKDE, MLE, Arguments, Args, Assignment, CLinearGaussianCPD, DiscreteFactor, DiscreteFactorType, Kwargs, LinearGaussianCPD, LinearGaussianCPDType
+from netloom.operators import blocks, kde
 from netloom.operators.kde import KDE, NormalReferenceRule, ProductKDE, ScottsBandwidth, SingularCovarianceData, UCV, UCVScorer
 from netloom.sources.dataset import Dataset
 
@@ -175,3 +176,82 @@ def test_arguments_and_assignments():
     assert p == q and hash(p) == hash(q) and p.size() == 2 and p.has_variables(["a", "b"]) and not p.empty()
     p.remove("a")
     assert p != q and p.value("b") == 1.0
+
+
+# ---------------------------------------------------------------- training rows as a table
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Every training set is too large for a matrix, and blocks are small."""
+    monkeypatch.setattr(kde, "MAX_TRAINING_BYTES", 0)
+    monkeypatch.setattr(blocks, "POINTS", 16)
+    monkeypatch.setattr(blocks, "TRAINING", 50)
+
+
+def copied(n=180):
+    """Rows of which a third are one row, with nulls."""
+    pdf = normal(n)[["a", "b", "c"]]
+    pdf.loc[: n // 3, ["a", "b", "c"]] = pdf.loc[0, ["a", "b", "c"]].to_numpy()
+    pdf.loc[n - 3, "b"] = np.nan
+    return pdf
+
+
+def both_ways(monkeypatch, fit, score):
+    """What a factor fitted to a table and one fitted to a matrix give."""
+    small = fit()
+    with monkeypatch.context() as m:
+        m.setattr(kde, "MAX_TRAINING_BYTES", 0)
+        m.setattr(blocks, "POINTS", 16)
+        m.setattr(blocks, "TRAINING", 50)
+        large = fit()
+        return score(small), score(large), large
+
+
+@pytest.mark.parametrize("kind", [KDE, ProductKDE])
+def test_densities_of_a_table(spark, monkeypatch, kind):
+    pdf, test = copied(), normal(40, 5)[["a", "b", "c"]]
+    test = pd.concat([test, pdf.head(5), test.head(3)])
+    test.loc[test.index[4], "a"] = np.nan
+    few, many, f = both_ways(monkeypatch, lambda: kind(["a", "b"]).fit(pdf), lambda k: np.sort(np.nan_to_num(k.logl(Dataset.of(test)).toPandas()["logl"].to_numpy(float), nan=9)))
+    assert np.allclose(few, many) and f.x is None and f.num_instances() == 179 and f.dataset().count() == 179 and len(many) == 48
+    with pytest.raises(ValueError):
+        f.logl_matrix(np.zeros((1, 2)))
+
+
+@pytest.mark.parametrize("evidence", [[], ["a", "b"]])
+def test_ckde_of_a_table(spark, monkeypatch, evidence):
+    pdf, test = copied(), normal(40, 5)[["a", "b", "c"]]
+    fit = lambda: CKDE("c", evidence).fit(pdf)
+    for what in ("logl", "cdf"):
+        few, many, f = both_ways(monkeypatch, fit, lambda k: getattr(k, what)(Dataset.of(test)).orderBy("c").toPandas()[what].to_numpy(float))
+        assert np.allclose(few, many)
+    assert f.scorer() is None
+    ev = None if not evidence else spark.createDataFrame(pd.concat([test[["a", "b"]].head(1)] * 3000))
+    draws = f.sample(3000, ev, seed=3).toPandas()["c"].to_numpy()
+    again = CKDE("c", evidence).fit(pdf).sample(3000, ev, seed=8).toPandas()["c"].to_numpy()
+    assert len(draws) == 3000 and abs(draws.mean() - again.mean()) < 5 * again.std() / math.sqrt(1500) and np.allclose(np.quantile(draws, [0.25, 0.5, 0.75]), np.quantile(again, [0.25, 0.5, 0.75]), atol=0.35 * again.std())
+
+
+def test_hckde_of_a_table_with_a_hot_configuration(spark, monkeypatch):
+    pdf = copied(240)
+    pdf["d"] = np.where(np.arange(240) % 10 == 0, "x", "y")  # y has 90 % of the rows
+    pdf["e"] = np.where(np.arange(240) == 5, "one", "more")  # a configuration of one row has no factor
+    test = pdf.sample(60, random_state=1).reset_index(drop=True)
+    test["i"] = np.arange(60)
+    fit = lambda: HCKDE("c", ["a", "d", "e"], ["d", "e"]).fit(Dataset.of(pdf))
+    few, many, f = both_ways(monkeypatch, fit, lambda k: k.logl(Dataset.of(test)).orderBy("i").toPandas()["logl"].to_numpy(float))
+    assert np.allclose(few, many, equal_nan=True) and f.table is not None and f.factors[0, 0] is not None
+    assert f.conditional_factor(Assignment({"d": "y", "e": "more"})).num_instances() > 150
+    got = f.sample(60, spark.createDataFrame(test[["a", "d", "e"]].dropna()), seed=1).toPandas()
+    assert len(got) == len(test.dropna(subset=["a"])) and got["c"].notna().sum() >= 50
+
+
+def test_ucv_of_a_table_is_that_of_its_matrix(spark, tables):
+    pdf = copied(150).dropna()
+    data, x = Dataset.of(pdf), pdf[["a", "b"]].to_numpy()
+    table, matrix = UCVScorer(data, ["a", "b"]), UCVScorer(None, ["a", "b"], x)
+    roots = [np.array([0.3, 0.8]), np.linalg.cholesky(np.array([[0.2, 0.05], [0.05, 0.7]]))]
+    assert np.allclose(table.scores(roots), matrix.scores(roots))
+    far = normal(70)[["a"]]
+    assert UCV().diag_bandwidth(Dataset.of(far), ["a"]) == pytest.approx(UCV().of(None, ["a"], far.to_numpy(), True), rel=1e-3)

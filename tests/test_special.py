@@ -27,7 +27,7 @@ def test_digamma_and_friends():
 
 
 def test_simplex_search():
-    p, v = s.nelder_mead(lambda z: (z[0] - 1) ** 2 + 10 * (z[1] + 2) ** 2, np.array([5.0, 5.0]), 1e-10, 1e-10)
+    p, v = s.nelder_mead(lambda many: [(z[0] - 1) ** 2 + 10 * (z[1] + 2) ** 2 for z in many], np.array([5.0, 5.0]), 1e-10, 1e-10)
     assert p == pytest.approx([1, -2], abs=1e-3) and v < 1e-5
 
 
