@@ -167,6 +167,11 @@ class TrainingTable:
         self.rows = named.groupBy(*named.columns).agg(F.count("*").alias("w"))
         self._sizes: dict[int, int] | None = None
 
+    def expanded(self, names: Sequence[str]) -> DataFrame:
+        """The rows as often as they occur."""
+        each = self.rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w"))))
+        return each.select(*[F.col(f"v{i}").alias(n) for i, n in enumerate(names)])
+
     def sizes(self) -> dict[int, int]:
         """Different rows by group."""
         if self._sizes is None:

@@ -210,7 +210,6 @@ class KDE:
         self._variables, self.selector = list(variables), bandwidth_selector or NormalReferenceRule()
         self.x: np.ndarray | None = None
         self.table: blocks.TrainingTable | None = None
-        self._source: DataFrame | None = None
         self._n, self._mean = 0, np.zeros(0)
         self._bandwidth: np.ndarray | None = None
         self._width: str | None = None
@@ -243,7 +242,7 @@ class KDE:
     def fit_table(self, data: Dataset, m: Moments, bandwidth: np.ndarray | None = None) -> KDE:
         """Fit to rows that stay a table; `m` are their moments."""
         self.x, self.table = None, blocks.TrainingTable(data.df, self._variables)
-        self._source, self._n, self._mean = data.df.where(Dataset.valid(self._variables)), m.n, m.mean
+        self._n, self._mean = m.n, m.mean
         if bandwidth is None and isinstance(self.selector, FromMoments):
             bandwidth = self.selector.diagonal(checked(m)) if self.diagonal else self.selector.full(checked(m))
         self.bandwidth = self.selector.of(data, self._variables, None, self.diagonal) if bandwidth is None else bandwidth
@@ -283,7 +282,7 @@ class KDE:
         """The training rows."""
         self._check()
         if self.x is None:
-            return self._source.select(*[F.col(f"`{v}`") for v in self._variables])
+            return self.table.expanded(self._variables)
         from pyspark.sql import SparkSession
 
         spark = spark or SparkSession.active()

@@ -579,18 +579,25 @@ class DynamicBayesianNetwork:
     def slogl(self, data, order_by: Sequence[str] | None = None) -> float:
         return self.logl(data, "_l", order_by).agg(F.sum("_l")).first()[0] or 0.0
 
-    def sample(self, n: int, seed: int | None = None) -> DataFrame:
-        """n rows in order (`t` from 0). Time is sequential, so a single task draws them row by row from the factors' parameters."""
-        import numpy as np
-
+    def sample(self, n: int, seed: int | None = None, series: int | None = None) -> DataFrame:
+        """n rows in order (`t` from 0), or n rows of each of so many independent series (column `series` from 0). Time is sequential, so a series is
+        one task's, which draws a block of series together; tasks run side by side. Kernel densities whose training rows are a table are not
+        drawn from."""
         from netloom.operators.sequential import draw_series
 
         if not self.fitted():
             raise ValueError("the network is not fitted")
-        rows = draw_series(self, n, np.random.default_rng(0 if seed is None else seed))
-        spark = SparkSession.active()
-        kinds = ", ".join(f"`{v}` {'string' if self._transition.node_type(temporal_name(v, 0)) == DISCRETE else 'double'}" for v in self._variables)
-        return spark.createDataFrame([(i, *[r[v] for v in self._variables]) for i, r in enumerate(rows)], f"t long, {kinds}")
+        model = self.clone_fitted()
+        text = {v for v in self._variables if self._transition.node_type(temporal_name(v, 0)) == DISCRETE}
+        out = draw_series(SparkSession.active(), model, n, 1 if series is None else series, 0 if seed is None else seed, text)
+        return out.drop("series") if series is None else out
+
+    def clone_fitted(self) -> DynamicBayesianNetwork:
+        """A copy whose pickled form keeps the factors."""
+        out = object.__new__(type(self))
+        out.__dict__.update(self.__dict__)
+        out.include_cpd = True
+        return out
 
     def save(self, filename: str, include_cpd: bool = False) -> str:
         from netloom.sources.serialization import save
