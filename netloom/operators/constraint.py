@@ -97,20 +97,36 @@ def unshielded_triples(g) -> Iterator[tuple[str, str, str]]:
                 yield a, b, c
 
 
+def _asked(g, a: str, c: str) -> Iterator[tuple[str, ...]]:
+    """Subsets of either end's possible separators, each once."""
+    seen = set()
+    for x, y in ((a, c), (c, a)):
+        side = [v for v in candidates(g, x) if v != y]
+        for z in all_subsets(side, 0, len(side)):
+            if (key := frozenset(z)) not in seen:
+                seen.add(key)
+                yield z
+
+
+def v_structure_tests(g, sepsets: SepSets | None) -> list[tuple[str, str, list[str]]]:
+    """All tests that direct_v_structures asks for on this graph, so that they can be done together."""
+    out: dict[tuple[frozenset, frozenset], tuple[str, str, list[str]]] = {}
+    for a, _, c in unshielded_triples(g):
+        if sepsets is None or sepsets.of(a, c) is None:
+            for z in _asked(g, a, c):
+                out.setdefault((frozenset((a, c)), frozenset(z)), (a, c, list(z)))
+    return list(out.values())
+
+
 def is_v_structure(a: str, b: str, c: str, g, separates: Callable[[str, str, tuple[str, ...]], bool], sepsets: SepSets | None, threshold: float) -> bool:
     """By the stored separating set, or by the share of separating subsets of either adjacency that hold b."""
     if sepsets is not None and (s := sepsets.of(a, c)) is not None:
         return b not in s[0]
     total = with_b = 0
-    na, nc = [x for x in candidates(g, a) if x != c], [x for x in candidates(g, c) if x != a]
-    seen = set()
-    for side in (na, nc):
-        for z in all_subsets(side, 0, len(side)):
-            if (key := frozenset(z)) not in seen:
-                seen.add(key)
-                if separates(a, c, z):
-                    total += 1
-                    with_b += b in z
+    for z in _asked(g, a, c):
+        if separates(a, c, z):
+            total += 1
+            with_b += b in z
     return total > 0 and (with_b == 0 or with_b / total < threshold)
 
 

@@ -446,9 +446,9 @@ class CKDE(Factor):
     def num_instances(self) -> int:
         return self._joint.num_instances()
 
-    def fit(self, data):
+    def fit(self, data, as_table: bool = False):
         data, cols = Dataset.of(data), [self._variable, *self._evidence]
-        if is_small(training_rows(data, cols), len(cols)):
+        if not as_table and is_small(training_rows(data, cols), len(cols)):
             return self.fit_matrix(training_matrix(data, cols), data)
         return self.fit_table(data, SuffStats(data).moments(cols))
 
@@ -642,13 +642,13 @@ class HCKDE(_ByConfiguration):
     def type(self):
         return CKDEType()
 
-    def fit(self, data):
+    def fit(self, data, as_table: bool = False):
         data = Dataset.of(data)
         self._start(data)
         cols = [self._variable, *self.continuous]
         self.factors, self.table = dict.fromkeys(self.configurations()), None
         rows = data.df.where(Dataset.valid([*cols, *self.discrete]))
-        if not is_small(rows.count(), len(cols) + len(self.discrete)):
+        if as_table or not is_small(rows.count(), len(cols) + len(self.discrete)):
             return self._fit_table(data, rows, cols)
         coded = rows.select(*[col(c).alias(c) for c in cols], *[data.code(c).cast("double").alias(f"_g{i}") for i, c in enumerate(self.discrete)])
         m = training_matrix(Dataset(coded, coded.columns), coded.columns)

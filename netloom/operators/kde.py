@@ -224,12 +224,13 @@ class KDE:
         if not self.fitted():
             raise ValueError("the density is not fitted")
 
-    def fit(self, data) -> KDE:
+    def fit(self, data, as_table: bool = False) -> KDE:
+        """Fit to a matrix of the training rows, or (always with `as_table`) to the table that they are."""
         data = Dataset.of(data)
         data.raise_has_columns(self._variables)
         data.same_type(*self._variables)
         self._width = data.df.schema[self._variables[0]].dataType.typeName()
-        if is_small(training_rows(data, self._variables), len(self._variables)):
+        if not as_table and is_small(training_rows(data, self._variables), len(self._variables)):
             return self.fit_matrix(training_matrix(data, self._variables), data)
         return self.fit_table(data, SuffStats(data).moments(self._variables))
 

@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 
 from netloom.functions.special import TOL
-from netloom.operators.constraint import MeekRules, SepSets, adjacency, candidates, combinations_of_two_sets, direct_v_structures
+from netloom.operators.constraint import MeekRules, SepSets, adjacency, candidates, combinations_of_two_sets, direct_v_structures, v_structure_tests
 from netloom.operators.factors import Arguments, CKDEType, FactorType
 from netloom.operators.graph import ConditionalPartiallyDirectedGraph, PartiallyDirectedGraph
 from netloom.operators.independence import DynamicIndependenceTest, IndependenceTest
@@ -230,6 +230,12 @@ def _check_alpha(alpha: float, threshold: float) -> None:
         raise ValueError("the ambiguity threshold must be between 0 and 1")
 
 
+def _separates(test: IndependenceTest, triples: Sequence[tuple[str, str, list[str]]], alpha: float):
+    """Whether z separates x and y, for tests that are done together beforehand."""
+    known = {(frozenset((x, y)), frozenset(z)): p > alpha for (x, y, z), p in zip(triples, test.pvalues(triples) if triples else [], strict=True)}
+    return lambda x, y, z: known[frozenset((x, y)), frozenset(z)]
+
+
 class PC:
     """PC-stable. Each level's tests go to the test object at once."""
 
@@ -256,18 +262,17 @@ class PC:
         for a, b in ab:
             if g.has_edge(a, b):
                 g.direct(b, a)
-        known: dict = {}
-
-        def separates(x, y, z):
-            k = (frozenset((x, y)), frozenset(z))
-            if k not in known:
-                known[k] = test.pvalue(x, y, list(z)) > alpha
-            return known[k]
-
-        direct_v_structures(g, separates, sepsets if use_sepsets else None, threshold, allow_bidirected, aw)
+        used = sepsets if use_sepsets else None
+        separates = _separates(test, v_structure_tests(g, used), alpha)
+        self.sepsets = sepsets
+        direct_v_structures(g, separates, used, threshold, allow_bidirected, aw)
         MeekRules.close(g)
         return g
 
+    def sepset_rows(self) -> list[tuple[str, str, list[str], float]]:
+        """(a, b, separating set, p) of the last estimate."""
+        return sorted((*sorted(k), sorted(z), p) for k, (z, p) in self.sepsets.items())
+
     @staticmethod
     def _skeleton(test, g, alpha: float, whitelist: set) -> SepSets:
         sepsets = SepSets()
@@ -342,57 +347,74 @@ class MMPC:
         for a, b in ab:
             if g.has_edge(a, b):
                 g.direct(b, a)
-        direct_v_structures(g, lambda x, y, z: test.pvalue(x, y, list(z)) > alpha, None, threshold, allow_bidirected, aw)
+        direct_v_structures(g, _separates(test, v_structure_tests(g, None), alpha), None, threshold, allow_bidirected, aw)
         MeekRules.close(g)
         return g
 
 
 def candidate_sets(test: IndependenceTest, nodes: Sequence[str], interface: Sequence[str], sure: set, banned: set, alpha: float) -> dict[str, list[str]]:
-    """Each node's candidate parents and children: forward by max-min association, then backward pruning."""
+    """Each node's candidate parents and children: forward by max-min association, then backward pruning. All nodes take their steps side by
+    side, so that a step's tests go to the test object at once."""
     every = [*nodes, *interface]
     inter = set(interface)
     pairs = [(a, b) for a, b in itertools.combinations(every, 2) if not (a in inter and b in inter) and frozenset((a, b)) not in banned]
     marginal: dict[frozenset, float] = {frozenset(p): v for p, v in zip(pairs, test.pvalues([(a, b, []) for a, b in pairs]), strict=True)}
     known: dict = {(k, frozenset()): v for k, v in marginal.items()}
 
+    def ask(wanted: Iterable[tuple[str, str, Sequence[str]]]) -> None:
+        new = {}
+        for x, y, z in wanted:
+            k = (frozenset((x, y)), frozenset(z))
+            if k not in known:
+                new.setdefault(k, (x, y, list(z)))
+        if new:
+            known.update(zip(new, test.pvalues(list(new.values())), strict=True))
+
     def p(x: str, y: str, z: Sequence[str]) -> float:
-        k = (frozenset((x, y)), frozenset(z))
-        if k not in known:
-            known[k] = test.pvalue(x, y, list(z))
-        return known[k]
+        return known[frozenset((x, y)), frozenset(z)]
 
-    out = {}
+    cpc, fixed, worst = {}, {}, {}
     for x in every:
-        fixed = [y for y in every if frozenset((x, y)) in sure]
-        cpc = list(fixed)
-        worst = {y: marginal[frozenset((x, y))] for y in every if y != x and frozenset((x, y)) in marginal and y not in fixed}
-        worst = {y: v for y, v in worst.items() if not v >= alpha}
-        for k, last in enumerate(fixed):
-            _raise(p, x, worst, fixed[:k], last)
-        worst = {y: v for y, v in worst.items() if not v > alpha}
-        while worst:
-            y = min(worst, key=lambda v: (worst[v], every.index(v)))
-            if not worst[y] < alpha and not math.isnan(worst[y]):
-                break
-            del worst[y]
-            before = list(cpc)
-            cpc.append(y)
-            _raise(p, x, worst, before, y)
-            worst = {v: a for v, a in worst.items() if not a > alpha}
-        for y in [v for v in cpc if v not in fixed]:
-            rest = [v for v in cpc if v != y]
-            if any(p(x, y, z) > alpha for k in range(len(rest) + 1) for z in itertools.combinations(rest, k)):
-                cpc.remove(y)
-        out[x] = cpc
-    return out
-
-
-def _raise(p, x: str, worst: dict[str, float], before: Sequence[str], last: str) -> None:
-    """Association of each candidate: the largest p over subsets that hold the last member."""
-    for y in worst:
-        for k in range(len(before) + 1):
-            for z in itertools.combinations(before, k):
-                worst[y] = max(worst[y], p(x, y, [*z, last]))
+        fixed[x] = [y for y in every if frozenset((x, y)) in sure]
+        cpc[x] = list(fixed[x])
+        near = {y: marginal[frozenset((x, y))] for y in every if y != x and frozenset((x, y)) in marginal and y not in fixed[x]}
+        worst[x] = {y: v for y, v in near.items() if not v >= alpha}
+
+    def step(moves: dict[str, tuple[list[str], str]]) -> None:
+        """The association of each candidate of x: the largest p over subsets of `before` with `last`."""
+        sets = {x: [[*z, last] for k in range(len(before) + 1) for z in itertools.combinations(before, k)] for x, (before, last) in moves.items()}
+        ask((x, y, z) for x in moves for y in worst[x] for z in sets[x])
+        for x in moves:
+            for y in worst[x]:
+                worst[x][y] = max([worst[x][y], *[p(x, y, z) for z in sets[x]]])
+
+    for k in range(max(map(len, fixed.values()), default=0)):
+        step({x: (f[:k], f[k]) for x, f in fixed.items() if k < len(f)})
+    worst = {x: {y: v for y, v in w.items() if not v > alpha} for x, w in worst.items()}
+    active = [x for x in every if worst[x]]
+    while active:
+        moves = {}
+        for x in active:
+            y = min(worst[x], key=lambda v: (worst[x][v], every.index(v)))  # noqa: B023
+            if worst[x][y] < alpha or math.isnan(worst[x][y]):
+                del worst[x][y]
+                moves[x] = (list(cpc[x]), y)
+                cpc[x].append(y)
+        step(moves)
+        for x in moves:
+            worst[x] = {v: a for v, a in worst[x].items() if not a > alpha}
+        active = [x for x in moves if worst[x]]
+    todo = {x: [v for v in cpc[x] if v not in fixed[x]] for x in every}
+    for i in range(max(map(len, todo.values()), default=0)):
+        rest = {x: [v for v in cpc[x] if v != t[i]] for x, t in todo.items() if i < len(t)}
+        for k in range(max(map(len, rest.values()), default=0) + 1):
+            sets = {x: list(itertools.combinations(r, k)) for x, r in rest.items() if k <= len(r)}
+            ask((x, todo[x][i], z) for x in sets for z in sets[x])
+            for x in sets:
+                if any(p(x, todo[x][i], z) > alpha for z in sets[x]):
+                    cpc[x].remove(todo[x][i])
+                    del rest[x]
+    return cpc
 
 
 # ---------------------------------------------------------------- MMHC, DMMHC

@@ -9,9 +9,9 @@ from helpers import categories, hybrid, normal, with_nulls
 from netloom.functions.special import chi2_sf, digamma, t_two_sided
 from netloom.operators.constraint import SepSets
 from netloom.operators.factors import CKDEType, LinearGaussianCPDType
-from netloom.operators.graph import PartiallyDirectedGraph
+from netloom.operators.graph import Dag, PartiallyDirectedGraph
 from netloom.operators import independence
-from netloom.operators.independence import ChiSquare, DynamicLinearCorrelation, IndependenceTest, KMutualInformation, LinearCorrelation, MutualInformation, RCoT, knn_mi, ranks
+from netloom.operators.independence import ChiSquare, DynamicLinearCorrelation, IndependenceTest, KMutualInformation, LinearCorrelation, MutualInformation, RCoT, TestTable, knn_mi, ranks
 from netloom.operators.learn import DMMHC, MMHC, MMPC, PC, Callback, GreedyHillClimbing, check_restrictions, hc
 from netloom.operators.models import CLGNetworkType, DiscreteBNType, GaussianNetwork, GaussianNetworkType, SemiparametricBN, SemiparametricBNType
 from netloom.operators.scores import BIC, DynamicBIC, Score
@@ -127,6 +127,70 @@ def test_random_features_of_many_tests_at_once(spark, monkeypatch):
         assert np.isclose(stat, len(f) * (part**2).sum())
 
 
+class Separation(IndependenceTest):
+    """Separation in a known graph, counting how often it is asked."""
+
+    def __init__(self, arcs):
+        self.g, self.asked = Dag(sorted({x for a in arcs for x in a}), arcs), []
+
+    def variables(self):
+        return self.g.nodes()
+
+    def pvalue(self, x, y, z=None):
+        """By reachability along paths that z does not block."""
+        z = set([z] if isinstance(z, str) else z or [])
+        opens = set(z)
+        for v in z:
+            opens |= {a for a in self.g.nodes() if self.g.has_path(a, v)}
+        seen, todo = set(), [(x, "up")]
+        while todo:
+            v, way = todo.pop()
+            if (v, way) in seen:
+                continue
+            seen.add((v, way))
+            if v == y:
+                return 0.0
+            if way == "up" and v not in z:
+                todo += [(p, "up") for p in self.g.parents(v)] + [(c, "down") for c in self.g.children(v)]
+            elif way == "down":
+                todo += [(c, "down") for c in self.g.children(v)] if v not in z else []
+                todo += [(p, "up") for p in self.g.parents(v)] if v in opens else []
+        return 1.0
+
+    def pvalues(self, triples):
+        self.asked.append(len(triples))
+        return [self.pvalue(*t) for t in triples]
+
+
+ARCS = [("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "f"), ("f", "e")]
+
+
+@pytest.mark.parametrize("learner", [PC, MMPC])
+def test_learners_ask_for_many_tests_at_once(learner):
+    """The class of a known graph, in few calls, none for a single test of many."""
+    o = Separation(ARCS)
+    g = learner().estimate(o)
+    want = o.g.to_pdag()
+    assert {frozenset(x) for x in [*g.arcs(), *g.edges()]} == {frozenset(x) for x in ARCS}
+    assert set(g.arcs()) == set(want.arcs()) and {frozenset(e) for e in g.edges()} == {frozenset(e) for e in want.edges()}
+    assert len(o.asked) <= 20 and sum(o.asked) > 2 * len(o.asked)
+
+
+def test_a_table_of_tests_stands_for_its_test(spark):
+    o = Separation(ARCS)
+    t = TestTable.recording(o)
+    first = PC().estimate(t)
+    rows = t.table(spark)
+    asked = len(o.asked)
+    again = PC().estimate(TestTable(o.variables(), rows))
+    assert set(again.arcs()) == set(first.arcs()) and len(o.asked) == asked and rows.columns == ["x", "y", "z", "p"] and rows.where("x > y").count() == 0
+    with pytest.raises(KeyError):
+        TestTable(["a", "b"], []).pvalue("a", "b")
+    pc = PC()
+    pc.estimate(o, use_sepsets=True)
+    assert ("a", "b", [], 1.0) in pc.sepset_rows() and all(o.pvalue(a, b, z) == 1 for a, b, z, _ in pc.sepset_rows())
+
+
 # ---------------------------------------------------------------- search
 
 
