@@ -115,3 +115,25 @@ class KDTree:
                     d = np.abs(x[live, None] - self.points[self.order[lo:hi]][None]).max(2, initial=0)
                     out[some[live]] += (d < e[live, None]).sum(1)
         return out
+
+    def count_near(self, x: np.ndarray, eps: np.ndarray) -> np.ndarray:
+        """How many points lie strictly inside eps[i] of row i of x. Rows walk the tree in groups that lie together."""
+        x, eps = np.asarray(x, float), np.asarray(eps, float)
+        out = np.zeros(len(x), np.int64)
+        for _, some in KDTree(x)._groups():
+            todo = [(0, some)]
+            while todo:
+                node, live = todo.pop()
+                lo, hi, left, right, low, high = self.nodes[node]
+                live = live[self._gap(x[live], low, high) < eps[live]]
+                whole = np.maximum(high - x[live], x[live] - low).max(1, initial=0) < eps[live]
+                out[live[whole]] += hi - lo
+                live = live[~whole]
+                if not len(live):
+                    continue
+                if left >= 0:
+                    todo += [(left, live), (right, live)]
+                else:
+                    d = np.abs(x[live, None] - self.points[self.order[lo:hi]][None]).max(2, initial=0)
+                    out[live] += (d < eps[live, None]).sum(1)
+        return out

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from netloom.functions.kdtree import KDTree
 from netloom.functions.special import TOL, chi2_sf, digamma, t_two_sided
 from netloom.functions.weighted_chi2 import hbe_complement, lpb4_complement
+from netloom.operators import neighbours
+from netloom.operators.durable import checkpointed
 from netloom.operators.kde import training_matrix
 from netloom.operators.stats import Moments, SuffStats, col, median_distance
 from netloom.operators.temporal import DynamicDataFrame
@@ -284,16 +286,16 @@ def knn_mi(x: np.ndarray, y: np.ndarray, z: np.ndarray | None, k: int) -> float:
 
 
 class KMutualInformation(_DataTest):
-    """Nearest-neighbour mutual information on ranks with a permutation p-value. The unpermuted statistic and the permutations are
-    tasks of the executors, over one broadcast of the rows, which are the method's own bounded input, at most MAX_ROWS."""
+    """Nearest-neighbour mutual information on ranks with a permutation p-value. Up to MAX_ROWS rows, the statistic and its permutations are tasks of
+    the executors over one broadcast of the rows; more rows are dealt to cells of their space (operators.neighbours), one permutation after
+    another. Local permutations then choose among neighbours of the same cell."""
 
     MAX_ROWS = 200_000
 
     def __init__(self, data, k: int, seed: int | None = None, shuffle_neighbors: int = 5, samples: int = 1000):
         super().__init__(data)
         self.k, self.seed, self.shuffle_neighbors, self.samples = k, 0 if seed is None else seed, shuffle_neighbors, samples
-        if self.data.num_rows > self.MAX_ROWS:
-            raise ValueError(f"more than {self.MAX_ROWS} rows")
+        self.in_cells = self.data.num_rows > self.MAX_ROWS
         if k >= self.data.num_rows:
             raise ValueError("k must be smaller than the number of rows")
 
@@ -328,10 +330,23 @@ class KMutualInformation(_DataTest):
         parts = min(samples + 1, 4 * spark.sparkContext.defaultParallelism)
         return spark.range(-1, samples, 1, parts).mapInArrow(run, "i long, mi double")
 
+    def _cells(self, x, y, z, samples: int) -> tuple[float, int]:
+        """The statistic, and how many permutations reach it."""
+        cols = [x, y, *as_list(z)]
+        points = neighbours.ranked_points(self.data, cols)
+        n = points.count()
+        base, reached = neighbours.information(points, len(cols), self.k, n), 0
+        for i in range(samples):
+            other = checkpointed(neighbours.permuted(points, len(cols), n, self.shuffle_neighbors, self.seed, i, local_permutation))
+            reached += neighbours.information(other, len(cols), self.k, n) >= base
+        return base, reached
+
     def mi(self, x, y, z=None) -> float:
-        return self._statistics(x, y, z, 0).first()["mi"]
+        return self._cells(x, y, z, 0)[0] if self.in_cells else self._statistics(x, y, z, 0).first()["mi"]
 
     def pvalue(self, x, y, z=None):
+        if self.in_cells:
+            return self._cells(x, y, z, self.samples)[1] / self.samples
         row = self._statistics(x, y, z, self.samples).agg(F.max(F.when(F.col("i") < 0, F.col("mi"))).alias("base"), F.collect_list(F.when(F.col("i") >= 0, F.col("mi"))).alias("all")).first()
         return sum(v >= row["base"] for v in row["all"]) / self.samples
 
