@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:/")
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16 << 20
 
 
@@ -119,7 +121,7 @@ def local_path(uri: str) -> str | None:
     """The plain path of a file: URI or of a path without scheme; None for other stores."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
+    return None if SCHEME.match(uri) else uri
 
 
 def put_file(uri: str, data: bytes) -> None:

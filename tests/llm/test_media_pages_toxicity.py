@@ -32,6 +32,59 @@ def test_companding_tables():
     assert a[0xD5] == 8 and a[0x55] == -8 and a[0xAA] == 32256 and a[0x2A] == -32256 and len(set(a.tolist())) == 256
 
 
+def plain_mulaw(code):
+    """Segment by segment: sign, exponent and mantissa of the inverted code."""
+    u = 255 - code
+    size = 33 + 2 * (u % 16)
+    for _ in range(u // 16 % 8):
+        size *= 2
+    size = 4 * (size - 33)
+    return -size if u >= 128 else size
+
+
+def plain_alaw(code):
+    a = code ^ 0x55
+    part = 2 * (a % 16) + 1
+    seg = a // 16 % 8
+    size = part if seg == 0 else (part + 32) * 2 ** (seg - 1)
+    return 8 * size if a >= 128 else -8 * size
+
+
+def test_companding_of_all_codes():
+    assert telephony.TABLES["mulaw"].tolist() == [plain_mulaw(c) for c in range(256)]
+    assert telephony.TABLES["alaw"].tolist() == [plain_alaw(c) for c in range(256)]
+
+
+def test_digests_and_features_against_plain_code(docs):
+    """The file byte by byte, its samples one by one, and the figures of the resampled PCM in whole numbers."""
+    got = {r["doc_id"]: r for r in telephony.media_features(telephony.to_media(docs.where("length(text) < 2000 AND doc_id IS NOT NULL"))).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.where("length(text) < 2000 AND doc_id IS NOT NULL").collect()}
+    kinds = set()
+    for i, text in texts.items():
+        p = text + b" " * (max(1, -(-len(text) // 192)) * 192 - len(text))
+        codec = ("mulaw", "alaw", "adpcm")[zlib.crc32(p) % 3]
+        kinds.add(codec)
+        parts = [p[k : k + 192] for k in range(0, len(p), 192)]
+        le = lambda v, n: v.to_bytes(n, "little")
+        if codec == "adpcm":
+            body = b"".join(bytes(4) + x for x in parts)
+            fmt, samples = le(17, 2) + le(1, 2) + le(8000, 4) + le(8000 * 196 // 385, 4) + le(196, 2) + le(4, 2) + le(2, 2) + le(385, 2), 385 * len(parts)
+            pcm = [x for part in parts for x in plain_adpcm(bytes(4) + part)]
+        else:
+            body, samples = p, len(p)
+            fmt = le({"mulaw": 7, "alaw": 6}[codec], 2) + le(1, 2) + le(8000, 4) + le(8000, 4) + le(1, 2) + le(8, 2) + le(0, 2)
+            pcm = [(plain_mulaw if codec == "mulaw" else plain_alaw)(c) for c in p]
+        inner = b"WAVEfmt " + le(len(fmt), 4) + fmt + b"fact" + le(4, 4) + le(samples, 4) + b"data" + le(len(body), 4) + body + bytes(len(body) % 2)
+        file = b"RIFF" + le(len(inner), 4) + inner
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        x = [v for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for v in (a, a + (b - a) * 8000 // 16000)]
+        frames = [x[k : k + 320] for k in range(0, len(x) // 320 * 320, 320)] or [x]
+        silent = sum(max(map(abs, f)) < 256 for f in frames)
+        want = [codec, len(x), zlib.crc32(b"".join(v.to_bytes(2, "little", signed=True) for v in x)), int((sum(v * v for v in x) / len(x)) ** 0.5), max(map(abs, x)), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])), int(100 * (silent / len(frames)))]
+        assert got[i]["feature"] == ";".join(map(str, want))
+    assert kinds == {"mulaw", "alaw", "adpcm"}
+
+
 def test_adpcm_blocks():
     rng = np.random.default_rng(0)
     blocks = rng.integers(0, 256, (20, 60), dtype=np.uint8)
