@@ -113,8 +113,11 @@ class GreedyHillClimbing:
 
     def estimate(self, operators: OperatorSet, score: Score, start: BayesianNetwork, arc_blacklist: Arcs = (), arc_whitelist: Arcs = (), type_blacklist=(), type_whitelist=(), callback=None, max_indegree: int = 0, max_iters: int = 2**31 - 1, epsilon: float = 0.0, patience: int = 0, verbose: int = 0):
         model, banned, forced = self._start(start, score, arc_blacklist, arc_whitelist, type_blacklist, type_whitelist)
-        for limit, value in {operators.set_max_indegree: max_indegree, operators.set_arc_whitelist: forced, operators.set_arc_blacklist: banned, operators.set_type_whitelist: type_whitelist, operators.set_type_blacklist: type_blacklist}.items():
-            limit(value)
+        operators.set_max_indegree(max_indegree)
+        operators.set_arc_whitelist(forced)
+        operators.set_arc_blacklist(banned)
+        operators.set_type_whitelist(type_whitelist)
+        operators.set_type_blacklist(type_blacklist)
         operators.cache_scores(model, score)
         local = operators.local_score_cache(model, score)
         held = HeldOutScores(model, score) if isinstance(score, ValidatedScore) else None

@@ -6,7 +6,6 @@ import math
 from abc import ABC, abstractmethod
 from collections.abc import Iterable, Sequence
 
-from netloom.functions.special import TOL
 from netloom.operators.factors import FactorType
 from netloom.operators.scores import Score
 
@@ -381,6 +380,3 @@ class OperatorPool(OperatorSet):
         super().finished()
         for s in self.sets:
             s.finished()
-
-
-MIN_DELTA = TOL
