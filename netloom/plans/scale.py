@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from netloom.operators.factors import CKDE, HCKDE
-from netloom.operators.independence import DynamicLinearCorrelation, LinearCorrelation, RCoT, TestTable
+from netloom.operators.independence import DynamicLinearCorrelation, KMutualInformation, LinearCorrelation, RCoT, TestTable
 from netloom.operators.kde import KDE, NormalReferenceRule, UCVScorer
 from netloom.operators.learn import DMMHC, PC, hc
 from netloom.operators.models import DynamicGaussianNetwork, GaussianNetworkType, KDENetwork
@@ -61,6 +61,28 @@ def rcot_statistic(spark, sf):
     return spark.createDataFrame([(round(stat, 5),)], "stat double")
 
 
+# ---------------------------------------------------------------- nearest neighbours in cells
+
+#: Ranks with ties by the whole row, digamma of whole numbers, and the distance to the fifth neighbour over the columns {d}.
+KNN = """WITH r AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey, s_nationkey) - 1 AS x, row_number() OVER (ORDER BY s_suppkey, s_acctbal, s_nationkey) - 1 AS y, row_number() OVER (ORDER BY s_nationkey, s_acctbal, s_suppkey) - 1 AS z, count(*) OVER () AS n FROM supplier),
+psi AS (SELECT 1 AS m, -0.5772156649015329 AS v UNION ALL SELECT x + 2, sum(1.0 / (x + 1)) OVER (ORDER BY x) - 0.5772156649015329 FROM r),
+two AS (SELECT * FROM (SELECT p.*, greatest(abs(p.x - q.x), abs(p.y - q.y)) AS eps, row_number() OVER (PARTITION BY p.x ORDER BY greatest(abs(p.x - q.x), abs(p.y - q.y))) AS k FROM r p, r q) WHERE k = 6),
+three AS (SELECT * FROM (SELECT p.*, greatest(abs(p.x - q.x), abs(p.y - q.y), abs(p.z - q.z)) AS eps, row_number() OVER (PARTITION BY p.x ORDER BY greatest(abs(p.x - q.x), abs(p.y - q.y), abs(p.z - q.z))) AS k FROM r p, r q) WHERE k = 6),
+a AS (SELECT avg(u.v + w.v) AS s, any_value(n) AS n FROM two JOIN psi u ON u.m = least(1 + x, eps) + least(n - x, eps) - 1 JOIN psi w ON w.m = least(1 + y, eps) + least(n - y, eps) - 1),
+b AS (SELECT p.x, count_if(abs(p.z - q.z) < eps) AS nz, count_if(abs(p.z - q.z) < eps AND abs(p.x - q.x) < eps) AS nxz, count_if(abs(p.z - q.z) < eps AND abs(p.y - q.y) < eps) AS nyz FROM three p, r q GROUP BY p.x),
+c AS (SELECT avg(u.v - w.v - t.v) AS s FROM b JOIN psi u ON u.m = nz JOIN psi w ON w.m = nxz JOIN psi t ON t.m = nyz)
+SELECT 'a,b' AS test, round(k.v + l.v - s, 8) AS mi FROM a, psi k, psi l WHERE k.m = 5 AND l.m = n UNION ALL SELECT 'a,b|c', round(k.v + s, 8) FROM c, psi k WHERE k.m = 5"""
+
+
+@query("knn_information", KNN)
+def knn_information(spark, sf):
+    """The statistics of the whole supplier table by cells, without permutations."""
+    df = table(spark, sf, "supplier").select(F.col("s_acctbal").alias("a"), F.col("s_suppkey").cast("double").alias("b"), F.col("s_nationkey").cast("double").alias("c"))
+    t = KMutualInformation(Dataset.of(df), 5)
+    t.in_cells = True
+    return spark.createDataFrame([("a,b", round(t.mi("a", "b"), 8)), ("a,b|c", round(t.mi("a", "b", "c"), 8))], "test string, mi double")
+
+
 # ---------------------------------------------------------------- densities over training rows that stay a table
 
 
