@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, StringType, TimestampType
 
 from netloom.functions.special import TOL
 from netloom.sources.dataset import Dataset
@@ -222,27 +225,66 @@ def normalize(data: Dataset) -> Dataset:
     return data.with_df(data.df.withColumns(put))
 
 
-#: Sampled rows for each bound between two ranges; bounds that a row is compared with one after another.
-SAMPLED, FANOUT = 25, 32
+#: Sampled rows for each bound between two ranges; bounds that a row is compared with one after another; ranges beyond which their bounds are searched
+#: in Arrow batches, as an expression of so many would not be compiled.
+SAMPLED, FANOUT, COMPILED = 25, 32, 256
 
 
 class Ranges:
     """Ranges of similar size of a table in the order of `order` (nulls first), as many as there are shuffle partitions. The bounds are rows of a
     sample of SAMPLED rows a range, by the hash of their order columns, so they hold all these columns: equal values of the first do not
-    meet in one range unless the others are equal, too. The bounds are fixed when this is made, by one job."""
+    meet in one range unless the others are equal, too. The bounds are fixed when this is made, by one job, and the number of a row's range is the
+    same in every task."""
 
     def __init__(self, rows: DataFrame, order: Sequence[str], parts: int = 0):
         self.order = list(order)
         n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sample = rows.select(*[F.col(f"`{o}`").alias(f"k{i}") for i, o in enumerate(order)])
+        kinds = [rows.schema[o].dataType for o in order]
+        self.compiled = n <= COMPILED or not all(isinstance(k, (NumericType, StringType, TimestampType, DateType)) for k in kinds)
+        self.keys = [self._key(F.col(f"`{o}`"), k) for o, k in zip(order, kinds, strict=True)]
+        sample = rows.select(*[k.alias(f"k{i}") for i, k in enumerate(self.keys)])
         names = sample.columns
         got = sample.orderBy(F.xxhash64(*names), *names).limit(SAMPLED * n).orderBy(*names).collect() if n > 1 else []
         self.types = [f.dataType for f in sample.schema.fields]
         self.bounds = list(dict.fromkeys(tuple(got[i * len(got) // n]) for i in range(1, n))) if got else []
 
+    def _key(self, c: Column, kind: DataType) -> Column:
+        """A column as what is compared: instants and days are whole numbers where Python compares them."""
+        if self.compiled:
+            return c
+        return F.unix_micros(c) if isinstance(kind, TimestampType) else F.datediff(c, F.lit("1970-01-01")) if isinstance(kind, DateType) else c
+
     def number(self) -> Column:
-        """The number of a row's range, an expression that is the same in every task: a search tree over the bounds."""
-        row = F.struct(*[F.col(f"`{o}`").alias(f"k{i}") for i, o in enumerate(self.order)])
+        """The number of a row's range: a search tree over the bounds, or a binary search of Arrow batches."""
+        if not self.bounds:
+            return F.lit(0)
+        return self._tree() if self.compiled else self._search()
+
+    def _search(self) -> Column:
+        place = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)  # noqa: E731, PLR0124
+        bounds = [tuple(place(v) for v in b) for b in self.bounds]
+        first = [b[0][1] for b in bounds if b[0][0] == 1]
+        before = sum(b[0][0] == 0 for b in bounds)
+        plain = all(isinstance(v, (int, float)) for v in first)
+
+        def search(*cols: pa.Array) -> pa.Array:
+            n, kind = len(cols[0]), cols[0].type
+            out, ask = np.zeros(n, np.int64), np.ones(n, bool)
+            if plain and (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+                # by the first key alone, where no bound has the same one
+                at, values = np.array(first), cols[0].fill_null(0).to_numpy(zero_copy_only=False)
+                lo, hi = np.searchsorted(at, values, "left"), np.searchsorted(at, values, "right")
+                out, ask = before + lo, (lo < hi) | (values != values) | cols[0].is_null().to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(ask)
+            if len(rows):
+                asked = [c.take(pa.array(rows)).to_pylist() for c in cols]
+                out[rows] = [bisect.bisect_left(bounds, tuple(map(place, row))) for row in zip(*asked, strict=True)]
+            return pa.array(out)
+
+        return F.arrow_udf(search, "long")(*self.keys)
+
+    def _tree(self) -> Column:
+        row = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(self.keys)])
         point = lambda b: F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, self.types, strict=True))])
 
         def place(bounds: list[tuple]) -> Column:
@@ -258,7 +300,7 @@ class Ranges:
             last = range(0, len(bounds), step)[-1]
             return out.otherwise(place(bounds[last:]) + last)
 
-        return place(self.bounds) if self.bounds else F.lit(0)
+        return place(self.bounds)
 
 
 def ranked(df: DataFrame, column: str, tie: Sequence[str], output: str, parts: int = 0, digest: bool = False) -> DataFrame:

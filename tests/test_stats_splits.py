@@ -1,6 +1,9 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from helpers import categories, hybrid, lstsq, normal, with_nulls
+from pyspark.sql import functions as F
 
 from netloom.operators import stats as S
 from netloom.operators import temporal
@@ -170,14 +173,21 @@ def test_lags_across_ranges(spark, n):
     assert "SinglePartition" not in got._jdf.queryExecution().toString()
 
 
-def test_a_search_tree_over_many_bounds(spark):
-    """Three levels of bounds give the number of bounds below a row."""
-    df = spark.createDataFrame([(i * 7919 % 6000, "x") for i in range(6000)], "k long, c string")
-    r = S.Ranges(df, ["c", "k"], 1100)
-    assert len(r.bounds) > S.FANOUT**2
-    got = df.select("k", r.number().alias("p")).collect()
-    keys = [b[1] for b in r.bounds]
-    assert all(x["p"] == np.searchsorted(keys, x["k"]) for x in got)
+@pytest.mark.parametrize("compiled", [2000, 10])
+def test_many_bounds(spark, monkeypatch, compiled):
+    """A tree of three levels and a search of batches give the number of bounds below a row; nulls first, NaN last, ties by the other keys."""
+    monkeypatch.setattr(S, "COMPILED", compiled)
+    monkeypatch.setattr(S, "FANOUT", 8)
+    rows = [(i * 7919 % 6000, float(i % 11) if i % 13 else None, f"é{i % 7}", dt.datetime(2020, 1, 1) + dt.timedelta(seconds=i * 31 % 999)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, x double, c string, at timestamp").withColumn("x", F.when(F.col("k") % 17 == 0, float("nan")).otherwise(F.col("x")))
+    for order in (["k"], ["x", "k"], ["c", "k"], ["at", "k"], ["x", "c", "at", "k"]):
+        r = S.Ranges(df, order, 700)
+        assert len(r.bounds) > 600 and r.compiled == (compiled > 700)
+        got = df.select(*order, r.number().alias("p")).orderBy(*order).collect()
+        parts = [x["p"] for x in got]
+        assert parts == sorted(parts) and max(parts) == len(r.bounds) and max(np.bincount(parts)) < 40
+    whole = S.ranked(df.select("x", "k").na.drop(), "x", ["k"], "r", 700).collect()
+    assert [x["r"] for x in sorted(whole, key=lambda x: (x["x"], x["k"]))] == list(range(len(whole)))
 
 
 @pytest.mark.parametrize("sizes", [{"hot": 180, "b": 1, "c": 2, "d": 7}, {"only": 90}, {"a": 1}])
