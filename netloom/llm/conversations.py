@@ -34,8 +34,10 @@ SPACES = " \t\n\x0b\f\r"
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 2, 3, 2, 1
 #: Rows and bytes of a segment; at most 2**13 rows.
 SEGMENT, SEGMENT_BYTES = 4096, 4 << 20
-#: The state that a user or assistant turn leads to from none, system, user, assistant; what a kept initial leads to; the states that may end.
-NEXT, END, NEVER = (2, 2, 3, 2), (0, -1, -1, 0), 1 << 60
+#: The state that a user or assistant turn leads to from none, system, user, assistant; distances of the four states at the end.
+NEXT, NEVER = (2, 2, 3, 2), 1 << 60
+GOAL = [0, NEVER, NEVER, 0]
+#: Where a kept row of this initial leads to.
 KEPT = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
 NAME = {2: "user", 3: "assistant"}
 RESULT = "gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string"
@@ -199,9 +201,6 @@ class Segment:
                 state = to
 
 
-GOAL = [0 if x == 0 else NEVER for x in END]
-
-
 def repaired(s: Segment, dist: list[int], state: int, last: bool) -> tuple[str, list[str], int]:
     """Audit, lines and last state of a segment."""
     audit, lines = [], []
