@@ -154,7 +154,7 @@ def finished(what, kernels: dict, group: np.ndarray, fold: np.ndarray | None, lo
 
 
 def _named(df: DataFrame, columns: Sequence[str], group: Column | None, fold: Column | None) -> DataFrame:
-    values = [F.expr("CAST(0 AS DOUBLE)") if c is None else (col(c) + F.lit(0.0)) for c in columns]  # -0 becomes 0
+    values = [col(c) + F.lit(0.0) for c in columns]  # -0 becomes 0
     return df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)], (F.lit(0) if group is None else group).cast("int").alias("g"), (F.lit(-1) if fold is None else fold).cast("int").alias("f"))
 
 
@@ -179,16 +179,17 @@ class TrainingTable:
         return self._sizes
 
 
-def _meet(points: DataFrame, training: TrainingTable, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """cell(points, training rows) of every pair of blocks of one group."""
+def _meet(points: DataFrame, training: TrainingTable, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by: Sequence[str] = ()) -> DataFrame:
+    """cell(points, training rows) of every pair of blocks of one group. Points are dealt by their values, or by the columns `by`."""
     spark, d = points.sparkSession, training.d
     many = {r[0]: r[1] for r in points.groupBy("g").count().collect()}
     # one row a group: how many blocks its points and its training rows make
     split = spark.createDataFrame([(g, -(-many.get(g, 1) // POINTS), -(-n // TRAINING)) for g, n in training.sizes().items()], "g int, a long, c long")
     split = F.broadcast(split) if len(training.sizes()) <= 100_000 else split
-    here = F.pmod(F.xxhash64(*[f"v{i}" for i in range(d)], "g"), F.lit(1 << 40))
-    p = points.join(split, "g").withColumn("pa", here % F.col("a")).withColumn("tc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("a", "c")
-    t = training.rows.join(split, "g").withColumn("tc", here % F.col("c")).withColumn("pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1))).drop("a", "c")
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << 40))
+    values = [f"v{i}" for i in range(d)]
+    p = points.join(split, "g").withColumn("pa", place(by or values) % F.col("a")).withColumn("tc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("a", "c")
+    t = training.rows.join(split, "g").withColumn("tc", place(values) % F.col("c")).withColumn("pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1))).drop("a", "c")
     return p.groupBy("g", "pa", "tc").cogroup(t.groupBy("g", "pa", "tc")).applyInArrow(cell, schema)
 
 
@@ -287,9 +288,7 @@ def sample_against(df: DataFrame, evidence: Sequence[str], training: TrainingTab
     plus Gumbel noise, which blocks can find apart."""
     d = training.d
     rows = checkpointed(df.withColumn("_i", F.monotonically_increasing_id()).withColumn("_z", F.randn(seed + 1)))
-    points = _named(rows, [None, *evidence], group, None).columns
     points = rows.select(F.col("_i"), F.lit(0.0).alias("v0"), *[(col(e) + F.lit(0.0)).alias(f"v{i + 1}") for i, e in enumerate(evidence)], (F.lit(0) if group is None else group).cast("int").alias("g"), F.lit(-1).alias("f")).na.drop()
-    # a draw is a point of its own, so its number takes part in the deal
     shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(kernels))
     out = ["_i", "best", "mean"]
 
@@ -312,7 +311,8 @@ def sample_against(df: DataFrame, evidence: Sequence[str], training: TrainingTab
             mean[s] = y[j, 0] + (x[s, 1:] - y[j, 1:]) @ b
         return pa.table({"_i": i, "best": best, "mean": mean}).select(out)
 
-    found = _meet(points, training, cell, "_i long, best double, mean double").groupBy("_i").agg(F.max_by("mean", "best").alias("_m"), F.first("_i").alias("_same")).drop("_same")
+    # draws of equal evidence are different points, so their numbers deal them
+    found = _meet(points, training, cell, "_i long, best double, mean double", ["_i"]).groupBy("_i").agg(F.max_by("mean", "best").alias("_m"))
     sds = {g: k.conditional()[1] for (g, _), k in kernels.items()}
     code = (F.lit(0) if group is None else group).cast("int")
     table = df.sparkSession.createDataFrame([(int(g), float(s)) for g, s in sds.items()] or [(0, 0.0)], "_g int, _sd double")
