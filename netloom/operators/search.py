@@ -9,6 +9,9 @@ from collections.abc import Iterable, Sequence
 from netloom.operators.factors import FactorType
 from netloom.operators.scores import Score
 
+#: What of the largest delta is rounding.
+TIE = 1e-9
+
 
 class Operator(ABC):
     """A change of a model and the change of score that it brings. Equality ignores delta."""
@@ -268,12 +271,19 @@ class ArcOperatorSet(OperatorSet):
                 yield AddArc(s, t, d)
 
     def find_max(self, model, tabu=None):
+        """The allowed operator of largest delta. Deltas that differ by rounding only are equal (both directions of an arc, under a score of
+        equivalent networks) and go by their names, so that the order in which sums were added up decides nothing."""
+        name = lambda o: (type(o).__name__, o._key())
         options = [o for o in self._options(model) if not math.isnan(o.delta()) and (tabu is None or not tabu.contains(o))]
-        for op in sorted(options, key=lambda o: (-o.delta(), type(o).__name__, o._key())):
+        largest = max((abs(o.delta()) for o in options if math.isfinite(o.delta())), default=0.0)
+        best, top = None, 0.0
+        for op in sorted(options, key=lambda o: -o.delta()):
+            if best is not None and op.delta() < top - TIE * largest:
+                break
             s, t = op._key()
             if isinstance(op, RemoveArc) or isinstance(op, AddArc) and model.can_add_arc(s, t) or isinstance(op, FlipArc) and model.can_flip_arc(s, t):
-                return op
-        return None
+                top, best = op.delta() if best is None else top, op if best is None or name(op) < name(best) else best
+        return best
 
     def update_scores(self, model, score, changed):
         cache = self.local_score_cache(model, score)

@@ -283,6 +283,14 @@ def test_best_operator_equals_brute_force(spark, limit, blacklist):
     assert c.sum() == pytest.approx(s.score(m)) == pytest.approx(ops.cache.sum())
 
 
+def test_directions_that_differ_by_rounding_go_by_their_names():
+    for noise in (1e-4, -1e-4):
+        ops = ArcOperatorSet()
+        ops._toggle = {("z", "x"): 1e6 + noise, ("x", "z"): 1e6, ("y", "z"): 9e5}
+        best = ops.find_max(GaussianNetwork(["x", "y", "z"]))
+        assert best == AddArc("x", "z", 0.0)
+
+
 def test_type_operators(spark):
     pdf = normal(120)[["a", "b"]]
     pdf["a"] = np.exp(3 * (pdf["a"] - 3))
