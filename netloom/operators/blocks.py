@@ -21,12 +21,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.special import log_sum_exp, normal_cdf
+from netloom.functions.special import log_sum_exp
+from netloom.operators.box_sums import MAX_COLUMNS, exponents, finite, kernel_sums
 from netloom.operators.durable import checkpointed
 from netloom.operators.stats import col
 
-#: Rows of a block of points and of training rows, and cells of a distance tile.
-POINTS, TRAINING, TILE = 1 << 14, 1 << 16, 2_000_000
+#: Rows of a block of points and of training rows where boxes sum (operators.box_sums) and where every pair is looked at, fewest points of a block, cells of
+#: a distance tile.
+POINTS, TRAINING, PAIR_POINTS, PAIR_TRAINING, FEWEST, TILE = 1 << 18, 1 << 19, 1 << 14, 1 << 16, 1 << 12, 2_000_000
 LOG_2PI = math.log(2 * math.pi)
 
 
@@ -63,19 +65,15 @@ class Kernel:
         return k, math.sqrt(max(h[0, 0] - h[0, 1:] @ k, 0.0))
 
 
-def exponents(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Log kernels of whitened points and training rows, without the constant."""
-    d2 = (p**2).sum(1)[:, None] + (t**2).sum(1)[None] - 2 * p @ t.T
-    return -0.5 * np.maximum(d2, 0)
-
-
 class Density:
-    """Log density: one sum."""
+    """Log density: one sum. `over(kernel, rows, log weights)` gives the function from points to the logs of their sums, which keeps what
+    it found out about the rows."""
 
     terms = 1
 
-    def logs(self, k: Kernel, p: np.ndarray, t: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
-        return log_sum_exp(exponents(k.white(p), k.white(t)) + log_weight, 1)[:, None]
+    def over(self, k: Kernel, t: np.ndarray, log_weight: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        s = kernel_sums(k.white(t), log_weight)
+        return lambda p: finite(s.logs, k.white(p))[:, None]
 
     def result(self, k: Kernel, logs: np.ndarray) -> np.ndarray:
         return logs[:, 0] + k.constant()
@@ -86,11 +84,12 @@ class Conditional(Density):
 
     terms = 2
 
-    def logs(self, k, p, t, log_weight):
-        joint = super().logs(k, p, t, log_weight)
+    def over(self, k, t, log_weight):
+        joint = super().over(k, t, log_weight)
         if len(k.mean) == 1:
-            return np.concatenate([joint, np.zeros_like(joint)], 1)
-        return np.concatenate([joint, super().logs(k.marginal(), p[:, 1:], t[:, 1:], log_weight)], 1)
+            return lambda p: np.concatenate([joint(p), np.zeros((len(p), 1))], 1)
+        marginal = super().over(k.marginal(), t[:, 1:], log_weight)
+        return lambda p: np.concatenate([joint(p), marginal(p[:, 1:])], 1)
 
     def result(self, k, logs):
         if len(k.mean) == 1:
@@ -103,41 +102,46 @@ class Distribution:
 
     terms = 2
 
-    def logs(self, k: Kernel, p: np.ndarray, t: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+    def over(self, k: Kernel, t: np.ndarray, log_weight: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
         b, sd = k.conditional()
-        w = np.broadcast_to(log_weight, (len(p), len(t)))
-        if len(b):
-            m = k.marginal()
-            w = w + exponents(m.white(p[:, 1:]), m.white(t[:, 1:]))
-        mean = t[:, 0][None] + (p[:, 1:] @ b)[:, None] - (t[:, 1:] @ b)[None]
-        with np.errstate(divide="ignore"):
-            below = np.log(normal_cdf((p[:, :1] - mean) / sd))
-        return np.stack([log_sum_exp(w + below, 1), log_sum_exp(w, 1)], 1)
+        m = k.marginal() if len(b) else None
 
-    def result(self, k: Kernel, logs: np.ndarray) -> np.ndarray:
-        return np.exp(logs[:, 0] - logs[:, 1])
+        def white(x: np.ndarray) -> np.ndarray:
+            """What is left of the first column in its deviations, and the whitened evidence."""
+            left = (x[:, :1] - k.mean[0] - ((x[:, 1:] - k.mean[1:]) @ b)[:, None]) / sd
+            return left if m is None else np.concatenate([left, m.white(x[:, 1:])], 1)
 
+        t = white(t)
+        below = kernel_sums(t, log_weight, share=True)
+        if m is None:
+            whole = log_sum_exp(log_weight) if len(t) else -np.inf
+            return lambda p: np.column_stack([finite(below.logs, white(p)), np.full(len(p), whole)])
+        evidence = kernel_sums(t[:, 1:], log_weight)
 
-def tiled(what, k: Kernel, p: np.ndarray, t: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
-    step = max(1, TILE // max(1, len(t)))
-    parts = [what.logs(k, p[i : i + step], t, log_weight) for i in range(0, len(p), step)]
-    return np.concatenate(parts) if parts else np.zeros((0, what.terms))
+        def logs(p: np.ndarray) -> np.ndarray:
+            p = white(p)
+            return np.column_stack([finite(below.logs, p), finite(evidence.logs, p[:, 1:])])
+
+        return logs
+
+    def result(self, k: Kernel, logs: np.ndarray) -> np.ndarray:
+        return np.exp(logs[:, 0] - logs[:, 1])
 
 
-def fold_sums(what, kernels: dict, group: int, p: np.ndarray, p_fold: np.ndarray | None, t: np.ndarray, t_fold: np.ndarray | None, log_weight: np.ndarray) -> np.ndarray:
+def fold_sums(what, kernels: dict, group: int, p: np.ndarray, p_fold: np.ndarray | None, t: np.ndarray, t_fold: np.ndarray | None, log_weight: np.ndarray, kept: dict | None = None) -> np.ndarray:
     """Logs of the sums of each point of one group over training rows of the group; with folds over those of other folds, by the kernel of
-    the point's fold. NaN where the group (and fold) has no kernel."""
-    out = np.full((len(p), what.terms), np.nan)
+    the point's fold. NaN where the group (and fold) has no kernel. `kept` holds the sums over the same rows from one call to the next."""
+    out, kept = np.full((len(p), what.terms), np.nan), {} if kept is None else kept
     for f in [None] if p_fold is None else np.unique(p_fold).tolist():
         k = kernels.get((group, f))
         if k is None:
             continue
         rows = slice(None) if f is None else np.flatnonzero(p_fold == f)
-        use = slice(None) if f is None else t_fold != f
-        if len(log_weight[use]):
-            out[rows] = tiled(what, k, p[rows], t[use], log_weight[use])
-        else:
-            out[rows] = -np.inf
+        if (group, f) not in kept:
+            use = slice(None) if f is None else t_fold != f
+            kept[group, f] = what.over(k, t[use], log_weight[use]) if len(log_weight[use]) else None
+        over = kept[group, f]
+        out[rows] = -np.inf if over is None else over(p[rows])
     return out
 
 
@@ -179,18 +183,27 @@ class TrainingTable:
         return self._sizes
 
 
-def _meet(points: DataFrame, training: TrainingTable, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by: Sequence[str] = ()) -> DataFrame:
-    """cell(points, training rows) of every pair of blocks of one group. Points are dealt by their values, or by the columns `by`."""
+def _meet(points: DataFrame, training: TrainingTable, cell: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by: Sequence[str] = (), boxed: bool = True) -> DataFrame:
+    """cell(points, training rows) of every pair of blocks of one group. Points are dealt by their values, or by the columns `by`. `boxed`: the cell sums by
+    boxes, if the columns allow it."""
     spark, d = points.sparkSession, training.d
     many = {r[0]: r[1] for r in points.groupBy("g").count().collect()}
+    boxed = boxed and d <= MAX_COLUMNS
+    most, rows = (POINTS, TRAINING) if boxed else (min(POINTS, PAIR_POINTS), min(TRAINING, PAIR_TRAINING))
+    # blocks are small enough for every core to get some
+    most = max(1, min(most, max(FEWEST, -(-sum(many.values()) // (2 * spark.sparkContext.defaultParallelism)))))
     # one row a group: how many blocks its points and its training rows make
-    split = spark.createDataFrame([(g, -(-many.get(g, 1) // POINTS), -(-n // TRAINING)) for g, n in training.sizes().items()], "g int, a long, c long")
+    split = [(g, -(-many.get(g, 1) // most), -(-n // rows)) for g, n in training.sizes().items()]
+    cells = max(1, min(sum(a * c for _, a, c in split), 10_000))
+    split = spark.createDataFrame(split, "g int, a long, c long")
     split = F.broadcast(split) if len(training.sizes()) <= 100_000 else split
     place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(1 << 40))
     values = [f"v{i}" for i in range(d)]
     p = points.join(split, "g").withColumn("pa", place(by or values) % F.col("a")).withColumn("tc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))).drop("a", "c")
     t = training.rows.join(split, "g").withColumn("tc", place(values) % F.col("c")).withColumn("pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1))).drop("a", "c")
-    return p.groupBy("g", "pa", "tc").cogroup(t.groupBy("g", "pa", "tc")).applyInArrow(cell, schema)
+    # the number of partitions is given, since cells are much work for few bytes
+    p, t = (x.repartition(cells, "g", "pa", "tc").groupBy("g", "pa", "tc") for x in (p, t))
+    return p.cogroup(t).applyInArrow(cell, schema)
 
 
 def _matrix(t: pa.Table, d: int) -> np.ndarray:
@@ -252,16 +265,18 @@ def fold_total(df: DataFrame, columns: Sequence[str], what, kernels: dict, group
     def run(batches):
         what, kernels, t = cloudpickle.loads(shared.value)
         train, tg, tf = _matrix(t, d), t.column("g").to_numpy(), t.column("f").to_numpy()
-        total = 0.0
+        total, kept = 0.0, {}
         for b in batches:
             p, g, f = np.column_stack([b.column(i).to_numpy() for i in range(d)]), b.column(d).to_numpy(), b.column(d + 1).to_numpy()
             for one in np.unique(g).tolist():
                 own, rows = np.flatnonzero(tg == one), np.flatnonzero(g == one)
-                logs = fold_sums(what, kernels, one, p[rows], f[rows], train[own], tf[own], np.zeros(len(own)))
+                logs = fold_sums(what, kernels, one, p[rows], f[rows], train[own], tf[own], np.zeros(len(own)), kept)
                 total += float(np.nansum(finished(what, kernels, g[rows], f[rows], logs)))
         yield pa.RecordBatch.from_pydict({"total": [total]})
 
-    out = float(named.mapInArrow(run, "total double").agg(F.sum("total")).first()[0] or 0.0)
+    # few bytes may be much work; rows that lie together ask the same boxes
+    spread = named.repartitionByRange(named.sparkSession.sparkContext.defaultParallelism, *named.columns)
+    out = float(spread.mapInArrow(run, "total double").agg(F.sum("total")).first()[0] or 0.0)
     shared.destroy()
     return out
 
@@ -312,7 +327,7 @@ def sample_against(df: DataFrame, evidence: Sequence[str], training: TrainingTab
         return pa.table({"_i": i, "best": best, "mean": mean}).select(out)
 
     # draws of equal evidence are different points, so their numbers deal them
-    found = _meet(points, training, cell, "_i long, best double, mean double", ["_i"]).groupBy("_i").agg(F.max_by("mean", "best").alias("_m"))
+    found = _meet(points, training, cell, "_i long, best double, mean double", ["_i"], False).groupBy("_i").agg(F.max_by("mean", "best").alias("_m"))
     sds = {g: k.conditional()[1] for (g, _), k in kernels.items()}
     code = (F.lit(0) if group is None else group).cast("int")
     table = df.sparkSession.createDataFrame([(int(g), float(s)) for g, s in sds.items()] or [(0, 0.0)], "_g int, _sd double")
@@ -324,7 +339,7 @@ def pair_table_sums(training: TrainingTable, scales: Sequence[np.ndarray]) -> li
     """For each scale (a Cholesky factor or a vector of deviations) the sum over unordered pairs of training rows of the normal kernel without
     its constant. Blocks meet in a triangle: block a with block c >= a, each pair of rows once."""
     n, d = sum(training.sizes().values()), training.d
-    blocks = -(-n // TRAINING)
+    blocks = -(-n // (TRAINING if d <= MAX_COLUMNS else min(TRAINING, PAIR_TRAINING)))
     here = F.pmod(F.xxhash64(*[f"v{i}" for i in range(d)]), F.lit(blocks))
     rows = training.rows.withColumn("b", here)
     left = rows.withColumn("c", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1).cast("long")))).withColumn("a", F.col("b"))
@@ -340,9 +355,7 @@ def pair_table_sums(training: TrainingTable, scales: Sequence[np.ndarray]) -> li
             centre = y.mean(0)
             for k, root in enumerate(roots):
                 white = lambda m, root=root: (m - centre) / root if root.ndim == 1 else np.linalg.solve(root, (m - centre).T).T
-                a, b = white(x), white(y)
-                step = max(1, TILE // len(b))
-                total = sum(float(u[i : i + step] @ (np.exp(exponents(a[i : i + step], b)) @ w)) for i in range(0, len(a), step))
+                total = float(u @ np.exp(kernel_sums(white(y), np.log(w)).logs(white(x))))
                 # inside a block each pair is there twice, and a row with itself u * u times instead of u * (u - 1) / 2
                 sums[k] = (total - u.sum()) / 2 if same else total
         return pa.table({c: pa.array([v]) for c, v in zip(names, sums, strict=True)})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.special import TOL, log_sum_exp, normal_cdf
 from netloom.operators.blocks import Conditional, Distribution, Kernel, TrainingTable, sample_against, score_against
-from netloom.operators.kde import KDE, BandwidthSelector, SingularCovarianceData, is_small, score_rows, training_matrix, training_rows
+from netloom.operators.kde import KDE, SPREAD_ROWS, BandwidthSelector, SingularCovarianceData, is_small, score_rows, training_matrix, training_rows
 from netloom.operators.stats import Moments, SuffStats, col, linear_fit
 from netloom.sources.dataset import Dataset
 
@@ -173,6 +173,10 @@ class Factor(ABC):
     def logl_column(self) -> Column:
         raise NotImplementedError
 
+    def heavy(self) -> bool:
+        """Whether a scored row is much work."""
+        return False
+
     def scorer(self) -> tuple[list[str], list[str], Callable] | None:
         """(real columns, text columns, function) if rows are scored in Arrow batches."""
         return None
@@ -427,6 +431,7 @@ class CKDE(Factor):
         super().__init__(variable, evidence)
         self._joint = KDE([variable, *evidence], bandwidth_selector)
         self._marg = KDE(list(evidence)) if evidence else None
+        self._below: Callable | None = None  # sums of the training rows for the distribution function; made where points are scored
 
     def type(self):
         return CKDEType()
@@ -461,6 +466,7 @@ class CKDE(Factor):
 
     def fit_matrix(self, x: np.ndarray, data: Dataset | None = None):
         self._joint.fit_matrix(x, data)
+        self._below = None
         if self._marg is not None:
             self._marg.fit_matrix(x[:, 1:], data, self._joint.bandwidth[1:, 1:])
         return self
@@ -472,6 +478,9 @@ class CKDE(Factor):
             out = out - np.where(np.isnan(x[:, 0]), np.nan, self._marg.logl_matrix(x[:, 1:]))
         return out
 
+    def heavy(self) -> bool:
+        return self._joint.x is not None and len(self._joint.x) > SPREAD_ROWS
+
     def scorer(self):
         return None if self._joint.x is None else ([self._variable, *self._evidence], [], self.logl_arrays)
 
@@ -481,7 +490,7 @@ class CKDE(Factor):
     def attach_logl(self, df, output):
         if self._joint.x is None:
             return self._against(df, Conditional(), output)
-        return score_rows(df, [self._variable, *self._evidence], {output: self.logl_arrays})
+        return score_rows(df, [self._variable, *self._evidence], {output: self.logl_arrays}, spread=self.heavy())
 
     def _conditional(self) -> tuple[np.ndarray, float]:
         """Regression of the variable on the evidence inside a kernel, and its deviation."""
@@ -491,28 +500,19 @@ class CKDE(Factor):
 
     def cdf_arrays(self, cols: dict[str, np.ndarray]) -> np.ndarray:
         x = np.column_stack([cols[c] for c in [self._variable, *self._evidence]])
-        k, sd = self._conditional()
-        out = np.full(len(x), np.nan)
-        ok = np.flatnonzero(~np.isnan(x).any(1))
-        t = self._joint.x
-        step = max(1, 1_000_000 // len(t))
-        for lo in range(0, len(ok), step):
-            rows = x[ok[lo : lo + step]]
-            mean = t[:, 0][None] + (((rows[:, None, 1:] - t[None, :, 1:]) @ k) if len(k) else 0.0)
-            z = normal_cdf((rows[:, :1] - mean) / sd)
-            if self._marg is None:
-                out[ok[lo : lo + step]] = z.mean(1)
-            else:
-                w = self._marg.log_kernels(rows[:, 1:])
-                w = np.exp(w - log_sum_exp(w, 1)[:, None])
-                out[ok[lo : lo + step]] = (z * w).sum(1)
-        return out
+        what, kernel = Distribution(), self._joint.kernel()
+        if self._below is None:
+            self._below = what.over(kernel, self._joint.x, np.zeros(len(self._joint.x)))
+        return what.result(kernel, self._below(x))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_below": None}
 
     def cdf(self, data, output="cdf"):
         self._check()
         if self._joint.x is None:
             return self._against(Dataset.of(data).df, Distribution(), output)
-        return score_rows(Dataset.of(data).df, [self._variable, *self._evidence], {output: self.cdf_arrays})
+        return score_rows(Dataset.of(data).df, [self._variable, *self._evidence], {output: self.cdf_arrays}, spread=self.heavy())
 
     def sample_arrays(self, cols: dict[str, np.ndarray], u: np.ndarray, z: np.ndarray) -> np.ndarray:
         """A draw for each row from a uniform (which kernel) and a normal number (where in it)."""
@@ -699,13 +699,16 @@ class HCKDE(_ByConfiguration):
     def logl_arrays(self, cols):
         return self._by_rows(cols, lambda f, c, _: f.logl_arrays(c))
 
+    def heavy(self) -> bool:
+        return any(f is not None and f.heavy() for f in self.factors.values())
+
     def scorer(self):
         return None if self.table is not None else ([self._variable, *self.continuous], list(self.discrete), self.logl_arrays)
 
     def attach_logl(self, df, output):
         if self.table is not None:
             return score_against(df, [self._variable, *self.continuous], self.table, Conditional(), self.kernels(), output, self._number())
-        return score_rows(df, [self._variable, *self.continuous], {output: self.logl_arrays}, self.discrete)
+        return score_rows(df, [self._variable, *self.continuous], {output: self.logl_arrays}, self.discrete, self.heavy())
 
     def attach_sample(self, df, seed):
         if self.table is not None:

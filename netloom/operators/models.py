@@ -354,7 +354,7 @@ class BayesianNetwork:
             else:
                 df = self._cpds[n].attach_logl(df, names[n])
         if functions:
-            df = score_rows(df, real, functions, text)
+            df = score_rows(df, real, functions, text, any(c.heavy() for c in self._cpds.values()))
         total = None
         for v in names.values():
             total = F.col(f"`{v}`") if total is None else total + F.col(f"`{v}`")
