@@ -10,7 +10,8 @@ that change, so these are what the driver gets. L1 keeps only words that carry t
 
 The fit has three documented bounds: MAX_TRAIN labelled rows, MAX_TRAIN_BYTES of their features (rows in hash order up to that, at least
 one), and MAX_FEATURES features of those rows, the ones that tell most about the label, with all identity terms among them. Scoring
-has none.
+has none. The rows stay a table on the executors, which count their features and choose those; only the chosen features of each row reach the
+driver, two bytes each.
 
 Null and empty texts score the bias alone and teach nothing if null. Rows without id or label teach nothing. Of repeated labels of one id the
 largest counts; equal feature sets (copies of a text among them) teach once. Ties of the hash order are broken by id. A very long
@@ -187,6 +188,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def gain(vocab: np.ndarray, pos: np.ndarray, both: np.ndarray, n: int, toxic: float) -> np.ndarray:
+    """What each feature tells about the label, given its toxic rows and all its rows, of n rows with `toxic` toxic ones; identity terms are always wanted."""
+    mean = toxic / n
+    p, q = (pos + 0.5) / (toxic + 1), (both - pos + 0.5) / (n - toxic + 1)
+    worth = np.where(both >= 3, np.abs(pos - both * mean) / np.sqrt(both * mean + 1) * np.abs(np.log(p / q)), 0)
+    return np.where(np.isin(vocab, hash_words(IDENTITY)), np.inf, worth)
+
+
 def train(features: list[np.ndarray], labels: np.ndarray, near: list[str] | None = None) -> Model:
     """Proximal gradient steps on logistic loss + COUNTERFACTUAL * mean squared score change over swapped pairs + L1. `near` gives each
     row's text of near_terms(); without it a row's terms stand alone."""
@@ -196,12 +205,8 @@ def train(features: list[np.ndarray], labels: np.ndarray, near: list[str] | None
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.log(rate / (1 - rate)))
     row = np.repeat(np.arange(len(y)), [len(f) for f in features])
     vocab, col = np.unique(np.concatenate(features), return_inverse=True)
-    pos = np.bincount(col, y[row], len(vocab))
-    both = np.bincount(col, minlength=len(vocab))
-    p, q = (pos + 0.5) / (y.sum() + 1), (both - pos + 0.5) / ((1 - y).sum() + 1)
-    gain = np.where(both >= 3, np.abs(pos - both * y.mean()) / np.sqrt(both * y.mean() + 1) * np.abs(np.log(p / q)), 0)
-    named = np.isin(vocab, hash_words(IDENTITY))
-    chosen = np.sort(np.argsort(-np.where(named, np.inf, gain), kind="stable")[: min(MAX_FEATURES, len(vocab))])
+    worth = gain(vocab, np.bincount(col, y[row], len(vocab)), np.bincount(col, minlength=len(vocab)), len(y), y.sum())
+    chosen = np.sort(np.argsort(-worth, kind="stable")[: min(MAX_FEATURES, len(vocab))])
     place = np.full(len(vocab), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[col] >= 0
@@ -237,6 +242,42 @@ def not_held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
+def choose(rows: DataFrame, n: int, toxic: float) -> np.ndarray:
+    """The MAX_FEATURES features of `rows` (toxic, f; n rows) that tell most about the label, sorted. They are counted on the executors."""
+    top = np.uint64(1 << 63)  # so that the order of longs is that of the hashes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            vocab, col = np.unique(np.concatenate(f), return_inverse=True)
+            pos = np.bincount(col, np.repeat(b.column(0).to_numpy().astype(float), [len(x) for x in f]), len(vocab))
+            yield pa.RecordBatch.from_pydict({"key": pa.array((vocab ^ top).view(np.int64)), "pos": pa.array(pos), "n": pa.array(np.bincount(col, minlength=len(vocab)).astype(np.int64))})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, pos, both = (b.column(i).to_numpy() for i in range(3))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key), "gain": pa.array(gain(key.view(np.uint64) ^ top, pos, both, n, toxic))})
+
+    counts = rows.select("toxic", "f").mapInArrow(count, "key long, pos double, n long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    best = counts.mapInArrow(weigh, "key long, gain double").orderBy(F.desc("gain"), "key").limit(MAX_FEATURES).select("key").collect()
+    return np.sort(np.array([r["key"] for r in best], np.int64).view(np.uint64) ^ top)
+
+
+def chosen_only(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(h, toxic, near, at): of each row's features the places of those that were chosen, as 2-byte integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = []
+            for x in b.column(3).to_pylist():
+                f = np.frombuffer(x, np.uint64)
+                k = np.minimum(np.searchsorted(chosen, f), max(0, len(chosen) - 1))
+                at.append(k[chosen[k] == f].astype(np.uint16).tobytes() if len(chosen) else b"")
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(at, pa.binary())], ["h", "toxic", "near", "at"])
+
+    return rows.select("h", "toxic", "near", "f").mapInArrow(run, "h long, toxic int, near string, at binary")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample. Rows without id, text or label don't teach; the sample's ids are broadcast (MAX_TRAIN rows at most)."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(not_held_out("doc_id"))
@@ -254,13 +295,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # one row per text: copies of a labelled text must not count as evidence of their own
     got = rows.mapInArrow(run, "toxic int, f binary, near string").groupBy("f").agg(F.max("toxic").alias("toxic"), F.min("near").alias("near"))
     got = store(got.withColumn("h", F.xxhash64("f")).orderBy("h").limit(MAX_TRAIN), "training")
-    order = sorted((r[0], r[1]) for r in got.select("h", F.length("f") + F.length("near")).collect())
-    size = np.cumsum([n for _, n in order])
+    order = sorted((r[0], r[1], r[2]) for r in got.select("h", F.length("f") + F.length("near"), "toxic").collect())
+    size = np.cumsum([n for _, n, _ in order])
     taken = max(1, int(np.searchsorted(size, MAX_TRAIN_BYTES, "right")))
-    sample = got.where(F.col("h") <= order[taken - 1][0]).collect() if order else []
+    rows = got.where(F.col("h") <= order[taken - 1][0]) if order else got
+    known = [y for h, _, y in order if h <= order[taken - 1][0]]
+    chosen = choose(rows, len(known), float(sum(known))) if known else np.zeros(0, np.uint64)
+    sample = sorted((r["h"], r["near"], bytes(r["at"]), r["toxic"]) for r in chosen_only(rows, chosen).collect()) if known else []
     discard(got)
-    sample.sort(key=lambda r: (r["h"], bytes(r["f"])))
-    return train([np.frombuffer(r["f"], np.uint64) for r in sample], np.array([r["toxic"] for r in sample]), [r["near"] for r in sample])
+    return train([chosen[np.frombuffer(at, np.uint16)] for _, _, at, _ in sample], np.array([y for *_, y in sample]), [near for _, near, _, _ in sample])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

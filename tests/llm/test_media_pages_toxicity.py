@@ -369,3 +369,18 @@ def test_the_fit_stays_within_its_bytes(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"word{i} other{i} " * 3) for i in range(300)] + [(300, " ".join(f"long{i}" for i in range(20_000)))], "doc_id long, text string")
     toxicity.learn(df, spark.createDataFrame([(i, 1, i % 2) for i in range(301)], "doc_id long, quality int, toxic int"))
     assert 0 < seen[0] <= 4000
+
+
+def test_only_chosen_features_reach_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 120)
+    rows = labelled(900, np.random.default_rng(8))
+    taught = {t: y for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    vals, at = toxicity.word_features(*toxicity.B.column(pa.array(list(taught))))
+    near = toxicity.near_terms(*toxicity.B.column(pa.array(list(taught))))
+    want = toxicity.train([vals[at[i] : at[i + 1]] for i in range(len(taught))], np.array(list(taught.values())), near)
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda f, y, near: seen.append(f) or train(f, y, near))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.learn(df, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    assert len(np.unique(np.concatenate(seen[0]))) <= 120 < len(np.unique(vals))
+    assert (got.words == want.words).all() and np.allclose(got.weights, want.weights) and np.isclose(got.bias, want.bias)
