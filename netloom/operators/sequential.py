@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.operators.factors import CKDE, CLinearGaussianCPD, DiscreteFactor, Factor, HCKDE, LinearGaussianCPD
 from netloom.operators.temporal import temporal_name
 
-#: Series of a block, which one task draws together, and rows of them that it passes on at a time.
-BLOCK, ROWS = 256, 65_536
+#: Series of a block, which are drawn together, rows of them that are passed on at a time, and rows of a task's blocks, which it draws one after another.
+BLOCK, ROWS, TASK_ROWS = 256, 65_536, 1 << 18
 
 
 def codes(f: Factor, column: str, values: np.ndarray) -> np.ndarray:
@@ -69,8 +69,8 @@ def drawn(model, n: int, series: int, rng: np.random.Generator) -> Iterator[dict
 
 
 def draw_series(spark: SparkSession, model, n: int, series: int, seed: int, text: set[str]) -> DataFrame:
-    """(series, t, variables): n rows of each series. A block of series is a task's, whose random numbers depend on the seed and the block only,
-    so a repeated task draws the same; nothing but the model goes through the driver."""
+    """(series, t, variables): n rows of each series. A task draws some blocks of series; a block's random numbers depend on the seed and the block only,
+    so a repeated task draws the same, whatever the number of tasks; nothing but the model goes through the driver."""
     if n < 0 or series < 0:
         raise ValueError("a negative sample size")
     variables = model.variables()
@@ -98,4 +98,5 @@ def draw_series(spark: SparkSession, model, n: int, series: int, seed: int, text
 
     blocks = -(-series // BLOCK)
     kinds = ", ".join(f"`{v}` {'string' if v in text else 'double'}" for v in variables)
-    return spark.range(0, blocks, 1, max(1, min(blocks, 100_000))).mapInArrow(run, f"series long, t long, {kinds}")
+    tasks = max(-(-series * n // TASK_ROWS), 2 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, blocks, 1, max(1, min(blocks, tasks))).mapInArrow(run, f"series long, t long, {kinds}")

@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from netloom.operators.durable import checkpointed
 from netloom.operators.factors import CKDE, HCKDE
 from netloom.operators.independence import DynamicLinearCorrelation, KMutualInformation, LinearCorrelation, RCoT, TestTable
 from netloom.operators.kde import KDE, NormalReferenceRule, UCVScorer
@@ -159,7 +160,7 @@ def dbn_series_slope(spark, sf):
     m = DynamicGaussianNetwork(["w"], 1)
     m.transition_bn().add_arc("w_t_1", "w_t_0")
     n = d.df.count()
-    out = m.fit(d.loc("w", d.order_by)).sample(20, seed=4, series=n // 10)
+    out = checkpointed(m.fit(d.loc("w", d.order_by)).sample(20, seed=4, series=n // 10))
     lags = DynamicDataFrame(Dataset.of(out, columns=["w", "series"], order_by=["t"]), 1, series=["series"]).transition_df().df
     return lags.agg(F.round(F.regr_slope("w_t_0", "w_t_1"), 1).alias("slope")).select(F.lit(out.count()).alias("rows"), "slope")
 
@@ -168,7 +169,8 @@ def moving(spark, sf) -> Dataset:
     """w: an event's value and the one before added up, so that w depends on the last w; v does not."""
     e = table(spark, sf, "events").select("ts", "event_id", "value", (F.col("user_id") % 7).cast("double").alias("v"))
     e = lagged(e, [("value", "value", 0), ("before", "value", 1), ("v", "v", 0)], ["ts", "event_id"])
-    return Dataset.of(e.withColumn("w", F.col("value") + F.coalesce("before", F.lit(0.0))).drop("value", "before"), order_by=["ts", "event_id"])
+    e = e.withColumn("w", F.col("value") + F.coalesce("before", F.lit(0.0))).drop("value", "before")
+    return Dataset.of(checkpointed(e), order_by=["ts", "event_id"])  # read by every later step, and its lags are a shuffle and a sort
 
 
 # ---------------------------------------------------------------- tables of tests, separating sets, directions
