@@ -13,8 +13,9 @@ reach the threshold share at least two tokens of their prefixes extended by one,
 4. what is then still frequent and mixed becomes 2-token combinations, and a combination that is frequent itself is worked off by rounds
    of leaders, eight times as many each round, until it is a single component or no pair is left.
 
-A pair in one component is never compared again, since only components are reported. Verification is exact on the whole sets:
-texts travel to their leader, hot leaders are salted, and a task holds one leader's set at a time. Counts by token are tables of their own
+A pair in one component is never compared again, since only components are reported. A class has a bitmap of PARITY bits, each the parity of its tokens
+there; two sets differ in at least as many tokens as their bitmaps in bits, so a pair whose bitmaps differ in too many is no link. Verification of
+the others is exact on the whole sets: texts, of which only those of compared classes are shuffled, travel to their leader, hot leaders are salted, and a task holds one leader's set at a time. Counts by token are tables of their own
 before rows are joined with them, so that Spark splits the rows of a token that very many documents hold. Each step deletes
 the tables that no later step reads.
 
@@ -43,6 +44,8 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, SLOT_ROWS = 1 << 20, 64
 #: A token of more members is frequent; a document with more frequent tokens keeps them single; members a leader's group takes.
 FREQUENT, MAX_COMBINED, GROUP = 100, 48, 512
+#: Bits of a class's bitmap, and slots of the marks that texts are looked up in before a shuffle (both fixed sizes).
+PARITY, MARKS, MARK_ROWS = 512, 1 << 24, 64
 #: Different sets of one 64-bit hash that the driver takes (an error beyond; chance gives ten at 2e10 sets).
 MOST_CLASHES = 10_000
 
@@ -135,8 +138,54 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
     return classes.ravel()
 
 
+def parities(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """PARITY bits of each row's set, as longs."""
+    n = len(at) - 1
+    slot = np.repeat(np.arange(n), np.diff(at)) * PARITY + (vals & np.uint64(PARITY - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY // 64)
+
+
+def _mark(th: np.ndarray) -> np.ndarray:
+    return (B.mix(th.view(np.uint64)) >> np.uint64(64 - MARKS.bit_length() + 1)).astype(np.int64)
+
+
+def marked(keys: DataFrame):
+    """A test of a column of text hashes: true for those in `keys` (th), and for few others while MARKS are many more than keys. The marks meet on the
+    executors; MARKS / 8 bytes reach the driver, whatever the number of keys."""
+    size = MARKS // MARK_ROWS // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(MARKS, bool)
+        for b in batches:
+            on[_mark(b.column(0).to_numpy())] = True
+        for i, row in enumerate(np.packbits(on).reshape(MARK_ROWS, size)):
+            if row.any():
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "m": pa.array([row.tobytes()])})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[i] = total.get(i, 0) | np.frombuffer(m, np.uint8)
+        if total:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(list(total), pa.int32()), "m": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+    marks = np.zeros((MARK_ROWS, size), np.uint8)
+    for r in keys.select("th").mapInArrow(run, "i int, m binary").repartition(MARK_ROWS, "i").mapInArrow(meet, "i int, m binary").collect():
+        marks[r["i"]] = np.frombuffer(r["m"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(marks.ravel())
+
+    @F.arrow_udf("boolean")
+    def test(th: pa.Array) -> pa.Array:
+        at = _mark(th.to_numpy(zero_copy_only=False))
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return test
+
+
 def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int, percent: int) -> DataFrame:
-    """cid, n and the tokens of the 2-extended prefix, for sets of two tokens or more (a single token links equal sets only)."""
+    """cid, n, the bitmap and the tokens of the 2-extended prefix, for sets of two tokens or more (a single token links equal sets only)."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +193,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int,
         for b in batches:
             for lo, hi, vals, at in _sets(b.column(0), k):
                 cls = rank[(vals >> np.uint64(44)).astype(np.int64)]
-                ids, sizes, toks = [], [], []
+                ids, sizes, toks, places = [], [], [], []
                 for i, c in enumerate(identity(vals, at, clashes).tolist()):
                     n = int(at[i + 1] - at[i])
                     if n < 2 or c in seen:
@@ -153,14 +202,17 @@ def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int,
                     order = np.argsort(cls[at[i] : at[i + 1]], kind="stable")[: prefix_length(n, percent)]
                     ids.append(c)
                     sizes.append(n)
+                    places.append(i)
                     toks.append(vals[at[i] : at[i + 1]][order].view(np.int64))
                 if len(seen) > 500_000:
                     seen.clear()
                 if ids:
                     offs = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-                    yield pa.RecordBatch.from_pydict({"cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "tokens": pa.ListArray.from_arrays(offs, np.concatenate(toks))})
+                    bits = parities(vals, at)[places]
+                    bits = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), bits.ravel())
+                    yield pa.RecordBatch.from_pydict({"cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": bits, "tokens": pa.ListArray.from_arrays(offs, np.concatenate(toks))})
 
-    return store(rows.select("text").mapInArrow(run, "cid long, n long, tokens array<long>"), "prefixes")
+    return store(rows.select("text").mapInArrow(run, "cid long, n long, bits array<long>, tokens array<long>"), "prefixes")
 
 
 def _listed(arr: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -227,11 +279,24 @@ class _Join:
         self.comp: DataFrame | None = None  # v, comp: classes that have a link, and their component
         self.tried: list[DataFrame] = []  # pairs that were compared
         self.sets: DataFrame | None = None  # cid, tokens of the classes that are indexed anew
+        self.bits: DataFrame | None = None  # cid, n, bits of the classes that may have links
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
-        """(cid, text) of classes."""
-        one = self.classes.join(ids, "cid").select("cid", "did", "th")
-        return self.rows.alias("x").join(one.hint("merge").alias("y"), F.expr(SAME_ROW)).select("y.cid", "x.text")
+        """(cid, text) of classes, stored. Texts of no such class are left out before the shuffle."""
+        one = store(self.classes.join(ids, "cid").select("cid", "did", "th"), "wanted")
+        rows = self.rows.where(marked(one)("th"))
+        out = store(rows.alias("x").join(one.hint("merge").alias("y"), F.expr(SAME_ROW)).select("y.cid", "x.text"), "texts")
+        discard(one)
+        return out
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, lead) whose bitmaps differ in no more bits than the sets may in tokens."""
+        if self.bits is None:
+            return pairs
+        side = lambda x: self.bits.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")).dropDuplicates([x])
+        differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.where(differ * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "b", "lead")
 
     def compare(self, pairs: DataFrame) -> None:
         """Verify pairs (a, b) that were not compared before."""
@@ -243,11 +308,13 @@ class _Join:
             discard(new)
             return
         self.tried.append(new)
+        new = store(self.likely(new), "likely")
         lead = new.select(F.col("lead").alias("a"), F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("b"))
         source = self.sets
         if source is None:
             source = self.texts_of(lead.select(F.col("a").alias("cid")).unionByName(lead.select(F.col("b").alias("cid"))).distinct())
         links = store(verify(lead, source, self.k, self.percent), "links")
+        discard(new, None if source is self.sets else source)
         self.merge(links)
         discard(links)
         release(self.spark)
@@ -319,6 +386,7 @@ class _Join:
                     yield pa.RecordBatch.from_pydict({"cid": b.column(0).slice(lo, hi - lo), "tokens": pa.ListArray.from_arrays(at.astype(np.int32), vals.view(np.int64))})
 
         self.sets = store(texts.mapInArrow(run, "cid long, tokens array<long>").dropDuplicates(["cid"]), "sets")
+        discard(texts)
         release(self.spark)
         each = self.sets.select("cid", F.explode("tokens").alias("key"))
         counts = store(each.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "counts")
@@ -353,6 +421,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
     """(members, components): members (did, th, cid, n) of the classes of equal sets, and (v, comp) of the classes that have a link."""
     j = _Join(docs, k, percent)
     pre = prefixes(j.rows, frequency_classes(j.sketch), j.clashes, k, percent)
+    j.bits = store(pre.select("cid", "n", "bits"), "bitmaps")
     tokens = pre.select("cid", "n", F.posexplode("tokens").alias("pos", "key")).select("key", "cid", "n", F.col("pos").cast("long").alias("pos"))
     found = j.index(tokens)
     discard(pre)
@@ -366,7 +435,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, D
         if not left.isEmpty():
             j.rounds(left)
         discard(j.sets)
-    discard(left, *j.tried)
+    discard(left, j.bits, *j.tried)
     return j.members, j.comp if j.comp is not None else j.spark.createDataFrame([], "v long, comp long")
 
 

@@ -272,3 +272,27 @@ def test_complementary_words_are_not_linked(spark):
     docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())], "doc_id long, text string")
     got = {r["did"]: r["component_id"] for r in ngram_join.near_duplicates(docs, 4, 85).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_bitmaps_of_sets_bound_their_difference():
+    from netloom.llm import ngram_join as J
+
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (2, 40, 300, 5000)]
+    sets += [np.sort(np.concatenate([s[: len(s) - len(s) // 20], r.integers(0, 1 << 62, len(s) // 20, dtype=np.uint64)])) for s in sets]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = np.unpackbits(J.parities(np.concatenate(sets), at).view(np.uint8), axis=1)
+    assert bits.shape == (len(sets), J.PARITY)
+    for a, x in zip(sets, bits, strict=True):
+        for b, y in zip(sets, bits, strict=True):
+            assert (x != y).sum() <= len(np.setxor1d(a, b))
+    assert (bits[1] != bits[2]).sum() > 100
+
+
+def test_marked_texts_are_all_found(spark):
+    from netloom.llm import ngram_join as J
+
+    rows = spark.range(0, 3000, 1, 3).selectExpr("xxhash64(id) AS th", "id")
+    test = J.marked(rows.where("id % 30 = 0"))
+    got = {r["id"] for r in rows.where(test("th")).select("id").collect()}
+    assert {i for i in range(0, 3000, 30)} <= got and len(got) < 110
