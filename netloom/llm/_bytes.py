@@ -36,7 +36,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     key, base = ("i", R_INV) if inverse else ("p", R)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        a = np.full(max(n, CHUNK + 1), base, np.uint64)
+        a = np.full((1 << max(16, (n - 2).bit_length())) + 1, base, np.uint64)
         a[0] = 1
         have = np.multiply.accumulate(a)
         if n <= 2 * CHUNK:

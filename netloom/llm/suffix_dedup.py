@@ -34,8 +34,8 @@ from netloom.llm import _bytes as B
 from netloom.llm._shared import arrow_map, discard, release, store, tune
 
 WIDTH, K = 200, 32
-#: Different blocks of one anchor in a bundle; bytes of a bundle, of whole groups.
-SPREAD, BUNDLE = 512, 1 << 20
+#: Different blocks of one anchor in a bundle; bytes of a bundle, of whole groups; bytes of text that are cut at once, and of keys that are sorted at once.
+SPREAD, BUNDLE, CUT, SORTED = 512, 1 << 18, 1 << 19, 16 << 20
 #: Windows of a chunk, and of a bucket of hashes.
 CHUNK, BUCKET = 1 << 18, 1 << 20
 #: What identifies a row: doc_id (0 for null), whether it is null, and the text's hash.
@@ -98,7 +98,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     direct = np.flatnonzero(small)
     padded = np.concatenate([text, np.zeros(depth, text.dtype)])
     wide = np.lib.stride_tricks.sliding_window_view(padded.astype(">u2"), depth)
-    step = max(1, (64 << 20) // (2 * depth))
+    step = max(1, SORTED // (2 * depth))
     keys = np.empty(len(direct), f"V{2 * depth}") if len(direct) <= step else None
     if keys is not None:
         rows = np.ascontiguousarray(wide[direct])
@@ -195,24 +195,26 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(i, F.lit(0)).alias("did"), i.isNull().alias("noid"), F.xxhash64(t).alias("th"), t.cast("binary").alias("text"), *more)
 
 
+def _occurrences(b: pa.RecordBatch) -> pa.RecordBatch | None:
+    """The ROW columns and blocks of a batch of rows (ROW, text)."""
+    buf, offs = B.column(b.column(3))
+    out = []
+    for lo, hi, x, o in B.parts(buf, offs, CUT):
+        row, start, count, anchor, block = blocks(x, o)
+        if not len(row):
+            continue
+        have, first = np.unique(row, return_index=True)
+        at = np.append(first, len(row)).astype(np.int32)
+        col = lambda v: pa.ListArray.from_arrays(at, pa.array(v))
+        take = pa.array(have + lo)
+        out.append(pa.RecordBatch.from_pydict({n: b.column(i).take(take) for i, n in enumerate(ROW)} | {"anchor": col(anchor.view(np.int64)), "block": col(block.view(np.int64)), "start": col(start.astype(np.int32)), "windows": col(count.astype(np.int16))}))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
     """id, did, noid, th and the row's blocks as arrays, stored; one pass over the texts, rows without a window left out."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        buf, offs = B.column(b.column(3))
-        out = []
-        for lo, hi, x, o in B.parts(buf, offs):
-            row, start, count, anchor, block = blocks(x, o)
-            if not len(row):
-                continue
-            have, first = np.unique(row, return_index=True)
-            at = np.append(first, len(row)).astype(np.int32)
-            col = lambda v: pa.ListArray.from_arrays(at, pa.array(v))
-            take = pa.array(have + lo)
-            out.append(pa.RecordBatch.from_pydict({n: b.column(i).take(take) for i, n in enumerate(ROW)} | {"anchor": col(anchor.view(np.int64)), "block": col(block.view(np.int64)), "start": col(start.astype(np.int32)), "windows": col(count.astype(np.int16))}))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
-
-    found = arrow_map(rows.select(*ROW, "text"), run, "did long, noid boolean, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
+    found = arrow_map(rows.select(*ROW, "text"), _occurrences, "did long, noid boolean, th long, anchor array<long>, block array<long>, start array<int>, windows array<smallint>")
     return store(found.withColumn("id", F.monotonically_increasing_id()), "blocks")
 
 

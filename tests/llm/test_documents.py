@@ -286,3 +286,21 @@ def test_no_bundle_grows_with_a_common_passage(spark, monkeypatch):
     columns = zip(*rows, strict=True)
     list(suffix_dedup._bundles(iter([suffix_dedup.pa.RecordBatch.from_arrays([suffix_dedup.pa.array(list(c)) for c in columns], names=["g", "anchor", "block", "windows", "piece"])])))
     assert sizes == [3] * 5
+
+
+def test_memory_of_repeats_is_small():
+    import tracemalloc
+
+    r = random.Random(1)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(3000)]
+    pa = suffix_dedup.pa
+    pieces = [" ".join(r.choices(words, k=60)).encode()[:330] for _ in range(6000)]
+    columns = [[i // 3 for i in range(6000)], list(range(6000)), list(range(6000)), [len(p) - 199 for p in pieces], pieces]
+    bundles = [pa.RecordBatch.from_arrays([pa.array(c[k : k + 1000]) for c in columns], names=["g", "anchor", "block", "windows", "piece"]) for k in range(0, 6000, 1000)]
+    texts = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(500), [False] * 500, range(500), [" ".join(r.choices(words, k=1300)).encode() for _ in range(500)])], names=["did", "noid", "th", "text"])
+    for work in (lambda: list(suffix_dedup._bundles(iter(bundles))), lambda: suffix_dedup._occurrences(texts)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60_000_000, peak
