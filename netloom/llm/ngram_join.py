@@ -13,8 +13,9 @@ reach the threshold share at least two tokens of their prefixes extended by one,
 4. what is then still frequent and mixed becomes 2-token combinations, and a combination that is frequent itself is worked off by rounds
    of leaders, eight times as many each round, until it is a single component or no pair is left.
 
-A pair in one component is never compared again, since only components are reported. A class has a bitmap of PARITY bits, each the parity of its tokens
-there; two sets differ in at least as many tokens as their bitmaps in bits, so a pair whose bitmaps differ in too many is no link. Verification of
+A pair in one component is never compared again, since only components are reported. A class has a bitmap, each bit the parity of its tokens
+there; two sets differ in at least as many tokens as their bitmaps in bits, so a pair whose bitmaps differ in too many is no link. A bitmap has about as
+many bits as its set tokens, as one of fixed size would rule out no pair of large sets; the larger of two is folded. Verification of
 the others is exact on the whole sets: texts, of which only those of compared classes are shuffled, travel to their leader, hot leaders are salted, and a task holds one leader's set at a time. Counts by token are tables of their own
 before rows are joined with them, so that Spark splits the rows of a token that very many documents hold. Each step deletes
 the tables that no later step reads.
@@ -44,7 +45,7 @@ SHINGLE, PERCENT = 4, 85
 SLOTS, SLOT_ROWS = 1 << 20, 64
 #: A token of more members is frequent; a document with more frequent tokens keeps them single; members a leader's group takes.
 FREQUENT, MAX_COMBINED, GROUP = 100, 48, 512
-#: Bits of a class's bitmap, and slots of the marks that texts are looked up in before a shuffle (both fixed sizes).
+#: Bits of a class's bitmap at least, and slots of the marks that texts are looked up in before a shuffle (a fixed size).
 PARITY, MARKS, MARK_ROWS = 512, 1 << 24, 64
 #: Different sets of one 64-bit hash that the driver takes (an error beyond; chance gives ten at 2e10 sets).
 MOST_CLASHES = 10_000
@@ -138,12 +139,17 @@ def frequency_classes(sketch: DataFrame) -> np.ndarray:
     return classes.ravel()
 
 
-def parities(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """PARITY bits of each row's set, as longs."""
+def parities(vals: np.ndarray, at: np.ndarray, width: int = PARITY) -> np.ndarray:
+    """`width` bits (a power of two, 64 at least) of each row's set, as longs."""
     n = len(at) - 1
-    slot = np.repeat(np.arange(n), np.diff(at)) * PARITY + (vals & np.uint64(PARITY - 1)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=n * PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(n, PARITY // 64)
+    slot = np.repeat(np.arange(n), np.diff(at)) * width + (vals & np.uint64(width - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, width // 64)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The set's bitmap: as many bits as tokens, up to the next power of two, and PARITY at least."""
+    return parities(tokens, np.array([0, len(tokens)]), max(PARITY, 1 << (len(tokens) - 1).bit_length()))[0]
 
 
 def _mark(th: np.ndarray) -> np.ndarray:
@@ -193,7 +199,7 @@ def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int,
         for b in batches:
             for lo, hi, vals, at in _sets(b.column(0), k):
                 cls = rank[(vals >> np.uint64(44)).astype(np.int64)]
-                ids, sizes, toks, places = [], [], [], []
+                ids, sizes, toks, bits = [], [], [], []
                 for i, c in enumerate(identity(vals, at, clashes).tolist()):
                     n = int(at[i + 1] - at[i])
                     if n < 2 or c in seen:
@@ -202,15 +208,14 @@ def prefixes(rows: DataFrame, classes: np.ndarray, clashes: np.ndarray, k: int,
                     order = np.argsort(cls[at[i] : at[i + 1]], kind="stable")[: prefix_length(n, percent)]
                     ids.append(c)
                     sizes.append(n)
-                    places.append(i)
+                    bits.append(bitmap(vals[at[i] : at[i + 1]]))
                     toks.append(vals[at[i] : at[i + 1]][order].view(np.int64))
                 if len(seen) > 500_000:
                     seen.clear()
                 if ids:
                     offs = np.concatenate([[0], np.cumsum([len(t) for t in toks])]).astype(np.int32)
-                    bits = parities(vals, at)[places]
-                    bits = pa.ListArray.from_arrays(np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32), bits.ravel())
-                    yield pa.RecordBatch.from_pydict({"cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": bits, "tokens": pa.ListArray.from_arrays(offs, np.concatenate(toks))})
+                    cuts = np.concatenate([[0], np.cumsum([len(x) for x in bits])]).astype(np.int32)
+                    yield pa.RecordBatch.from_pydict({"cid": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "bits": pa.ListArray.from_arrays(cuts, np.concatenate(bits)), "tokens": pa.ListArray.from_arrays(offs, np.concatenate(toks))})
 
     return store(rows.select("text").mapInArrow(run, "cid long, n long, bits array<long>, tokens array<long>"), "prefixes")
 
@@ -294,8 +299,13 @@ class _Join:
         if self.bits is None:
             return pairs
         side = lambda x: self.bits.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")).dropDuplicates([x])
-        differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+        xor = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
+        for x, y in (("ba", "bb"), ("bb", "ba")):
+            half = (F.size(x) / 2).cast("int")
+            both = both.withColumn(x, F.when(F.size(x) > F.size(y), xor(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half))).otherwise(F.col(x)))
+        differ = F.aggregate(F.transform(xor("ba", "bb"), F.bit_count), F.lit(0).cast("long"), lambda s, x: s + x)
+        differ = F.when(F.size("ba") == F.size("bb"), differ).otherwise(0)  # sets of more than twice the other's size: left to the comparison
         return both.where(differ * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "b", "lead")
 
     def compare(self, pairs: DataFrame) -> None:
@@ -355,9 +365,11 @@ class _Join:
         """Of (key, cid, n, pos) the rows that have a possible partner under their key, stored, with each key's leader compared."""
         shared = tokens.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), F.min("n").alias("low")).where("x <> y").select("key", "low")
         shared = store(shared, "shared")  # so that the join deals both sides anew and Spark splits a frequent key
+        release(self.spark)  # the tokens' first shuffle goes before the second is written
         rows = tokens.join(shared, "key").where(f"{self.percent} * (n + low) <= {100 + self.percent} * (1 + n - pos)")
         rows = store(rows.select("key", "cid", "n", "pos").distinct(), "index")
         discard(shared)
+        release(self.spark)
         share = rows.groupBy("cid", "n").agg(F.count("*").alias("q")).select("cid", (1000 - F.col("q") * 1000 / F.col("n")).cast("long").alias("altered"))
         lead = rows.join(share, "cid").groupBy("key").agg(F.min(F.struct("altered", "cid", "n", "pos")).alias("x"), F.count("*").alias("c")).where("c > 1")
         lead = store(lead.select("key", F.col("x.cid").alias("a"), F.col("x.n").alias("na"), F.col("x.pos").alias("pa")), "leaders")

@@ -289,6 +289,21 @@ def test_bitmaps_of_sets_bound_their_difference():
     assert (bits[1] != bits[2]).sum() > 100
 
 
+def test_bitmaps_rule_out_pairs_of_large_sets(spark):
+    from netloom.llm import ngram_join as J
+
+    r = np.random.default_rng(5)
+    draw = lambda n: r.integers(0, 1 << 62, n, dtype=np.uint64)
+    base = draw(4000)
+    sets = {1: base, 2: np.concatenate([base, draw(200)]), 3: draw(4000), 4: np.concatenate([base[:2500], draw(1700)]), 5: np.concatenate([base, draw(9000)])}
+    join = object.__new__(J._Join)
+    join.percent = 85
+    join.bits = spark.createDataFrame([(i, len(x), J.bitmap(x).tolist()) for i, x in sets.items()], "cid long, n long, bits array<long>")
+    pairs = spark.createDataFrame([(1, 2, 1), (1, 3, 1), (2, 3, 2), (1, 4, 1), (2, 4, 4), (1, 5, 1)], "a long, b long, lead long")
+    assert {len(J.bitmap(x)) for x in sets.values()} == {64, 128, 256}
+    assert {(x["a"], x["b"]) for x in join.likely(pairs).collect()} == {(1, 2), (1, 5)}  # 1 and 5 are too unlike in size to have their bitmaps compared
+
+
 def test_marked_texts_are_all_found(spark):
     from netloom.llm import ngram_join as J
 
