@@ -69,17 +69,21 @@ def run_crcs(buf: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarra
 
 
 def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans, which ascend and do not overlap."""
     n = end - start
-    offs = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(offs[-1]) - np.repeat(offs[:-1] - start, n)
-    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offs), pa.py_buffer(buf[at].tobytes()))
+    edge = np.zeros(len(buf) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    data = buf[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.concatenate([[0], np.cumsum(n)])), pa.py_buffer(data))
 
 
 def altered(buf: np.ndarray, offs: np.ndarray, ids: list, shortest: int) -> list[pa.Array]:
     """The words of some texts that have `shortest` characters or more: runs, some without one character."""
     start, end, row = runs(buf, offs)
     buf = B.FOLD[buf]
-    begins = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    begins = np.zeros(len(buf) + 1, np.int32 if len(buf) < 1 << 31 else np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=begins[1:])
     size = begins[end] - begins[start]
     long = np.flatnonzero(size >= shortest)
     start, end, row, size = start[long], end[long], row[long], size[long]
@@ -128,37 +132,41 @@ def vocabulary(docs: DataFrame, shortest: int = LENGTH, fewest: int = OCCURRENCE
 SCHEMA = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
+#: What names a bucket; its key is a hash of the equal part. Words whose keys coincide by chance share a bucket and gain no pair by it.
+NAME = ("length", "lo", "hi", "key")
+
+
 def _dealt(ranges: DataFrame) -> DataFrame:
-    """Buckets' rows with the equal part of the word that their range asks for."""
-    tail = F.expr("greatest(0, length - hi)")
-    key = F.concat(F.expr("substring(word, 1, lo)"), F.lit("|"), F.when(tail > 0, F.expr("right(word, greatest(0, length - hi))")).otherwise(""))
-    return ranges.withColumn("key", key)
+    """Buckets' rows with a hash of the equal part of the word that their range asks for."""
+    tail = F.expr("right(word, greatest(0, length - hi))")
+    return ranges.select("length", "lo", "hi", F.xxhash64(F.expr("substring(word, 1, lo)"), tail).alias("key"), "word", "n", "size")
 
 
 def buckets(words: DataFrame) -> DataFrame:
-    """length, lo, hi, key, word, n, size: words in buckets of more than one word, stored; large ones are split until none is beyond BUCKET."""
+    """length, lo, hi, key, word, n, size: words in buckets; large ones are split until none is beyond BUCKET. Only rows of buckets that are split
+    are stored. Buckets without a pair, which hold one word or none of their length, are left in unless they are large."""
     both = words.withColumn("length", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    mid = F.expr("(length + 1) div 2").cast("int")
-    level = both.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    level = level.withColumn("lo", F.when(F.col("half") == 0, 0).otherwise(mid)).withColumn("hi", F.when(F.col("half") == 0, mid).otherwise(F.col("length") + 1)).drop("half")
-    name = ["length", "lo", "hi", "key"]
-    ready, made = [], []
+    mid = F.expr("CAST((length + 1) div 2 AS INT)")
+    halves = F.array(F.struct(F.lit(0).alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), (F.col("length") + 1).alias("hi")))
+    level = _dealt(both.withColumn("side", F.explode(halves)).select("*", "side.lo", "side.hi"))
+    ready = []
     while True:
-        level = store(_dealt(level), "level")
-        made.append(level)
-        load = store(level.groupBy(*name).agg(F.count("*").alias("c"), F.min("size").alias("least")).where("c > 1 AND least = length"), "load")
-        made.append(load)
-        rows = level.join(load, name)
-        ready.append(rows.where(f"c * (length + 1) <= {BUCKET} OR hi - lo = 1").select(*name, "word", "n", "size"))
-        if load.where(f"c * (length + 1) > {BUCKET} AND hi - lo > 1").isEmpty():
+        load = level.groupBy(*NAME).agg(F.count("*").alias("c"), F.min("size").alias("least"))
+        load = load.withColumn("paired", F.expr("c > 1 AND least = length")).where(f"c * (length + 1) > {BUCKET} AND (hi - lo > 1 OR NOT paired)")
+        large = store(load.select(*NAME, F.expr("paired AND hi - lo > 1").alias("split")), "large")
+        if large.isEmpty():
+            ready.append(level)
             break
-        large = rows.where(f"c * (length + 1) > {BUCKET} AND hi - lo > 1").drop("c", "least", "key").withColumn("mid", F.expr("CAST((lo + hi) div 2 AS INT)"))
-        level = large.withColumn("side", F.explode(F.array(F.struct(F.col("lo").alias("l"), F.col("mid").alias("h")), F.struct(F.col("mid").alias("l"), F.col("hi").alias("h"))))).withColumn("lo", F.col("side.l")).withColumn("hi", F.col("side.h")).drop("mid", "side")
+        ready.append(level.join(large, [*NAME], "left_anti"))
+        if large.where("split").isEmpty():
+            break
+        mid = F.expr("CAST((lo + hi) div 2 AS INT)")
+        halves = F.array(F.struct("lo", mid.alias("hi")), F.struct(mid.alias("lo"), "hi"))
+        rows = level.join(large.where("split"), [*NAME], "left_semi").withColumn("side", F.explode(halves)).drop("lo", "hi")
+        level = store(_dealt(rows.select("*", "side.lo", "side.hi")), "level")
     out = ready[0]
     for r in ready[1:]:
         out = out.unionByName(r)
-    out = store(out, "buckets")
-    discard(*made)
     return out
 
 
@@ -180,7 +188,8 @@ def near_in_buckets(w: np.ndarray, size: np.ndarray, bucket: np.ndarray, length:
     lcp = common_beginnings(w, same)
     power, inverse = B.powers(width + 2), B.powers(2, True)[1]
     upto = np.zeros((n, width + 1), np.uint64)
-    np.cumsum((w.astype(np.uint64) + np.uint64(1)) * (w > 0) * power[:width], axis=1, out=upto[:, 1:])
+    for k in range(width):
+        upto[:, k + 1] = upto[:, k] + np.where(w[:, k] > 0, w[:, k] + np.uint64(1), np.uint64(0)) * power[k]
     whole = upto[:, -1]
     salt = B.mix(bucket.astype(np.uint64) + np.uint64(1))
     table = B.mix(whole ^ salt)
@@ -259,54 +268,84 @@ def near_in_buckets(w: np.ndarray, size: np.ndarray, bucket: np.ndarray, length:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def _starts(chunk: dict) -> np.ndarray:
+    """First rows of the buckets of a chunk that has rows."""
+    other = np.zeros(len(chunk["key"]) - 1, bool)
+    for c in NAME:
+        other |= chunk[c][1:] != chunk[c][:-1]
+    return np.append([0], np.flatnonzero(other) + 1)
+
+
+def _paired(chunk: dict) -> dict | None:
+    """The buckets of more than one word and with words of their length, and `bucket`, their number for each row; None if there are none."""
+    first = _starts(chunk)
+    count = np.diff(np.append(first, len(chunk["key"])))
+    good = (count > 1) & (np.minimum.reduceat(chunk["size"], first) == chunk["length"][first])
+    keep = np.flatnonzero(np.repeat(good, count))
+    if not len(keep):
+        return None
+    return {c: v.take(pa.array(keep)) if c == "word" else v[keep] for c, v in chunk.items()} | {"bucket": np.repeat(np.arange(int(good.sum())), count[good])}
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Whole buckets of about CELLS bytes, whose words are of one class of widths."""
-    names = ("length", "lo", "hi", "key", "word", "n", "size")
-    held: list[dict] = []
+    """Whole buckets of about CELLS bytes that may have pairs, whose words are of one class of widths. Words stay in Arrow."""
+    held: list[pa.RecordBatch] = []
     cells = 0
 
-    def rows(parts: list[dict]) -> dict:
-        return {c: np.concatenate([p[c] for p in parts]) for c in names}
+    def kind(length: np.ndarray) -> np.ndarray:
+        return np.ceil(np.log2(length + 1.0))
+
+    def cut(last: bool) -> Iterator[dict]:
+        """Chunks of what is held, which is then the last bucket, as it may go on in the next batch."""
+        nonlocal held, cells
+        rows = pa.Table.from_batches(held).combine_chunks()
+        chunk = {c: rows.column(c).to_numpy() for c in (*NAME, "n", "size")} | {"word": rows.column("word").cast(pa.large_string()).combine_chunks()}
+        ends, kinds, at = [*_starts(chunk)[1:].tolist(), *[rows.num_rows] * last], kind(chunk["length"]), 0
+        for e in ends:
+            if e == ends[-1] or kinds[e] != kinds[e - 1] or (e - at) * (chunk["length"][e - 1] + 1) >= CELLS:
+                part = _paired({c: v[at:e] for c, v in chunk.items()})
+                if part is not None:
+                    yield part
+                at = e
+        held = rows.slice(at).to_batches()
+        cells = (rows.num_rows - at) * (int(chunk["length"][-1]) + 1)
 
     for b in batches:
-        part = {c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names}
-        m = len(part["key"])
-        if not m:
-            continue
-        held.append(part)
-        cells += int(part["length"].max() + 1) * m
-        kinds = np.ceil(np.log2(part["length"][[0, -1]] + 1.0))
-        if cells < CELLS and kinds[0] == kinds[1] == np.ceil(np.log2(held[0]["length"][0] + 1.0)):
+        if not b.num_rows:
             continue
-        all_ = rows(held)
-        same = (all_["key"][1:] == all_["key"][:-1]) & (all_["length"][1:] == all_["length"][:-1]) & (all_["lo"][1:] == all_["lo"][:-1]) & (all_["hi"][1:] == all_["hi"][:-1])
-        ends = np.flatnonzero(~same) + 1
-        kind = np.ceil(np.log2(all_["length"] + 1.0))
-        at = 0
-        for e in ends.tolist():  # the last bucket may go on in the next batch
-            if e == ends[-1] or kind[e] != kind[e - 1] or (e - at) * (all_["length"][e - 1] + 1) >= CELLS:
-                yield {c: v[at:e] for c, v in all_.items()}
-                at = e
-        held = [{c: v[at:] for c, v in all_.items()}]
-        cells = int(held[0]["length"].max() + 1) * len(held[0]["key"]) if len(held[0]["key"]) else 0
-    if held and len(held[0]["key"]):
-        all_ = rows(held)
-        kind = np.ceil(np.log2(all_["length"] + 1.0))
-        for part in np.split(np.arange(len(kind)), np.flatnonzero(kind[1:] != kind[:-1]) + 1):
-            yield {c: v[part] for c, v in all_.items()}
+        held.append(b)
+        length = b.column(b.schema.get_field_index("length")).to_numpy()
+        cells += int(length.max() + 1) * len(length)
+        kinds = kind(np.array([held[0].column("length")[0].as_py(), length[0], length[-1]]))
+        if cells >= CELLS or kinds.min() < kinds.max():
+            yield from cut(False)
+    if held:
+        yield from cut(True)
+
+
+def letters(words: pa.Array) -> np.ndarray:
+    """Characters of words as bytes of Latin-1, a row for each word, 0 behind its end."""
+    buf, offs = B.column(words)
+    lead = buf == 0xC3
+    code = buf.copy()
+    code[1:][lead[:-1]] += 0x40
+    n = np.diff(offs) - np.diff(np.append([0], np.cumsum(lead))[offs])
+    w = np.zeros((len(n), int(n.max())), np.uint8)
+    w[np.arange(w.shape[1]) < n[:, None]] = code[~lead]
+    return w
 
 
 def _pairs(chunk: dict) -> tuple[np.ndarray, np.ndarray]:
-    new = np.append([True], (chunk["key"][1:] != chunk["key"][:-1]) | (chunk["length"][1:] != chunk["length"][:-1]) | (chunk["lo"][1:] != chunk["lo"][:-1]) | (chunk["hi"][1:] != chunk["hi"][:-1]))
-    coded = [x.encode("latin-1") for x in chunk["word"].tolist()]
-    width = max(map(len, coded))
-    w = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in coded), np.uint8).reshape(len(coded), width)
-    return near_in_buckets(w, chunk["size"].astype(np.int64), np.cumsum(new), *(chunk[c].astype(np.int64) for c in ("length", "lo", "hi")))
+    return near_in_buckets(letters(chunk["word"]), *(chunk[c].astype(np.int64) for c in ("size", "bucket", "length", "lo", "hi")))
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "length", "lo", "hi", "key").sortWithinPartitions("length", "lo", "hi", "key", "word")
+    return rows.repartition(parts, *NAME).sortWithinPartitions(*NAME, "word")
+
+
+def _named(word: pa.Array, rows: np.ndarray) -> pa.Array:
+    return word.take(pa.array(rows)).cast(pa.string())
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -315,13 +354,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             i, j = _pairs(chunk)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(chunk["word"][i], pa.string()), "b": pa.array(chunk["word"][j], pa.string()), "na": pa.array(chunk["n"][i]), "nb": pa.array(chunk["n"][j])})
+            word, n = chunk["word"], chunk["n"]
+            yield pa.RecordBatch.from_pydict({"a": _named(word, i), "b": _named(word, j), "na": pa.array(n[i]), "nb": pa.array(n[j])})
 
     return _sorted(buckets(words)).mapInArrow(run, "a string, b string, na long, nb long")
 
 
 def near_summary(words: DataFrame) -> DataFrame:
-    """word, n_near, form and form_n (the most frequent near word; ties: the smallest) of the words that have a near word. What a
+    """word, n, n_near, form and form_n (the most frequent near word; ties: the smallest) of the words that have a near word. What a
     bucket adds to a word is summed up in the task, so no pairs are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,17 +371,17 @@ def near_summary(words: DataFrame) -> DataFrame:
                 continue
             i, j = np.concatenate([i, j]), np.concatenate([j, i])
             word, n = chunk["word"], chunk["n"]
-            place = np.empty(len(word), np.int64)
-            place[np.argsort(word, kind="stable")] = np.arange(len(word))  # code point order
-            by = np.lexsort((place[j], -n[j], place[i]))
+            by = np.lexsort((j, -n[j], i))  # rows of a bucket are in code point order
             i, j = i[by], j[by]
-            first = np.flatnonzero(np.append([True], place[i[1:]] != place[i[:-1]]))
+            first = np.flatnonzero(np.append([True], i[1:] != i[:-1]))
             many = np.diff(np.append(first, len(i)))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(word[i[first]], pa.string()), "n_near": pa.array(many), "form": pa.array(word[j[first]], pa.string()), "form_n": pa.array(n[j[first]])})
+            i, j = i[first], j[first]
+            yield pa.RecordBatch.from_pydict({"word": _named(word, i), "n": pa.array(n[i]), "n_near": pa.array(many), "form": _named(word, j), "form_n": pa.array(n[j])})
 
-    part = _sorted(buckets(words)).mapInArrow(run, "word string, n_near long, form string, form_n long")
+    part = _sorted(buckets(words)).mapInArrow(run, "word string, n long, n_near long, form string, form_n long")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("x")
-    return part.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("x.form").alias("form"), (-F.col("x.less")).alias("form_n"))
+    summed = part.groupBy("word").agg(F.max("n").alias("n"), F.sum("n_near").alias("n_near"), best)
+    return summed.select("word", "n", "n_near", F.col("x.form").alias("form"), (-F.col("x.less")).alias("form_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -359,10 +399,10 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, shortest: int = LENGTH, fewest: int = OCCURRENCES, factor: int = FACTOR) -> DataFrame:
     """word, form, root, n, n_near, form_n of the vocabulary of `docs`."""
     words = vocabulary(docs, shortest, fewest)
-    near = store(words.select("word", "n").join(near_summary(words), "word"), "near")
     formed = F.col("form_n") >= factor * F.col("n")
-    forms = near.where(formed).select("word", "form", "form_n")
-    out = words.select("word", "n").join(near.select("word", "n_near"), "word", "left").join(forms, "word", "left").join(roots(forms), "word", "left")
+    near = near_summary(words).select("word", "n_near", *(F.when(formed, F.col(c)).alias(c) for c in ("form", "form_n")))
+    near = store(near, "near")
+    out = words.select("word", "n").join(near, "word", "left").join(roots(near.where("form IS NOT NULL")), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
